@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe
+from tracelake.llm import bpe, contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_decontamination": contamination.op7_decontamination,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": contamination.ORACLE,
+}
