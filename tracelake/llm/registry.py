@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, contamination
+from tracelake.llm import bpe, contamination, lang_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": lang_id.op1_language,
     "op7_decontamination": contamination.op7_decontamination,
     "op10_bpe": bpe.op10_bpe,
 }
