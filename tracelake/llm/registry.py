@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, contamination, lang_id, line_dedup
+from tracelake.llm import bpe, contamination, jaccard_join, lang_id, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": lang_id.op1_language,
     "op2_lines": line_dedup.op2_lines,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_decontamination": contamination.op7_decontamination,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op2_lines": line_dedup.ORACLE,
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op7_decontamination": contamination.ORACLE,
 }
