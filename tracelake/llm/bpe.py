@@ -165,14 +165,19 @@ class Codec:
             self.ids[word] = b" ".join([b"%d" % i for i in ids])
             self.decoded[word] = self.decode(ids)
 
-    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    def joined(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Of each text: number of ids, the ids as decimals joined by one space, and the bytes that they decode to."""
         for start in range(0, len(texts), LEARN_TEXTS):
             split = [self.split(x or "") for x in texts[start : start + LEARN_TEXTS]]
             self.learn(set().union(*split))
             ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
             for words in split:
                 made = b" ".join(map(ids, words))
-                yield made.count(b" ") + 1 if words else 0, hashlib.sha256(made).hexdigest(), hashlib.sha256(b"".join(map(decoded, words))).hexdigest()
+                yield made.count(b" ") + 1 if words else 0, made, b"".join(map(decoded, words))
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        for n, ids, decoded in self.joined(texts):
+            yield n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -211,13 +216,14 @@ def encode(docs: DataFrame, text: str = "text", to: str = "tokens", ranks_path:
     """docs with an array of ids added in column `to`."""
     path, pattern = _paths(ranks_path, pattern)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    docs = docs.drop(to)
     at = docs.columns.index(text)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(to)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern, ranks.value)
         for batch in batches:
-            ids = [codec.encode(x.as_py()) for x in batch.column(at)]
+            ids = [np.array(made.split(), np.int32) for _, made, _ in codec.joined(batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, to])
 
     return docs.mapInArrow(run, schema)
@@ -225,15 +231,25 @@ def encode(docs: DataFrame, text: str = "text", to: str = "tokens", ranks_path:
 
 def decode(frame: DataFrame, tokens: str = "tokens", to: str = "decoded", ranks_path: str | None = None) -> DataFrame:
     """frame with the bytes that its ids stand for added in column `to`, as a string."""
-    path, _ = _paths(ranks_path, None)
+    path, pattern = _paths(ranks_path, None)
     ranks = frame.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    @F.pandas_udf("string")
-    def joined(ids):
-        pieces = {rank: piece for piece, rank in ranks.value.items()}
-        return ids.map(lambda x: None if x is None else b"".join(pieces[i] for i in x).decode("utf-8", "replace"))
+    frame = frame.drop(to)
+    at, schema = frame.columns.index(tokens), frame.select("*", F.lit(None).cast("string").alias(to)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path, pattern, ranks.value)
+        for batch in batches:
+            texts = [None if ids is None else codec.decode(ids).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
+
+    return frame.mapInArrow(run, schema)
+
 
-    return frame.withColumn(to, joined(tokens))
+def encoded(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, tokens, round_trip): the ids of every text, and whether decoding them gives the text again."""
+    made = decode(encode(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))))
+    return made.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
