@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, contamination, jaccard_join, lang_id, line_dedup
+from tracelake.llm import bpe, contamination, jaccard_join, lang_id, licenses, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": lang_id.op1_language,
     "op2_lines": line_dedup.op2_lines,
+    "op4_sharding": sharding.op4_sharding,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_decontamination": contamination.op7_decontamination,
+    "op8_licenses": licenses.op8_licenses,
     "op10_bpe": bpe.op10_bpe,
 }
 
