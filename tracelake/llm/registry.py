@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, contamination, jaccard_join, lang_id, licenses, line_dedup, sharding
+from tracelake.llm import bpe, contamination, jaccard_join, lang_id, licenses, line_dedup, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": lang_id.op1_language,
     "op2_lines": line_dedup.op2_lines,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_licenses": licenses.op8_licenses,
+    "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 
