@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, contamination, jaccard_join, lang_id, licenses, line_dedup, quality, sharding, toxicity
+from tracelake.llm import bpe, contamination, image_copies, jaccard_join, lang_id, licenses, line_dedup, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": lang_id.op1_language,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_image_copies": image_copies.op6_image_copies,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_licenses": licenses.op8_licenses,
     "op9_quality": quality.op9_quality,
