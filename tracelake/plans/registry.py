@@ -1,10 +1,31 @@
-"""Every driver query with its SQL twin. Filled by the modules of this package."""
+"""Every driver query with its SQL twin. Modules of this package add theirs with :func:`query`."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _name in ("signal", "joining", "audit", "scalars", "formats", "live"):
+    importlib.import_module(f"tracelake.plans.{_name}")
