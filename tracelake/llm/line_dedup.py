@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import BROADCAST_ROWS, cut, small, table
+from tracelake.llm._common import cut, small, table
 
 MIN_TOKENS, LEADING, SEGMENTS, MIN_DOCS = 5, 3, 5, 3
 VARIABLE = "<*>"
@@ -74,8 +74,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     parsed = cut(_parsed(docs))
     counted = cut(parsed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs).select("key", "first"))
     flagged = cut(parsed.join(small(counted), "key").where(F.col("doc_id") != F.col("first")).select("doc_id", "key"))
-    per_doc = flagged.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    return F.broadcast(per_doc) if flagged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else per_doc
+    return flagged.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
