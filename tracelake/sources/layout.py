@@ -4,6 +4,7 @@ one reader serves every layout, and touches no more bytes than a window needs.""
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ class Layout:
     labels: list[str]
     dtype: str  # a NumPy type, or `i3` for 24-bit little-endian
     base: int = 0  # byte of the first sample
-    order: str = "interleaved"  # or `channels`: one run for each channel; or `records`: stripes within records
+    order: str = "interleaved"  # or `channels`: one run for each channel; `records`: stripes within records; `blocks`: interleaved, in blocks
     scale: np.ndarray | float = 1.0
     offset: np.ndarray | float = 0.0  # value = raw * scale + offset
     types: list[str] = field(default_factory=list)
@@ -34,6 +35,7 @@ class Layout:
     record_bytes: int = 0
     record_samples: int = 0
     stripes: list[int] = field(default_factory=list)  # byte of each channel's stripe in a record
+    blocks: list[tuple[int, int, int]] = field(default_factory=list)  # order `blocks`: first sample, samples, byte
 
     @property
     def width(self) -> int:
@@ -79,6 +81,15 @@ def window(layout: Layout, start: int, n: int, channels: list[int] | None = None
         x = numbers(raw, layout.dtype).reshape(-1, count).T[own]
     elif layout.order == "channels":
         x = np.stack([numbers(fetch(layout.path, layout.base + (c * layout.n_samples + low) * w, (high - low) * w), layout.dtype) for c in own])
+    elif layout.order == "blocks":
+        parts = []
+        for first, size, at in layout.blocks[bisect_right(layout.blocks, (low, 1 << 62, 0)) - 1 :]:
+            a, b = max(low, first), min(high, first + size)
+            if a >= high:
+                break
+            raw = fetch(layout.path, at + (a - first) * count * w, (b - a) * count * w)
+            parts.append(numbers(raw, layout.dtype).reshape(-1, count))
+        x = np.concatenate(parts).T[own]
     else:
         per = layout.record_samples
         first, last = low // per, -(-high // per)
