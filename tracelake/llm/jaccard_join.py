@@ -7,8 +7,9 @@ documents link when |A ∩ B| / |A ∪ B| reaches the threshold; the result has
    in at most k = a + b - 2 * need(a + b) shingles, so with m > k ranges at least m - k ranges agree exactly. m depends
    on a size class; a document takes part in its own class and, where a smaller partner could lie in the class below, in
    that one too. A range that agrees gives the same signature, a hash of the range's content; empty ranges give none,
-   and a document with too many empty ranges for the argument takes part again under a further cut. A passage that many
-   documents share therefore doesn't make them candidates, as the rest of each range differs.
+   and a document with too many empty ranges for the argument takes part again under further cuts. Shingles that at
+   least HOT of all documents hold, as passages that many share, are left out of the content first, which keeps the
+   argument and keeps strangers apart; a document that has too few others falls back on its whole content.
 2. *Stars.* Within a batch and then within a bucket of signatures, every holder of a signature is tied to the smallest
    doc_id that holds it, so a signature held by a third of all documents costs one row per holder. Equal sets are tied
    likewise, as exact links, and only the smallest doc_id of equal sets goes on.
@@ -38,10 +39,15 @@ from pyspark.sql import functions as F
 from tracelake.llm._common import cut, small, table
 
 WORDS, PERCENT = 4, 85
+#: Share of documents from which a shingle is hot. There are at most (mean set size) / HOT such shingles, whatever the
+#: number of documents; which of them are known affects the work, never the result.
+HOT, HOT_MOST = 0.001, 500_000
+#: Cuts tried without hot shingles; ties that one task may connect by itself (16 bytes each).
+COLD_CUTS, LOCAL_TIES = 3, 2_000_000
 #: Documents of a family that one task searches by itself.
-FAMILY = 3_000
+FAMILY = 10_000
 #: Bytes of text that are hashed together, and signatures that are grouped together before they leave a task.
-CHUNK, HELD = 4 << 20, 1_000_000
+CHUNK, HELD = 1 << 20, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -152,29 +158,35 @@ def _plan(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _CLASSES[percent]
 
 
-def signatures(offsets: np.ndarray, hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) rows such that linked texts have one in common."""
+def signatures(offsets: np.ndarray, hashes: np.ndarray, percent: int = PERCENT, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) rows such that linked texts have one in common. hot: sorted hashes to leave out where possible."""
     least, ks, ms = _plan(percent)
     size = np.diff(offsets)
     texts, found = [], []
     own = np.searchsorted(least, size, "right") - 1
+    cold_offsets, cold = offsets, hashes
+    if hot is not None and len(hot):
+        keep = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes
+        cold, cold_offsets = hashes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
     for below in (0, 1):
         c = own - below
         lowest = -(-size * percent // 100)  # least size of a partner
         part = np.flatnonzero((size > 0) & (c >= 0) & ((below == 0) | (lowest < least[np.maximum(own, 0)])))
+        part = part[ks[c[part]] > 0]  # else partners have equal sets
         for salt in range(1 << 30):
             if not len(part):
                 break
-            m, k = ms[c[part]], ks[c[part]]
-            reps = size[part]
+            at, content = (cold_offsets, cold) if salt < COLD_CUTS else (offsets, hashes)
+            m, k, reps = ms[c[part]], ks[c[part]], np.diff(at)[part]
             ends = np.cumsum(reps)
-            pos = np.arange(int(ends[-1])) - np.repeat(ends - reps, reps) + np.repeat(offsets[part], reps)
-            h = hashes[pos]
-            slot = h if salt == 0 else mix(h ^ mix(np.full(1, salt, np.uint64)))
+            if not ends[-1]:
+                continue
+            h = content[np.arange(int(ends[-1])) - np.repeat(ends - reps, reps) + np.repeat(at[part], reps)]
+            slot = h if salt in (0, COLD_CUTS) else mix(h ^ mix(np.full(1, salt, np.uint64)))
             bucket = ((slot >> np.uint64(32)) * np.repeat(m, reps).astype(np.uint64)) >> np.uint64(32)
             row = np.repeat(np.arange(len(part)), reps)
             body = mix(h ^ _BASE2)
-            if salt:
+            if salt not in (0, COLD_CUTS):
                 order = np.lexsort((bucket, row))
                 bucket, row, body = bucket[order], row[order], body[order]
             start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
@@ -183,12 +195,44 @@ def signatures(offsets: np.ndarray, hashes: np.ndarray, percent: int = PERCENT)
             texts.append(part[row])
             found.append(sig)
             full = np.bincount(row, minlength=len(part))
-            part = part[m - full >= m - k]  # all agreeing ranges could be empty ones
+            part = part[full <= k]  # all agreeing ranges could be empty ones
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(texts), np.concatenate(found)
 
 
+def _frequent(percent: int, n: int):
+    """Texts to (h, n): shingles that stand out within each HELD shingles, with the number of texts that hold them."""
+
+    def flush(held: list[np.ndarray], docs: int) -> pa.RecordBatch:
+        h, count = np.unique(np.concatenate(held), return_counts=True)
+        often = count >= max(4, HOT * docs)
+        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs, count = [], 0, 0
+        for batch in batches:
+            for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes = shingle_sets(raw, n)[1]
+                held.append(hashes)
+                docs, count = docs + len(ids), count + len(hashes)
+                if count >= 2 * HELD:
+                    yield flush(held, docs)
+                    held, docs, count = [], 0, 0
+        if held:
+            yield flush(held, docs)
+
+    return run
+
+
+def hot_shingles(docs: DataFrame, percent: int, n: int) -> np.ndarray:
+    """Sorted hashes of the hot shingles of all documents."""
+    total = docs.count()
+    counted = docs.mapInArrow(_frequent(percent, n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HOT * total))
+    found = counted.orderBy(F.desc("n"), "h").limit(HOT_MOST).toPandas()["h"].to_numpy(np.int64)  # at most HOT_MOST, see HOT
+    return np.sort(found.view(np.uint64))
+
+
 def _chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """ids and encoded texts, so many bytes at a time."""
     held, raw, size = [], [], 0
@@ -207,16 +251,35 @@ def stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """(key, centre, doc) in order of key: each holder with the smallest holder of its key."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
+    if not len(key):
+        return key, doc, doc
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key, np.repeat(doc[start], np.diff(np.append(start, len(key)))), doc
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (smallest member, member) with the same components as the ties (u, v)."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == label).all():
+            away = label != np.arange(len(ids))
+            return ids[label[away]], ids[away]
+        label = after
+
+
 #: Kinds of rows: a document's size; a tie by equal sets; a tie by a signature; signatures on their way to a bucket.
 SIZE, EQUAL, TIE, SIGNED = 0, 1, 2, 3
 _ROW = "bucket int, kind int, a binary, b binary"
 
 
-def _signed(buckets: int, percent: int, n: int):
+def _signed(buckets: int, percent: int, n: int, hot):
     """Texts to rows of _ROW, grouped within each HELD signatures already."""
 
     def row(bucket: int, kind: int, a: np.ndarray, b: np.ndarray) -> tuple:
@@ -239,14 +302,15 @@ def _signed(buckets: int, percent: int, n: int):
             key, centre, tied = stars(sig[keep], d[keep])
             away = centre != tied
             if away.any():
-                pairs = np.unique(np.stack([centre[away], tied[away]]), axis=1)
-                out.append(row(int(doc[0]) % buckets, TIE, pairs[0], pairs[1]))
+                out.append(row(int(doc[0]) % buckets, TIE, *forest(centre[away], tied[away])))
             groups.append((TIE, key[~away], tied[~away]))
         for kind, key, d in groups:
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             bucket, key, d = bucket[order], key[order], d[order]
-            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+            if not len(bucket):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             for s, e in zip(start, [*start[1:], len(bucket)], strict=True):
                 # of the key, the low half suffices: a chance agreement is only one more candidate; equal sets need it all
                 out.append(row(int(bucket[s]), SIGNED + kind, key[s:e] if kind == EQUAL else key[s:e].astype(np.uint32), d[s:e]))
@@ -262,7 +326,7 @@ def _signed(buckets: int, percent: int, n: int):
                 total = np.concatenate([[np.uint64(0)], np.add.accumulate(mix(hashes ^ _BASE))])
                 fp = mix((total[offsets[1:]] - total[offsets[:-1]]) ^ mix(size.astype(np.uint64)))
                 lead = np.isin(ids, stars(fp, ids)[1])  # of equal sets, the smallest doc_id is enough for signatures
-                text, sig = signatures(offsets, hashes, percent)
+                text, sig = signatures(offsets, hashes, percent, hot.value)
                 keep = lead[text]
                 for to, x in zip(held, (ids, size, fp, ids[text[keep]], sig[keep]), strict=True):
                     to.append(x)
@@ -283,29 +347,61 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], ["kind", "u", "v"])
 
     def grouped(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        nonlocal count
         for kind, parts in held.items():
             _, centre, doc = stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             away = centre != doc
-            if away.any():
-                pairs = np.unique(np.stack([centre[away], doc[away]]), axis=1)
-                yield out(kind, pairs[0], pairs[1])
+            if kind == EQUAL and away.any():
+                yield out(kind, centre[away], doc[away])
+            elif away.any():
+                ties.append((centre[away], doc[away]))
+                count += int(away.sum())
+        if count >= HELD:
+            yield from joined_ties()
+
+    def joined_ties() -> Iterator[pa.RecordBatch]:
+        nonlocal count
+        if ties:
+            yield out(TIE, *forest(np.concatenate([x[0] for x in ties]), np.concatenate([x[1] for x in ties])))
+        ties.clear()
+        count = 0
 
-    at, held = None, {}
+    at, held, ties, count = None, {}, [], 0
     for batch in batches:
         for bucket, kind, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != at:
                 yield from grouped(held)
                 at, held = bucket, {}
-            if kind < SIGNED:
+            if kind == TIE:
+                ties.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+                count += len(a) // 8
+            elif kind < SIGNED:
                 yield out(kind, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
             else:
                 held.setdefault(kind - SIGNED, []).append((np.frombuffer(a, np.uint64 if kind - SIGNED == EQUAL else np.uint32), np.frombuffer(b, np.int64)))
     yield from grouped(held)
+    yield from joined_ties()
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) ties of a task to (doc, root)."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        root, doc = forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        top = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc, top])), pa.array(np.concatenate([root, top]))], ["doc", "root"])
 
 
 def components(ties: DataFrame) -> DataFrame:
-    """(doc, root): smallest member reachable, of every document in (u, v) ties. Min-label propagation with shortcuts."""
-    edges = cut(ties.select("u", "v").union(ties.select("v", "u")).distinct())
+    """(doc, root): smallest member reachable, of every document in (u, v) ties.
+
+    Up to LOCAL_TIES ties, by a count, are connected in one task; more by min-label propagation with shortcuts.
+    """
+    ties = cut(ties.select("u", "v").distinct())
+    if ties.limit(LOCAL_TIES + 1).count() <= LOCAL_TIES:
+        return cut(ties.coalesce(1).mapInArrow(_forests, "doc long, root long"))
+    both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges = cut(ties.select(F.inline(both)))
     roots = cut(edges.groupBy(F.col("u").alias("doc")).agg(F.min("v").alias("root")).select("doc", F.least("doc", "root").alias("root")))
     while True:
         # a document takes the least root among its neighbours' and its own, then the root of that root
@@ -362,15 +458,15 @@ def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, percent: in
     order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
     start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-    index, keys = np.split(owner, start[1:]), flat[start]
-    shared = np.array([len(x) > 1 for x in index])
+    end, keys = np.append(start[1:], len(flat)), flat[start]
+    shared = end - start > 1
     for i in range(len(sets)):
         # a pair is met from its smaller side, where an overlap of need(2 * size) is a must
         at = np.searchsorted(keys, sets[i])
         at, t = at[shared[at]], max(1, int(need(2 * sizes[i], percent)))
         if len(at) < t:
             continue
-        for j, common in t_occurrence([index[k] for k in at.tolist()], t, labels, labels[i]):
+        for j, common in t_occurrence([owner[start[k] : end[k]] for k in at.tolist()], t, labels, labels[i]):
             if 100 * common >= percent * (sizes[i] + sizes[j] - common) and labels[j] != labels[i]:
                 low, high = sorted((labels[i], labels[j]))
                 labels[labels == high] = low
@@ -459,7 +555,8 @@ def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = docs.mapInArrow(_signed(4 * parts, percent, n), _ROW)
+    hot = spark.sparkContext.broadcast(hot_shingles(docs, percent, n))
+    signed = docs.mapInArrow(_signed(4 * parts, percent, n, hot), _ROW)
     tied = cut(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "kind int, u long, v long"))
     equal = tied.where(F.col("kind") == EQUAL).select("u", "v")
     members = cut(components(tied.where(F.col("kind") != SIZE)).withColumnRenamed("doc", "doc_id").join(small(equal.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_anti"))
@@ -470,7 +567,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame
     large = counts.where(F.col("n") > FAMILY)
     if large.limit(1).count():
         links = links.unionByName(_thinned(blobs(F.col("n") > FAMILY), large, percent))
-    roots = components(equal.unionByName(links))
+    roots = components(equal.unionByName(cut(links)))
     sizes = tied.where(F.col("kind") == SIZE).groupBy(F.col("u").alias("doc_id")).agg(F.max("v").alias("n_shingles"))
     return sizes.join(small(roots.withColumnRenamed("doc", "doc_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
@@ -487,7 +584,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
