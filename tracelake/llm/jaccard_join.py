@@ -44,6 +44,8 @@ WORDS, PERCENT = 4, 85
 HOT, HOT_MOST = 0.001, 500_000
 #: Cuts tried without hot shingles; ties that one task may connect by itself (16 bytes each).
 COLD_CUTS, LOCAL_TIES = 3, 2_000_000
+#: Members of short lists that are merged by a heap; more by a sort that merges runs.
+HEAP = 64
 #: Documents of a family that one task searches by itself.
 FAMILY = 10_000
 #: Bytes of text that are hashed together, and signatures that are grouped together before they leave a task.
@@ -424,28 +426,23 @@ def t_occurrence(lists: list[np.ndarray], t: int, labels: np.ndarray, own: int,
     lists = sorted(lists, key=len)
     aside = min(t - 1, max(0, int(t / (mu * np.log2(max(len(lists[-1]), 2)) + 1)))) if lists else 0
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    merged = heapq.merge(*(x[labels[x] != own].tolist() for x in short))
-    at, count = -1, 0
-    reached: list[tuple[int, int]] = []
-    for member in merged:
-        if member == at:
-            count += 1
-            continue
-        if at >= 0 and count >= t - aside:
-            reached.append((at, count))
-        at, count = member, 1
-    if at >= 0 and count >= t - aside:
-        reached.append((at, count))
-    for member, count in reached:
-        left = len(long)
-        for x in long:
-            if count + left < t:
-                break
-            k = int(np.searchsorted(x, member))
-            count += k < len(x) and x[k] == member
-            left -= 1
-        if count >= t:
-            yield member, count
+    short = [x[labels[x] != own] for x in short]
+    if sum(map(len, short)) <= HEAP:
+        merged = np.fromiter(heapq.merge(*(x.tolist() for x in short)), np.int64)
+    else:
+        merged = np.sort(np.concatenate(short), kind="stable")  # merges the sorted runs, as the heap does
+    member, count = np.unique(merged, return_counts=True)
+    reached = count >= t - aside
+    member, count = member[reached], count[reached]
+    for left, x in zip(range(len(long), 0, -1), reversed(long), strict=True):
+        able = count + left >= t
+        member, count = member[able], count[able]
+        if not len(member):
+            return
+        k = np.searchsorted(x, member)  # binary probes of all members at once
+        count = count + (x[np.minimum(k, len(x) - 1)] == member)
+    done = count >= t
+    yield from zip(member[done].tolist(), count[done].tolist(), strict=True)
 
 
 def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
