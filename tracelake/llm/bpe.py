@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words whose encoding a task remembers; then it starts anew. About 300 bytes each.
@@ -246,6 +246,24 @@ def decode(frame: DataFrame, tokens: str = "tokens", to: str = "decoded", ranks_
     return frame.mapInArrow(run, schema)
 
 
+def merged_natively(word: Column, ranks: Column) -> Column:
+    """The same fold by Spark's higher-order functions: the pieces (array of binary) of a binary word, with a literal map
+    from piece to rank. Spark looks a key up in such a map from end to end, so with a full rank table this is for a few
+    words only; see the README for figures."""
+    none = F.lit(NONE)
+
+    def step(parts: Column, _: Column) -> Column:
+        joined = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.concat(F.get(parts, i), F.get(parts, i + 1)))
+        found = F.transform(joined, lambda pair: F.coalesce(F.try_element_at(ranks, pair), none))
+        at = F.array_position(found, F.array_min(found)).cast("int")
+        merged = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.get(joined, at - 1)), F.slice(parts, at + 2, F.size(parts)))
+        return F.when((F.size(parts) < 2) | (F.array_min(found) == none), parts).otherwise(merged)
+
+    n = F.octet_length(word)
+    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, 1))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), single, step)).otherwise(F.array().cast("array<binary>"))
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip): the ids of every text, and whether decoding them gives the text again."""
     made = decode(encode(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))))
