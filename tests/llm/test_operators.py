@@ -196,11 +196,19 @@ def test_signatures_lose_no_link():
         assert (jaccard_join.linked(arrays)[1] == 0) == link
         if link:
             some = np.array(sorted(rng.sample(sorted(a), rng.randint(0, len(a)))), np.uint64)
-            for hot in (None, some):
-                text, sig = jaccard_join.signatures(np.array([0, len(a), len(a) + len(b)]), np.concatenate(arrays), 85, hot)
+            for hot, percent in ((None, 85), (some, 85), (some, 80), (None, 75)):
+                text, sig = jaccard_join.signatures(np.array([0, len(a), len(a) + len(b)]), np.concatenate(arrays), percent, hot)
                 assert a == b or set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [75, 80, 85, 95])
+def test_signatures_are_few(percent):
+    rng = np.random.default_rng(3)
+    for n in (4, 6, 9, 30, 100, 151, 1000, 20_000):
+        text, sig = jaccard_join.signatures(np.array([0, n]), np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)), percent)
+        assert len(sig) <= 12 * n
+
+
 def test_t_occurrence():
     rng = random.Random(8)
     for _ in range(100):

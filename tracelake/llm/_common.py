@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +58,23 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
 def uniform(col: str | Column, seed: int = 7) -> Column:
     """A repeatable number in [0, 1) that depends on the value alone."""
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between its tasks: one thing at a time, so that the operators of a pipeline, which share
+    their workers, don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

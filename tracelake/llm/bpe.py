@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm._common import held, slices
+
 #: Distinct words whose encoding a task remembers; then it starts anew. About 300 bytes each.
 MEMO_WORDS = 400_000
 #: Words with more bytes use a heap instead of repeated scans.
@@ -180,15 +182,9 @@ class Codec:
             yield n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(path: str, pattern: str, ranks: dict[bytes, int]) -> Codec:
     """One codec per Python process, kept while the process serves further tasks."""
-    if (path, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path, pattern] = Codec(ranks, pattern)
-    return _CODECS[path, pattern]
+    return held(("bpe", path, pattern), lambda: Codec(ranks, pattern))
 
 
 def _paths(ranks_path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -204,7 +200,7 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern, ranks.value)
-        for batch in batches:
+        for batch in slices(batches, LEARN_TEXTS):
             made = list(codec.digests(batch.column(1).to_pylist()))
             columns = list(zip(*made, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -222,7 +218,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "tokens", ranks_path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern, ranks.value)
-        for batch in batches:
+        for batch in slices(batches, LEARN_TEXTS):
             ids = [np.array(made.split(), np.int32) for _, made, _ in codec.joined(batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, to])
 
@@ -239,7 +235,7 @@ def decode(frame: DataFrame, tokens: str = "tokens", to: str = "decoded", ranks_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern, ranks.value)
-        for batch in batches:
+        for batch in slices(batches, LEARN_TEXTS):
             texts = [None if ids is None else codec.decode(ids).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, small, table
+from tracelake.llm._common import cut, held, slices, small, table
 
 WORDS, PERCENT = 4, 85
 #: Share of documents from which a shingle is hot. There are at most (mean set size) / HOT such shingles, whatever the
@@ -49,7 +49,7 @@ HEAP = 64
 #: Documents of a family that one task searches by itself.
 FAMILY = 10_000
 #: Bytes of text that are hashed together, and signatures that are grouped together before they leave a task.
-CHUNK, HELD = 1 << 20, 1_000_000
+CHUNK, HELD = 1 << 19, 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -149,6 +149,8 @@ _CLASSES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 def _plan(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per class of the smaller partner: its least size, the most shingles k in which partners differ, and m ranges."""
+    if percent < 75:
+        raise ValueError("a similarity of less than 0.75 leaves too little in common for signatures")
     if percent not in _CLASSES:
         least = classes(percent)
         small_most = np.append(least[1:] - 1, least[-1])
@@ -156,7 +158,11 @@ def _plan(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # the difference a + b - 2 * need(a + b) grows with a + b but for steps of 2
         k = np.maximum(small_most + big_most - 2 * need(small_most + big_most, percent), small_most + big_most - 1 - 2 * need(small_most + big_most - 1, percent))
         k = np.maximum(k, 0)
-        _CLASSES[percent] = least, k, k + 2 + k // 16
+        # so many ranges that a set of the class fills more than k of them as a rule: m * (1 - exp(-least / m)) of them
+        m, wanted = k + 2, k + 1 + np.sqrt(k)
+        while (thin := (m * -np.expm1(-least / m) < wanted) & (m < 4 * least)).any():
+            m = np.where(thin, m + np.maximum(1, m // 32), m)
+        _CLASSES[percent] = least, k, m
     return _CLASSES[percent]
 
 
@@ -212,17 +218,18 @@ def _frequent(percent: int, n: int):
         return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often])], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, count = [], 0, 0
-        for batch in batches:
+        held("jaccard_join", dict)  # lets go of what other operators kept
+        parts, docs, count = [], 0, 0
+        for batch in slices(batches):
             for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = shingle_sets(raw, n)[1]
-                held.append(hashes)
+                parts.append(hashes)
                 docs, count = docs + len(ids), count + len(hashes)
-                if count >= 2 * HELD:
-                    yield flush(held, docs)
-                    held, docs, count = [], 0, 0
-        if held:
-            yield flush(held, docs)
+                if count >= 4 * HELD:
+                    yield flush(parts, docs)
+                    parts, docs, count = [], 0, 0
+        if parts:
+            yield flush(parts, docs)
 
     return run
 
@@ -319,9 +326,10 @@ def _signed(buckets: int, percent: int, n: int, hot):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
+        held("jaccard_join", dict)
+        parts: list[list] = [[], [], [], [], []]
         count = 0
-        for batch in batches:
+        for batch in slices(batches):
             for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 offsets, hashes = shingle_sets(raw, n)
                 size = np.diff(offsets)
@@ -330,14 +338,14 @@ def _signed(buckets: int, percent: int, n: int, hot):
                 lead = np.isin(ids, stars(fp, ids)[1])  # of equal sets, the smallest doc_id is enough for signatures
                 text, sig = signatures(offsets, hashes, percent, hot.value)
                 keep = lead[text]
-                for to, x in zip(held, (ids, size, fp, ids[text[keep]], sig[keep]), strict=True):
+                for to, x in zip(parts, (ids, size, fp, ids[text[keep]], sig[keep]), strict=True):
                     to.append(x)
                 count += int(keep.sum())
                 if count >= HELD:
-                    yield from flush(*held)
-                    held, count = [[], [], [], [], []], 0
-        if held[0]:
-            yield from flush(*held)
+                    yield from flush(*parts)
+                    parts, count = [[], [], [], [], []], 0
+        if parts[0]:
+            yield from flush(*parts)
 
     return run
 
@@ -502,7 +510,7 @@ def _blobs(n: int):
     """(doc_id, family, text) to (doc_id, family, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             family, at = batch.column(1), 0
             for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 offsets, hashes = shingle_sets(raw, n)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import crc_mod, table, uniform
+from tracelake.llm._common import crc_mod, held, slices, table, uniform
 
 #: Characters of whole training texts that each language may contribute, in expectation; and distinct words in all.
 SAMPLE_CHARS, SAMPLE_WORDS = 800_000, 200_000
@@ -163,9 +163,6 @@ class Scorer:
                 yield self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score. One narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,11 +172,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        if id(known) not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[id(known)] = Scorer(known)
-        for batch in batches:
-            made = list(_SCORERS[id(known)].verdicts(batch.column(at).to_pylist()))
+        scorer = held(("lang_id", id(known)), lambda: Scorer(known))
+        for batch in slices(batches):
+            made = list(scorer.verdicts(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, small, table
+from tracelake.llm._common import cut, held, slices, small, table
 
 MIN_TOKENS, LEADING, SEGMENTS, MIN_DOCS = 5, 3, 5, 3
 VARIABLE = "<*>"
@@ -55,7 +55,8 @@ def _parsed(docs: DataFrame) -> DataFrame:
     """(doc_id, key): the distinct templates of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("line_dedup", dict)  # lets go of what other operators kept
+        for batch in slices(batches):
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {k for line in (text or "").split("\n") for k in keys(line)}
@@ -84,7 +85,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     schema, at = docs.schema, columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("line_dedup", dict)
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             for i, drop in enumerate(batch.column(len(columns)).to_pylist()):
                 if drop and texts[i]:

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import crc_mod, cut, table, uniform
+from tracelake.llm._common import crc_mod, cut, held, slices, table, uniform
 
 #: Labelled rows of each label that the model is learned from, in expectation; and lexicon entries at most.
-SAMPLE_ROWS, ENTRIES = 8_000, 5_000
+SAMPLE_ROWS, ENTRIES = 5_000, 5_000
 #: Least share of toxic texts among those with a lexicon entry; chance of one false entry among all, as a logarithm.
 PRECISION, DOUBT = 0.5, 4.6
 #: Letters of a stem, and least texts that a stem below a toxic one must stand in to count as evidence of its own.
@@ -132,12 +132,22 @@ class Model:
     weights: np.ndarray = field(default_factory=PRIOR.copy)
 
 
+class _Memo(dict):
+    """Symbols of the words seen; an unknown word is looked up in the lexicon first."""
+
+    def __init__(self, matcher: Matcher):
+        self.matcher = matcher
+
+    def __missing__(self, token: str) -> int:
+        return self.matcher.symbol(token)
+
+
 class Matcher:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.seeds = {w: c for c, words in SEEDS.items() for w in words.split()}
         self.grammar, self.start = grammar()
-        self.memo: dict[str, int] = {}
+        self.memo = _Memo(self)
         self.weight: dict[str, float] = {}
 
     def symbol(self, token: str) -> int:
@@ -156,18 +166,24 @@ class Matcher:
     def matches(self, text: str | None) -> list[tuple[int, int, float]]:
         """(token, kind, weight) of the matches of a whole text."""
         tokens = TOKEN.findall((text or "").lower())
-        get = self.memo.get
-        symbols = [get(t) or self.symbol(t) for t in tokens]
+        symbols = list(map(self.memo.__getitem__, tokens))
         if INSULT not in symbols and THREAT not in symbols:
             return []
-        out, state, arcs = [], self.start, self.grammar.arcs
-        for i, s in enumerate(symbols):
-            state, made = arcs[state][s]
-            if s in (INSULT, THREAT):
-                k = kind(made)
-                if s == THREAT and k == PLAIN:
-                    continue  # a violent word without a target isn't a threat
-                out.append((i, k, self.weight.get(tokens[i], 1.0) if s == INSULT else 1.0))
+        out, state, arcs, done = [], self.start, self.grammar.arcs, 0
+        for i in [i for i, s in enumerate(symbols) if s == INSULT or s == THREAT]:
+            # a break leads to the first state, so only the clause of a hit is run, up to the hit
+            first = i
+            while first > done and symbols[first - 1] != BREAK:
+                first -= 1
+            if first > done or first == 0 or symbols[first - 1] == BREAK:
+                state = self.start
+            for s in symbols[first : i + 1]:
+                state, made = arcs[state][s]
+            done = i + 1
+            k = kind(made)
+            if symbols[i] == THREAT and k == PLAIN:
+                continue  # a violent word without a target isn't a threat
+            out.append((i, k, self.weight.get(tokens[i], 1.0) if symbols[i] == INSULT else 1.0))
         return out
 
     def features(self, text: str | None) -> np.ndarray:
@@ -250,9 +266,6 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column) -> Model:
     return model
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def _features(docs: DataFrame, matcher: Matcher, keep: list[str]) -> DataFrame:
     """(*keep, x): the features of column text."""
     lexicon = docs.sparkSession.sparkContext.broadcast(matcher.lexicon)
@@ -261,11 +274,9 @@ def _features(docs: DataFrame, matcher: Matcher, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
-        if id(known) not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[id(known)] = Matcher(known)
-        for batch in batches:
-            x = [_MATCHERS[id(known)].features(t) for t in batch.column(len(keep)).to_pylist()]
+        matcher = held(("toxicity", id(known)), lambda: Matcher(known))
+        for batch in slices(batches):
+            x = [matcher.features(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], schema.names)
 
     return docs.mapInArrow(run, schema)
