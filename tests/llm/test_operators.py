@@ -355,6 +355,16 @@ def test_grammar():
     assert kinds("snarfed snarfingly calm") == [toxicity.PLAIN] and kinds(None) == kinds("") == kinds("calm words") == []
 
 
+def test_grammar_looks_ahead():
+    m = toxicity.Matcher({"blorg": 1.0, "snarf*": 1.0, "snarfing*": 0.0})
+    kinds = lambda t: [k for _, k, _ in m.matches(t)]
+    assert kinds("i will kill you") == kinds("you i kill") == kinds("kill a b c you") == [toxicity.THREATENED]
+    assert kinds("blorg, you came") == [toxicity.TARGETED] and kinds("kill you blorg") == [toxicity.THREATENED, toxicity.TARGETED]
+    assert kinds("kill. you") == kinds("kill a b c d you") == kinds("i will kill") == [] and kinds("blorg! you came") == [toxicity.PLAIN]
+    assert kinds("he said i will kill you") == [toxicity.REPORTED] and kinds("i will not kill you") == [toxicity.NEGATED]
+    assert kinds("snarfed snarfingly calm") == [toxicity.PLAIN] and kinds(None) == kinds("") == kinds("calm words") == []
+
+
 def labelled(spark, n, text, seed):
     rng = random.Random(seed)
     rows = [(i, text(rng, i % 3 == 0), "en", "s", 0) for i in range(n)]

@@ -3,8 +3,9 @@
 Words are mapped to classes (insult, threat, target, negation, reported speech, other) by a lexicon: a few fixed seeds,
 and words and stems (the first four to nine letters) that the training labels show to mark toxic texts, each with a weight by
 its log-odds. A word has the entry of its longest stem with enough evidence, be it for or against. Over each clause run three
-transducers in composition: *target* marks an insult or threat near the person addressed, *negation* one that stands
-within three words after a negation, *report* one that follows a verb of reported speech. A clause thus yields matches of
+transducers in composition: *target* marks an insult or threat near the person addressed, up to REACH words after or
+before it (for the latter it also runs over the reversed clause, before the others), *negation* one that stands within
+three words after a negation, *report* one that follows a verb of reported speech. A clause thus yields matches of
 the kinds plain, targeted, negated, reported and threat; isolated words never score by themselves. Logistic weights of
 the kinds, drawn towards fixed prior weights, turn the matches of a whole text into a score.
 
@@ -36,6 +37,8 @@ PRECISION, DOUBT = 0.5, 4.6
 #: Letters of a stem, and least texts that a stem below a toxic one must stand in to count as evidence of its own.
 STEMS, EVIDENCE = (4, 5, 6, 7, 8, 9), 5
 THRESHOLD = 0.7
+#: Words from a target to an insult or threat at most, on either side.
+REACH = 4
 OTHER, BREAK, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
 PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)
 #: Seeds of the lexicon. Fixed values.
@@ -79,12 +82,12 @@ def _hit(s: int) -> bool:
 
 
 def _target(q: int, s: int) -> tuple[int, int]:
-    """State: words since a target, 4 for none."""
+    """State: words since a target, REACH for none."""
     if s == BREAK:
-        return 4, s
+        return REACH, s
     if s == TARGET:
         return 0, s
-    return min(q + 1, 4), s + _TARGETED if _hit(s) and q < 4 else s
+    return min(q + 1, REACH), s | _TARGETED if _hit(s) and q < REACH else s
 
 
 def _negation(q: int, s: int) -> tuple[int, int]:
@@ -105,14 +108,16 @@ def _report(q: int, s: int) -> tuple[int, int]:
     return q, s + _REPORTED if _hit(s) and q else s
 
 
-def grammar() -> tuple[Transducer, int]:
-    """The composed transducer and its first state."""
-    target = Transducer(5, _SYMBOLS, _target)
+def grammar() -> tuple[Transducer, Transducer, int]:
+    """The transducer for reversed clauses; the composed one, which reads what the former puts out, and its first state."""
+    ahead = Transducer(REACH + 1, _SYMBOLS, _target)
+    seen = sorted({out for arcs in ahead.arcs for _, out in arcs.values()})
+    target = Transducer(REACH + 1, seen, _target)
     seen = sorted({out for arcs in target.arcs for _, out in arcs.values()})
     negation = Transducer(4, seen, _negation)
     seen = sorted({out for arcs in negation.arcs for _, out in arcs.values()})
     report = Transducer(2, seen, _report)
-    return target >> negation >> report, (4 * 4 + 3) * 2
+    return ahead, target >> negation >> report, (REACH * 4 + 3) * 2
 
 
 def kind(out: int) -> int:
@@ -146,7 +151,7 @@ class Matcher:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.seeds = {w: c for c, words in SEEDS.items() for w in words.split()}
-        self.grammar, self.start = grammar()
+        self.ahead, self.grammar, self.start = grammar()
         self.memo = _Memo(self)
         self.weight: dict[str, float] = {}
 
@@ -169,16 +174,21 @@ class Matcher:
         symbols = list(map(self.memo.__getitem__, tokens))
         if INSULT not in symbols and THREAT not in symbols:
             return []
-        out, state, arcs, done = [], self.start, self.grammar.arcs, 0
+        out, state, arcs, ahead, done = [], self.start, self.grammar.arcs, self.ahead.arcs, 0
         for i in [i for i, s in enumerate(symbols) if s == INSULT or s == THREAT]:
+            # backwards, a break leads to the first state too, and so do REACH words without a target
+            back, marked = REACH, OTHER
+            for s in reversed(symbols[i : i + REACH + 1]):
+                back, marked = ahead[back][s]
             # a break leads to the first state, so only the clause of a hit is run, up to the hit
             first = i
             while first > done and symbols[first - 1] != BREAK:
                 first -= 1
             if first > done or first == 0 or symbols[first - 1] == BREAK:
                 state = self.start
-            for s in symbols[first : i + 1]:
-                state, made = arcs[state][s]
+            for s in symbols[first:i]:
+                state, _ = arcs[state][s]
+            state, made = arcs[state][marked]
             done = i + 1
             k = kind(made)
             if symbols[i] == THREAT and k == PLAIN:
