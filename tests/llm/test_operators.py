@@ -418,3 +418,15 @@ def test_image_copies(spark):
     assert {(r.id, r.other) for r in found.itertuples()} >= {(50 * i, 50 * i + k) for i in range(10) for k in (1, 2)}
     assert all(r.other // 50 == r.id // 50 and r.other % 50 in (0, 1, 2, 3) for r in found.itertuples())
     assert len(found) >= 27 and image_copies.copies(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_all_near_descriptors_meet(spark):
+    rng = np.random.default_rng(5)
+    base = rng.random((40, image_copies.BITS)) < 0.5
+    bits = np.concatenate([base, *(np.array([b ^ np.isin(np.arange(image_copies.BITS), rng.permutation(image_copies.BITS)[:k]) for b in base]) for k in range(15))])
+    rows = [(i, 0, 0, 0, 0, 0.0, x) for i, x in enumerate(image_copies.cut_up(bits).tolist())]
+    made = spark.createDataFrame(rows, image_copies._COLUMNS)
+    found = image_copies.near(made, made.where("id < 40")).select("q_id", "id").collect()
+    apart = (bits[:40, None] != bits[None]).sum(2)
+    want = {(q, i) for q in range(40) for i in range(len(bits)) if q != i and apart[q, i] <= image_copies.DISTANCE}
+    assert len(want) == 40 * 13 and len(found) == len(want) and {tuple(r) for r in found} == want

@@ -1,8 +1,9 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Corners are found at several scales by the Harris measure; each is turned by the direction of its patch's centroid and
-described by BITS binary tests between smoothed points. Descriptors are cut into TABLES pieces: two descriptors less
-than TABLES bits apart agree in one piece at least, so an equi-join on (table, piece) finds them (Hamming tables). Each
+described by BITS binary tests between smoothed points. Descriptors are cut into TABLES pieces: two descriptors up to
+DISTANCE bits apart differ by DISTANCE // TABLES = 1 bit at most in one piece at least, so an equi-join on (table, piece)
+of the pieces with the queries' pieces and all their neighbours one bit away finds every such pair (Hamming tables). Each
 pair of corners proposes a change of scale, a rotation and a shift; pairs of images of which INLIERS corners agree on
 one proposal are matches (geometric consensus by votes).
 
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from tracelake.llm._common import cut, small, table
 
-BITS, TABLES, CORNERS, LEVELS, INLIERS = 192, 4, 40, 2, 6
+BITS, TABLES, CORNERS, LEVELS, INLIERS = 192, 7, 40, 2, 6
 DISTANCE, TURN, SHIFT = 12, 30, 8
 PATCH, LEAST = 9, 24
+#: First bit of each piece.
+_EDGES = np.arange(TABLES) * BITS // TABLES
 _rng = np.random.default_rng(20)
 #: Pairs of points of the tests, normal around the corner; and their places for each of 32 turns.
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
@@ -89,6 +92,12 @@ def described(images: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def cut_up(bits: np.ndarray) -> np.ndarray:
+    """The pieces of each row of bits, as numbers."""
+    place = np.arange(BITS) - _EDGES[np.searchsorted(_EDGES, np.arange(BITS), "right") - 1]
+    return np.add.reduceat(bits.astype(np.int64) << place, _EDGES, axis=1)
+
+
 _COLUMNS = "id long, corner int, x int, y int, level int, angle double, pieces array<long>"
 
 
@@ -108,14 +117,27 @@ def descriptors(images: DataFrame) -> DataFrame:
                     image, x, y, level, angle, bits = described(np.frombuffer(b"".join(p for _, p in part), np.uint8).reshape(len(part), h, w))
                     if not len(image):
                         continue
-                    size = BITS // TABLES
-                    pieces = (bits.reshape(-1, TABLES, size) << np.arange(size, dtype=np.int64)).sum(2)
+                    pieces = cut_up(bits)
                     ids = np.array([i for i, _ in part], np.int64)[image]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(len(ids), dtype=np.int32)), *(pa.array(v.astype(np.int32)) for v in (x, y, level)), pa.array(angle), pa.ListArray.from_arrays(pa.array(np.arange(0, pieces.size + 1, TABLES, dtype=np.int32)), pa.array(pieces.ravel()))], ["id", "corner", "x", "y", "level", "angle", "pieces"])
 
     return images.select(F.col("id").cast("long"), "width", "height", "pixels").where(F.col("id").isNotNull()).mapInArrow(run, _COLUMNS)
 
 
+def near(made: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of a descriptor of `made` and one of `asked` (columns q_...), of different images, that are up to DISTANCE
+    bits apart: all of them, each once."""
+    assert DISTANCE // TABLES == 1
+    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(-(-BITS // TABLES))))])
+    listed = made.select("*", F.posexplode("pieces").alias("t", "piece"))
+    queries = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle", "pieces")], F.posexplode("pieces").alias("t", "own"))
+    queries = queries.select("*", F.explode(masks).alias("mask")).withColumn("piece", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+    apart = [F.bit_count(F.get("pieces", F.lit(i)).bitwiseXOR(F.get("q_pieces", F.lit(i)))) for i in range(TABLES)]
+    # a pair that meets in several tables counts in the first
+    met = F.coalesce(*[F.when(apart[i] <= 1, F.lit(i)) for i in range(TABLES)])
+    return listed.join(small(queries), ["t", "piece"]).where((F.col("id") != F.col("q_id")) & (sum(apart, F.lit(0)) <= DISTANCE) & (F.col("t") == met)).drop("t", "piece")
+
+
 def copies(images: DataFrame, is_query: Column) -> DataFrame:
     """(kind, id, other, inliers). kind `member`: image id belongs to the class other; kind `match`: the class id holds a
     query and matches the class other, with so many agreeing corners."""
@@ -124,17 +146,13 @@ def copies(images: DataFrame, is_query: Column) -> DataFrame:
     members = keyed.select("id", "h1", "h2").join(small(classes), ["h1", "h2"]).select(F.lit("member").alias("kind"), "id", F.col("class_id").alias("other"), F.lit(0).cast("long").alias("inliers"))
     heads = keyed.join(small(classes.select("h1", "h2", F.col("class_id").alias("id"), F.col("asked").alias("__asked"))), ["h1", "h2", "id"]).dropDuplicates(["h1", "h2"])
     made = cut(descriptors(heads))
-    listed = made.select("*", F.posexplode("pieces").alias("t", "piece"))
     asked = made.join(small(classes.where("asked").select(F.col("class_id").alias("id")).distinct()), "id", "left_semi")
-    queries = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle", "pieces")], F.posexplode("pieces").alias("t", "piece"))
-    near = listed.join(small(queries), ["t", "piece"]).where(F.col("id") != F.col("q_id"))
-    apart = sum((F.bit_count(F.get("pieces", F.lit(i)).bitwiseXOR(F.get("q_pieces", F.lit(i)))) for i in range(TABLES)), F.lit(0))
     scale = F.pow(F.lit(2.0), F.col("level") - F.col("q_level"))
     turn = F.radians(F.col("angle") - F.col("q_angle"))
     dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
     grid = lambda v, size: F.array(F.floor(v / size), F.floor(v / size + 0.5) + (1 << 20))  # noqa: E731  two grids, half a cell apart
-    voted = near.where(apart <= DISTANCE).select("q_id", "id", "q_corner", (F.col("level") - F.col("q_level")).alias("s"), F.pmod(F.round((F.col("angle") - F.col("q_angle")) / TURN), F.lit(360 / TURN)).alias("r"), grid(dx, SHIFT).alias("gx"), grid(dy, SHIFT).alias("gy"))
+    voted = near(made, asked).select("q_id", "id", "q_corner", (F.col("level") - F.col("q_level")).alias("s"), F.pmod(F.round((F.col("angle") - F.col("q_angle")) / TURN), F.lit(360 / TURN)).alias("r"), grid(dx, SHIFT).alias("gx"), grid(dy, SHIFT).alias("gy"))
     votes = voted.withColumn("gx", F.explode("gx")).withColumn("gy", F.explode("gy")).distinct()
     agreed = votes.groupBy("q_id", "id", "s", "r", "gx", "gy").agg(F.count("*").alias("n")).groupBy("q_id", "id").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
     return members.unionByName(agreed.select(F.lit("match").alias("kind"), F.col("q_id").alias("id"), F.col("id").alias("other"), "inliers"))
