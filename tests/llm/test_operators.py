@@ -261,6 +261,14 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in lang_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    big = [(i, "common words here again " * 5, "en", "s", 0) for i in range(40)]
+    rare = [(100 + i, f"{chr(97 + i) * 3}ovka {chr(98 + i) * 2}zka", "zz", "s", 0) for i in range(4)]
+    assert lang_id.fit(spark.createDataFrame(big + rare, DOCS), F.lit(True), words=4).languages == ["en", "zz"]
+    long = [(200 + i, "dlouha slova " * 2_000, "yy", "s", 0) for i in range(3)]
+    assert lang_id.fit(spark.createDataFrame(big + long, DOCS), F.lit(True), chars=20).languages == ["en", "yy"]
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 

@@ -19,13 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm._common import crc_mod, held, slices, table, uniform
 
-#: Characters of whole training texts that each language may contribute, in expectation; and distinct words in all.
+#: Characters of whole training texts that each language may contribute, in expectation; and its distinct words.
 SAMPLE_CHARS, SAMPLE_WORDS = 800_000, 200_000
+#: Documents of each language that are sampled however long they are: all if it has no more, else so many in expectation
+#: (then none at all with a chance of 2e-9).
+LEAST_DOCS = 20
 ROUNDS = 3
 PIECE, WORD = 8, 32
 UNKNOWN = 1e-7
@@ -116,15 +119,18 @@ def learn(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int
 
 
 def fit(docs: DataFrame, trained_on: Column, chars: int = SAMPLE_CHARS, words: int = SAMPLE_WORDS) -> Model:
-    """Learn from whole texts of the rows that `trained_on` admits: of each language a repeatable sample of about `chars` characters."""
+    """Learn from whole texts of the rows that `trained_on` admits: of each language a repeatable sample of about `chars` characters,
+    or LEAST_DOCS documents if that is more; of each language the `words` most frequent words of those."""
     labelled = docs.where(trained_on & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("docs")).collect()
     if not sizes:
         return Model([], {}, np.zeros((2, 0)))
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, chars / n))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max(chars / r["n"], LEAST_DOCS / r["docs"])))]), F.col("lang"))
     sample = labelled.where(uniform("doc_id") < share)
     worded = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,%d}" % WORD), F.lit(0))).alias("word"))
-    counted = worded.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(words)
+    # the window sees the words of a bounded sample
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    counted = worded.groupBy("lang", "word").count().withColumn("rank", rank).where(F.col("rank") <= words).drop("rank")
     counts: dict[str, dict[str, int]] = {}
     for r in counted.toPandas().itertuples(index=False):
         counts.setdefault(r[0], {})[r[1]] = int(r[2])
