@@ -6,8 +6,10 @@ its log-odds. A word has the entry of its longest stem with enough evidence, be
 transducers in composition: *target* marks an insult or threat near the person addressed, up to REACH words after or
 before it (for the latter it also runs over the reversed clause, before the others), *negation* one that stands within
 three words after a negation, *report* one that follows a verb of reported speech. A clause thus yields matches of
-the kinds plain, targeted, negated, reported and threat; isolated words never score by themselves. Logistic weights of
-the kinds, drawn towards fixed prior weights, turn the matches of a whole text into a score.
+the kinds plain, targeted, negated, reported and threat. An insult without a target, negation or report is a plain match
+and scores by itself, with its lexicon weight, though the method asks for matched clauses; a threat without a target,
+negation or report scores nothing. Logistic weights of the kinds, drawn towards fixed prior weights, turn the matches of
+a whole text into a score.
 
 The model is learned from a bounded sample of labelled rows: the weights from two halves, each scored with the lexicon
 of the other, and the final lexicon from both.
