@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session whose driver is its one executor may
+    leave that unset, and gets a temporary folder; on a cluster no folder of the driver would do."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{sc.applicationId}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -61,20 +68,67 @@ def uniform(col: str | Column, seed: int = 7) -> Column:
 
 
 _HELD: dict[Any, Any] = {}
+#: What the C library is told, where it is glibc: blocks from 1 MB on are mapped one by one, and go back when they are freed.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD, _LARGE = -3, -1, 1 << 20
+
+
+def _c_library() -> Any:
+    try:
+        library = ctypes.CDLL(None)
+        return library if hasattr(library, "malloc_trim") and hasattr(library, "mallopt") else None
+    except OSError:
+        return None
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between its tasks: one thing at a time, so that the operators of a pipeline, which share
-    their workers, don't add up."""
+    their workers, don't add up. What the last operator left goes back to the system."""
     if key not in _HELD:
         _HELD.clear()
         gc.collect()
+        if (library := _c_library()) is not None:
+            library.mallopt(_MMAP_THRESHOLD, _LARGE)
+            library.mallopt(_TRIM_THRESHOLD, 4 * _LARGE)
+            library.malloc_trim(0)
+        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what batches have freed
         _HELD[key] = make()
     return _HELD[key]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows, so that few texts at a time become Python strings."""
+#: Rows and bytes of the batches that slices() cuts.
+SLICE_ROWS, SLICE_BYTES = 500, 2 << 20
+
+
+def cuts(sizes: list[int], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of so many rows or bytes at most; a larger row is a run of its own."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= rows or total + size > most):
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows and about SLICE_BYTES of text, so that few texts at a time become Python strings."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type)]
+        size = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in texts), strict=True)] if texts else [0] * batch.num_rows
+        for start, end in cuts(size, rows):
+            yield batch.slice(start, end - start)
+
+
+def by_text(make: Callable[[], Callable[[list[str | None]], pa.Array]], kind: str) -> Callable[..., Column]:
+    """A column function from texts to one value each: make() gives, in a task, the function that judges a list of texts.
+    Only the texts go to Python and only the values come back; the other columns stay with Spark."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = make()
+        for texts in arrays:
+            found = [judge(texts.slice(start, end - start).to_pylist()) for start, end in cuts(pc.fill_null(pc.binary_length(texts), 0).to_pylist())]
+            yield pa.concat_arrays(found) if found else judge([])
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import held, slices
+from tracelake.llm._common import by_text, held, slices
 
 #: Distinct words whose encoding a task remembers; then it starts anew. About 300 bytes each.
 MEMO_WORDS = 400_000
@@ -260,10 +260,24 @@ def merged_natively(word: Column, ranks: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), single, step)).otherwise(F.array().cast("array<binary>"))
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, tokens, round_trip): the ids of every text, and whether decoding them gives the text again."""
-    made = decode(encode(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))))
-    return made.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", (F.col("decoded") == F.col("text")).alias("round_trip"))
+def encoded(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, tokens, round_trip): the ids of every text, and whether decoding them gives the text again. Both in one
+    pass, so that a task needs one Python worker only."""
+    path, pattern = _paths(ranks_path, pattern)
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    kind = pa.struct([("tokens", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+    def make():
+        codec = _codec(path, pattern, ranks.value)
+
+        def judge(texts: list[str | None]) -> pa.Array:
+            made = [(np.array(ids.split(), np.int32), decoded == (text or "").encode()) for text, (_, ids, decoded) in zip(texts, codec.joined(texts), strict=True)]
+            return pa.StructArray.from_arrays([pa.array([x for x, _ in made], kind[0].type), pa.array([x for _, x in made], kind[1].type)], fields=list(kind))
+
+        return judge
+
+    found = docs.select("doc_id", by_text(make, "tokens array<int>, round_trip boolean")(F.col("text")).alias("found"))
+    return found.select("doc_id", F.size("found.tokens").cast("long").alias("n_tokens"), "found.tokens", "found.round_trip")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import crc_mod, held, slices, table, uniform
+from tracelake.llm._common import by_text, crc_mod, held, table, uniform
 
 #: Characters of whole training texts that each language may contribute, in expectation; and its distinct words.
 SAMPLE_CHARS, SAMPLE_WORDS = 800_000, 200_000
@@ -169,21 +169,21 @@ class Scorer:
                 yield self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+_JUDGED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. One narrow pass."""
+    """docs with lang_pred and score. One narrow pass, to which only the texts go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         known = shared.value
         scorer = held(("lang_id", id(known)), lambda: Scorer(known))
-        for batch in slices(batches):
-            made = list(scorer.verdicts(batch.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        return lambda texts: pa.array([{"lang_pred": lang, "score": score} for lang, score in scorer.verdicts(texts)], _JUDGED)
 
-    return docs.mapInArrow(run, schema)
+    judged = by_text(make, "lang_pred string, score double")(F.col(text))
+    docs = docs.drop("lang_pred", "score")
+    return docs.withColumn("__judged", judged).select(*docs.columns, F.col("__judged.lang_pred").alias("lang_pred"), F.col("__judged.score").alias("score"))
 
 
 def held_out() -> Column:

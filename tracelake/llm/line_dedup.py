@@ -82,24 +82,27 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the lines of recurring templates dropped from their texts."""
     columns = docs.columns
     marked = docs.join(recurring(docs, min_docs).select("doc_id", F.col("keys").alias("__keys")), "doc_id", "left").select(*columns, "__keys")
-    schema, at = docs.schema, columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held("line_dedup", dict)
-        for batch in slices(batches):
-            texts = batch.column(at).to_pylist()
-            for i, drop in enumerate(batch.column(len(columns)).to_pylist()):
-                if drop and texts[i]:
-                    gone = set(drop)
-                    texts[i] = "\n".join(line for line in texts[i].split("\n") if gone.isdisjoint(keys(line)))
-            out = list(batch.columns[: len(columns)])
-            out[at] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                k = columns.index("n_chars")
-                out[k] = pa.array([n if t is None else len(t) for t, n in zip(texts, out[k].to_pylist(), strict=True)], out[k].type)
-            yield pa.RecordBatch.from_arrays(out, columns)
-
-    return marked.mapInArrow(run, schema)
+        for texts, dropped in arrays:
+            made = []
+            for text, drop in zip(texts, dropped, strict=True):
+                text = text.as_py()
+                if text and drop.is_valid:
+                    gone = set(drop.as_py())
+                    text = "\n".join(line for line in text.split("\n") if gone.isdisjoint(keys(line)))
+                made.append(text)
+            yield pa.array(made, pa.string())
+
+    kept.__annotations__ = {"arrays": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    # only the texts that lose a line go to Python
+    some = F.col("__keys").isNotNull()
+    made = marked.withColumn("__text", F.arrow_udf(kept, "string")(F.when(some, F.col("text")), "__keys"))
+    made = made.withColumn("text", F.when(some, F.col("__text")).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        made = made.withColumn("n_chars", F.when(some & F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return made.select(columns)
 
 
 def keep_unrepeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
