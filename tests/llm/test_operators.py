@@ -130,29 +130,28 @@ def test_leaks_odd(spark, odd, none):
 
 
 def brute_components(rows, percent, n):
-    sets = {}
+    """doc_id: (size of its largest set, smallest doc_id reachable); a document has the links of all its texts."""
+    sets = []
     for i, t in rows:
         w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\x1c", "\0").split() if x]
-        own = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
-        sets[i] = max(sets.get(i, set()), own, key=len)
-    label = {i: i for i in sets}
+        sets.append((i, {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()))
+    label = {i: i for i, _ in sets}
 
     def root(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            o = len(sets[a] & sets[b])
-            if a < b and o and 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o):
-                low, high = sorted((root(a), root(b)))
+    for a, (i, own) in enumerate(sets):
+        for k, other in sets[a + 1 :]:
+            o = len(own & other)
+            if i != k and o and 100 * o >= percent * (len(own) + len(other) - o):
+                low, high = sorted((root(i), root(k)))
                 label[high] = low
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {i: (max(len(s) for k, s in sets if k == i), root(i)) for i in label}
 
 
-@pytest.mark.parametrize(("family", "percent", "n", "local"), [(10_000, 85, 4, 1 << 20), (25, 80, 5, 1 << 20), (10_000, 80, 5, 0)])
+@pytest.mark.parametrize(("family", "percent", "n", "local"), [(1 << 30, 85, 4, 1 << 20), (1_500, 80, 5, 1 << 20), (1 << 30, 80, 5, 0), (400, 85, 4, 1 << 20)])
 def test_jaccard_join(spark, monkeypatch, family, percent, n, local):
     monkeypatch.setattr(jaccard_join, "FAMILY", family)
     monkeypatch.setattr(jaccard_join, "LOCAL_TIES", local)
@@ -167,12 +166,29 @@ def test_jaccard_join(spark, monkeypatch, family, percent, n, local):
         rows.append((i, " ".join(own)))
     passage = " ".join(rng.choice(words) for _ in range(50))
     rows += [(200 + i, passage + " " + " ".join(rng.choice(words) for _ in range(30))) for i in range(60)]
-    rows += [(300, None), (301, ""), (302, "A b"), (303, "a  B\t"), (304, "a"), (3, rows[3][1])]
+    rows += [(300, None), (301, ""), (302, "A b"), (303, "a  B\t"), (304, "a"), (3, rows[3][1]), (302, None)]
     df = spark.createDataFrame([*rows, (None, "a b c d")], "doc_id long, text string").repartition(4)
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.joined(df, percent, n).collect()}
     assert got == brute_components(rows, percent, n)
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_ids_with_several_texts(spark, backwards):
+    """A doc_id with two texts, of equal and of unequal size, has the links of both, in any order of rows."""
+    rng = random.Random(9)
+    made = lambda size: [f"x{rng.randrange(10**6)}" for _ in range(size)]
+    changed = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d, e = made(60), made(60), made(90), made(60), made(40)
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, changed(a)), (9, changed(b))]
+    rows += [(5, " ".join(c)), (10, " ".join(c)), (10, " ".join(d)), (11, changed(d))]
+    rows += [(20, " ".join(e)), (20, " ".join(made(80))), (20, None), (21, changed(e)), (21, changed(e)), (22, " ".join(made(50)))]
+    df = spark.createDataFrame(rows[::-1] if backwards else rows, "doc_id long, text string").repartition(3)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.joined(df, 85, 4).collect()}
+    assert got == brute_components(rows, 85, 4) and got[9][1] == 7 and got[11][1] == 5 and got[21][1] == 20
+    kept = [r["doc_id"] for r in jaccard_join.keep_one(df, 85, 4).collect()]
+    assert sorted(kept) == [5, 7, 20, 22]
+
+
 def test_jaccard_odd(spark, odd, none):
     got = {r["doc_id"]: r for r in jaccard_join.joined(odd).collect()}
     assert got[5]["n_shingles"] == 1 and got[1]["n_shingles"] == 0 and got[4]["component_id"] == 4 and len(got) == 8

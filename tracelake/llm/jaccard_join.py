@@ -10,20 +10,21 @@ documents link when |A ∩ B| / |A ∪ B| reaches the threshold; the result has
    and a document with too many empty ranges for the argument takes part again under further cuts. Shingles that at
    least HOT of all documents hold, as passages that many share, are left out of the content first, which keeps the
    argument and keeps strangers apart; a document that has too few others falls back on its whole content.
-2. *Stars.* Within a batch and then within a bucket of signatures, every holder of a signature is tied to the smallest
-   doc_id that holds it, so a signature held by a third of all documents costs one row per holder. Equal sets are tied
-   likewise, as exact links, and only the smallest doc_id of equal sets goes on.
+2. *Stars.* The nodes are distinct sets, by a fingerprint: equal texts are one node, whatever their number. Within a batch
+   and then within a bucket of signatures, every holder of a signature is tied to the least fingerprint that holds it, so a
+   signature held by a third of all documents costs one row per holder and batch at most.
 3. *Families.* Connected components of these ties, by min-label propagation over tables.
-4. *T-occurrence search in each family.* An inverted index over the family's sets; each document queries it with the
-   overlap T that its partner's size requires: short lists are heap-merged, the longest are binary-probed (DivideSkip), and
-   those reaching T are links. Partners already in the same component are passed over, so copies don't cost all pairs.
-   Families of more than FAMILY documents are first thinned by leaders, see :func:`_thinned`.
+4. *T-occurrence search in each family.* An inverted index over the family's sets; each set queries it with the overlap T
+   that its partner's size requires: short lists are heap-merged, the longest are binary-probed (DivideSkip), and those
+   reaching T are links. Partners already in the same component are passed over, so copies don't cost all pairs.
+   Families of more than FAMILY shingles are first thinned by leaders, see :func:`_thinned`.
+5. *Documents.* The sets of one doc_id are tied to each other, and a component is named after the smallest doc_id in it.
 
 Everything is exact up to 64-bit hash collisions; no candidate, partner or bucket is capped.
 
 Defined results: null and blank texts have n_shingles 0 and are their own component. Rows that repeat a doc_id count as
-one document if their texts are equal, else their links are joined and n_shingles is that of the larger set. Rows whose
-doc_id is null are left out. Columns other than doc_id and text are ignored.
+one document: its links are those of all its texts, and n_shingles is that of the largest set. Rows whose doc_id is null
+are left out. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ HOT, HOT_MOST = 0.001, 500_000
 COLD_CUTS, LOCAL_TIES = 3, 2_000_000
 #: Members of short lists that are merged by a heap; more by a sort that merges runs.
 HEAP = 64
-#: Documents of a family that one task searches by itself.
-FAMILY = 10_000
+#: Shingles of a family that one task searches by itself, about 50 bytes each; larger families are dealt into parts.
+FAMILY = 200_000
 #: Bytes of text that are hashed together, and signatures that are grouped together before they leave a task.
 CHUNK, HELD = 1 << 19, 500_000
 _SPACE = np.zeros(256, bool)
@@ -131,6 +132,12 @@ def shingle_sets(raw: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(raw)))]), h
 
 
+def fingerprints(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set, from all its hashes."""
+    total = np.concatenate([[np.uint64(0)], np.add.accumulate(mix(hashes ^ _BASE))])
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ mix(np.diff(offsets).astype(np.uint64))).view(np.int64)
+
+
 def need(total: np.ndarray | int, percent: int = PERCENT):
     """Least overlap of two linked sets whose sizes add up to total: 100 * o >= percent * (total - o)."""
     return -(-percent * total // (100 + percent))
@@ -283,47 +290,35 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = after
 
 
-#: Kinds of rows: a document's size; a tie by equal sets; a tie by a signature; signatures on their way to a bucket.
-SIZE, EQUAL, TIE, SIGNED = 0, 1, 2, 3
-_ROW = "bucket int, kind int, a binary, b binary"
+#: Kinds of rows: sizes and fingerprints of documents; ties of fingerprints; signatures on their way to a bucket.
+SIZE, TIE, SIGNED = 0, 1, 2
+_ROW = "bucket int, kind int, a binary, b binary, c binary"
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _signed(buckets: int, percent: int, n: int, hot):
     """Texts to rows of _ROW, grouped within each HELD signatures already."""
 
-    def row(bucket: int, kind: int, a: np.ndarray, b: np.ndarray) -> tuple:
-        return bucket, kind, a.tobytes(), b.tobytes()
-
-    def flush(docs: list, sizes: list, fps: list, text_docs: list, sigs: list) -> Iterator[pa.RecordBatch]:
-        out, doc, size, fp = [], np.concatenate(docs), np.concatenate(sizes), np.concatenate(fps)
-        out.append(row(int(doc[0]) % buckets, SIZE, doc, size))
-        shingled = size > 0
-        key, centre, tied = stars(fp[shingled], doc[shingled])
-        away = centre != tied
-        if away.any():
-            out.append(row(int(doc[0]) % buckets, EQUAL, centre[away], tied[away]))
-        lead = np.unique(centre)
-        # fingerprints go on as signatures of kind EQUAL, of the leading documents alone
-        groups = [(EQUAL, key[~away], tied[~away])]
+    def flush(docs: list, sizes: list, fps: list, owners: list, sigs: list) -> Iterator[pa.RecordBatch]:
+        doc = np.concatenate(docs)
+        some = int(doc[0]) % buckets
+        out = [(some, SIZE, doc, np.concatenate(sizes), np.concatenate(fps))]
         if sigs:
-            sig, d = np.concatenate(sigs), np.concatenate(text_docs)
-            keep = lead[np.minimum(np.searchsorted(lead, d), max(len(lead) - 1, 0))] == d if len(lead) else np.zeros(len(d), bool)
-            key, centre, tied = stars(sig[keep], d[keep])
+            key, centre, tied = stars(np.concatenate(sigs), np.concatenate(owners))
             away = centre != tied
             if away.any():
-                out.append(row(int(doc[0]) % buckets, TIE, *forest(centre[away], tied[away])))
-            groups.append((TIE, key[~away], tied[~away]))
-        for kind, key, d in groups:
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, key, d = bucket[order], key[order], d[order]
-            if not len(bucket):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for s, e in zip(start, [*start[1:], len(bucket)], strict=True):
-                # of the key, the low half suffices: a chance agreement is only one more candidate; equal sets need it all
-                out.append(row(int(bucket[s]), SIGNED + kind, key[s:e] if kind == EQUAL else key[s:e].astype(np.uint32), d[s:e]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "a", "b"])
+                out.append((some, TIE, *forest(centre[away], tied[away]), doc[:0]))
+            # the centre of a signature goes on
+            fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            key, centre = key[fresh], centre[fresh]
+            bucket = _bucket(key, buckets)
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else fresh
+            out += [(int(bucket[s]), SIGNED, key[s:e], centre[s:e], doc[:0]) for s, e in zip(start, [*start[1:], len(key)], strict=False)]
+        arrays = [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), *(pa.array([r[i].tobytes() for r in out], pa.binary()) for i in (2, 3, 4))]
+        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "kind", "a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("jaccard_join", dict)
@@ -333,12 +328,13 @@ def _signed(buckets: int, percent: int, n: int, hot):
             for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 offsets, hashes = shingle_sets(raw, n)
                 size = np.diff(offsets)
-                total = np.concatenate([[np.uint64(0)], np.add.accumulate(mix(hashes ^ _BASE))])
-                fp = mix((total[offsets[1:]] - total[offsets[:-1]]) ^ mix(size.astype(np.uint64)))
-                lead = np.isin(ids, stars(fp, ids)[1])  # of equal sets, the smallest doc_id is enough for signatures
+                fp = fingerprints(offsets, hashes)
+                _, first = np.unique(fp, return_index=True)  # equal sets have the same signatures
+                lead = np.zeros(len(ids), bool)
+                lead[first] = True
                 text, sig = signatures(offsets, hashes, percent, hot.value)
                 keep = lead[text]
-                for to, x in zip(parts, (ids, size, fp, ids[text[keep]], sig[keep]), strict=True):
+                for to, x in zip(parts, (ids, size, fp, fp[text[keep]], sig[keep]), strict=True):
                     to.append(x)
                 count += int(keep.sum())
                 if count >= HELD:
@@ -351,45 +347,43 @@ def _signed(buckets: int, percent: int, n: int, hot):
 
 
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _ROW in order of bucket, to (kind, u, v): sizes as (SIZE, doc, size), ties as (kind, centre, doc)."""
+    """Rows of _ROW in order of bucket, to (kind, u, v, w): documents as (SIZE, doc, size, fingerprint), ties as (TIE, u, v, 0)."""
 
-    def out(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], ["kind", "u", "v"])
+    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "u", "v", "w"])
 
-    def grouped(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    def grouped(signed: list) -> None:
         nonlocal count
-        for kind, parts in held.items():
-            _, centre, doc = stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            away = centre != doc
-            if kind == EQUAL and away.any():
-                yield out(kind, centre[away], doc[away])
-            elif away.any():
-                ties.append((centre[away], doc[away]))
-                count += int(away.sum())
-        if count >= HELD:
-            yield from joined_ties()
+        if signed:
+            _, centre, tied = stars(np.concatenate([p[0] for p in signed]), np.concatenate([p[1] for p in signed]))
+            away = centre != tied
+            ties.append((centre[away], tied[away]))
+            count += int(away.sum())
 
     def joined_ties() -> Iterator[pa.RecordBatch]:
         nonlocal count
-        if ties:
-            yield out(TIE, *forest(np.concatenate([x[0] for x in ties]), np.concatenate([x[1] for x in ties])))
+        if count:
+            u, v = forest(np.concatenate([x[0] for x in ties]), np.concatenate([x[1] for x in ties]))
+            yield out(TIE, u, v, np.zeros(len(u), np.int64))
         ties.clear()
         count = 0
 
-    at, held, ties, count = None, {}, [], 0
+    at, signed, ties, count = None, [], [], 0
     for batch in batches:
-        for bucket, kind, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, kind, a, b, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != at:
-                yield from grouped(held)
-                at, held = bucket, {}
+                grouped(signed)
+                at, signed = bucket, []
+                if count >= HELD:
+                    yield from joined_ties()
             if kind == TIE:
                 ties.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
                 count += len(a) // 8
-            elif kind < SIGNED:
-                yield out(kind, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
+            elif kind == SIZE:
+                yield out(SIZE, *(np.frombuffer(x, np.int64) for x in (a, b, c)))
             else:
-                held.setdefault(kind - SIGNED, []).append((np.frombuffer(a, np.uint64 if kind - SIGNED == EQUAL else np.uint32), np.frombuffer(b, np.int64)))
-    yield from grouped(held)
+                signed.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
+    grouped(signed)
     yield from joined_ties()
 
 
@@ -479,27 +473,26 @@ def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, percent: in
 
 
 def _families(percent: int):
-    """(family, part, known, doc_id, hashes) in order of family and part, to (u, v): exact links, by component."""
+    """(family, part, known, fp, hashes) in order of family and part, to (u, v): exact links, by component."""
 
-    def solved(rows: list[tuple]) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda r: r[1])
-        doc, known = np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
+    def solved(rows: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
+        fp = np.array(sorted(rows), np.int64)
+        known = np.array([rows[x][0] for x in fp.tolist()], np.int64)
         first = np.unique(known, return_index=True, return_inverse=True)
-        labels = linked([np.frombuffer(r[2], np.uint64) for r in rows], first[1][first[2]], percent)
-        away = doc[labels] != doc
-        return pa.RecordBatch.from_arrays([pa.array(doc[labels[away]]), pa.array(doc[away])], ["u", "v"])
+        labels = linked([np.frombuffer(rows[x][1], np.uint64) for x in fp.tolist()], first[1][first[2]], percent)
+        away = fp[labels] != fp
+        return pa.RecordBatch.from_arrays([pa.array(fp[labels[away]]), pa.array(fp[away])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, seen = None, [], set()
+        held("jaccard_join", dict)
+        at, rows = None, {}
         for batch in batches:
-            for family, part, known, doc_id, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, part, known, fp, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (family, part) != at:
                     if len(rows) > 1:
                         yield solved(rows)
-                    at, rows, seen = (family, part), [], set()
-                if (doc_id, len(blob)) not in seen:
-                    seen.add((doc_id, len(blob)))
-                    rows.append((known, doc_id, blob))
+                    at, rows = (family, part), {}
+                rows[fp] = known, blob
         if len(rows) > 1:
             yield solved(rows)
 
@@ -507,52 +500,55 @@ def _families(percent: int):
 
 
 def _blobs(n: int):
-    """(doc_id, family, text) to (doc_id, family, hashes)."""
+    """(doc_id, fp, family, text) to (fp, family, hashes) of the texts that have the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard_join", dict)
         for batch in slices(batches):
-            family, at = batch.column(1), 0
-            for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            at = 0
+            for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 offsets, hashes = shingle_sets(raw, n)
-                blobs = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), family.slice(at, len(ids)), pa.array(blobs, pa.binary())], ["doc_id", "family", "hashes"])
+                own = np.flatnonzero(fingerprints(offsets, hashes) == batch.column(1).slice(at, len(ids)).to_numpy())
+                blobs = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(at, len(ids)).take(pa.array(own)) for k in (1, 2)] + [pa.array(blobs, pa.binary())], ["fp", "family", "hashes"])
                 at += len(ids)
 
     return run
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """(family, part, known, doc_id, hashes) to exact links (u, v), each (family, part) in one task."""
+    """(family, part, known, fp, hashes) to exact links (u, v), each (family, part) in one task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("family", "part", "known", "doc_id", "hashes").repartition(parts, "family", "part").sortWithinPartitions("family", "part")
+    dealt = rows.select("family", "part", "known", "fp", "hashes").repartition(parts, "family", "part").sortWithinPartitions("family", "part")
     return dealt.mapInArrow(_families(percent), "u long, v long")
 
 
-def _thinned(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+def _thinned(sets: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
     """Exact links (u, v) that yield the components of families too large for one task; no pair of sets goes unexamined
-    unless both are known to be in one component.
+    unless both are known to be in one component. weights: (family, weight), the shingles of each family.
 
-    First, a family is dealt into parts of about FAMILY documents, with the same few leaders in each: nearly all copies
-    join their leader's component. The documents outside the family's largest component, in chunks of FAMILY, are then
+    First, a family is dealt into parts of about FAMILY shingles, with the same few leaders in each: nearly all copies
+    join their leader's component. The sets outside the family's largest component, in chunks of FAMILY shingles, are then
     searched against every part.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    sized = cut(sets.join(small(counts.select("family", F.ceil(F.col("n") / FAMILY).cast("int").alias("parts"))), "family"))
-    heads = sized.groupBy("family", "parts").agg(F.expr("array_sort(collect_set(CASE WHEN pmod(xxhash64(doc_id, 1), 1 + parts * %d) < 8 THEN doc_id END))" % (FAMILY // 8)).alias("ids"))
-    leaders = cut(heads.select("family", F.explode("ids").alias("doc_id")))
-    led = sized.join(small(leaders), ["family", "doc_id"], "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    first = sized.withColumn("part", salt).unionByName(led).withColumn("known", F.col("doc_id"))
+    salt = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    sized = cut(sets.join(small(weights.select("family", F.ceil(F.col("weight") / FAMILY).cast("int").alias("parts"))), "family"))
+    # some eight leaders, however many parts there are
+    counted = cut(sized.groupBy("family").agg(F.count("*").alias("n")))
+    leaders = cut(sized.select("family", "fp").join(small(counted), "family").where(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")) < 8).select("family", "fp"))
+    led = sized.join(small(leaders), ["family", "fp"], "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = sized.withColumn("part", salt).unionByName(led).withColumn("known", F.col("fp"))
     links = cut(_searched(first, percent))
     roots = components(links)
-    rooted = cut(sized.select("family", "doc_id", "parts").join(small(roots.withColumnRenamed("doc", "doc_id")), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id")).drop("root"))
+    rooted = cut(sized.select("family", "fp", "parts", F.octet_length("hashes").alias("size")).join(small(roots.withColumnRenamed("doc", "fp")), "fp", "left").withColumn("known", F.coalesce("root", "fp")).drop("root"))
     largest = rooted.groupBy("family", "known").count().groupBy("family").agg(F.max_by("known", F.struct("count", "known")).alias("largest"))
-    rest = cut(rooted.join(small(cut(largest)), "family").where(F.col("known") != F.col("largest")).select("family", "doc_id"))
-    chunks = cut(rest.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks")))
-    known = sized.join(small(rooted.select("doc_id", "known").distinct()), "doc_id").join(small(chunks), "family")
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("chunks")).cast("int")
-    held = known.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: salt * F.col("chunks") + c)))
-    asked = known.join(small(rest), ["family", "doc_id"], "left_semi").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("chunks") + chunk)))
-    return links.unionByName(_searched(held.unionByName(asked), percent))
+    rest = cut(rooted.join(small(cut(largest)), "family").where(F.col("known") != F.col("largest")).select("family", "fp", "size"))
+    chunks = cut(rest.groupBy("family").agg(F.ceil(F.sum("size") / (8 * FAMILY)).cast("int").alias("chunks")))
+    known = sized.join(small(rooted.select("fp", "known")), "fp").join(small(chunks), "family")
+    chunk = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("chunks")).cast("int")
+    told = known.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: salt * F.col("chunks") + c)))
+    asked = known.join(small(rest.select("family", "fp")), ["family", "fp"], "left_semi").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("chunks") + chunk)))
+    return links.unionByName(_searched(told.unionByName(asked), percent))
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -562,26 +558,42 @@ def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(hot_shingles(docs, percent, n))
     signed = docs.mapInArrow(_signed(4 * parts, percent, n, hot), _ROW)
-    tied = cut(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "kind int, u long, v long"))
-    equal = tied.where(F.col("kind") == EQUAL).select("u", "v")
-    members = cut(components(tied.where(F.col("kind") != SIZE)).withColumnRenamed("doc", "doc_id").join(small(equal.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_anti"))
-    counts = cut(members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("root", "family"))
-    held = cut(members.withColumnRenamed("root", "family").join(small(counts), "family").select("doc_id", "family", "n"))
-    blobs = lambda which: docs.join(small(held.where(which).select("doc_id", "family")), "doc_id").select("doc_id", "family", "text").mapInArrow(_blobs(n), "doc_id long, family long, hashes binary")
-    links = _searched(blobs(F.col("n") <= FAMILY).withColumn("part", F.lit(0)).withColumn("known", F.col("doc_id")), percent)
-    large = counts.where(F.col("n") > FAMILY)
+    tied = cut(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "kind int, u long, v long, w long"))
+    rows = tied.where(F.col("kind") == SIZE).select(F.col("u").alias("doc_id"), F.col("v").alias("n_shingles"), F.when(F.col("v") > 0, F.col("w")).alias("fp"))
+    sets = cut(rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
+    family = components(tied.where(F.col("kind") == TIE)).select(F.col("doc").alias("fp"), F.col("root").alias("family"))
+    members = cut(sets.join(small(family), "fp").select("fp", "doc_id", "n_shingles", "family"))
+    weights = cut(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")))
+    some = members.join(small(weights), "family").select("doc_id", "fp", "family", "weight")
+    blobs = lambda which: docs.join(small(cut(some.where(which).drop("weight"))), "doc_id").select("doc_id", "fp", "family", "text").mapInArrow(_blobs(n), "fp long, family long, hashes binary")
+    links = _searched(blobs(F.col("weight") <= FAMILY).withColumn("part", F.lit(0)).withColumn("known", F.col("fp")), percent)
+    large = weights.where(F.col("weight") > FAMILY)
     if large.limit(1).count():
-        links = links.unionByName(_thinned(blobs(F.col("n") > FAMILY), large, percent))
-    roots = components(equal.unionByName(cut(links)))
-    sizes = tied.where(F.col("kind") == SIZE).groupBy(F.col("u").alias("doc_id")).agg(F.max("v").alias("n_shingles"))
-    return sizes.join(small(roots.withColumnRenamed("doc", "doc_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        links = links.unionByName(_thinned(cut(blobs(F.col("weight") > FAMILY)), large, percent))
+    # the sets of one document are in one component
+    several = rows.groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where(F.col("u") != F.col("top")).select("doc_id", "u")
+    own = rows.join(small(several), "doc_id").where(F.col("fp") != F.col("u")).select("u", F.col("fp").alias("v"))
+    roots = components(cut(links.unionByName(own))).select(F.col("doc").alias("fp"), "root")
+    # the name of each set's component, where it isn't the one document that has it
+    first = cut(sets.join(small(roots), "fp", "left").where((F.col("n") > 1) | F.col("root").isNotNull()).select("fp", F.coalesce("root", "fp").alias("root"), "doc_id"))
+    named = cut(first.join(small(first.groupBy("root").agg(F.min("doc_id").alias("component_id"))), "root").select("fp", "component_id"))
+    found = rows.join(small(named), "fp", "left").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """docs without near duplicates: of each component the row of the smallest doc_id stays."""
+    """docs without near duplicates: of each component one row of the smallest doc_id stays, of several such rows the one of the
+    greatest text. Rows of a null doc_id stay."""
     found = joined(docs, percent, n)
     gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return kept
+    # a table with a key has no such rows; elsewhere only they are compared
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+    several = kept.join(small(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
+    return kept.join(small(repeated), "doc_id", "left_anti").unionByName(several).select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
