@@ -1,18 +1,19 @@
 """Copies of images, cropped or edited, by local descriptors.
 
-Corners are found at several scales by the Harris measure; each is turned by the direction of its patch's centroid and
-described by BITS binary tests between smoothed points. Descriptors are cut into TABLES pieces: two descriptors up to
-DISTANCE bits apart differ by DISTANCE // TABLES = 1 bit at most in one piece at least, so an equi-join on (table, piece)
-of the pieces with the queries' pieces and all their neighbours one bit away finds every such pair (Hamming tables). Each
-pair of corners proposes a change of scale, a rotation and a shift; pairs of images of which INLIERS corners agree on
-one proposal are matches (geometric consensus by votes).
+Corners are found by the Harris measure at scales half an octave apart, so many for each tile of the picture and as many
+scales as its size allows; each is turned by the direction of its patch's centroid and described by BITS binary tests
+between smoothed points. Descriptors are cut into TABLES pieces: two descriptors up to DISTANCE = TABLES - 1 bits apart
+agree in one piece at least, so an equi-join on (table, piece) meets every such pair, and the bits then decide (Hamming
+tables). Each pair of corners proposes a change of scale, a turn and a shift between the pictures' centres; two images
+match if INLIERS corners of the query agree with one of the proposals (geometric consensus).
 
 Images are bytes of luma, row by row, with their width and height. The operator is a search: images named as queries
-against all images. Byte-equal images form a class and are compared once, by their smallest id.
+against all images. Byte-equal images form a class and are compared once, by their smallest id. A task needs about 100
+bytes of memory for each pixel of its largest image.
 
-Defined results: null images, images whose bytes don't fit width and height, and images of fewer than 24 pixels a side
-or without corners have no descriptors; they are members of their class and match nothing. Ids that repeat with other
-bytes are told apart by their class. Other columns are ignored.
+Defined results: null images, images whose bytes don't fit width and height, and images of fewer than LEAST pixels a
+side or without corners have no descriptors; they are members of their class and match nothing. Ids that repeat with
+other bytes are told apart by their class. Rows of a null id are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +25,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, small, table
+from tracelake.llm._common import cut, held, small, table
 
-BITS, TABLES, CORNERS, LEVELS, INLIERS = 192, 7, 40, 2, 6
-DISTANCE, TURN, SHIFT = 12, 30, 8
+BITS, TABLES, INLIERS = 192, 8, 6
+DISTANCE = TABLES - 1
+#: Corners of each tile at most, and its side in pixels of the scale.
+CORNERS, TILE = 8, 40
+#: Proposals agree within so many half octaves, degrees, and pixels or shares of the picture's longer side.
+SCALE, TURN, SHIFT, SPREAD = 1, 20, 6, 0.08
 PATCH, LEAST = 9, 24
-#: First bit of each piece.
-_EDGES = np.arange(TABLES) * BITS // TABLES
+#: A broadcast side of descriptors takes about 60 bytes a row.
+BROADCAST_KEYS = 600_000
+_PIECE = BITS // TABLES
+_TURNS = 64
 _rng = np.random.default_rng(20)
-#: Pairs of points of the tests, normal around the corner; and their places for each of 32 turns.
+#: Pairs of points of the tests, normal around the corner; and their places for each turn.
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
-_TURNS = np.stack([np.rint(_PAIRS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).clip(-PATCH, PATCH).astype(np.int64) for a in np.arange(32) * np.pi / 16])
+_POINTS = np.stack([np.rint(_PAIRS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).clip(-PATCH, PATCH).astype(np.int64) for a in np.arange(_TURNS) * 2 * np.pi / _TURNS])
+_SPAN = np.arange(-PATCH, PATCH + 1)
+_DISC = (_SPAN[:, None] ** 2 + _SPAN**2 <= PATCH**2).astype(np.float32)
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -46,8 +55,18 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear samples at the centres of a coarser grid."""
+    for axis, n in ((1, height), (2, width)):
+        at = ((np.arange(n) + 0.5) * x.shape[axis] / n - 0.5).clip(0, x.shape[axis] - 1)
+        low = np.minimum(at.astype(np.int64), x.shape[axis] - 2)
+        part = (at - low).astype(np.float32).reshape([-1 if a == axis else 1 for a in range(3)])
+        x = np.take(x, low, axis) * (1 - part) + np.take(x, low + 1, axis) * part
+    return x
+
+
 def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, row, column) of up to CORNERS local maxima of the Harris measure of each image, strongest first."""
+    """(image, row, column) of local maxima of the Harris measure: of each tile of an image the CORNERS strongest."""
     gy, gx = np.gradient(x, axis=(1, 2))
     a, b, c = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
     r = np.round(a * b - c * c - 0.05 * (a + b) ** 2, 3)
@@ -60,118 +79,173 @@ def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 peak &= (r > near) | (r == near) & ((dy, dx) > (0, 0))
     edge = PATCH + 1
     peak[:, :edge] = peak[:, h - edge :] = peak[:, :, :edge] = peak[:, :, w - edge :] = False
-    score = np.where(peak, r, -np.inf).reshape(n, -1)
-    top = np.argsort(-score, axis=1, kind="stable")[:, :CORNERS]
-    image = np.repeat(np.arange(n), top.shape[1])
-    at = top.ravel()
-    good = np.isfinite(score[image, at])
-    return image[good], at[good] // w, at[good] % w
+    image, row, col = np.nonzero(peak)
+    tile = (image * (h // TILE + 1) + row // TILE) * (w // TILE + 1) + col // TILE
+    order = np.lexsort((col, row, -r[image, row, col], tile))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(tile[order]) > 0])) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    keep = np.sort(order[rank < CORNERS])
+    return image[keep], row[keep], col[keep]
 
 
 def described(images: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(image, x, y, level, angle in degrees, bits) of equally large images."""
-    x, found = images.astype(np.float64), []
-    for level in range(LEVELS):
-        if min(x.shape[1:]) < LEAST:
-            break
+    """(image, x, y, level, angle in degrees, bits) of equally large images; x and y from the picture's centre."""
+    x, found, level = images.astype(np.float32), [], 0
+    height, width = x.shape[1:]
+    while min(x.shape[1:]) >= LEAST:
         soft = _smooth(x)
         image, row, col = _corners(soft)
-        span = np.arange(-PATCH, PATCH + 1)
-        disc = (span[:, None] ** 2 + span**2 <= PATCH**2).astype(float)
-        patch = soft[image[:, None, None], row[:, None, None] + span[:, None], col[:, None, None] + span] * disc
-        angle = np.arctan2((patch * span[:, None]).sum((1, 2)), (patch * span).sum((1, 2)))
-        turn = np.rint(angle / (np.pi / 16)).astype(np.int64) % 32
+        patch = soft[image[:, None, None], row[:, None, None] + _SPAN[:, None], col[:, None, None] + _SPAN] * _DISC
+        angle = np.arctan2((patch * _SPAN[:, None]).sum((1, 2)), (patch * _SPAN).sum((1, 2)))
         softer = _smooth(soft)
-        point = _TURNS[turn]
+        point = _POINTS[np.rint(angle * _TURNS / (2 * np.pi)).astype(np.int64) % _TURNS]
         value = softer[image[:, None, None], row[:, None, None] + point[..., 1], col[:, None, None] + point[..., 0]]
-        bits = value[..., 0] + 1e-6 < value[..., 1]
-        found.append((image, col << level, row << level, np.full(len(image), level), np.degrees(angle), bits))
-        x = softer[:, ::2, ::2]
+        bits = value[..., 0] + 1e-3 < value[..., 1]
+        centred = lambda at, size, full: (at + 0.5 - size / 2) * full / size
+        found.append((image, centred(col, x.shape[2], width), centred(row, x.shape[1], height), np.full(len(image), level), np.degrees(angle), bits))
+        level += 1
+        x = _resized(soft, round(height / 2 ** (level / 2)), round(width / 2 ** (level / 2)))
     if not found:
-        return (np.zeros(0, np.int64),) * 5 + (np.zeros((0, BITS), bool),)
+        return (np.zeros(0),) * 5 + (np.zeros((0, BITS), bool),)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def cut_up(bits: np.ndarray) -> np.ndarray:
-    """The pieces of each row of bits, as numbers."""
-    place = np.arange(BITS) - _EDGES[np.searchsorted(_EDGES, np.arange(BITS), "right") - 1]
-    return np.add.reduceat(bits.astype(np.int64) << place, _EDGES, axis=1)
+def packed(bits: np.ndarray) -> list[np.ndarray]:
+    """Rows of bits as numbers of two pieces each."""
+    weight = np.int64(1) << np.arange(2 * _PIECE)
+    return [(bits[:, k : k + 2 * _PIECE] * weight).sum(1) for k in range(0, BITS, 2 * _PIECE)]
 
 
-_COLUMNS = "id long, corner int, x int, y int, level int, angle double, pieces array<long>"
+_WORDS = [f"b{i}" for i in range(TABLES // 2)]
+_PLACE = ["id", "corner", "side", "x", "y", "level", "angle"]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.int32(), pa.float32()]
+_COLUMNS = "id long, corner int, side int, x float, y float, level int, angle float, " + ", ".join(f"{b} long" for b in _WORDS)
+#: Pixels of the pictures of one size that are described together.
+BATCH_PIXELS = 500_000
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, corner, x, y, level, angle, pieces) of images (id, width, height, pixels)."""
+    """(id, corner, side, x, y, level, angle, b0, ...) of images (id, width, height, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("image_copies", dict)  # lets go of what other operators kept
         for batch in batches:
-            groups: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-            for i, w, h, pixels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pixels is not None and w and h and w * h == len(pixels) and min(w, h) >= LEAST:
-                    groups.setdefault((h, w), []).append((i, pixels))
-            for (h, w), own in groups.items():
-                step = max(1, 1_000_000 // (h * w))
+            groups: dict[tuple[int, int], list[int]] = {}
+            w, h, ids = (batch.column(i).to_pylist() for i in (1, 2, 0))
+            for i in range(batch.num_rows):
+                if w[i] and h[i] and min(w[i], h[i]) >= LEAST:
+                    groups.setdefault((h[i], w[i]), []).append(i)
+            for size, own in groups.items():
+                step = max(1, BATCH_PIXELS // (size[0] * size[1]))
                 for start in range(0, len(own), step):
-                    part = own[start : start + step]
-                    image, x, y, level, angle, bits = described(np.frombuffer(b"".join(p for _, p in part), np.uint8).reshape(len(part), h, w))
-                    if not len(image):
+                    read = [(ids[i], batch.column(3)[i].as_buffer()) for i in own[start : start + step] if batch.column(3)[i].is_valid]
+                    part = [(i, p) for i, p in read if len(p) == size[0] * size[1]]
+                    if not part:
                         continue
-                    pieces = cut_up(bits)
-                    ids = np.array([i for i, _ in part], np.int64)[image]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(len(ids), dtype=np.int32)), *(pa.array(v.astype(np.int32)) for v in (x, y, level)), pa.array(angle), pa.ListArray.from_arrays(pa.array(np.arange(0, pieces.size + 1, TABLES, dtype=np.int32)), pa.array(pieces.ravel()))], ["id", "corner", "x", "y", "level", "angle", "pieces"])
+                    image, x, y, level, angle, bits = described(np.stack([np.frombuffer(p, np.uint8).reshape(size) for _, p in part]))
+                    own_ids = np.array([i for i, _ in part], np.int64)[image.astype(np.int64)]
+                    columns = [own_ids, np.arange(len(own_ids)), np.full(len(own_ids), max(size)), x, y, level, angle]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, _KINDS, strict=True)), *(pa.array(v) for v in packed(bits))], [*_PLACE, *_WORDS])
+
+    return images.select(F.col("id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").where(F.col("id").isNotNull()).mapInArrow(run, _COLUMNS)
+
 
-    return images.select(F.col("id").cast("long"), "width", "height", "pixels").where(F.col("id").isNotNull()).mapInArrow(run, _COLUMNS)
+def _keys(words: list[str]) -> Column:
+    """The pieces of a descriptor, each with its table."""
+    mask = (1 << _PIECE) - 1
+    pieces = [(F.shiftrightunsigned(F.col(b), k * _PIECE).bitwiseAND(mask), 2 * i + k) for i, b in enumerate(words) for k in (0, 1)]
+    return F.array(*[p + (t << _PIECE) for p, t in pieces])
 
 
 def near(made: DataFrame, asked: DataFrame) -> DataFrame:
     """The pairs of a descriptor of `made` and one of `asked` (columns q_...), of different images, that are up to DISTANCE
-    bits apart: all of them, each once."""
-    assert DISTANCE // TABLES == 1
-    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(-(-BITS // TABLES))))])
-    listed = made.select("*", F.posexplode("pieces").alias("t", "piece"))
-    queries = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle", "pieces")], F.posexplode("pieces").alias("t", "own"))
-    queries = queries.select("*", F.explode(masks).alias("mask")).withColumn("piece", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
-    apart = [F.bit_count(F.get("pieces", F.lit(i)).bitwiseXOR(F.get("q_pieces", F.lit(i)))) for i in range(TABLES)]
+    bits apart: all of them, each once. The side asked is small if it has few rows; else both sides are shuffled by piece."""
+    own = [f"q_{b}" for b in _WORDS]
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", *_WORDS)])
+    queries = asked.withColumn("key", F.explode(_keys(own)))
+    listed = made.withColumn("key", F.explode(_keys(_WORDS)))
+    differ = [F.col(b).bitwiseXOR(F.col(f"q_{b}")) for b in _WORDS]
+    apart = sum((F.bit_count(d) for d in differ), F.lit(0))
     # a pair that meets in several tables counts in the first
-    met = F.coalesce(*[F.when(apart[i] <= 1, F.lit(i)) for i in range(TABLES)])
-    return listed.join(small(queries), ["t", "piece"]).where((F.col("id") != F.col("q_id")) & (sum(apart, F.lit(0)) <= DISTANCE) & (F.col("t") == met)).drop("t", "piece")
+    same = [(F.shiftrightunsigned(d, k * _PIECE).bitwiseAND((1 << _PIECE) - 1) == 0, 2 * i + k) for i, d in enumerate(differ) for k in (0, 1)]
+    met = F.coalesce(*[F.when(c, F.lit(t)) for c, t in same])
+    return listed.join(small(queries, BROADCAST_KEYS), "key").where((F.col("id") != F.col("q_id")) & (apart <= DISTANCE) & (F.shiftrightunsigned("key", _PIECE) == met)).drop("key", *own)
+
+
+def agreed(pairs: DataFrame) -> DataFrame:
+    """(q_id, id, inliers) of matched corners (q_id, q_corner, q_x, ..., id, x, ...): the most corners of a query that agree
+    with one proposal. The proposals of two pictures are as many as their corners allow."""
+    turn = F.radians(F.col("angle") - F.col("q_angle"))
+    scale = F.pow(F.lit(2.0), (F.col("level") - F.col("q_level")) / 2)
+    dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
+    dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
+    proposal = F.struct(F.col("q_corner").alias("corner"), (F.col("level") - F.col("q_level")).alias("scale"), (F.col("angle") - F.col("q_angle")).alias("turn"), dx.alias("dx"), dy.alias("dy"), F.greatest(F.lit(float(SHIFT)), F.col("side") * SPREAD).alias("room"))
+    listed = pairs.groupBy("q_id", "id").agg(F.collect_list(proposal).alias("ps")).where(F.size("ps") >= INLIERS)
+
+    def agrees(a: Column, b: Column) -> Column:
+        off = F.abs(F.pmod(a["turn"] - b["turn"] + 180, F.lit(360)) - 180)
+        return (F.abs(a["scale"] - b["scale"]) <= SCALE) & (off <= TURN) & (F.abs(a["dx"] - b["dx"]) <= a["room"]) & (F.abs(a["dy"] - b["dy"]) <= a["room"])
+
+    votes = F.transform("ps", lambda a: F.size(F.array_distinct(F.transform(F.filter("ps", lambda b: agrees(a, b)), lambda b: b["corner"]))))
+    return listed.select("q_id", "id", F.array_max(votes).cast("long").alias("inliers")).where(F.col("inliers") >= INLIERS)
 
 
 def copies(images: DataFrame, is_query: Column) -> DataFrame:
     """(kind, id, other, inliers). kind `member`: image id belongs to the class other; kind `match`: the class id holds a
     query and matches the class other, with so many agreeing corners."""
-    keyed = images.select("id", "width", "height", "pixels", is_query.alias("asked"), F.xxhash64("width", "height", "pixels").alias("h1"), F.xxhash64(F.lit(1), "pixels", "height").alias("h2"))
+    images = images.select(F.col("id").cast("long").alias("id"), "width", "height", "pixels", is_query.alias("asked")).where(F.col("id").isNotNull())
+    hashed = [F.xxhash64("width", "height", "pixels").alias("h1"), F.xxhash64(F.lit(1), "pixels", "height").alias("h2")]
+    keyed = cut(images.select("id", "asked", *hashed))
     classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked")))
-    members = keyed.select("id", "h1", "h2").join(small(classes), ["h1", "h2"]).select(F.lit("member").alias("kind"), "id", F.col("class_id").alias("other"), F.lit(0).cast("long").alias("inliers"))
-    heads = keyed.join(small(classes.select("h1", "h2", F.col("class_id").alias("id"), F.col("asked").alias("__asked"))), ["h1", "h2", "id"]).dropDuplicates(["h1", "h2"])
-    made = cut(descriptors(heads))
-    asked = made.join(small(classes.where("asked").select(F.col("class_id").alias("id")).distinct()), "id", "left_semi")
-    scale = F.pow(F.lit(2.0), F.col("level") - F.col("q_level"))
-    turn = F.radians(F.col("angle") - F.col("q_angle"))
-    dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    grid = lambda v, size: F.array(F.floor(v / size), F.floor(v / size + 0.5) + (1 << 20))  # noqa: E731  two grids, half a cell apart
-    voted = near(made, asked).select("q_id", "id", "q_corner", (F.col("level") - F.col("q_level")).alias("s"), F.pmod(F.round((F.col("angle") - F.col("q_angle")) / TURN), F.lit(360 / TURN)).alias("r"), grid(dx, SHIFT).alias("gx"), grid(dy, SHIFT).alias("gy"))
-    votes = voted.withColumn("gx", F.explode("gx")).withColumn("gy", F.explode("gy")).distinct()
-    agreed = votes.groupBy("q_id", "id", "s", "r", "gx", "gy").agg(F.count("*").alias("n")).groupBy("q_id", "id").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
-    return members.unionByName(agreed.select(F.lit("match").alias("kind"), F.col("q_id").alias("id"), F.col("id").alias("other"), "inliers"))
+    members = keyed.select("id", "h1", "h2").join(classes.drop("asked"), ["h1", "h2"]).select(F.lit("member").alias("kind"), "id", F.col("class_id").alias("other"), F.lit(0).cast("long").alias("inliers"))
+    # the smallest id of a class may stand on several rows, of which some have other bytes
+    heads = images.select("id", "width", "height", "pixels", *hashed).join(classes.withColumnRenamed("class_id", "id").drop("asked"), ["h1", "h2", "id"], "left_semi")
+    repeated = keyed.groupBy("id").count().where("count > 1").limit(1).count()
+    made = cut(descriptors(heads.dropDuplicates(["h1", "h2"]) if repeated else heads))
+    asked = made.join(classes.where("asked").select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
+    place = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle")])
+    found = near(made.select(*_PLACE, *_WORDS), asked).drop(*_WORDS, "corner")
+    matched = agreed(found.join(small(place, BROADCAST_KEYS), ["q_id", "q_corner"]))
+    return members.unionByName(matched.select(F.lit("match").alias("kind"), F.col("q_id").alias("id"), F.col("id").alias("other"), "inliers"))
+
 
+#: Side of the pictures that vectors are drawn as, and the strength of a component.
+SIDE, CONTRAST = 80, 60
 
-def mosaics(vectors: DataFrame, side: int = 8, block: int = 10) -> DataFrame:
-    """Vectors of side * side components as images: a mosaic of squares, from the least component black to the largest white.
+
+def drawn(vectors: DataFrame) -> DataFrame:
+    """(id, width, height, pixels): a picture of each vector (vec_id, embedding), as the sum of one texture for each component.
+    Vectors that nearly agree give pictures that nearly agree, as edited copies do.
 
     The tables of this project hold no media; this gives the vectors of `embeddings` a picture each.
     """
-    n = side * block
-    low, high = F.array_min("embedding"), F.array_max("embedding")
-    shade = lambda i: F.round(255 * (F.get("embedding", i) - low) / F.greatest(high - low, F.lit(1e-12))).cast("int")
-    # hexadecimal digits of one row of squares, each row repeated `block` times
-    row = lambda k: F.repeat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.repeat(F.lpad(F.hex(shade(k * side + i)), 2, "0"), block)), ""), block)
-    pixels = F.when(F.size("embedding") == side * side, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), row), "")))
-    return vectors.select(F.col("vec_id").alias("id"), F.lit(n).alias("width"), F.lit(n).alias("height"), pixels.alias("pixels"))
+
+    def textures(n: int) -> np.ndarray:
+        noise = np.random.default_rng(n).normal(0, 1, (n, SIDE, SIDE)).astype(np.float32)
+        for _ in range(3):
+            noise = _smooth(noise)
+        return (noise / noise.std() * CONTRAST).reshape(n, -1)
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = held("drawn", dict)
+        for vectors in arrays:
+            made: list[bytes | None] = []
+            for start in range(0, len(vectors), 500):
+                part = vectors.slice(start, 500).to_pylist()
+                made += [None] * len(part)
+                for n in {len(v) for v in part if v}:
+                    own = [i for i, v in enumerate(part) if v and len(v) == n and None not in v]
+                    if n not in known:
+                        known[n] = textures(n)
+                    pixels = (np.array([part[i] for i in own], np.float32).reshape(-1, n) @ known[n] + 128).clip(0, 255).astype(np.uint8)
+                    for i, p in zip(own, pixels, strict=True):
+                        made[start + i] = p.tobytes()
+            yield pa.array(made, pa.binary())
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return vectors.select(F.col("vec_id").alias("id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.arrow_udf(run, "binary")("embedding").alias("pixels"))
 
 
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's picture against those whose id is divisible by 50."""
-    return copies(mosaics(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+    return copies(drawn(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
