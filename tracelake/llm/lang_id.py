@@ -4,7 +4,8 @@ A fixed public vocabulary gives the pieces. For each language, expectation maxim
 is; a forward algorithm sums the probability of every way to cut a word into pieces, so no single segmentation is
 trusted. A text's log-likelihood is the sum over all its words, and the score is the posterior of the best language.
 
-A word is a run of letters, lower-cased; runs of more than 32 letters are taken 32 at a time. The whole text counts.
+A word is a run of letters (Unicode category L) with the marks that stand after them, lower-cased; runs of more than 32
+characters are taken 32 at a time. The whole text counts.
 
 Defined results: a null text, an empty text and a text without a letter are `und` with score 0; with nothing to learn
 from, every text is. Ties go to the language first in alphabetical order. Repeated rows give repeated rows. Columns of
@@ -13,12 +14,12 @@ the input that bear the name of a result are replaced; others pass through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ UNKNOWN = 1e-7
 START = "▁"
 UNDETERMINED = "und"
 MEMO_WORDS = 300_000
-LETTERS = re.compile(r"[^\W\d_]{1,%d}" % WORD)
+#: Words, in the same way for Java's engine, which learns, and for regex, which scores.
+WORDS = r"\p{L}[\p{L}\p{M}]{0,%d}" % (WORD - 1)
+_FIND = regex.compile(WORDS).findall
 
 
 @dataclass
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, trained_on: Column, chars: int = SAMPLE_CHARS, words: i
         return Model([], {}, np.zeros((2, 0)))
     share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max(chars / r["n"], LEAST_DOCS / r["docs"])))]), F.col("lang"))
     sample = labelled.where(uniform("doc_id") < share)
-    worded = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,%d}" % WORD), F.lit(0))).alias("word"))
+    worded = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
     # the window sees the words of a bounded sample
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     counted = worded.groupBy("lang", "word").count().withColumn("rank", rank).where(F.col("rank") <= words).drop("rank")
@@ -158,7 +161,7 @@ class Scorer:
             yield from ((UNDETERMINED, 0.0) for _ in texts)
             return
         for start in range(0, len(texts), 1_000):
-            split = [LETTERS.findall(x.lower()) if x else [] for x in texts[start : start + 1_000]]
+            split = [_FIND(x.lower()) if x else [] for x in texts[start : start + 1_000]]
             self.know(set().union(*split))
             for words in split:
                 if not words:
