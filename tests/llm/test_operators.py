@@ -87,20 +87,21 @@ def test_bpe_natively(spark, codec):
 def brute_leaks(docs, items, n=5, t=0.8):
     import re
 
-    def shingles(text):
+    def shingles(text, n):
         w = re.findall(r"[^\W_]+", (text or "").lower())
-        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
     out = set()
     for i, a in items:
-        own = shingles(a)
-        out |= {(d, i, len(own), len(own & shingles(b))) for d, b in docs if own and len(own & shingles(b)) >= t * len(own) - 1e-9}
+        size = min(n, len(re.findall(r"[^\W_]+", (a or "").lower())))
+        own = shingles(a, size)
+        out |= {(d, i, len(own), len(own & shingles(b, size))) for d, b in docs if own and len(own & shingles(b, size)) >= t * len(own) - 1e-9}
     return out
 
 
 def test_leaks(spark):
     rng = random.Random(3)
-    items = [(i, t) for i, t in enumerate(texts(30, 5, 3000, 50))] + [(100, None), (101, ""), (102, "too few words"), (3, texts(30, 5, 3000, 50)[3])]
+    items = [(i, t) for i, t in enumerate(texts(30, 5, 3000, 50))] + [(100, None), (101, ""), (102, "too few words"), (103, "Zwei Wörter"), (104, "..."), (105, "rareword"), (3, texts(30, 5, 3000, 50)[3])]
     docs = []
     for d in range(120):
         words = texts(1, 100 + d, 3000, 200)[0].split()
@@ -111,10 +112,11 @@ def test_leaks(spark):
                     part[rng.randrange(len(part))] = "changed"
             words[3:3] = part
         docs.append((d, " ".join(words)))
-    docs += [(500, None), (501, ""), (502, "too few"), (503, items[3][1].upper().replace(" ", ", "))]
+    docs += [(500, None), (501, ""), (502, "too few"), (504, "rather TOO few, words"), (505, "zwei   wörter. rareword"), (506, "few too words"), (503, items[3][1].upper().replace(" ", ", "))]
     df, it = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r)[:4] for r in contamination.leaks(df, it).collect()}
     assert got == brute_leaks(docs, items) and len(got) > 20
+    assert {x[:2] for x in got if x[1] > 100} == {(504, 102), (505, 103), (505, 105)}
     kept = {r["doc_id"] for r in contamination.decontaminate(df, it).collect()}
     assert kept == {d for d, _ in docs} - {x[0] for x in got}
 
@@ -272,6 +274,10 @@ def test_language(spark, odd, none):
     assert got.score.between(0, 1).all()
     strange = {(r["doc_id"], r["lang_pred"], r["score"]) for r in lang_id.predict(odd, model).collect()}
     assert {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (8, "und", 0.0)} <= strange
+    signs = ["½ ② ²", "Ⅷ ٣ 12", "\u0301\u0902", "_ - 🙂", "ª", "हिन्दी", None, ""]
+    lettered = [r["lang_pred"] != "und" for r in lang_id.predict(spark.createDataFrame([(i, x) for i, x in enumerate(signs)], "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()]
+    assert lettered == [False, False, False, False, True, True, False, False]
+    assert lang_id._FIND("हिन्दी और x½y") == ["हिन्दी", "और", "x", "y"]
     assert lang_id.predict(none, model).count() == 0
     nothing = lang_id.fit(none, ~lang_id.held_out())
     assert {r["lang_pred"] for r in lang_id.predict(docs, nothing).collect()} == {"und"}
@@ -292,21 +298,48 @@ def test_templates():
     a = line_dedup.keys("On 5 May the price of apples was 17 euros in Rome")
     b = line_dedup.keys("On 6 May the price of apples was 18 euros in Rome")
     c = line_dedup.keys("On 6 May the price of apples was 18 euros in Paris")
-    assert a == b and a[0] != c[0] and set(a) & set(c)
+    assert a[:-1] == b[:-1] and a[-1] != b[-1] and a[0] != c[0] and set(a) & set(c)  # the last is the line itself
     assert not set(a) & set(line_dedup.keys("On 6 May the cost of pears was 18 pounds in Paris"))
-    assert line_dedup.keys("four words are few") == []
+    assert set(line_dedup.keys("Posted by Anna on Monday")) & set(line_dedup.keys("Posted by Bob on Monday"))
+    assert not set(line_dedup.keys("Click here to read")) & set(line_dedup.keys("Click there to read"))
+    assert line_dedup.keys("") == line_dedup.keys(" \t") == [] and len(line_dedup.keys("one")) == 1
+    long = "these are eight words in one whole line"
+    assert [k % 2 for k in line_dedup.keys(long)] == [0] * 6 + [1] and all(k % 2 == 0 for k in line_dedup.keys(long[6:]))
+
+
+def brute_lines(rows, min_docs=3):
+    """doc_id: text after dedup, and whether the document stays."""
+    holders: dict[tuple, set[int]] = {}
+    units = lambda x: [("t", t) for t in line_dedup.templates(x)] + [("w", w) for w in [line_dedup.literal(x)] if w is not None]
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            for u in units(line):
+                holders.setdefault(u, set()).add(i)
+    gone = {u: min(ids) for u, ids in holders.items() if len(ids) >= (2 if u[0] == "w" else min_docs)}
+    return {i: text if text is None else "\n".join(x for x in text.split("\n") if all(gone.get(u, i) == i for u in units(x))) for i, text in rows}
 
 
 def test_drop_lines(spark, odd, none):
     footer = "All rights reserved by the owners of this site since {}"
-    rows = [(i, f"own text of document number {chr(97 + i) * 3} with words {chr(98 + i) * 4}\n{footer.format(1990 + i)}\nshort line", "en", "s", 0) for i in range(5)]
-    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert len(got[0]) == 3 and all(len(got[i]) == 2 and got[i][1] == "short line" for i in range(1, 5))
+    rows = [(i, f"own text of document number {chr(97 + i) * 3} with words {chr(98 + i) * 4}\n{footer.format(1990 + i)}\nshort {chr(97 + i)}\nClick here to read", "en", "s", 0) for i in range(5)]
+    rows += [(10, "a line of nine words that stands here twice\nnot twice", "en", "s", 0), (11, "other\na line of nine words that stands here twice", "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_lines([r[:2] for r in rows])
+    assert len(got[0].split("\n")) == 4 and all(got[i].split("\n")[1:] == [f"short {chr(97 + i)}"] for i in range(1, 5)) and got[11] == "other"
     strange = line_dedup.drop_lines(odd)
     assert strange.columns == odd.columns and sorted(map(str, strange.select("text").collect())) == sorted(map(str, odd.select("text").collect()))
-    assert line_dedup.drop_lines(none).count() == 0
+    assert line_dedup.drop_lines(none).count() == 0 and line_dedup.keep_unrepeated(none).count() == 0
     copies = spark.createDataFrame([(i, footer.format(7), "en", "s", 0) for i in range(4)], DOCS)
-    assert [r["doc_id"] for r in line_dedup.keep_unrepeated(copies).collect()] == [0]
+    kept = line_dedup.keep_unrepeated(copies).collect()
+    assert [(r["doc_id"], r["n_chars"]) for r in kept] == [(0, 0)]
+
+
+def test_hot_templates_are_joined_apart(spark, monkeypatch):
+    rows = [(i, f"the same line of nine words for every one\nline {chr(97 + i % 26)} of {chr(97 + i % 7)} stands in some others here", "en", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 3)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()} == want == brute_lines([r[:2] for r in rows])
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------

@@ -3,8 +3,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import brute_components, brute_leaks
-from tracelake.llm import lang_id, line_dedup
+from tests.llm.test_operators import brute_components, brute_leaks, brute_lines
+from tracelake.llm import lang_id
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,17 +19,8 @@ def test_stages(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (lang, score) in judged.items() if lang != "und" and score >= 0.5}
 
     lines = corpus_pipeline.lines(spark, kept, SF).cache()
-    holders: dict[str, set[int]] = {}
-    for r in kept.collect():
-        for line in r["text"].split("\n"):
-            for t in line_dedup.templates(line):
-                holders.setdefault(t, set()).add(r["doc_id"])
-    gone = {t: min(ids) for t, ids in holders.items() if len(ids) >= line_dedup.MIN_DOCS}
-    want = {}
-    for r in kept.collect():
-        text = "\n".join(x for x in r["text"].split("\n") if not any(gone.get(t, r["doc_id"]) != r["doc_id"] for t in line_dedup.templates(x)))
-        if text.strip() or not r["text"].strip():
-            want[r["doc_id"]] = text
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    want = {i: text for i, text in brute_lines(list(texts.items())).items() if text.strip() or not texts[i].strip()}
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == want and lines.columns == columns
 
     near = corpus_pipeline.near_duplicates(spark, lines, SF).cache()

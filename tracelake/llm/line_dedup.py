@@ -1,13 +1,15 @@
 """Line dedup by a log-template tree of fixed depth.
 
 Every line is parsed down a tree: first by its number of tokens, then by its leading tokens; a token with a digit is a
-variable field. Below the leaf, the rest of the line is cut into SEGMENTS runs of tokens, and the line belongs to one
-exact template and to one template for each run left open, so lines of one leaf that differ inside a single run, be it a
+variable field. Below the leaf, the rest of the line is cut into up to SEGMENTS runs of tokens, and the line belongs to one
+template with all runs and to one for each run left open, so lines of one leaf that differ inside a single run, be it a
 name, a price or a misspelling, share a template. The parse of a line depends on that line alone, so the tree needs no
 order of arrival and is built in parallel. A template is recurring if it stands in at least MIN_DOCS documents; its
-lines are dropped from all documents except the one of the smallest id.
+lines are dropped from all documents except the one of the smallest id. A line of LONG or more tokens that stands word for
+word in two documents is a copy already.
 
-Lines of fewer than MIN_TOKENS tokens are left alone. Lines end at a line feed; blank lines stay.
+Lines of fewer than OPEN tokens are only compared whole, for want of anything to hold the rest of the template. Lines end at
+a line feed; blank lines stay.
 
 Defined results: null and empty texts stay as they are; a document of which every line is dropped keeps an empty text
 in :func:`drop_lines`. Rows that repeat a doc_id count each. Other columns pass through; n_chars, if there,
@@ -23,32 +25,44 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, held, slices, small, table
+from tracelake.llm._common import BROADCAST_ROWS, cut, held, slices, table
 
-MIN_TOKENS, LEADING, SEGMENTS, MIN_DOCS = 5, 3, 5, 3
+LEADING, SEGMENTS, MIN_DOCS, OPEN, LONG = 3, 5, 3, 5, 8
 VARIABLE = "<*>"
 _DIGITS = frozenset("0123456789")
 
 
 def templates(line: str) -> list[str]:
-    """The templates of a line, spelled out: the exact one, then those with one run of tokens left open."""
+    """The templates of a line, spelled out: with all its runs, then with one run of tokens left open."""
     tokens = line.split()
     n = len(tokens)
-    if n < MIN_TOKENS:
+    if not n:
         return []
     if not _DIGITS.isdisjoint(line):
         tokens = [t if _DIGITS.isdisjoint(t) else VARIABLE for t in tokens]
-    path = f"{n} " + " ".join(tokens[:LEADING])
-    rest = n - LEADING
-    if rest < SEGMENTS:
-        return [" ".join([path, *tokens[LEADING:]])]
-    runs = [" ".join(tokens[LEADING + rest * s // SEGMENTS : LEADING + rest * (s + 1) // SEGMENTS]) for s in range(SEGMENTS)]
-    return [" ".join([path, *runs]), *(" ".join([path, *runs[:s], f"{VARIABLE}{s}", *runs[s + 1 :]]) for s in range(SEGMENTS))]
+    whole = f"{n} " + " ".join(tokens)
+    if n < OPEN:
+        return [whole]
+    leading = min(LEADING, n - LEADING)
+    rest = n - leading
+    runs = min(SEGMENTS, rest)
+    made = [" ".join(tokens[leading + rest * s // runs : leading + rest * (s + 1) // runs]) for s in range(runs)]
+    path = f"{n} " + " ".join(tokens[:leading])
+    return [whole, *(" ".join([path, *made[:s], f"{VARIABLE}{s}", *made[s + 1 :]]) for s in range(runs))]
+
+
+def literal(line: str) -> str | None:
+    """The words of a long line as they are."""
+    tokens = line.split()
+    return " ".join(tokens) if len(tokens) >= LONG else None
 
 
 def keys(line: str) -> list[int]:
-    """Signed 64-bit hashes of the templates."""
-    return [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, templates(line))]
+    """Signed 64-bit hashes of the templates, and of the line itself if it is long; the latter are odd, all others even."""
+    made = [xxhash.xxh64_intdigest(t) & ~1 for t in templates(line)]
+    if (own := literal(line)) is not None:
+        made.append(xxhash.xxh64_intdigest(own) | 1)
+    return [h - (1 << 64) if h >> 63 else h for h in made]
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
@@ -73,8 +87,15 @@ def _parsed(docs: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, keys): per document, its recurring templates, without those of which it is the first holder."""
     parsed = cut(_parsed(docs))
-    counted = cut(parsed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs).select("key", "first"))
-    flagged = cut(parsed.join(small(counted), "key").where(F.col("doc_id") != F.col("first")).select("doc_id", "key"))
+    enough = F.when(F.pmod("key", F.lit(2)) == 1, min(2, min_docs)).otherwise(min_docs)
+    counted = cut(parsed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= enough))
+    if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = parsed.join(F.broadcast(counted), "key")
+    else:
+        # templates that so many rows hold can't be more than BROADCAST_ROWS; the others have no hot key to shuffle
+        hot = F.col("n") > counted.agg(F.sum("n")).first()[0] / BROADCAST_ROWS
+        found = parsed.join(F.broadcast(counted.where(hot)), "key").unionByName(parsed.join(counted.where(~hot), "key"))
+    flagged = cut(found.where(F.col("doc_id") != F.col("first")).select("doc_id", "key"))
     return flagged.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
@@ -122,15 +143,16 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 t AS (SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS raw FROM l),
-m AS (SELECT doc_id, i, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM t WHERE len(raw) >= 5),
-p AS (SELECT doc_id, i, n, n - 3 AS r, w, n || ' ' || array_to_string(w[1:3], ' ') AS path FROM m),
-s AS (SELECT doc_id, i, r, path || ' ' || array_to_string(w[4:], ' ') AS whole, path,
-  list_transform(range(0, 5), lambda k: array_to_string(w[4 + (r * k) // 5 : 3 + (r * (k + 1)) // 5], ' ')) AS runs FROM p),
-k AS (SELECT doc_id, i, whole AS key FROM s
-  UNION ALL SELECT doc_id, i, path || ' ' || array_to_string(list_transform(range(0, 5), lambda k: CASE WHEN k = o THEN '<*>' || o ELSE runs[k + 1] END), ' ')
-  FROM s, range(0, 5) AS x(o) WHERE r >= 5),
-c AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-g AS (SELECT DISTINCT doc_id, i FROM k JOIN c USING (key) WHERE doc_id <> first),
+m AS (SELECT doc_id, i, len(raw) AS n, raw, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM t WHERE len(raw) > 0),
+p AS (SELECT doc_id, i, n, w, least(3, n - 3) AS lead, least(5, n - least(3, n - 3)) AS runs FROM m WHERE n >= 5),
+s AS (SELECT doc_id, i, n || ' ' || array_to_string(w[1:lead], ' ') AS path, runs AS many,
+  list_transform(range(0, runs), lambda k: array_to_string(w[1 + lead + ((n - lead) * k) // runs : lead + ((n - lead) * (k + 1)) // runs], ' ')) AS runs FROM p),
+k AS (SELECT doc_id, i, n || ' ' || array_to_string(w, ' ') AS key, 3 AS least FROM m
+  UNION ALL SELECT doc_id, i, array_to_string(raw, ' ') || ' literally', 2 FROM m WHERE n >= 8
+  UNION ALL SELECT doc_id, i, path || ' ' || array_to_string(list_transform(range(0, many), lambda k: CASE WHEN k = o THEN '<*>' || o ELSE runs[k + 1] END), ' '), 3
+  FROM s, range(0, 5) AS x(o) WHERE o < many),
+c AS (SELECT key, least, min(doc_id) AS first FROM k GROUP BY key, least HAVING count(DISTINCT doc_id) >= least),
+g AS (SELECT DISTINCT doc_id, i FROM k JOIN c USING (key, least) WHERE doc_id <> first),
 a AS (SELECT l.doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN g USING (doc_id, i) GROUP BY l.doc_id)
 SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, CASE WHEN coalesce(a.text, '') = '' THEN 0 ELSE n_kept END AS n_kept, coalesce(a.text, '') AS text
 FROM documents d LEFT JOIN a USING (doc_id)
