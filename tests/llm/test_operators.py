@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -403,22 +404,79 @@ def test_licences(spark, odd, none):
 # 3 and 9 -------------------------------------------------------------------------------------------------------------
 
 
+def brute_kinds(symbols):
+    """(place, kind) of the matches, by their definitions."""
+    T = toxicity  # noqa: N806
+    ends, out = (T.BREAK, T.LINE, T.COLON), []
+
+    def near(i, step, what, reach):
+        words, k = 0, i + step
+        while 0 <= k < len(symbols) and symbols[k] not in ends and words < reach:
+            if symbols[k] == what:
+                return True
+            words, k = words + (symbols[k] != T.QUOTE), k + step
+        return False
+
+    def reported(i):
+        state = 0
+        for s in symbols[:i]:
+            if s == T.LINE or s == T.BREAK and state == 1 or s == T.QUOTE and state == 2:
+                state = 0
+            elif s == T.QUOTE and state == 1:
+                state = 2
+            elif s == T.REPORT and state == 0:
+                state = 1
+        if state:
+            return True
+        for s in symbols[:i:-1]:  # backwards: a verb, then in its clause the end of a quotation
+            if s == T.LINE or s in ends and state == 1 or s == T.QUOTE and state == 2:
+                state = 0
+            elif s == T.QUOTE and state == 1:
+                state = 2
+            elif s == T.REPORT and state == 0:
+                state = 1
+        return state == 2
+
+    for i, s in enumerate(symbols):
+        if s in (T.INSULT, T.THREAT):
+            aimed = near(i, -1, T.TARGET, T.REACH) or near(i, 1, T.TARGET, T.REACH)
+            if reported(i):
+                out.append((i, T.REPORTED))
+            elif near(i, -1, T.NEGATION, 3):
+                out.append((i, T.NEGATED))
+            elif s == T.THREAT:
+                out += [(i, T.THREATENED)] * aimed
+            else:
+                out.append((i, T.TARGETED if aimed else T.PILED if near(i, -1, T.INSULT, T.REACH) else T.PLAIN))
+    return out
+
+
+def test_grammar_against_its_definitions():
+    words = {toxicity.OTHER: "calm", toxicity.BREAK: ".", toxicity.LINE: "\n", toxicity.COLON: ":", toxicity.QUOTE: '"', toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.INTENT: "will", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORT: "said"}
+    m = toxicity.Matcher({})
+    for n in range(1, 5):
+        for symbols in itertools.product(words, repeat=n):
+            if toxicity.INSULT in symbols or toxicity.THREAT in symbols:
+                assert [(i, k) for i, k, _ in m.matches(" ".join(map(words.get, symbols)))] == brute_kinds(symbols), symbols
+    rng = random.Random(1)
+    for _ in range(20_000):
+        symbols = rng.choices(list(words), [6, 1, 1, 1, 3, 4, 3, 1, 2, 1, 2], k=rng.randint(5, 16))
+        assert [(i, k) for i, k, _ in m.matches(" ".join(map(words.get, symbols)))] == brute_kinds(symbols), symbols
+
+
 def test_grammar():
     m = toxicity.Matcher({"blorg": 1.0, "snarf*": 1.0, "snarfing*": 0.0})
     kinds = lambda t: [k for _, k, _ in m.matches(t)]
     assert kinds("the blorg came") == [toxicity.PLAIN] and kinds("you are a blorg") == [toxicity.TARGETED]
     assert kinds("it is not blorg") == [toxicity.NEGATED] and kinds("he wrote that all was blorg") == [toxicity.REPORTED]
-    assert kinds("i will kill you") == [toxicity.PLAIN] * 0 and kinds("you i kill") == [toxicity.THREATENED]
-    assert kinds("snarfed snarfingly calm") == [toxicity.PLAIN] and kinds(None) == kinds("") == kinds("calm words") == []
-
-
-def test_grammar_looks_ahead():
-    m = toxicity.Matcher({"blorg": 1.0, "snarf*": 1.0, "snarfing*": 0.0})
-    kinds = lambda t: [k for _, k, _ in m.matches(t)]
     assert kinds("i will kill you") == kinds("you i kill") == kinds("kill a b c you") == [toxicity.THREATENED]
+    assert m.matches("i will kill you")[0][2] > m.matches("kill you")[0][2]
     assert kinds("blorg, you came") == [toxicity.TARGETED] and kinds("kill you blorg") == [toxicity.THREATENED, toxicity.TARGETED]
+    assert kinds("idiots are you") == [toxicity.TARGETED] and kinds("a blorg and moron") == [toxicity.PLAIN, toxicity.PILED]
     assert kinds("kill. you") == kinds("kill a b c d you") == kinds("i will kill") == [] and kinds("blorg! you came") == [toxicity.PLAIN]
     assert kinds("he said i will kill you") == [toxicity.REPORTED] and kinds("i will not kill you") == [toxicity.NEGATED]
+    assert kinds("he said: you are an idiot") == kinds("he said \u201cfine. you idiot\u201d") == kinds('"you idiot", he said') == [toxicity.REPORTED]
+    assert kinds("he said so. you are an idiot") == kinds("he said \u201cfine\u201d. you idiot") == kinds("he said\nyou idiot") == [toxicity.TARGETED]
     assert kinds("snarfed snarfingly calm") == [toxicity.PLAIN] and kinds(None) == kinds("") == kinds("calm words") == []
 
 

@@ -1,15 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to classes (insult, threat, target, negation, reported speech, other) by a lexicon: a few fixed seeds,
-and words and stems (the first four to nine letters) that the training labels show to mark toxic texts, each with a weight by
-its log-odds. A word has the entry of its longest stem with enough evidence, be it for or against. Over each clause run three
-transducers in composition: *target* marks an insult or threat near the person addressed, up to REACH words after or
-before it (for the latter it also runs over the reversed clause, before the others), *negation* one that stands within
-three words after a negation, *report* one that follows a verb of reported speech. A clause thus yields matches of
-the kinds plain, targeted, negated, reported and threat. An insult without a target, negation or report is a plain match
-and scores by itself, with its lexicon weight, though the method asks for matched clauses; a threat without a target,
-negation or report scores nothing. Logistic weights of the kinds, drawn towards fixed prior weights, turn the matches of
-a whole text into a score.
+Words are mapped to classes (insult, threat, intent, target, negation, reported speech, other) by a lexicon: a few fixed
+seeds, and words and stems (the first four to nine letters) that the training labels show to mark toxic texts, each with a
+weight by its log-odds. A word has the entry of its longest stem with enough evidence, be it for or against. Over each text
+in which an insult or threat stands run transducers in composition, first backwards, then forwards:
+
+- *insult* marks an insult that piles on another one of its clause, *threat* a threat that is announced ("will kill");
+- *target* marks either near the person addressed, up to REACH words after or before it;
+- *negation* marks one that stands within three words after a negation;
+- *report* marks one that follows a verb of reported speech in its clause, over a colon too, or stands in quotation marks
+  that such a verb opens or, backwards, closes.
+
+Clauses end at `. ! ? ; :`, everything ends with the line. A text thus yields matches of the kinds plain, targeted,
+negated, reported, threatened and piled. A threat without a target is none. Logistic weights of the kinds, drawn towards
+fixed prior weights, turn the matches of a whole text into a score. An insult of which no transducer says anything is a
+plain match and has a weight too: in the tables at hand most toxic texts hold nothing else, see the README.
 
 The model is learned from a bounded sample of labelled rows: the weights from two halves, each scored with the lexicon
 of the other, and the final lexicon from both.
@@ -41,19 +46,23 @@ STEMS, EVIDENCE = (4, 5, 6, 7, 8, 9), 5
 THRESHOLD = 0.7
 #: Words from a target to an insult or threat at most, on either side.
 REACH = 4
-OTHER, BREAK, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
-PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)
+OTHER, BREAK, LINE, COLON, QUOTE, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(11)
+PLAIN, TARGETED, NEGATED, REPORTED, THREATENED, PILED = range(6)
 #: Seeds of the lexicon. Fixed values.
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid loser losers scum worthless pathetic disgusting imbecile",
     THREAT: "kill murder strangle stab hurt",
+    INTENT: "will shall gonna going i'll we'll",
     TARGET: "you your yourself u thou him her them he she they",
     NEGATION: "not no never isn't aren't wasn't don't nicht kein keine pas jamais nunca",
     REPORT: "said says wrote quoted claimed reported alleged called sagte schrieb dit dijo",
 }
 #: Prior weights: none, then one for each kind of match.
-PRIOR = np.array([-3.0, 3.0, 3.5, 0.8, 0.8, 4.0])
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
+PRIOR = np.array([-3.0, 3.0, 3.5, 0.8, 0.8, 4.0, 3.2])
+#: Weight of a threat that nothing announces.
+BARE = 0.8
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”„«»]")
+_SIGNS = {c: BREAK for c in ".!?;"} | {":": COLON, "\n": LINE} | {c: QUOTE for c in '"“”„«»'}
 
 
 class Transducer:
@@ -74,63 +83,72 @@ class Transducer:
         return Transducer(len(self.arcs) * n, self.arcs[0], step)
 
 
-#: Marks added to INSULT and THREAT as they pass: multiples of 8.
-_TARGETED, _NEGATED, _REPORTED = 8, 16, 32
-_SYMBOLS = range(7)
+#: Marks added to INSULT and THREAT as they pass.
+_TARGETED, _NEGATED, _REPORTED, _PILED, _ANNOUNCED = 16, 32, 64, 128, 256
+_SYMBOLS = range(11)
+_ENDS = (BREAK, LINE, COLON)
 
 
 def _hit(s: int) -> bool:
-    return s % 8 in (INSULT, THREAT)
+    return s % 16 in (INSULT, THREAT)
 
 
-def _target(q: int, s: int) -> tuple[int, int]:
-    """State: words since a target, REACH for none."""
-    if s == BREAK:
-        return REACH, s
-    if s == TARGET:
-        return 0, s
-    return min(q + 1, REACH), s | _TARGETED if _hit(s) and q < REACH else s
+def _after(what: int, mark: int, reach: int, marked: tuple[int, ...] = (INSULT, THREAT)):
+    """Marks hits up to `reach` words after a word of class `what` in the same clause. State: words since, reach for none."""
 
+    def step(q: int, s: int) -> tuple[int, int]:
+        if s in _ENDS:
+            return reach, s
+        if s == QUOTE:
+            return q, s
+        out = s | mark if s % 16 in marked and q < reach else s
+        return 0 if s % 16 == what else min(q + 1, reach), out
 
-def _negation(q: int, s: int) -> tuple[int, int]:
-    """State: words since a negation, 3 for none."""
-    if s == BREAK:
-        return 3, s
-    if s == NEGATION:
-        return 0, s
-    return min(q + 1, 3), s + _NEGATED if _hit(s) and q < 3 else s
+    return reach + 1, step
 
 
 def _report(q: int, s: int) -> tuple[int, int]:
-    """State: 1 after a verb of reported speech in this clause."""
-    if s == BREAK:
-        return 0, s
-    if s == REPORT:
-        return 1, s
-    return q, s + _REPORTED if _hit(s) and q else s
-
-
-def grammar() -> tuple[Transducer, Transducer, int]:
-    """The transducer for reversed clauses; the composed one, which reads what the former puts out, and its first state."""
-    ahead = Transducer(REACH + 1, _SYMBOLS, _target)
-    seen = sorted({out for arcs in ahead.arcs for _, out in arcs.values()})
-    target = Transducer(REACH + 1, seen, _target)
-    seen = sorted({out for arcs in target.arcs for _, out in arcs.values()})
-    negation = Transducer(4, seen, _negation)
-    seen = sorted({out for arcs in negation.arcs for _, out in arcs.values()})
-    report = Transducer(2, seen, _report)
-    return ahead, target >> negation >> report, (REACH * 4 + 3) * 2
-
-
-def kind(out: int) -> int:
-    """The kind of match that an output symbol stands for; reported and negated matches count as such before all else."""
-    if out & _REPORTED:
-        return REPORTED
-    if out & _NEGATED:
-        return NEGATED
-    if out % 8 == THREAT:
-        return THREATENED if out & _TARGETED else PLAIN
-    return TARGETED if out & _TARGETED else PLAIN
+    """State: 1 after a verb of reported speech in its clause, 2 in the quotation marks that follow it."""
+    out = s | _REPORTED if _hit(s) and q else s
+    if s == LINE or s == BREAK and q == 1 or s == QUOTE and q == 2:
+        return 0, out
+    return (2, out) if s == QUOTE and q == 1 else (max(q, 1), out) if s == REPORT else (q, out)
+
+
+def _closed(q: int, s: int) -> tuple[int, int]:
+    """Backwards. State: 1 after a verb of reported speech, 2 in the quotation marks before it."""
+    out = s | _REPORTED if _hit(s) and q == 2 else s
+    if s == LINE or s in _ENDS and q == 1 or s == QUOTE and q == 2:
+        return 0, out
+    return (2, out) if s == QUOTE and q == 1 else (max(q, 1), out) if s == REPORT else (q, out)
+
+
+def grammar() -> tuple[Transducer, int, Transducer, int]:
+    """The composed transducer that reads backwards and its first state; the one that reads forwards what that puts out, likewise."""
+    made = []
+    symbols: Iterable[int] = _SYMBOLS
+    target = _after(TARGET, _TARGETED, REACH)
+    forwards = (_after(INSULT, _PILED, REACH, (INSULT,)), _after(INTENT, _ANNOUNCED, REACH, (THREAT,)), target, _after(NEGATION, _NEGATED, 3), (3, _report))
+    for parts in ((target, (3, _closed)), forwards):
+        whole, start = None, 0
+        for states, step in parts:
+            part = Transducer(states, symbols, step)
+            symbols = sorted({out for arcs in part.arcs for _, out in arcs.values()})
+            whole = part if whole is None else whole >> part
+            start = start * states + (0 if states == 3 and step in (_report, _closed) else states - 1)
+        made += [whole, start]
+    return tuple(made)
+
+
+def kind(out: int) -> int | None:
+    """The kind of match that an output symbol stands for; reported and negated matches count as such before all else. A threat
+    without a target is no match."""
+    if out % 16 == THREAT and not out & (_TARGETED | _REPORTED | _NEGATED):
+        return None
+    for mark, found in ((_REPORTED, REPORTED), (_NEGATED, NEGATED), (_TARGETED, THREATENED if out % 16 == THREAT else TARGETED), (_PILED, PILED)):
+        if out & mark:
+            return found
+    return PLAIN
 
 
 @dataclass
@@ -153,12 +171,12 @@ class Matcher:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.seeds = {w: c for c, words in SEEDS.items() for w in words.split()}
-        self.ahead, self.grammar, self.start = grammar()
+        self.backwards, self.last, self.forwards, self.first = grammar()
         self.memo = _Memo(self)
         self.weight: dict[str, float] = {}
 
     def symbol(self, token: str) -> int:
-        found = BREAK if token in ".!?;:\n" else self.seeds.get(token, OTHER)
+        found = _SIGNS[token] if token in _SIGNS else self.seeds.get(token, OTHER)
         if found == OTHER:
             entries = [token, *(token[:n] + "*" for n in reversed(STEMS) if len(token) > n)]
             weight = next((self.lexicon[e] for e in entries if e in self.lexicon), 0.0)
@@ -176,30 +194,19 @@ class Matcher:
         symbols = list(map(self.memo.__getitem__, tokens))
         if INSULT not in symbols and THREAT not in symbols:
             return []
-        out, state, arcs, ahead, done = [], self.start, self.grammar.arcs, self.ahead.arcs, 0
-        for i in [i for i, s in enumerate(symbols) if s == INSULT or s == THREAT]:
-            # backwards, a break leads to the first state too, and so do REACH words without a target
-            back, marked = REACH, OTHER
-            for s in reversed(symbols[i : i + REACH + 1]):
-                back, marked = ahead[back][s]
-            # a break leads to the first state, so only the clause of a hit is run, up to the hit
-            first = i
-            while first > done and symbols[first - 1] != BREAK:
-                first -= 1
-            if first > done or first == 0 or symbols[first - 1] == BREAK:
-                state = self.start
-            for s in symbols[first:i]:
-                state, _ = arcs[state][s]
-            state, made = arcs[state][marked]
-            done = i + 1
-            k = kind(made)
-            if symbols[i] == THREAT and k == PLAIN:
-                continue  # a violent word without a target isn't a threat
-            out.append((i, k, self.weight.get(tokens[i], 1.0) if symbols[i] == INSULT else 1.0))
+        state, arcs = self.last, self.backwards.arcs
+        for i in range(len(symbols) - 1, -1, -1):
+            state, symbols[i] = arcs[state][symbols[i]]
+        out, state, arcs = [], self.first, self.forwards.arcs
+        for i, s in enumerate(symbols):
+            state, made = arcs[state][s]
+            if _hit(made) and (k := kind(made)) is not None:
+                weight = self.weight.get(tokens[i], 1.0) if made % 16 == INSULT else 1.0 if made & _ANNOUNCED else BARE
+                out.append((i, k, weight))
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        x = np.zeros(6)
+        x = np.zeros(len(PRIOR))
         x[0] = 1
         for _, k, weight in self.matches(text):
             x[1 + k] += weight
@@ -270,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column) -> Model:
     found = []
     for own, other in (("a", "b"), ("b", "a")):  # each part is scored by the lexicon of the other
         matcher = Matcher(_lexicon(counted, (other,), base))
-        found.append(_features(sample.where(F.col("part") == own), matcher, ["label", "weight"]).toPandas())  # six numbers for each row of the sample
+        found.append(_features(sample.where(F.col("part") == own), matcher, ["label", "weight"]).toPandas())  # seven numbers for each row of the sample
     rows = pd.concat(found)
     model = Model(_lexicon(counted, ("a", "b"), base))
     if len(rows):
@@ -298,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, kinds): kinds are the weighted matches of each kind."""
     found = _features(docs, Matcher(model.lexicon), ["doc_id"])
     total = sum((F.get("x", F.lit(i)) * float(w) for i, w in enumerate(model.weights)), F.lit(0.0))
-    return found.select("doc_id", (1 / (1 + F.exp(-total))).alias("score"), F.slice("x", 2, 5).alias("kinds"))
+    return found.select("doc_id", (1 / (1 + F.exp(-total))).alias("score"), F.slice("x", 2, len(PRIOR) - 1).alias("kinds"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
