@@ -379,7 +379,7 @@ def test_sharding(spark, odd, none):
 
 def test_licences(spark, odd, none):
     rng = random.Random(6)
-    words = sorted({w for t in [*licenses.BASE, *(t for _, t in licenses.TEMPLATES)] for w in t.split()}) + ["zzz"] * 40
+    words = sorted({w.decode() for t in [*licenses.BASE, *(t for _, t in licenses.TEMPLATES)] for w in licenses.split(t)}) + ["zzz"] * 40
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE)
     for _ in range(300):
         tokens = [rng.choice(words) for _ in range(rng.randint(0, 40))]
@@ -388,17 +388,73 @@ def test_licences(spark, odd, none):
         n, places, _ = scanner.scan(", ".join(tokens).upper())
         want = {(i, i + len(p.split()), x) for p, x in licenses.BASE.items() for i in range(len(tokens)) if tokens[i : i + len(p.split())] == p.split()}
         assert n == len(tokens) and set(places) == want and len(places) == len(want)
+    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
+
+
+def test_statistics_of_every_place():
+    rng = random.Random(6)
     sequences = [[rng.randrange(3) for _ in range(12)] for _ in range(4)]
     automaton = licenses.Automaton(sequences)
-    text = [rng.randrange(4) for _ in range(200)]
-    runs = {tuple(s[i:j]) for s in sequences for i in range(12) for j in range(i + 1, 13)}
+    text = [rng.randrange(4) for _ in range(300)]
+    same = lambda i, t, e: next(k for k in range(13) if k == min(i + 1, e) or text[i - k] != sequences[t][e - 1 - k])
     for i, (state, length) in enumerate(automaton.statistics(text)):
-        assert length == max([0, *(k for k in range(1, min(i + 1, 12) + 1) if tuple(text[i + 1 - k : i + 1]) in runs)])
-        for template, end in automaton.first[state].items():
-            assert not length or sequences[template][end - length : end] == text[i + 1 - length : i + 1]
+        want = {(t, e): k for t in range(4) for e in range(1, 13) if (k := same(i, t, e))}
+        assert length == max(want.values(), default=0)
+        got = {(t, e): k or length for t, e, k in automaton.places[state]} if length else {}
+        assert got == want
+
+
+def test_chains_cover_most():
+    """The first chain covers as many words as the best of all chains."""
+    rng = random.Random(11)
+    for _ in range(400):
+        matches = [(s, s + k, low, low + k) for _ in range(rng.randint(1, 7)) for s, low, k in [(rng.randrange(40), rng.randrange(25), rng.randint(3, 8))]]
+
+        def value(chain):
+            total, before = 0, None
+            for s, e, low, high in chain:
+                new = e - s
+                if before:
+                    bs, be, bl, bh = before
+                    new -= max(0, be - s, bh - low)
+                    if s - be > licenses.GAP or e <= be or low < bl or high <= bh or new <= 0:
+                        return 0
+                total, before = total + new, (s, e, low, high)
+            return total
+
+        ordered = sorted(matches)
+        best = max(value(c) for n in range(1, len(ordered) + 1) for c in itertools.combinations(ordered, n))
+        found = licenses.chains(matches)
+        assert found[0][1] == best
+        spans = sorted(x[0][:2] for x in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_cover_is_best():
+    rng = random.Random(12)
+    for _ in range(300):
+        spans = [(s, s + rng.randint(1, 9), i, rng.randint(1, 9), 1.0) for i in range(rng.randint(0, 7)) for s in [rng.randrange(20)]]
+        free = lambda c: all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(c, 2))
+        best = max(sum(x[3] for x in c) for n in range(len(spans) + 1) for c in itertools.combinations(spans, n) if free(c))
+        got = licenses.cover(spans)
+        assert free(got) and sum(x[3] for x in got) == best
+
+
+def test_licences_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE)
+    labels = lambda text: [(s[2], round(s[3], 2)) for s in scanner.scan(text)[2] if s[3] >= licenses.COVER]
+    for label, text in licenses.TEMPLATES:
+        assert labels(f"Some words, before. {text.upper()} - some words after it")[0][0] == label, text
+        words = licenses.split(text)
+        if len(words) > 40:  # one word in twenty changed, and words put between
+            spoilt = b" ".join(w if i % 20 else b"zzz yyy" for i, w in enumerate(words)).decode()
+            assert {x for x, _ in labels(spoilt)} <= {label, label.split("-")[0]} and labels(spoilt)
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    assert labels(lesser) == [("lgpl-3", 1.0)]
+    assert {x for x, _ in labels(f"{licenses.TEMPLATES[0][1]} and then {licenses.TEMPLATES[3][1]}")} == {"mit", "isc"}
+    assert labels("the license you may use this software for any purpose") == [] and scanner.scan(None) == (0, [], [])
     _, _, spans = scanner.scan("Intro. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files. End")
     assert max(spans, key=lambda s: s[3])[2] == "mit"
-    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
 # 3 and 9 -------------------------------------------------------------------------------------------------------------

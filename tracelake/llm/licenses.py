@@ -1,18 +1,23 @@
 """Licence scans with a generalised suffix automaton of licence tokens.
 
 The automaton holds every run of words of all licence templates. A text's words are streamed through it, which gives
-matching statistics: for each word, the length of the longest run of template words that ends there. Long matches are
-chained, in order in both the text and the template, into covered spans; a template of which the share COVER is covered
-gives its label. Base phrases are templates too: they are found where the statistics reach their length.
+matching statistics: for each word, the longest run of template words that ends there, and for each place in a template
+the longest run that ends at that place. Runs that can't be extended at their place are the matches. The matches of a
+template are chained, forwards in the text and in the template, so that a chain covers as many words of the template as
+possible; of the chains that cover the share COVER of their template, those that together cover most words of the text
+without overlapping give their labels. Thus a notice of one licence isn't taken for its near relative. Base phrases are
+templates too: they are found where the statistics reach their length.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII; A-Z are lower-cased. Whole texts are read.
 
-Defined results: null and empty texts have no words and score 0; repeated rows give repeated rows; other columns are
-ignored by :func:`scan`.
+Defined results: null and empty texts have no words and score 0; of chains that cover equally many words the one of the
+larger share wins, then the earlier, then the template that stands first. Repeated rows give repeated rows; other columns
+are ignored by :func:`scan`.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,47 +26,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import table
+from tracelake.llm._common import held, slices, table
+from tracelake.llm.licence_texts import TEMPLATES
 
 #: Phrases whose every place counts, with their labels. Fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Licence notices, with their labels. Fixed values, from the public texts of the licences.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "released under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-]
 #: Least words of a match; most words of the text between chained matches; share of a template that gives its label.
 MATCH, GAP, COVER = 3, 12, 0.75
 _WORDS = bytes(b if chr(b).isascii() and chr(b).isalnum() and chr(b) == chr(b).lower() or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
+#: A match or chain: start and end in the text, start and end in the template.
+Match = tuple[int, int, int, int]
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_WORDS).split()
+
 
 class Automaton:
-    """Suffix automaton of several token sequences. first[state][template]: where an occurrence ends there first."""
+    """Suffix automaton of several token sequences. places[state]: the places (sequence, end) where the runs of a state end,
+    each with the length of the longest run that ends there, or 0 where that is the run read so far; runs of less than
+    `least` tokens are left out."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.first: list[dict[int, int]] = [{}]
+        ends: dict[int, list[tuple[int, int]]] = {}
         for template, tokens in enumerate(sequences):
             last = 0
             for i, token in enumerate(tokens):
                 last = self._extend(last, token)
-                self.first[last].setdefault(template, i + 1)
-        for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            parent = self.first[self.link[state]]
-            for template, end in self.first[state].items():
-                parent[template] = min(parent.get(template, end), end)
+                ends.setdefault(last, []).append((template, i + 1))
+        order = sorted(range(1, len(self.link)), key=lambda s: self.length[s])
+        for state in reversed(order):
+            ends.setdefault(self.link[state], []).extend(ends[state])
+        self.places: list[list[tuple[int, int, int]]] = [[] for _ in self.link]
+        for state in order:  # a place of a shorter run is one of the longer run too, where that doesn't end there itself
+            if self.length[state] >= least:
+                own, above = set(ends[state]), self.link[state]
+                self.places[state] = [(t, e, 0) for t, e in sorted(own)] + [(t, e, k or self.length[above]) for t, e, k in self.places[above] if (t, e) not in own]
 
     def _extend(self, last: int, token: int) -> int:
         """The state of the sequence so far with the token added."""
@@ -84,7 +87,6 @@ class Automaton:
         self.next.append(arrows)
         self.length.append(length)
         self.link.append(0)
-        self.first.append({})
         return len(self.link) - 1
 
     def _clone(self, at: int, to: int, token: int) -> int:
@@ -112,14 +114,60 @@ class Automaton:
             yield state, length
 
 
+def chains(matches: list[Match]) -> list[tuple[Match, int]]:
+    """Chains of one template's matches, each with the number of template words that it covers: the best one first taken, then
+    the best to the left and to the right of it, and so on. In a chain, matches go forward in the text, with GAP words between
+    them at most, and in the template; of overlapping ones only what is new counts."""
+    todo, out = [sorted(matches)], []
+    while todo:
+        part = todo.pop()
+        if not part:
+            continue
+        longest = max(e - s for s, e, _, _ in part)
+        best: list[tuple[int, int, int, int]] = []  # words covered, less start of the text, of the template, and the predecessor
+        for j, (start, end, low, high) in enumerate(part):
+            top = (end - start, -start, -low, -1)
+            for i in range(j - 1, -1, -1):
+                s, e, lo, hi = part[i]
+                if start - s > longest + GAP:
+                    break
+                new = end - start - max(0, e - start, hi - low)
+                if start - e <= GAP and end > e and low >= lo and high > hi and new > 0:
+                    top = max(top, (best[i][0] + new, best[i][1], best[i][2], i))
+            best.append(top)
+        j = max(range(len(part)), key=lambda k: best[k][:3])
+        covered, start, low, _ = best[j]
+        start, low = -start, -low
+        end, high = part[j][1], part[j][3]
+        if covered >= MATCH:
+            out.append(((start, end, low, high), covered))
+        todo += [[m for m in part if m[1] <= start], [m for m in part if m[0] >= end]]
+    return out
+
+
+#: A span of the text: start, end, template, words covered, share of the template.
+Span = tuple[int, int, int, int, float]
+
+
+def cover(spans: list[Span]) -> list[Span]:
+    """The spans, none overlapping another, that cover most words in all."""
+    spans = sorted(spans, key=lambda x: (x[1], x[0], -x[4], x[2]))
+    ends = [x[1] for x in spans]
+    best: list[tuple[int, float, list[int]]] = [(0, 0.0, [])]
+    for k, (start, _, _, covered, share) in enumerate(spans):
+        before = best[bisect_right(ends, start, hi=k)]
+        best.append(max(best[-1], (before[0] + covered, before[1] + share, [*before[2], k]), key=lambda x: x[:2]))
+    return [spans[k] for k in best[-1][2]]
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], base: dict[str, str]):
         self.labels = [label for label, _ in templates]
-        texts = [text.encode().split() for _, text in templates] + [phrase.encode().split() for phrase in base]
+        texts = [split(text) for _, text in templates] + [phrase.encode().split() for phrase in base]
         self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         sequences = [[self.ids[w] for w in t] for t in texts]
-        self.sizes = [len(s) for s in sequences[: len(templates)]]
-        self.automaton = Automaton(sequences)
+        self.templates = [[*s, -1] for s in sequences[: len(templates)]]
+        self.automaton = Automaton(sequences, MATCH)
         self.phrases: dict[int, list[tuple[list[int], str]]] = {}
         for tokens, label in zip(sequences[len(templates) :], base.values(), strict=True):
             self.phrases.setdefault(tokens[-1], []).append((tokens, label))
@@ -127,40 +175,31 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
         """Number of words; base places (start, end, label); covered spans (start, end, label, share of the template)."""
-        words = (text or "").encode().translate(_WORDS).split()
+        words = split(text)
         get = self.ids.get
         known = [get(w, 0) for w in words]
         ids = np.array(known, np.int32)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]])))
-        places, matches = [], {}
+        places, matches, templates, n = [], {}, self.templates, len(self.templates)
         for start, end in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
             if end - start < self.least:
                 continue
-            run = known[start:end]
-            found = list(self.automaton.statistics(run))
-            for i, (state, length) in enumerate(found):
+            run = [*known[start:end], 0]
+            for i, (state, length) in enumerate(self.automaton.statistics(run[:-1])):
                 if length < self.least:
                     continue
                 for tokens, label in self.phrases.get(run[i], ()):
                     if length >= len(tokens) and run[i + 1 - len(tokens) : i + 1] == tokens:
                         places.append((start + i + 1 - len(tokens), start + i + 1, label))
-                if length >= MATCH and (i + 1 == len(found) or found[i + 1][1] <= length):  # maximal
-                    for template, last in self.automaton.first[state].items():
-                        if template < len(self.sizes):
-                            matches.setdefault(template, []).append((start + i + 1 - length, start + i + 1, last - length, last))
-        return len(words), places, [span for template, found in sorted(matches.items()) for span in self._chained(template, found)]
-
-    def _chained(self, template: int, matches: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, str, float]]:
-        """Chains of matches that go forward in the text, with gaps of GAP words at most, and in the template."""
-        size, chain, covered = self.sizes[template], None, 0
-        for start, end, low, high in [*sorted(matches), (1 << 60, 1 << 60, 0, 0)]:
-            if chain and start - chain[1] <= GAP and high > chain[2]:
-                covered += high - max(low, chain[2])
-                chain = chain[0], max(end, chain[1]), high
-                continue
-            if chain and covered >= MATCH:
-                yield chain[0], chain[1], self.labels[template], covered / size
-            chain, covered = (start, end, high), high - low
+                if length >= MATCH:
+                    for template, last, size in self.automaton.places[state]:
+                        if template < n and templates[template][last] != run[i + 1]:  # it ends here
+                            size = size or length
+                            matches.setdefault(template, []).append((start + i + 1 - size, start + i + 1, last - size, last))
+        spans = [(s, e, t, covered, covered / (len(templates[t]) - 1)) for t, found in matches.items() for (s, e, _, _), covered in chains(found)]
+        sure = cover([x for x in spans if x[4] >= COVER])
+        free = [x for x in spans if x[4] < COVER and not any(x[0] < y[1] and y[0] < x[1] for y in sure)]
+        return len(words), places, [(s, e, self.labels[t], share) for s, e, t, _, share in sorted([*sure, *cover(free)])]
 
 
 @lru_cache(maxsize=1)
@@ -172,10 +211,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, places, spans): base places and covered spans, in words from 0, with labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner()
+        scanner = held("licenses", _scanner)
         place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
         span = pa.struct([*place, ("share", pa.float64())])
-        for batch in batches:
+        for batch in slices(batches):
             made = [scanner.scan(x) for x in batch.column(1).to_pylist()]
             places = [[{"start": s, "end": e, "label": x} for s, e, x in m[1]] for m in made]
             spans = [[{"start": s, "end": e, "label": x, "share": c} for s, e, x, c in m[2]] for m in made]
