@@ -19,10 +19,39 @@ def nice_round(v: Column) -> Column:
     return F.when(v <= 0, F.lit(1.0)).otherwise(F.when(f < 1.5, 1.0).when(f < 3.5, 2.0).when(f < 7.5, 5.0).otherwise(10.0) * power)
 
 
+def decimals(x: Column, places: int) -> Column:
+    """Text of x with so many decimals; halves go up, and -0 has no sign."""
+    scaled = F.floor(x * 10**places + 0.5).cast("long")
+    whole, part = F.floor(F.abs(scaled) / 10**places).cast("string"), F.lpad(F.pmod(F.abs(scaled), F.lit(10**places)).cast("string"), places, "0")
+    return F.concat(F.when(scaled < 0, "-").otherwise(""), whole, F.lit("."), part)
+
+
 def format_scale(microvolts: Column) -> Column:
-    small = F.format_string("%.2f µV", microvolts.cast("double"))
+    small = F.concat(decimals(microvolts, 2), F.lit(" µV"))
     mid = F.concat(F.floor(microvolts + 0.5).cast("string"), F.lit(" µV"))
-    return F.when(microvolts < 1, small).when(microvolts < 1000, mid).otherwise(F.format_string("%.1f mV", (microvolts / 1000).cast("double")))
+    return F.when(microvolts < 1, small).when(microvolts < 1000, mid).otherwise(F.concat(decimals(microvolts / 1000, 1), F.lit(" mV")))
+
+
+def scale_bar(slot_uv: Column, slot_height: Column, plot_x1: Column, plot_y0: Column, plot_height: Column) -> Column:
+    """Struct (uv, px, x, y_bottom, y_top) of the bar that shows about half a slot; null where it would be shorter than 8 pixels."""
+    uv = nice_round(slot_uv * 0.5)
+    px = uv / slot_uv * slot_height
+    bottom = plot_y0 + plot_height - 12
+    return F.when((slot_uv > 0) & (px >= 8), F.struct(uv.alias("uv"), px.alias("px"), (plot_x1 + 18).alias("x"), bottom.alias("y_bottom"), (bottom - px).alias("y_top")))
+
+
+def gain_readout(gain: Column, slot_uv: Column) -> Column:
+    """Text of the gain, with the size of a slot where it is known."""
+    factor = F.concat(decimals(gain, 2), F.lit("×"))
+    return F.when((slot_uv > 0) & ~F.isnan(slot_uv), F.concat(factor, F.lit(" (~"), format_scale(slot_uv), F.lit("/slot)"))).otherwise(factor)
+
+
+def cursor(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column, n_channels: Column, n_samples: Column, start: Column, fs: Column) -> Column:
+    """Struct (t, channel, sample) under a pointer, clamped to the plot."""
+    share = F.greatest(F.lit(0.0), F.least(width, x - left)) / width
+    channel = clamp(F.floor(F.greatest(F.lit(0.0), F.least(height, y - top)) / (height / n_channels)), F.lit(0), n_channels - 1)
+    sample = clamp(F.floor(share * (n_samples - 1) + 0.5), F.lit(0), n_samples - 1)
+    return F.when((width > 0) & (height > 0) & (n_channels > 0), F.struct((start + share * n_samples / fs).alias("t"), channel.alias("channel"), sample.alias("sample")))
 
 
 def hhmmss(seconds: Column) -> Column:
@@ -77,9 +106,11 @@ def duration_class(declared: Column, measured: Column) -> Column:
 
 
 def unit(text: Column) -> Column:
-    """Normal form of a voltage unit: µV, mV, V, au, or the text itself."""
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("uv", "µv", "μv", "microvolt", "microvolts"), "µV").when(t.isin("mv", "millivolt", "millivolts"), "mV").when(t.isin("v", "volt", "volts"), "V").when(t.isin("", "n/a", "au", "a.u."), "au").otherwise(F.trim(text))
+    """Display form of a unit: µV, mV, V, au, or the text itself; µV where there is none."""
+    t = F.lower(text)
+    starts = lambda *heads: F.lit(False) if not heads else F.startswith(t, F.lit(heads[0])) | starts(*heads[1:])
+    out = F.when(text.isNull() | (text == ""), "µV").when(t.isin("µv", "uv", "microv") | starts("microvolt"), "µV").when((t == "mv") | starts("millivolt"), "mV")
+    return out.when((t == "v") | starts("volt"), "V").when((t == "au") | starts("arb"), "au").otherwise(text)
 
 
 def cleaned(message: Column) -> Column:
@@ -87,23 +118,29 @@ def cleaned(message: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(message, r"\x1b\[[0-9;]*m", ""), r"\s+", " "))
 
 
-#: Rules of failure_class: a pattern of the message and its class; the first that matches counts.
+#: Classes of audit rows that didn't pass: class, extension, verdict, pattern of the message (any case); null asks nothing. The
+#: first that holds counts. Fixed values.
 FAILURES = [
-    (r"timed? ?out|timeout", "timeout"),
-    (r"(status|http)\s*(404|410)|not found", "missing"),
-    (r"(status|http)\s*(401|403)|forbidden|denied", "access"),
-    (r"cors|cross-origin", "cors"),
-    (r"unsupported|not supported|unknown format", "unsupported"),
-    (r"truncat|unexpected end|size mismatch", "truncated"),
-    (r"out of memory|allocation", "memory"),
-    (r"parse|invalid|malformed", "parse"),
+    ("format-CTF-residual", "ds", None, None),
+    ("format-FIFF-large", "fif", None, r"(fetchBuffer|exceeds .* cap|over .*MB|200 ?MB)"),
+    ("format-FIFF-no-raw-block", "fif", None, r"FIFFB_RAW_DATA|no .*raw.*block|events\/projections\/annotations only"),
+    ("format-EEGLAB-large", "set", None, r"200 ?MB|inline .* exceeds|cap on inline"),
+    ("format-EEGLAB-v73-renamed-fdt", "set", None, r"v?7\.3|HDF5|jsfive|renamed .*fdt|fdt .*not found"),
+    ("network-flake", None, "console-error", r"5\d\d|net::ERR|TLS|ECONNRESET|EAI_AGAIN"),
+    ("timeout-cold-cdn", None, "timeout", None),
+    ("timeout-cold-cdn", None, "render-fail", r"stage-caption never visible"),
 ]
 
 
-def failure_class(verdict: Column, message: Column) -> Column:
+def failure_class(ext: Column, verdict: Column, message: Column) -> Column:
+    """Null for a row that passed, else the class of the first rule that holds, else `unknown`."""
     out = F.when(verdict == "pass", F.lit(None).cast("string"))
-    for pattern, name in FAILURES:
-        out = out.when(F.lower(message).rlike(pattern), name)
+    for name, of_ext, of_verdict, pattern in FAILURES:
+        asked = [ext == of_ext] * (of_ext is not None) + [verdict == of_verdict] * (of_verdict is not None) + [F.coalesce(message, F.lit("")).rlike(f"(?i){pattern}")] * (pattern is not None)
+        holds = asked[0]
+        for a in asked[1:]:
+            holds = holds & a
+        out = out.when(holds, name)
     return out.otherwise("unknown")
 
 
@@ -128,10 +165,14 @@ def _biquad(fs: Column, f: Column, q: Column, numerator) -> Column:
     return F.struct((b0 / a0).alias("b0"), (b1 / a0).alias("b1"), (b2 / a0).alias("b2"), (-2 * c / a0).alias("a1"), ((1 - alpha) / a0).alias("a2"))
 
 
+#: Frames whose first axis points ahead and whose second points left. Fixed values.
+ALS = "^(ctf|4dbti|kityokogawa|eeglab|eeglab-hj)$"
+
+
 def display_point(x: Column, y: Column, z: Column, space: Column, units: Column) -> Column:
-    """Struct of millimetres in the RAS frame: an ALS frame is turned (-y, x, z); m and cm are scaled."""
-    als = space.rlike("(?i)als|ctf|4dbti|kityokogawa")
-    scale = F.when(F.lower(units) == "m", 1000.0).when(F.lower(units) == "cm", 10.0).otherwise(1.0)
+    """Struct of millimetres in the RAS frame: an ALS frame is turned (-y, x, z); m and cm are scaled, other units are not."""
+    als = F.coalesce(space.rlike(f"(?i){ALS}"), F.lit(False))
+    scale = F.when(units == "m", 1000.0).when(units == "cm", 10.0).otherwise(1.0)
     return F.struct((F.when(als, -y).otherwise(x) * scale).alias("x"), (F.when(als, x).otherwise(y) * scale).alias("y"), (z * scale).alias("z"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,30 +41,44 @@ def decimated(samples: DataFrame, pixels: int) -> DataFrame:
     """(channel, pixel, lo, hi): least and greatest value of each of so many equal runs of a channel's samples.
 
     Run p holds samples [floor(p * n / P), floor((p + 1) * n / P)). A pixel without samples of its own, where there are
-    fewer samples than pixels, repeats the sample that its run would begin with. NaN is left out.
+    fewer samples than pixels, repeats the sample that its run would begin with. NaN counts as a sample but has no value: a
+    pixel of nothing else has null bounds. Each sample finds its pixels by itself, so one aggregate does for all.
     """
-    clean = samples.where(~F.isnan("value"))
-    sizes = clean.groupBy("channel").agg((F.max("sample_idx") + 1).alias("n"))
-    sized = clean.withColumn("n", F.max("sample_idx").over(Window.partitionBy("channel")) + 1)
-    pixel = F.floor(((F.col("sample_idx") + 1) * pixels - 1) / F.col("n")).cast("int")
-    dense = sized.where(F.col("n") >= pixels).groupBy("channel", pixel.alias("pixel")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    few = sizes.where(F.col("n") < pixels).withColumn("pixel", F.explode(F.sequence(F.lit(0), F.lit(pixels - 1))))
-    few = few.withColumn("sample_idx", F.floor(F.col("pixel") * F.col("n") / pixels))
-    sparse = few.join(clean.select("channel", "sample_idx", "value"), ["channel", "sample_idx"]).select("channel", "pixel", F.col("value").alias("lo"), F.col("value").alias("hi"))
-    return dense.unionByName(sparse)
+    sizes = samples.groupBy("channel").agg((F.max("sample_idx") + 1).alias("n"))
+    i, n = F.col("sample_idx"), F.col("n")
+    dense = F.floor(((i + 1) * pixels - 1) / n)
+    # of fewer samples than pixels, sample i has the pixels p with floor(p * n / P) = i
+    first, last = F.when(n < pixels, F.ceil(i * pixels / n)).otherwise(dense), F.when(n < pixels, F.ceil((i + 1) * pixels / n) - 1).otherwise(dense)
+    placed = samples.join(sizes, "channel").select("channel", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("pixel"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    return placed.groupBy("channel", "pixel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-def upper_median(values: Column) -> Column:
-    """Of an array, the element floor(n / 2) in order: the greater of the middle two."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+#: Share of a group within which percentile_approx finds a rank, and the margin around a rank that is counted exactly.
+ACCURACY, MARGIN = 100_000, 5e-5
 
 
 def ranked(frame: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles: the element min(n - 1, floor(n * q)) in order."""
-    w = Window.partitionBy(*by)
-    placed = frame.select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    pick = lambda q: F.max(F.when(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value)))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *[pick(q).alias(name) for name, q in quantiles.items()])
+    """Nearest-rank quantiles: the element min(n - 1, floor(n * q)) in order, exactly; nulls don't count.
+
+    A sketch bounds each quantile from below and above; one aggregate counts what lies below the bound, another the values
+    between the bounds, each distinct value once. Only those few are put in order, so no task sorts a group.
+    """
+    rows = frame.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    shares = [min(1.0, max(0.0, q + d)) for q in quantiles.values() for d in (-MARGIN, MARGIN)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.percentile_approx("__v", shares, ACCURACY).alias("__bounds"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.get("__bounds", F.lit(2 * i)).alias("lo"), F.get("__bounds", F.lit(2 * i + 1)).alias("hi"), F.least(F.col("n") - 1, F.floor(F.col("n") * q)).alias("k")) for i, q in enumerate(quantiles.values())])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    bounded = rows.alias("a").join(sketch.select(*by, wanted.alias("__wanted")).alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in by], "__v", "__wanted")
+    below = bounded.groupBy(*by).agg(*[F.sum((F.col("__v") < F.get("__wanted", F.lit(i))["lo"]).cast("long")).alias(f"__b{i}") for i in range(len(quantiles))])
+    between = bounded.select(*by, "__v", F.explode("__wanted").alias("w")).where((F.col("__v") >= F.col("w.lo")) & (F.col("__v") <= F.col("w.hi")))
+    counted = between.groupBy(*by, "__v", F.col("w.i").alias("__i"), F.col("w.k").alias("__k")).agg(F.count("*").alias("__c"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"d.{c}")) for c in by]
+    base = F.get(F.array(*[F.col(f"d.__b{i}") for i in range(len(quantiles))]), F.col("c.__i"))
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy("__v"))
+    placed = counted.withColumn("__upto", upto).alias("c").join(below.alias("d"), same).where(base + F.col("c.__upto") > F.col("c.__k"))
+    picked = placed.groupBy(*[F.col(f"c.{c}").alias(c) for c in by]).agg(*[F.min(F.when(F.col("c.__i") == i, F.col("c.__v"))).alias(name) for i, name in enumerate(quantiles)])
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    return sketch.alias("e").join(picked.alias("f"), same).select(*[F.col(f"e.{c}").alias(c) for c in by], "n", "least", "most", *quantiles)
 
 
 def mode_high(frame: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -86,3 +103,23 @@ def restarted_sum(frame: DataFrame, by: str, order: str, delta: Column, restart:
     w = Window.partitionBy(by).orderBy(order)
     grouped = frame.withColumn("run", F.sum(restart.cast("int")).over(w))
     return grouped.withColumn("value", F.sum(delta).over(Window.partitionBy(by, "run").orderBy(order)))
+
+
+def spaced(marks: DataFrame, by: str, order: str, place: str, least: int) -> DataFrame:
+    """Of each group's marks in order, those at least so far after the last one kept: a fold over sorted rows that carries two
+    values, so a group of any size streams through its task."""
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marks.repartition(parts, by).sortWithinPartitions(by, order)
+    at, to = marks.columns.index(by), marks.columns.index(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (g, x) in enumerate(zip(batch.column(at).to_pylist(), batch.column(to).to_pylist(), strict=True)):
+                if last is None or g != group or x - last >= least:
+                    group, last = g, x
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int32()))
+
+    return dealt.mapInArrow(run, marks.schema)

@@ -29,26 +29,37 @@ def union_shards(spark, sf_dir):
     return A.merged([e.where("event_id % 3 = 0"), e.where("event_id % 3 = 1"), e.where("event_id % 3 = 2").drop("user_id")])
 
 
-#: Messages for audit rows, by event; the tables hold none.
-MESSAGES = ["Navigation timed out after 30 s", "HTTP 404 Not Found", "Unsupported dtype", "Unexpected end of file", "Invalid header", "strange failure", "status 403", "blocked by CORS policy"]
-AUDIT = "a AS (SELECT event_id, user_id, event_type, value, CASE WHEN value > 60 THEN 'pass' ELSE 'fail' END AS verdict, [" + ", ".join(f"'{m}'" for m in MESSAGES) + "][event_id % 8 + 1] AS message FROM events)"
-CLASS = "CASE WHEN verdict = 'pass' THEN NULL " + " ".join(f"WHEN regexp_matches(lower(message), '{p}') THEN '{n}'" for p, n in X.FAILURES) + " ELSE 'unknown' END"
+#: Audit rows by event; the tables hold none.
+MESSAGES = ["fetchBuffer: file exceeds the 200MB cap", "FIFFB_RAW_DATA missing", "inline data exceeds limit", "HDF5 container", "net::ERR_FAILED", "stage-caption never visible", "HTTP 503", "renamed a.fdt", "something else", "no usable raw data block"]
+EXTS, VERDICTS = ["ds", "fif", "set", "edf", "fif", "set", "vhdr"], ["fail", "console-error", "timeout", "render-fail"]
+AUDIT = f"""a AS (SELECT event_id, user_id, event_type, value, {EXTS}[event_id % 7 + 1] AS ext, CASE WHEN value > 60 THEN 'pass' ELSE {VERDICTS}[event_id % 4 + 1] END AS verdict, CASE WHEN event_id % 11 < 10 THEN {MESSAGES}[event_id % 11 + 1] END AS message FROM events)"""
+CLASS = """CASE WHEN verdict = 'pass' THEN NULL WHEN ext = 'ds' THEN 'format-CTF-residual'
+WHEN ext = 'fif' AND (message ILIKE '%fetchbuffer%' OR message ILIKE '%exceeds % cap%' OR message ILIKE '%over %mb%' OR message ILIKE '%200mb%' OR message ILIKE '%200 mb%') THEN 'format-FIFF-large'
+WHEN ext = 'fif' AND (message ILIKE '%fiffb\\_raw\\_data%' ESCAPE '\\' OR message ILIKE '%no %raw%block%' OR message ILIKE '%events/projections/annotations only%') THEN 'format-FIFF-no-raw-block'
+WHEN ext = 'set' AND (message ILIKE '%200mb%' OR message ILIKE '%200 mb%' OR message ILIKE '%inline % exceeds%' OR message ILIKE '%cap on inline%') THEN 'format-EEGLAB-large'
+WHEN ext = 'set' AND (message LIKE '%7.3%' OR message ILIKE '%hdf5%' OR message ILIKE '%jsfive%' OR message ILIKE '%renamed %fdt%' OR message ILIKE '%fdt %not found%') THEN 'format-EEGLAB-v73-renamed-fdt'
+WHEN verdict = 'console-error' AND (regexp_matches(message, '5[0-9][0-9]') OR message ILIKE '%net::err%' OR message ILIKE '%tls%' OR message ILIKE '%econnreset%' OR message ILIKE '%eai\\_again%' ESCAPE '\\') THEN 'network-flake'
+WHEN verdict = 'timeout' OR verdict = 'render-fail' AND message ILIKE '%stage-caption never visible%' THEN 'timeout-cold-cdn' ELSE 'unknown' END"""
 
 
 def audit_rows(spark, sf_dir: str):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    message = F.get(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 8).cast("int"))
-    return e.withColumns({"verdict": F.when(F.col("value") > 60, "pass").otherwise("fail"), "message": message})
+    one = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("event_id") % n).cast("int"))
+    return e.withColumns({"ext": one(EXTS, 7), "verdict": F.when(F.col("value") > 60, "pass").otherwise(one(VERDICTS, 4)), "message": one(MESSAGES, 11)})
+
+
+def classed():
+    return X.failure_class(F.col("ext"), F.col("verdict"), F.col("message"))
 
 
 @query(f"WITH {AUDIT} SELECT event_id, {CLASS} AS class FROM a")
 def failure_classify(spark, sf_dir):
-    return audit_rows(spark, sf_dir).select("event_id", X.failure_class(F.col("verdict"), F.col("message")).alias("class"))
+    return audit_rows(spark, sf_dir).select("event_id", classed().alias("class"))
 
 
 @query(f"WITH {AUDIT}, c AS (SELECT {CLASS} AS class, event_type FROM a) SELECT class, event_type, count(*) AS n FROM c GROUP BY ALL")
 def tally_by_verdict(spark, sf_dir):
-    return audit_rows(spark, sf_dir).select(X.failure_class(F.col("verdict"), F.col("message")).alias("class"), "event_type").groupBy("class", "event_type").agg(F.count("*").alias("n"))
+    return audit_rows(spark, sf_dir).select(classed().alias("class"), "event_type").groupBy("class", "event_type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {AUDIT} SELECT event_type, count(*) AS n, sum((verdict = 'pass')::INT)::BIGINT AS hits, round(sum((verdict = 'pass')::INT) / count(*), 6) AS rate FROM a GROUP BY event_type")
@@ -64,11 +75,11 @@ def multi_run_ci95(spark, sf_dir):
     return S.ci95(runs, ["event_type"], "rate").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most", "ci")])
 
 
-@query(f"WITH {AUDIT}, f AS (SELECT event_type, count(*) AS frequency FROM a GROUP BY 1) SELECT event_id, event_type, value, frequency FROM a JOIN f USING (event_type) WHERE verdict = 'fail' ORDER BY frequency, event_type, value DESC, event_id LIMIT 10")
+@query(f"WITH {AUDIT}, f AS (SELECT event_type, count(*) AS frequency FROM a GROUP BY 1) SELECT event_id, event_type, value, frequency FROM a JOIN f USING (event_type) WHERE verdict <> 'pass' ORDER BY frequency, event_type, value DESC, event_id LIMIT 10")
 def rarest_first_topk(spark, sf_dir):
-    rows = audit_rows(spark, sf_dir)
+    rows = audit_rows(spark, sf_dir).select("event_id", "event_type", "value", "verdict")
     frequency = rows.groupBy("event_type").agg(F.count("*").alias("frequency"))
-    return rows.where("verdict = 'fail'").join(F.broadcast(frequency), "event_type").orderBy("frequency", "event_type", F.desc("value"), "event_id").limit(10).select("event_id", "event_type", "value", "frequency")
+    return rows.where("verdict <> 'pass'").join(frequency, "event_type").orderBy("frequency", "event_type", F.desc("value"), "event_id").limit(10).select("event_id", "event_type", "value", "frequency")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k <= 3")
@@ -99,7 +110,7 @@ def budget_gate(spark, sf_dir):
 
 @query("SELECT n_regionkey, count(*) AS tables, sum((s_acctbal > 0)::INT)::BIGINT AS renderable, CASE WHEN min(s_acctbal) > 0 THEN 'ok' ELSE 'partial' END AS status FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_regionkey")
 def coordinate_sweep(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     return s.groupBy("n_regionkey").agg(F.count("*").alias("tables"), F.sum((F.col("s_acctbal") > 0).cast("long")).alias("renderable"), F.when(F.min("s_acctbal") > 0, "ok").otherwise("partial").alias("status"))
 
 

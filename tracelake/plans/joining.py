@@ -21,8 +21,8 @@ def bad_channel_mask(spark, sf_dir):
 def events_in_window(spark, sf_dir):
     """Events of a closed interval of time."""
     e = table(spark, sf_dir, "events")
-    t0 = e.agg(F.min("ts")).first()[0]
-    return e.where(F.col("ts").between(F.lit(t0) + F.expr("INTERVAL 1 DAY"), F.lit(t0) + F.expr("INTERVAL 2 DAY"))).select("event_id", "user_id", "event_type")
+    t0 = e.agg(F.min("ts")).scalar()
+    return e.where(F.col("ts").between(t0 + F.expr("INTERVAL 1 DAY"), t0 + F.expr("INTERVAL 2 DAY"))).select("event_id", "user_id", "event_type")
 
 
 @query("""WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 3 <> 0), e AS (SELECT event_id AS eid, user_id AS uid, epoch_us(ts) AS onset, event_type FROM events WHERE event_id % 3 = 0)
@@ -34,21 +34,29 @@ def nearest_event_asof(spark, sf_dir):
     return near.where(F.col("event_ord").isNotNull()).select("event_id", F.col("event_ord").alias("nearest_id"), F.col("event_event_type").alias("nearest_type"))
 
 
-@query(f"""WITH {SQL}, n AS (SELECT channel, max(sample_idx) AS last FROM s GROUP BY channel), q AS (SELECT channel, k, last, greatest(0, least((k * 0.37) * 10, last)) AS pos FROM n, (SELECT unnest(range(20)) AS k)),
+@query(f"""WITH {SQL}, n AS (SELECT channel, max(sample_idx) AS last FROM s GROUP BY channel), q AS (SELECT channel, k, last, greatest(0, least((k * 0.37) * 10, last)) AS pos FROM n, LATERAL (SELECT unnest(range(last * 10 // 37 + 2)) AS k)),
 v AS (SELECT q.*, floor(pos)::BIGINT AS f, pos - floor(pos) AS u FROM q)
 SELECT v.channel, k::INT AS k, CASE WHEN a.sample_idx % 11 = 10 THEN NULL WHEN u = 0 THEN round(a.value, 6) WHEN b.sample_idx % 11 <> 10 THEN round(a.value * (1 - u) + b.value * u, 6) END AS value
 FROM v LEFT JOIN s a ON a.channel = v.channel AND a.sample_idx = f LEFT JOIN s b ON b.channel = v.channel AND b.sample_idx = f + 1""")
 def interpolated_asof(spark, sf_dir):
+    """Values at times 0.37 s apart, from a channel's first frame to past its last."""
     frames = samples(spark, sf_dir).withColumn("ok", F.col("sample_idx") % 11 != 10)
-    points = frames.select("channel").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("t", F.col("k") * 0.37)
+    ends = frames.groupBy("channel").agg(F.max("sample_idx").alias("last"))
+    points = ends.select("channel", F.explode(F.sequence(F.lit(0), (F.floor(F.col("last") * 10 / 37) + 1).cast("int"))).alias("k")).withColumn("t", F.col("k") * 0.37)
     return J.interpolated(points, frames, "channel", "t", 10.0, "sample_idx", "value", "ok").select("channel", "k", F.round("value", 6).alias("value"))
 
 
-BLOCKS = "b AS (SELECT channel, 7 * k AS start, 5 + k % 3 AS size, k AS block FROM (SELECT DISTINCT channel FROM s), (SELECT unnest(range(12)) AS k))"
+BLOCKS = "m AS (SELECT channel, max(sample_idx) AS last FROM s GROUP BY channel), b AS (SELECT channel, 7 * k AS start, 5 + k % 3 AS size, k AS block FROM m, LATERAL (SELECT unnest(range(last // 7 + 1)) AS k))"
+
+
+def _ends(s):
+    return s.groupBy("channel").agg(F.max("sample_idx").alias("last"))
 
 
 def _blocks(s):
-    return s.select("channel").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(11)))).select("channel", (F.col("block") * 7).alias("start"), (F.col("block") % 3 + 5).alias("size"), "block")
+    """Blocks of 5 to 7 samples, each 7 samples after the last, over all of a channel."""
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 7).cast("int")))
+    return _ends(s).select("channel", k.alias("block")).select("channel", (F.col("block") * 7).alias("start"), (F.col("block") % 3 + 5).alias("size"), "block")
 
 
 @query(f"WITH {SQL}, {BLOCKS} SELECT s.channel, sample_idx, block::INT AS block FROM s JOIN b ON s.channel = b.channel AND sample_idx >= start AND sample_idx < start + size")
@@ -57,11 +65,11 @@ def block_range_join(spark, sf_dir):
     return J.in_blocks(s, _blocks(s), "channel", "sample_idx", "start", "size", ["block"], 16)
 
 
-@query(f"WITH {SQL}, {BLOCKS}, w AS (SELECT DISTINCT channel, k AS win, 10 * k AS a, 10 * k + 12 AS z FROM s, (SELECT unnest(range(8)) AS k)) SELECT w.channel, win::INT AS win, block::INT AS block, greatest(a, start)::INT AS \"from\", least(z, start + size)::INT AS \"to\" FROM w JOIN b ON w.channel = b.channel AND a < start + size AND z > start")
+@query(f"WITH {SQL}, {BLOCKS}, w AS (SELECT channel, k AS win, 10 * k AS a, 10 * k + 12 AS z FROM m, LATERAL (SELECT unnest(range(last // 10 + 1)) AS k)) SELECT w.channel, win::INT AS win, block::INT AS block, greatest(a, start)::INT AS \"from\", least(z, start + size)::INT AS \"to\" FROM w JOIN b ON w.channel = b.channel AND a < start + size AND z > start")
 def interval_overlap_join(spark, sf_dir):
     s = samples(spark, sf_dir)
     blocks = _blocks(s).withColumn("stop", F.col("start") + F.col("size"))
-    windows = s.select("channel").distinct().withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumns({"a": F.col("win") * 10, "z": F.col("win") * 10 + 12})
+    windows = _ends(s).select("channel", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 10).cast("int"))).alias("win")).withColumns({"a": F.col("win") * 10, "z": F.col("win") * 10 + 12})
     return J.overlapping(windows, blocks, "channel", ("a", "z"), ("start", "stop"), 16).select("channel", "win", "block", F.col("from").cast("int"), F.col("to").cast("int"))
 
 
@@ -111,7 +119,7 @@ def sensor_channel_join(spark, sf_dir):
 def located_channel_count(spark, sf_dir):
     """How many channels have a position: matches of a semi-join, by frame."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return c.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count("*").alias("located"))
+    return c.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count("*").alias("located"))
 
 
 @query("""WITH k AS (SELECT c_custkey, 'sub-' || c_nationkey || '/' || c_mktsegment AS key FROM customer), n AS (SELECT DISTINCT c_mktsegment AS name FROM customer)
@@ -129,7 +137,7 @@ r AS (SELECT *, rank() OVER (PARTITION BY s_suppkey ORDER BY score DESC) AS k FR
 SELECT s_suppkey, max(score) AS score, min(n_nationkey) AS n_nationkey, count(*) > 1 AS ambiguous FROM r WHERE k = 1 GROUP BY s_suppkey""")
 def best_scored_match(spark, sf_dir):
     """Coordinate files of a table, scored by what they share; a tie at the top is ambiguous."""
-    s, n = table(spark, sf_dir, "supplier"), F.broadcast(table(spark, sf_dir, "nation"))
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     by_region = s.join(n, F.col("s_nationkey") % 5 == F.col("n_regionkey"))
     by_nation = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).where(F.col("s_nationkey") % 5 != F.col("n_regionkey"))
     score = (F.col("s_nationkey") == F.col("n_nationkey")).cast("int") * 4 + (F.col("s_nationkey") % 5 == F.col("n_regionkey")).cast("int") * 2 + (F.col("s_suppkey") % 3 == F.col("n_nationkey") % 3).cast("int")
@@ -162,11 +170,13 @@ def skinned_points(spark, sf_dir):
     return J.skinned(weights, bones, rest).select("frame", "vertex", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 4 AND l_quantity > 45)")
+@query("""WITH c AS (SELECT l_suppkey, l_linenumber AS rate, count(*) AS cnt FROM lineitem GROUP BY ALL), m AS (SELECT rate FROM c GROUP BY rate ORDER BY count(*) DESC, rate DESC LIMIT 1)
+SELECT l_suppkey, rate::INT AS rate FROM c WHERE rate <> (SELECT rate FROM m)""")
 def dropped_channels(spark, sf_dir):
-    """Set difference: channels shown that aren't at the modal rate."""
-    l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber")  # noqa: E741
-    return l.select("l_suppkey").distinct().join(l.where("l_linenumber = 4 AND l_quantity > 45"), "l_suppkey", "left_anti")
+    """Set difference: channels (supplier and rate) shown that aren't at the rate which most have."""
+    c = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").cast("int").alias("rate")).distinct()
+    modal = c.groupBy("rate").agg(F.count("*").alias("n")).agg(F.max_by("rate", F.struct("n", "rate")).alias("rate"))
+    return c.join(c.join(modal, "rate", "left_semi"), ["l_suppkey", "rate"], "left_anti")
 
 
 @query(f"""WITH RECURSIVE {SQL}, x AS (SELECT channel, sample_idx AS i, (sample_idx * 9 + event_id % 7)::BIGINT AS px FROM s),
@@ -174,9 +184,6 @@ r AS (SELECT channel, 0::BIGINT AS i, px AS last, true AS shown FROM x WHERE i =
 SELECT r.channel, x.i, CASE WHEN px - last >= 32 THEN px ELSE last END, px - last >= 32 FROM r JOIN x ON x.channel = r.channel AND x.i = r.i + 1)
 SELECT channel, i AS sample_idx FROM r WHERE shown""")
 def label_suppression(spark, sf_dir):
-    """Labels at least 32 pixels after the last one drawn: a fold over each channel's marks in order."""
+    """Labels at least 32 pixels after the last one drawn."""
     x = samples(spark, sf_dir).select("channel", "sample_idx", (F.col("sample_idx") * 9 + F.col("event_id") % 7).alias("px"))
-    listed = x.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "px"))).alias("marks"))
-    start = F.struct(F.lit(-100).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, m: F.when(m["px"] - a["last"] >= 32, F.struct(m["px"].alias("last"), F.concat(a["kept"], F.array(m["sample_idx"])).alias("kept"))).otherwise(a)
-    return listed.select("channel", F.explode(F.aggregate("marks", start, step)["kept"]).alias("sample_idx"))
+    return S.spaced(x, "channel", "sample_idx", "px", 32).select("channel", "sample_idx")

@@ -9,17 +9,22 @@ from tracelake.streaming import chunks as C
 
 
 def chunks(spark, sf_dir: str):
+    """The turns of a conversation as chunks of its request. Of every third conversation the chunks before the last come twice, first
+    with an earlier epoch and other values; of every fifth the last chunk never comes."""
     c = table(spark, sf_dir, "conversations")
     last = c.groupBy("conv_id").agg(F.max("turn").alias("m"))
-    return c.join(last, "conv_id").select(F.col("conv_id").alias("request"), (F.col("conv_id") % 2 + F.col("turn") * 0).alias("epoch"), F.col("turn").alias("chunk_seq"), (F.col("turn") == F.col("m")).alias("last"), F.array(F.length("text")).alias("values"))
+    own = c.join(last, "conv_id").select(F.col("conv_id").alias("request"), F.lit(2).alias("epoch"), F.col("turn").alias("chunk_seq"), (F.col("turn") == F.col("m")).alias("last"), F.array(F.length("text")).alias("values"))
+    stale = own.where("request % 3 = 0 AND NOT last").withColumns({"epoch": F.lit(1), "values": F.array(F.lit(-1), F.lit(-2))})
+    return own.where("request % 5 <> 0 OR NOT last").unionByName(stale)
 
 
-@query("SELECT conv_id AS request, true AS complete, list(length(text)::INT ORDER BY turn) AS \"values\" FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations) GROUP BY conv_id")
+@query("""WITH c AS (SELECT DISTINCT ON (conv_id, turn) *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT conv_id AS request, bool_or(last) AS complete, list(length(text)::INT ORDER BY turn) AS "values" FROM c WHERE conv_id % 5 <> 0 OR NOT last GROUP BY conv_id""")
 def chunk_assembly(spark, sf_dir):
     return C.assembled(chunks(spark, sf_dir))
 
 
-@query("SELECT conv_id AS request, turn AS chunk_seq FROM conversations WHERE conv_id % 3 <> 0")
+@query("SELECT conv_id AS request, turn AS chunk_seq FROM (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE conv_id % 3 <> 0 AND (conv_id % 5 <> 0 OR NOT last)")
 def cancelled_requests(spark, sf_dir):
     own = chunks(spark, sf_dir)
     return C.uncancelled(own, own.where("request % 3 = 0")).select("request", "chunk_seq")

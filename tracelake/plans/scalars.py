@@ -6,13 +6,22 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as X
 from tracelake.plans.registry import query, table
+from tracelake.sources import sidecars
 
 
-@query("""WITH s AS (SELECT event_id, value * 3 - 100 AS v FROM events) SELECT event_id, CASE WHEN v < 1 THEN format('{:.2f} µV', v) WHEN v < 1000 THEN floor(v + 0.5)::BIGINT || ' µV' ELSE format('{:.1f} mV', v / 1000) END AS label FROM s WHERE abs(v * 100 - floor(v * 100) - 0.5) > 1e-6 AND abs(v / 100 - floor(v / 100) - 0.5) > 1e-6""")
+def decimals_sql(x: str, places: int) -> str:
+    """SQL of X.decimals: halves go up."""
+    n = f"floor({x} * {10**places} + 0.5)::BIGINT"
+    return f"((CASE WHEN {n} < 0 THEN '-' ELSE '' END) || abs({n}) // {10**places} || '.' || lpad((abs({n}) % {10**places})::VARCHAR, {places}, '0'))"
+
+
+SCALE_SQL = f"CASE WHEN v < 1 THEN {decimals_sql('v', 2)} || ' µV' WHEN v < 1000 THEN floor(v + 0.5)::BIGINT || ' µV' ELSE {decimals_sql('(v / 1000)', 1)} || ' mV' END"
+
+
+@query(f"WITH s AS (SELECT event_id, value * 3 - 100 AS v FROM events) SELECT event_id, {SCALE_SQL} AS label FROM s")
 def format_scale_labels(spark, sf_dir):
     s = table(spark, sf_dir, "events").select("event_id", (F.col("value") * 3 - 100).alias("v"))
-    near = lambda x: F.abs(x - F.floor(x) - 0.5) > 1e-6  # noqa: E731  halves are rounded differently by the two engines
-    return s.where(near(F.col("v") * 100) & near(F.col("v") / 100)).select("event_id", X.format_scale(F.col("v")).alias("label"))
+    return s.select("event_id", X.format_scale(F.col("v")).alias("label"))
 
 
 @query("SELECT event_id, lpad((((event_id * 37) % 86400) // 3600)::VARCHAR, 2, '0') || ':' || lpad(((((event_id * 37) % 86400) % 3600) // 60)::VARCHAR, 2, '0') || ':' || lpad((((event_id * 37) % 86400) % 60)::VARCHAR, 2, '0') AS clock, date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts)::INT AS second FROM events")
@@ -54,9 +63,13 @@ def duration_classes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.duration_class(declared, F.lit(1.0)).alias("class"))
 
 
-@query("SELECT event_id, ['µV', 'mV', 'V', 'au', 'fT', 'µV'][event_id % 6 + 1] AS unit, 'failed at step ' || event_id AS message FROM events")
+UNITS = ["uV", "mv", "Volts", "n/a", "fT", "µV", "MicroVolts", "millivolt", "arbitrary", "AU", "arb. units", "microV", " V"]
+
+
+@query(f"""WITH u AS (SELECT event_id, CASE WHEN event_id % 14 < 13 THEN {UNITS}[event_id % 14 + 1] END AS raw FROM events), l AS (SELECT *, lower(raw) AS t FROM u)
+SELECT event_id, CASE WHEN raw IS NULL THEN 'µV' WHEN t IN ('µv', 'uv', 'microv') OR t LIKE 'microvolt%' THEN 'µV' WHEN t = 'mv' OR t LIKE 'millivolt%' THEN 'mV' WHEN t = 'v' OR t LIKE 'volt%' THEN 'V' WHEN t = 'au' OR t LIKE 'arb%' THEN 'au' ELSE raw END AS unit, 'failed at step ' || event_id AS message FROM l""")
 def units_and_messages(spark, sf_dir):
-    units = F.get(F.array(*map(F.lit, ["uV", " mv", "V", "n/a", "fT", "µV"])), (F.col("event_id") % 6).cast("int"))
+    units = F.get(F.array(*map(F.lit, UNITS)), (F.col("event_id") % 14).cast("int"))
     message = F.concat(F.lit("\x1b[31mfailed\x1b[0m   at\n step "), F.col("event_id").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", X.unit(units).alias("unit"), X.cleaned(message).alias("message"))
 
@@ -72,11 +85,15 @@ def url_entity_parse(spark, sf_dir):
     return e.select("page_id", r("^([a-z]+)://").alias("scheme"), r("://([^/:?#]+)").alias("host"), r("/([a-z]{2})/[0-9]+").alias("lang"), r("/([0-9]+)").try_cast("long").alias("number"), made.alias("prefix"))
 
 
-@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, coalesce((props::JSON ->> 'missing'), 'none') AS missing FROM events")
+@query("""SELECT 'e' || event_id AS path, CASE WHEN event_id % 4 > 0 THEN (event_id % 4) * 250.0 END::DOUBLE AS fs, CASE WHEN event_id % 3 = 0 THEN value END AS duration, CASE WHEN event_id % 2 = 0 THEN event_type END AS reference, 50.0::DOUBLE AS line_frequency, (props::JSON ->> 'k')::BIGINT AS k FROM events""")
 def json_sidecar(spark, sf_dir):
-    """Typed fields of a JSON text beside defaults for those it lacks."""
-    s = F.from_json("props", "k long, missing string", {"mode": "PERMISSIVE"})
-    return table(spark, sf_dir, "events").select("event_id", s["k"].alias("k"), F.coalesce(s["missing"], F.lit("none")).alias("missing"))
+    """Typed fields of a JSON sidecar; an impossible rate is null, and fields that nobody named pass through."""
+    e = table(spark, sf_dir, "events")
+    rate = F.when(F.col("event_id") % 8 == 0, F.lit('"often"')).when(F.col("event_id") % 4 == 0, F.lit("-1")).otherwise((F.col("event_id") % 4 * 250).cast("string"))
+    more = [F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "RecordingDuration": '), F.col("value").cast("string"))), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(', "EEGReference": "'), "event_type", F.lit('"')))]
+    text = F.concat(F.lit('{"SamplingFrequency": '), rate, *[F.coalesce(m, F.lit("")) for m in more], F.lit(', "PowerLineFrequency": 50, "Other": '), "props", F.lit("}"))
+    made = sidecars.recording_json(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), text.alias("text")))
+    return made.select("path", "fs", "duration", "reference", "line_frequency", F.try_variant_get("extra", "$.Other.k", "bigint").alias("k"))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
@@ -85,12 +102,17 @@ def listing_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query("SELECT vec_id, round(-e[2] * 1000, 4) AS x, round(e[1] * 1000, 4) AS y, round(e[3] * 1000, 4) AS z, round(e[1] * 2 + 1, 6) AS hx, round(e[2] * 2 + 2, 6) AS hy, round(e[3] * 2 + 3, 6) AS hz FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)")
+SPACES, LENGTHS = ["CTF", "eeglab", "EEGLAB-HJ", "KitYokogawa", "4DBti", "CapTrak", "false", "ctfx", "fctf", "ACPC"], ["m", "cm", "mm", "M"]
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, lower({SPACES}[vec_id % 10 + 1]) IN ('ctf', '4dbti', 'kityokogawa', 'eeglab', 'eeglab-hj') AS als, CASE vec_id % 4 WHEN 0 THEN 1000 WHEN 1 THEN 10 ELSE 1 END AS k FROM embeddings)
+SELECT vec_id, round(CASE WHEN als THEN -b ELSE a END * k, 4) AS x, round(CASE WHEN als THEN a ELSE b END * k, 4) AS y, round(c * k, 4) AS z, round(a * 2 + 1, 6) AS hx, round(b * 2 + 2, 6) AS hy, round(c * 2 + 3, 6) AS hz FROM e""")
 def coordinate_frames(spark, sf_dir):
-    """Positions turned from an ALS frame in metres to RAS millimetres, and moved by a transform to the head."""
+    """Positions of several frames and units as RAS millimetres, and moved by a transform to the head."""
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", at(0).alias("a"), at(1).alias("b"), at(2).alias("c"))
-    shown = X.display_point(F.col("a"), F.col("b"), F.col("c"), F.lit("CTF"), F.lit("m"))
+    one = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("vec_id") % len(values)).cast("int"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), one(SPACES).alias("space"), one(LENGTHS).alias("units"))
+    shown = X.display_point(F.col("a"), F.col("b"), F.col("c"), F.col("space"), F.col("units"))
     m = F.array(*[F.lit(float(v)) for v in (2, 0, 0, 1, 0, 2, 0, 2, 0, 0, 2, 3, 0, 0, 0, 1)])
     head = X.to_head(m, F.col("a"), F.col("b"), F.col("c"))
     return e.withColumns({"s": shown, "h": head}).select("vec_id", *[F.round(F.col("s")[k], 4).alias(k) for k in "xyz"], *[F.round(F.col("h")[k], 6).alias(f"h{k}") for k in "xyz"])

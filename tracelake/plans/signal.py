@@ -48,7 +48,7 @@ def minmax_decimate(spark, sf_dir):
 SELECT event_type, sd AS median_std, round(sd * 6 / 0.9, 4) AS slot_uv FROM o WHERE k = n // 2""")
 def upper_median_scale(spark, sf_dir):
     spread = samples(spark, sf_dir).groupBy("channel", "event_type").agg(F.stddev_pop("value").alias("sd")).where("sd > 0").select("event_type", F.round("sd", 6).alias("sd"))
-    return spread.groupBy("event_type").agg(S.upper_median(F.collect_list("sd")).alias("median_std")).withColumn("slot_uv", F.round(F.col("median_std") * 6 / 0.9, 4))
+    return S.ranked(spread, ["event_type"], "sd", {"median_std": 0.5}).select("event_type", "median_std", F.round(F.col("median_std") * 6 / 0.9, 4).alias("slot_uv"))
 
 
 @query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -123,11 +123,27 @@ def filtfilt_zero_phase(spark, sf_dir):
     return dsp.filtered(samples(spark, sf_dir), [dsp.design("lowpass", 250, 45)]).select("channel", "sample_idx", F.round("filtered", 5).alias("filtered"))
 
 
-@query()
+def _pass(source: str, name: str, kind: str, f: float, backwards: bool) -> str:
+    """SQL of one pass over (channel, i, value): tables named after `name`."""
+    w0, alpha = f"(2 * pi() * {f} / 250)", "/ sqrt(2)" if kind != "notch" else "/ 60"
+    b0, b1 = {"highpass": ("(1 + cos(w0)) / 2", "-(1 + cos(w0))"), "lowpass": ("(1 - cos(w0)) / 2", "1 - cos(w0)"), "notch": ("1", "-2 * cos(w0)")}[kind]
+    i = "count(*) OVER (PARTITION BY channel) - 1 - i" if backwards else "i"
+    return f"""{name}k AS (SELECT ({b0}) / (1 + sin(w0) {alpha}) AS b0, ({b1}) / (1 + sin(w0) {alpha}) AS b1, -2 * cos(w0) / (1 + sin(w0) {alpha}) AS a1, (1 - sin(w0) {alpha}) / (1 + sin(w0) {alpha}) AS a2 FROM (SELECT {w0} AS w0)),
+{name}i AS (SELECT channel, ({i})::BIGINT AS i, value FROM {source}),
+{name}r AS (SELECT channel, 0::BIGINT AS i, value AS w, 0::DOUBLE AS w1, 0::DOUBLE AS w2 FROM {name}i WHERE i = 0
+UNION ALL SELECT r.channel, r.i + 1, s.value - a1 * r.w - a2 * r.w1, r.w, r.w1 FROM {name}r r JOIN {name}i s ON s.channel = r.channel AND s.i = r.i + 1, {name}k),
+{name} AS (SELECT channel, ({i})::BIGINT AS i, b0 * w + b1 * w1 + b0 * w2 AS value FROM {name}r, {name}k)"""
+
+
+CHAIN = [("highpass", 1), ("notch", 60), ("lowpass", 45)]
+_PASSES = [_pass(f"p{k}" if k else "z", f"p{k + 1}", *CHAIN[k // 2], k % 2 == 1) for k in range(6)]
+
+
+@query(f"WITH RECURSIVE {SQL}, z AS (SELECT channel, sample_idx AS i, value FROM s), " + ", ".join(_PASSES) + " SELECT channel, i AS sample_idx, round(value, 5) AS filtered FROM p6")
 def filter_chain(spark, sf_dir):
-    """High-pass, notch and low-pass in turn, as 32-bit numbers."""
-    chain = [dsp.design("highpass", 250, 1), dsp.design("notch", 250, 60), dsp.design("lowpass", 250, 45)]
-    return dsp.filtered(samples(spark, sf_dir), chain).select("channel", "sample_idx", F.col("filtered").cast("float").alias("filtered"))
+    """High-pass, notch and low-pass in turn, each without a shift of phase."""
+    chain = [dsp.design(kind, 250, f) for kind, f in CHAIN]
+    return dsp.filtered(samples(spark, sf_dir), chain).select("channel", "sample_idx", F.round("filtered", 5).alias("filtered"))
 
 
 @query("""WITH p AS (SELECT DISTINCT user_id AS channel, 100.0 + user_id % 7 * 50 AS fs, 1.0 + user_id % 40 AS f FROM events), w AS (SELECT *, 2 * pi() * f / fs AS w0 FROM p), a AS (SELECT *, 1 + sin(w0) / sqrt(2) AS a0, 1 + sin(w0) / 60 AS n0 FROM w)
@@ -192,7 +208,7 @@ def channel_page(spark, sf_dir):
     """The samples of one page of channels."""
     s = samples(spark, sf_dir)
     page = s.select("channel").distinct().orderBy("channel").offset(16).limit(8)
-    return s.join(F.broadcast(page), "channel", "left_semi").select("channel", "sample_idx", "value")
+    return s.join(page, "channel", "left_semi").select("channel", "sample_idx", "value")
 
 
 @query(f"WITH {SQL}, n AS (SELECT channel, count(*) AS n, max(abs(value)) AS most FROM s GROUP BY channel) SELECT channel, n, CASE WHEN n > 2 * 40 THEN 'decimated' ELSE 'polyline' END AS drawn, NOT isnan(most) AND most < 1e6 AS plausible FROM n")
