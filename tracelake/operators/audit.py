@@ -50,3 +50,14 @@ def gated(current: DataFrame, baseline: DataFrame, metric: str, worst: dict[str,
 def sampled(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows chosen by the hash of their key and a seed: repeatable, and the same for any order or partitioning."""
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key).limit(k)
+
+
+def catalogue(rows: DataFrame, dataset: str, passed: Column, hopeless: Column) -> DataFrame:
+    """(class, datasets, share, effective): datasets by what came of their rows: `loadable` if any passed, `empty` if none had a
+    chance, else `broken`; each class with its share and the pass rate of rows that had a chance."""
+    each = rows.groupBy(dataset).agg(F.count("*").alias("n"), F.sum(passed.cast("long")).alias("ok"), F.sum(hopeless.cast("long")).alias("gone"))
+    named = each.withColumn("class", F.when(F.col("ok") > 0, "loadable").when(F.col("gone") == F.col("n"), "empty").otherwise("broken"))
+    tried = F.sum("n") - F.sum("gone")
+    made = named.groupBy("class").agg(F.count("*").alias("datasets"), F.round(F.sum("ok") / F.when(tried != 0, tried), 6).alias("effective"))
+    total = named.agg(F.count("*").cast("double").alias("n")).scalar()
+    return made.select("class", "datasets", F.round(F.col("datasets") / total, 6).alias("share"), "effective")
