@@ -37,11 +37,10 @@ PATCH, LEAST = 9, 24
 #: A broadcast side of descriptors takes about 60 bytes a row.
 BROADCAST_KEYS = 600_000
 _PIECE = BITS // TABLES
-_TURNS = 64
 _rng = np.random.default_rng(20)
-#: Pairs of points of the tests, normal around the corner; and their places for each turn.
-_PAIRS = np.clip(_rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
-_POINTS = np.stack([np.rint(_PAIRS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).clip(-PATCH, PATCH).astype(np.int64) for a in np.arange(_TURNS) * 2 * np.pi / _TURNS])
+#: Pairs of points of the tests (x, y), normal around the corner, PATCH pixels away at most.
+_PAIRS = _rng.normal(0, PATCH / 2.2, (BITS, 2, 2)).astype(np.float32)
+_PAIRS *= np.minimum(1, PATCH / np.linalg.norm(_PAIRS, axis=2, keepdims=True))
 _SPAN = np.arange(-PATCH, PATCH + 1)
 _DISC = (_SPAN[:, None] ** 2 + _SPAN**2 <= PATCH**2).astype(np.float32)
 
@@ -88,6 +87,21 @@ def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return image[keep], row[keep], col[keep]
 
 
+def _tests(x: np.ndarray, image: np.ndarray, row: np.ndarray, col: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """The binary tests of each corner, at points turned by its angle, between pixels."""
+    c, s = (f(angle).astype(np.float32)[:, None, None] for f in (np.cos, np.sin))
+    px, py = _PAIRS[..., 0], _PAIRS[..., 1]
+    at_x, at_y = px * c - py * s + col[:, None, None].astype(np.float32), px * s + py * c + row[:, None, None].astype(np.float32)
+    x0, y0 = at_x.astype(np.int64), at_y.astype(np.int64)
+    fx, fy = at_x - x0, at_y - y0
+    flat, wide = x.reshape(-1), x.shape[2]
+    first = (image[:, None, None] * x.shape[1] + y0) * wide + x0
+    upper = flat[first] * (1 - fx) + flat[first + 1] * fx
+    lower = flat[first + wide] * (1 - fx) + flat[first + wide + 1] * fx
+    value = upper * (1 - fy) + lower * fy
+    return value[..., 0] + 1e-3 < value[..., 1]
+
+
 def described(images: np.ndarray) -> tuple[np.ndarray, ...]:
     """(image, x, y, level, angle in degrees, bits) of equally large images; x and y from the picture's centre."""
     x, found, level = images.astype(np.float32), [], 0
@@ -97,10 +111,7 @@ def described(images: np.ndarray) -> tuple[np.ndarray, ...]:
         image, row, col = _corners(soft)
         patch = soft[image[:, None, None], row[:, None, None] + _SPAN[:, None], col[:, None, None] + _SPAN] * _DISC
         angle = np.arctan2((patch * _SPAN[:, None]).sum((1, 2)), (patch * _SPAN).sum((1, 2)))
-        softer = _smooth(soft)
-        point = _POINTS[np.rint(angle * _TURNS / (2 * np.pi)).astype(np.int64) % _TURNS]
-        value = softer[image[:, None, None], row[:, None, None] + point[..., 1], col[:, None, None] + point[..., 0]]
-        bits = value[..., 0] + 1e-3 < value[..., 1]
+        bits = _tests(_smooth(soft), image, row, col, angle)
         centred = lambda at, size, full: (at + 0.5 - size / 2) * full / size
         found.append((image, centred(col, x.shape[2], width), centred(row, x.shape[1], height), np.full(len(image), level), np.degrees(angle), bits))
         level += 1
@@ -121,7 +132,7 @@ _PLACE = ["id", "corner", "side", "x", "y", "level", "angle"]
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.int32(), pa.float32()]
 _COLUMNS = "id long, corner int, side int, x float, y float, level int, angle float, " + ", ".join(f"{b} long" for b in _WORDS)
 #: Pixels of the pictures of one size that are described together.
-BATCH_PIXELS = 500_000
+BATCH_PIXELS = 250_000
 
 
 def descriptors(images: DataFrame) -> DataFrame:
