@@ -199,6 +199,31 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard_join.keep_one(odd).columns == odd.columns
 
 
+def test_prefixes_tie_links_and_not_passages(spark):
+    """Linked sets are connected; sets that share a passage alone aren't."""
+    rng = random.Random(15)
+    new = lambda: rng.getrandbits(63)
+    sets = []
+    for _ in range(12):
+        base = [new() for _ in range(rng.randint(5, 80))]
+        for _ in range(rng.randint(1, 6)):
+            sets.append({new() if rng.random() < 0.08 else x for x in base})
+    passage = [new() for _ in range(30)]
+    first = len(sets)
+    sets += [{*passage, *(new() for _ in range(60))} for _ in range(20)]
+    rows = [(i, bytearray(np.array(sorted(s), np.int64).tobytes())) for i, s in enumerate(sets)]
+    for percent in (80, 85):
+        ties = {tuple(r) for r in jaccard_join._prefix_ties(spark.createDataFrame(rows, "fp long, hashes binary"), percent).collect()}
+        label = list(range(len(sets)))
+        for _ in sets:
+            for u, v in ties:
+                label[u] = label[v] = min(label[u], label[v])
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                assert label[a] == label[b]
+        assert not any(u >= first or v >= first for u, v in ties)
+
+
 def test_signatures_lose_no_link():
     rng = random.Random(7)
     for _ in range(400):
@@ -591,13 +616,232 @@ def test_image_copies(spark):
     assert len(found) >= 27 and image_copies.copies(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_all_near_descriptors_meet(spark):
+def test_all_near_descriptors_meet(spark, monkeypatch):
+    """Every pair of descriptors within DISTANCE bits is met once, by broadcast and by shuffle."""
     rng = np.random.default_rng(5)
     base = rng.random((40, image_copies.BITS)) < 0.5
-    bits = np.concatenate([base, *(np.array([b ^ np.isin(np.arange(image_copies.BITS), rng.permutation(image_copies.BITS)[:k]) for b in base]) for k in range(15))])
-    rows = [(i, 0, 0, 0, 0, 0.0, x) for i, x in enumerate(image_copies.cut_up(bits).tolist())]
+    bits = np.concatenate([base, *(np.array([b ^ np.isin(np.arange(image_copies.BITS), rng.permutation(image_copies.BITS)[:k]) for b in base]) for k in range(12))])
+    rows = [(i, 0, 0, 0.0, 0.0, 0, 0.0, *map(int, x)) for i, x in enumerate(zip(*image_copies.packed(bits), strict=True))]
     made = spark.createDataFrame(rows, image_copies._COLUMNS)
-    found = image_copies.near(made, made.where("id < 40")).select("q_id", "id").collect()
     apart = (bits[:40, None] != bits[None]).sum(2)
     want = {(q, i) for q in range(40) for i in range(len(bits)) if q != i and apart[q, i] <= image_copies.DISTANCE}
-    assert len(want) == 40 * 13 and len(found) == len(want) and {tuple(r) for r in found} == want
+    for keys in (1 << 20, 0):
+        monkeypatch.setattr(image_copies, "BROADCAST_KEYS", keys)
+        found = image_copies.near(made, made.where("id < 40")).select("q_id", "id").collect()
+        assert len(want) == 40 * 8 and len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def turned(x, degrees, zoom=1.0):
+    """x turned about its centre and resized, bilinearly; what lies outside is the middle grey."""
+    h, w = (round(s * zoom) for s in x.shape)
+    a = np.radians(degrees)
+    yy, xx = np.mgrid[:h, :w]
+    dy, dx = (yy - (h - 1) / 2) / zoom, (xx - (w - 1) / 2) / zoom
+    sy, sx = np.cos(a) * dy + np.sin(a) * dx + (x.shape[0] - 1) / 2, -np.sin(a) * dy + np.cos(a) * dx + (x.shape[1] - 1) / 2
+    inside = (sy >= 0) & (sx >= 0) & (sy <= x.shape[0] - 1) & (sx <= x.shape[1] - 1)
+    y0, x0 = sy.clip(0, x.shape[0] - 2).astype(int), sx.clip(0, x.shape[1] - 2).astype(int)
+    fy, fx = sy - y0, sx - x0
+    v = (x[y0, x0] * (1 - fy) + x[y0 + 1, x0] * fy) * (1 - fx) + (x[y0, x0 + 1] * (1 - fy) + x[y0 + 1, x0 + 1] * fy) * fx
+    return np.where(inside, v, 128).round().clip(0, 255).astype(np.uint8)
+
+
+EDITS = {
+    "crop": lambda x, rng: x[20:100, 50:150],
+    "small crop of a large picture": lambda x, rng: x[100:170, 90:160],
+    "brightness": lambda x, rng: (x * 0.7 + 30).astype(np.uint8),
+    "noise": lambda x, rng: (x + rng.normal(0, 3, x.shape)).clip(0, 255).astype(np.uint8),
+    "quarter turn": lambda x, rng: np.ascontiguousarray(np.rot90(x)),
+    "turn by 17 degrees": lambda x, rng: turned(x, 17),
+    "turn by 45 degrees": lambda x, rng: turned(x, 45),
+    "resized to 0.7": lambda x, rng: turned(x, 0, 0.7),
+    "resized to 0.5": lambda x, rng: turned(x, 0, 0.5),
+}
+
+
+def textured(rng, side=200):
+    noise = rng.normal(0, 1, (1, side, side))
+    for _ in range(4):
+        noise = image_copies._smooth(noise)
+    return (noise[0] / noise.std() * 50 + 128).clip(0, 255).astype(np.uint8)
+
+
+def test_edited_copies_are_found(spark):
+    """Recall by kind of edit, on pictures of which every one matches its copies alone."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(6):
+        p = textured(rng)
+        rows += [(50 * i, p)] + [(50 * i + 1 + k, edit(p, rng)) for k, edit in enumerate(EDITS.values())]
+    df = spark.createDataFrame([(i, x.shape[1], x.shape[0], bytearray(np.ascontiguousarray(x).tobytes())) for i, x in rows], "id long, width int, height int, pixels binary").repartition(4)
+    found = image_copies.copies(df, F.col("id") % 50 == 0).where("kind = 'match'").collect()
+    assert all(r["id"] // 50 == r["other"] // 50 for r in found)
+    recall = {name: sum((50 * i, 50 * i + 1 + k) in {(r["id"], r["other"]) for r in found} for i in range(6)) / 6 for k, name in enumerate(EDITS)}
+    print(recall)
+    assert all(recall[e] == 1 for e in EDITS if e not in FAINT), recall
+    assert all(recall[e] >= 0.5 for e in FAINT), recall
+
+
+#: Edits after which fewer descriptors stay within DISTANCE bits.
+FAINT = ("small crop of a large picture",)
+
+
+def test_consensus_against_brute_force(spark):
+    """The matches are those of a comparison of all pairs of corners, bit by bit."""
+    rng = np.random.default_rng(9)
+    base = [textured(rng, 96) for _ in range(8)]
+    pictures = base + [(x * 0.8 + y * 0.2).astype(np.uint8) for x, y in zip(base, base[1:] + base[:1], strict=True)] + [turned(x, 10) for x in base]
+    df = spark.createDataFrame([(i, 96, 96, bytearray(x.tobytes())) for i, x in enumerate(pictures)], "id long, width int, height int, pixels binary")
+    got = {(r["id"], r["other"]): r["inliers"] for r in image_copies.copies(df, F.col("id") < 8).where("kind = 'match'").collect()}
+    made = [image_copies.described(x[None]) for x in pictures]
+    want = {}
+    for q in range(8):
+        for i in range(len(pictures)):
+            _, qx, qy, ql, qa, qb = made[q]
+            _, x, y, level, a, b = made[i]
+            pairs = [(m, n) for m, n in np.argwhere((qb[:, None] != b[None]).sum(2) <= image_copies.DISTANCE)] if q != i else []
+            props = []
+            for m, n in pairs:
+                t, s = np.radians(a[n] - qa[m]), 2.0 ** ((level[n] - ql[m]) / 2)
+                props.append((m, level[n] - ql[m], a[n] - qa[m], x[n] - s * (np.cos(t) * qx[m] - np.sin(t) * qy[m]), y[n] - s * (np.sin(t) * qx[m] + np.cos(t) * qy[m])))
+            room = max(image_copies.SHIFT, 96 * image_copies.SPREAD)
+            agree = lambda p, o: abs(p[1] - o[1]) <= image_copies.SCALE and abs((p[2] - o[2] + 180) % 360 - 180) <= image_copies.TURN and abs(p[3] - o[3]) <= room and abs(p[4] - o[4]) <= room
+            most = max((len({o[0] for o in props if agree(p, o)}) for p in props), default=0)
+            if most >= image_copies.INLIERS:
+                want[q, i] = most
+    assert len(want) >= 8
+    wrong = {k for k in got.keys() | want.keys() if got.get(k) != want.get(k)}
+    assert len(wrong) <= 0.1 * len(want), wrong  # 32-bit places may fall on the other side of a bound
+
+
+def test_drawn_vectors(spark):
+    rng = np.random.default_rng(10)
+    v = rng.normal(0, 1, (6, 64))
+    v = np.concatenate([v, v + rng.normal(0, 0.03, v.shape)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(20, None), (21, []), (22, [1.0, None]), (0, v[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = image_copies.copies(image_copies.drawn(df), F.col("id") < 6)
+    assert {(r["id"], r["other"]) for r in got.where("kind = 'match'").collect()} == {(i, i + 6) for i in range(6)}
+    assert got.where("kind = 'member'").count() == len(rows)
+
+
+# Brute force of the learned models and of the ring -------------------------------------------------------------------
+
+
+def test_expected_counts_of_all_segmentations():
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "bb": 5}
+    rng = np.random.default_rng(2)
+    prob = rng.random((8, 1)) / 4
+    prob[-1] = 0
+
+    def cuts(s):
+        if not s:
+            yield 1.0, []
+        for n in range(1, len(s) + 1):
+            i = pieces.get(s[:n], 6 if n == 1 else None)
+            if i is not None:
+                for p, rest in cuts(s[n:]):
+                    yield p * prob[i, 0], [i, *rest]
+
+    words, weight = ["abb", "aab", "bbx"], np.array([3.0, 1.0, 2.0])
+    want = np.zeros(8)
+    for w, k in zip(words, weight, strict=True):
+        all_cuts = list(cuts("▁" + w))
+        total = sum(p for p, _ in all_cuts)
+        for p, ids in all_cuts:
+            for i in ids:
+                want[i] += k * p / total
+    got = sum(lang_id.expected(ids, weight[places], prob) for places, ids in lang_id.lattices(words, pieces))
+    assert np.allclose(got, want)
+
+
+def test_learning_raises_the_likelihood():
+    words = collections.Counter("the cat sat on the mat and the rat sat on that hat".split())
+    pieces = {p: i for i, p in enumerate(sorted({w[i:j] for w in [f"▁{w}" for w in words] for i in range(len(w)) for j in range(i + 1, min(len(w), i + 4) + 1)}))}
+
+    def likelihood(model):
+        return sum(words[w] * np.log(lang_id.forward(ids, model.prob)[k, -1, 0]) for places, ids in lang_id.lattices(list(words), pieces) for k, w in enumerate(np.array(list(words))[places]))
+
+    found = [likelihood(lang_id.learn({"en": dict(words)}, pieces, rounds)) for rounds in (1, 2, 4, 8)]
+    assert found == sorted(found)
+
+
+def test_verdicts_are_posteriors():
+    model = lang_id.learn({"xx": {"aba": 5, "ab": 3}, "yy": {"bab": 5, "ba": 3}}, {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba"])})
+    scorer = lang_id.Scorer(model)
+    for text in ("ab aba", "bab", "ab ba bab aba q"):
+        total = np.zeros(2)
+        for w in text.split():
+            (_, ids), = lang_id.lattices([w], model.pieces)
+            total += np.log(lang_id.forward(ids, model.prob)[0, -1])
+        p = np.exp(total) / np.exp(total).sum()
+        (lang, score), = scorer.verdicts([text])
+        assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-9
+    tied = lang_id.Scorer(lang_id.learn({"b": {"a": 1}, "a": {"a": 1}}, {"▁": 0, "a": 1}))
+    assert list(tied.verdicts(["a"])) == [("a", 0.5)]
+
+
+def test_risk_and_its_gradient(monkeypatch):
+    """The descent follows the gradient of the non-negative risk, by finite differences; and steps back where that is negative."""
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, (60, 4)), rng.normal(0, 1, (80, 4))
+    caught = []
+    monkeypatch.setattr(quality, "_descend", lambda gradient, size: caught.append(gradient) or np.zeros(size))
+    quality.minimised(p, u, 0.4)
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts(w):
+        return 0.4 * loss(p @ w).mean(), loss(-(u @ w)).mean() - 0.4 * loss(-(p @ w)).mean()
+
+    seen = set()
+    for k in range(60):
+        w = rng.normal(0, 0.1 + k / 10, 4)
+        positive, negative = parts(w)
+        seen.add(negative < 0)
+        numeric = np.array([(lambda a, b: (sum(a) - sum(b) if negative >= 0 else b[1] - a[1]) / 2e-6)(parts(w + e), parts(w - e)) for e in np.eye(4) * 1e-6])
+        assert np.allclose(caught[0](w), numeric, atol=1e-5)
+    assert False in seen
+
+
+def test_prior_is_found():
+    rng = np.random.default_rng(5)
+    for prior in (0.2, 0.5, 0.8):
+        p = np.c_[rng.normal(2, 1, (3000, 2)), np.ones(3000)]
+        mixed = rng.random(3000) < prior
+        u = np.c_[np.where(mixed[:, None], rng.normal(2, 1, (3000, 2)), rng.normal(-2, 1, (3000, 2))), np.ones(3000)]
+        assert abs(quality.estimated_prior(p, u) - prior) < 0.06
+
+
+def test_ring_against_single_rows():
+    """Runs of rows are placed as row after row would be: owners first, then what overflows, clockwise."""
+    rng = random.Random(3)
+    for shards in (1, 2, 5, 24):
+        points, owner = sharding.ring(shards, 8)
+        counts = np.array([rng.choice([0, 0, 1, 5, 60]) for _ in range(len(points) + 1)])
+        own = np.append(owner, owner[0])
+        rows = [a for a, n in enumerate(counts) for _ in range(n)]
+        room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+        want: list = [None] * len(rows)
+        for r, a in enumerate(rows):
+            if room[own[a]]:
+                room[own[a]] -= 1
+                want[r] = int(own[a])
+        for r, a in enumerate(rows):
+            at = a
+            while want[r] is None:
+                at = (at + 1) % len(own)
+                if room[own[at]]:
+                    room[own[at]] -= 1
+                    want[r] = int(own[at])
+        got = [s for _, n, s in sharding.place(counts, own, shards) for _ in range(n)]
+        assert got == want
+
+
+def test_one_more_shard_moves_few():
+    points = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50_000))
+    placed = []
+    for shards in (24, 25):
+        at, owner = sharding.ring(shards)
+        counts = np.bincount(np.searchsorted(at, points, "left"), minlength=len(at) + 1)
+        placed.append(np.array([s for _, n, s in sharding.place(counts, np.append(owner, owner[0]), shards) for _ in range(n)]))
+    assert 1 / 25 <= (placed[0] != placed[1]).mean() < 0.1

@@ -68,8 +68,8 @@ def uniform(col: str | Column, seed: int = 7) -> Column:
 
 
 _HELD: dict[Any, Any] = {}
-#: What the C library is told, where it is glibc: blocks from 1 MB on are mapped one by one, and go back when they are freed.
-_MMAP_THRESHOLD, _TRIM_THRESHOLD, _LARGE = -3, -1, 1 << 20
+#: What the C library is told, where it is glibc: blocks from 4 MB on are mapped one by one, and go back when they are freed.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD, _LARGE = -3, -1, 4 << 20
 
 
 def _c_library() -> Any:

@@ -17,7 +17,8 @@ documents link when |A ∩ B| / |A ∪ B| reaches the threshold; the result has
 4. *T-occurrence search in each family.* An inverted index over the family's sets; each set queries it with the overlap T
    that its partner's size requires: short lists are heap-merged, the longest are binary-probed (DivideSkip), and those
    reaching T are links. Partners already in the same component are passed over, so copies don't cost all pairs.
-   Families of more than FAMILY shingles are first thinned by leaders, see :func:`_thinned`.
+   Families of more than FAMILY shingles are first cut up by rare shingles, see :func:`_prefix_ties`, and those that are
+   still as large are thinned by leaders, see :func:`_thinned`.
 5. *Documents.* The sets of one doc_id are tied to each other, and a component is named after the smallest doc_id in it.
 
 Everything is exact up to 64-bit hash collisions; no candidate, partner or bucket is capped.
@@ -50,7 +51,7 @@ HEAP = 64
 #: Shingles of a family that one task searches by itself, about 50 bytes each; larger families are dealt into parts.
 FAMILY = 200_000
 #: Bytes of text that are hashed together, and signatures that are grouped together before they leave a task.
-CHUNK, HELD = 1 << 19, 500_000
+CHUNK, HELD = 1 << 17, 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -523,6 +524,28 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_families(percent), "u long, v long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, hashes) to (h, fp, n): each shingle of a set, with the set's size."""
+    for batch in batches:
+        for fp, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h = np.frombuffer(blob, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), fp, np.int64)), pa.array(np.full(len(h), len(h), np.int64))], ["h", "fp", "n"])
+
+
+def _prefix_ties(sets: DataFrame, percent: int) -> DataFrame:
+    """Ties (u, v) of sets (fp, hashes) such that linked sets are connected, by the prefix principle: with shingles in one order for
+    all sets, linked sets have one in common among the first n - ceil(n * percent / 100) + 1 of each. In the order rare
+    shingles come first, so sets that share but a passage, however many do, aren't tied."""
+    tokens = sets.select("fp", "hashes").mapInArrow(_tokens, "h long, fp long, n long")
+    known = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # of each set the shingles that others have too; its own ones come before them
+    shared = tokens.join(known, "h").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ts"))
+    asked = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("ts"))
+    prefix = cut(shared.where(asked > 0).select("fp", F.explode(F.slice("ts", F.lit(1), asked.cast("int"))).alias("t")).select("fp", F.col("t.h").alias("h")))
+    centres = prefix.groupBy("h").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select("h", "u")
+    return prefix.join(centres, "h").where(F.col("fp") != F.col("u")).select("u", F.col("fp").alias("v"))
+
+
 def _thinned(sets: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
     """Exact links (u, v) that yield the components of families too large for one task; no pair of sets goes unexamined
     unless both are known to be in one component. weights: (family, weight), the shingles of each family.
@@ -567,9 +590,17 @@ def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame
     some = members.join(small(weights), "family").select("doc_id", "fp", "family", "weight")
     blobs = lambda which: docs.join(small(cut(some.where(which).drop("weight"))), "doc_id").select("doc_id", "fp", "family", "text").mapInArrow(_blobs(n), "fp long, family long, hashes binary")
     links = _searched(blobs(F.col("weight") <= FAMILY).withColumn("part", F.lit(0)).withColumn("known", F.col("fp")), percent)
-    large = weights.where(F.col("weight") > FAMILY)
-    if large.limit(1).count():
-        links = links.unionByName(_thinned(cut(blobs(F.col("weight") > FAMILY)), large, percent))
+    if weights.where(F.col("weight") > FAMILY).limit(1).count():
+        whole = cut(blobs(F.col("weight") > FAMILY).select("fp", "hashes").dropDuplicates(["fp"]))
+        parted = components(_prefix_ties(whole, percent)).select(F.col("doc").alias("fp"), F.col("root").alias("family"))
+        sized = cut(whole.join(small(parted), "fp").select("fp", "family", (F.octet_length("hashes") / 8).cast("long").alias("n")))
+        weights = cut(sized.groupBy("family").agg(F.sum("n").alias("weight")))
+        chosen = cut(sized.join(small(weights), "family").select("fp", "family", "weight"))
+        of = lambda which: whole.join(small(chosen.where(which).select("fp", "family")), "fp").select("fp", "family", "hashes")
+        links = links.unionByName(_searched(of(F.col("weight") <= FAMILY).withColumn("part", F.lit(0)).withColumn("known", F.col("fp")), percent))
+        large = weights.where(F.col("weight") > FAMILY)
+        if large.limit(1).count():
+            links = links.unionByName(_thinned(cut(of(F.col("weight") > FAMILY)), large, percent))
     # the sets of one document are in one component
     several = rows.groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where(F.col("u") != F.col("top")).select("doc_id", "u")
     own = rows.join(small(several), "doc_id").where(F.col("fp") != F.col("u")).select("u", F.col("fp").alias("v"))
