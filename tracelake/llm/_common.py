@@ -80,21 +80,37 @@ def _c_library() -> Any:
         return None
 
 
+def _trim() -> None:
+    """Give what was freed back to the system."""
+    gc.collect()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
+
+
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between its tasks: one thing at a time, so that the operators of a pipeline, which share
     their workers, don't add up. What the last operator left goes back to the system."""
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
         if (library := _c_library()) is not None:
             library.mallopt(_MMAP_THRESHOLD, _LARGE)
             library.mallopt(_TRIM_THRESHOLD, 4 * _LARGE)
-            library.malloc_trim(0)
         pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what batches have freed
+        _trim()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def tidy(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """run, with the worker's memory trimmed when a task ends: a worker may stay idle beside others."""
+
+    def wrapped(batches: Iterator[Any]) -> Iterator[Any]:
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 #: Rows and bytes of the batches that slices() cuts.
 SLICE_ROWS, SLICE_BYTES = 500, 2 << 20
 
@@ -129,6 +145,7 @@ def by_text(make: Callable[[], Callable[[list[str | None]], pa.Array]], kind: st
         for texts in arrays:
             found = [judge(texts.slice(start, end - start).to_pylist()) for start, end in cuts(pc.fill_null(pc.binary_length(texts), 0).to_pylist())]
             yield pa.concat_arrays(found) if found else judge([])
+        _trim()
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, held, slices, small, table
+from tracelake.llm._common import cut, held, slices, small, table, tidy
 
 WORDS, PERCENT = 4, 85
 #: Share of documents from which a shingle is hot. There are at most (mean set size) / HOT such shingles, whatever the
@@ -245,7 +245,7 @@ def _frequent(percent: int, n: int):
 def hot_shingles(docs: DataFrame, percent: int, n: int) -> np.ndarray:
     """Sorted hashes of the hot shingles of all documents."""
     total = docs.count()
-    counted = docs.mapInArrow(_frequent(percent, n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HOT * total))
+    counted = docs.mapInArrow(tidy(_frequent(percent, n)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HOT * total))
     found = counted.orderBy(F.desc("n"), "h").limit(HOT_MOST).toPandas()["h"].to_numpy(np.int64)  # at most HOT_MOST, see HOT
     return np.sort(found.view(np.uint64))
 
@@ -404,7 +404,7 @@ def components(ties: DataFrame) -> DataFrame:
     """
     ties = cut(ties.select("u", "v").distinct())
     if ties.limit(LOCAL_TIES + 1).count() <= LOCAL_TIES:
-        return cut(ties.coalesce(1).mapInArrow(_forests, "doc long, root long"))
+        return cut(ties.coalesce(1).mapInArrow(tidy(_forests), "doc long, root long"))
     both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = cut(ties.select(F.inline(both)))
     roots = cut(edges.groupBy(F.col("u").alias("doc")).agg(F.min("v").alias("root")).select("doc", F.least("doc", "root").alias("root")))
@@ -521,7 +521,7 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
     """(family, part, known, fp, hashes) to exact links (u, v), each (family, part) in one task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("family", "part", "known", "fp", "hashes").repartition(parts, "family", "part").sortWithinPartitions("family", "part")
-    return dealt.mapInArrow(_families(percent), "u long, v long")
+    return dealt.mapInArrow(tidy(_families(percent)), "u long, v long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,7 +536,7 @@ def _prefix_ties(sets: DataFrame, percent: int) -> DataFrame:
     """Ties (u, v) of sets (fp, hashes) such that linked sets are connected, by the prefix principle: with shingles in one order for
     all sets, linked sets have one in common among the first n - ceil(n * percent / 100) + 1 of each. In the order rare
     shingles come first, so sets that share but a passage, however many do, aren't tied."""
-    tokens = sets.select("fp", "hashes").mapInArrow(_tokens, "h long, fp long, n long")
+    tokens = sets.select("fp", "hashes").mapInArrow(tidy(_tokens), "h long, fp long, n long")
     known = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # of each set the shingles that others have too; its own ones come before them
     shared = tokens.join(known, "h").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ts"))
@@ -580,15 +580,15 @@ def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(hot_shingles(docs, percent, n))
-    signed = docs.mapInArrow(_signed(4 * parts, percent, n, hot), _ROW)
-    tied = cut(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tied, "kind int, u long, v long, w long"))
+    signed = docs.mapInArrow(tidy(_signed(4 * parts, percent, n, hot)), _ROW)
+    tied = cut(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_tied), "kind int, u long, v long, w long"))
     rows = tied.where(F.col("kind") == SIZE).select(F.col("u").alias("doc_id"), F.col("v").alias("n_shingles"), F.when(F.col("v") > 0, F.col("w")).alias("fp"))
     sets = cut(rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
     family = components(tied.where(F.col("kind") == TIE)).select(F.col("doc").alias("fp"), F.col("root").alias("family"))
     members = cut(sets.join(small(family), "fp").select("fp", "doc_id", "n_shingles", "family"))
     weights = cut(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")))
     some = members.join(small(weights), "family").select("doc_id", "fp", "family", "weight")
-    blobs = lambda which: docs.join(small(cut(some.where(which).drop("weight"))), "doc_id").select("doc_id", "fp", "family", "text").mapInArrow(_blobs(n), "fp long, family long, hashes binary")
+    blobs = lambda which: docs.join(small(cut(some.where(which).drop("weight"))), "doc_id").select("doc_id", "fp", "family", "text").mapInArrow(tidy(_blobs(n)), "fp long, family long, hashes binary")
     links = _searched(blobs(F.col("weight") <= FAMILY).withColumn("part", F.lit(0)).withColumn("known", F.col("fp")), percent)
     if weights.where(F.col("weight") > FAMILY).limit(1).count():
         whole = cut(blobs(F.col("weight") > FAMILY).select("fp", "hashes").dropDuplicates(["fp"]))

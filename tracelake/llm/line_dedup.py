@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import BROADCAST_ROWS, cut, held, slices, table
+from tracelake.llm._common import BROADCAST_ROWS, cut, held, slices, table, tidy
 
 LEADING, SEGMENTS, MIN_DOCS, OPEN, LONG = 3, 5, 3, 5, 8
 VARIABLE = "<*>"
@@ -81,7 +81,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
                     ids, found = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, key long")
+    return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(tidy(run), "doc_id long, key long")
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
