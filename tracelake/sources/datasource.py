@@ -2,10 +2,13 @@
 
     spark.dataSource.register(RecordingSource)
     spark.read.format("recording").option("start", 0).option("n", 1000).load("/data/*.edf")
+    spark.readStream.format("recording").load("/data/*.edf")
+    read(spark.createDataFrame([(path,), ...], "path string"), start=0, n=1000)
 
 Each file is planned as blocks of samples; a block that the wanted range doesn't touch is never planned, and a block
 reads no more bytes than its samples. The range and channels are options, not pushed filters: filters pushed to Python
-sources proved unreliable in this Spark version.
+sources proved unreliable in this Spark version. The source opens each header on the driver, to plan; :func:`read` opens
+them in tasks, for any number of files, and leaves out those that can't be read.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tracelake.sources import formats
 from tracelake.sources.layout import Layout, window
@@ -32,41 +37,122 @@ def _paths(options: dict) -> list[str]:
 
 @dataclass
 class Block(InputPartition):
-    layout: Layout
     recording: str
     start: int
     n: int
 
 
+def _step(layout: Layout, asked: int | None) -> int:
+    """Samples of a block: about BLOCK_BYTES, or as many as asked; whole records, as then no byte is read twice."""
+    step = asked or max(1, BLOCK_BYTES // max(1, layout.sample_bytes))
+    if layout.order == "whole":
+        return max(1, layout.n_samples)
+    return -(-step // layout.record_samples) * layout.record_samples if layout.order == "records" else step
+
+
+def _blocks(recording: str, layout: Layout, low: int, high: int, asked: int | None) -> list[Block]:
+    step = _step(layout, asked)
+    edges = [low, *range((low // step + 1) * step, high, step), high] if low < high else []
+    return [Block(recording, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _samples(block: Block, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(recording, channel_idx, channel, sample_idx, value) of a block."""
+    layout = formats.open_recording(block.recording)
+    own = [i for i, x in enumerate(layout.labels) if not names or x in names]
+    if not own or not block.n:
+        return
+    if layout.order == "whole":
+        x = formats.eeglab_whole(block.recording)[1][own, block.start : block.start + block.n]
+    else:
+        x = window(layout, block.start, block.n, own)
+    for row, c in zip(x, own, strict=True):
+        n = len(row)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block.recording] * n), pa.array(np.full(n, c, np.int32)), pa.array([layout.labels[c]] * n), pa.array(np.arange(block.start, block.start + n)), pa.array(row.astype(np.float32))],
+            ["recording", "channel_idx", "channel", "sample_idx", "value"],
+        )
+
+
 class _Samples(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.names = [c for c in options.get("channels", "").split(",") if c]
+        self.asked = int(options["blocksamples"]) if "blocksamples" in options else None
 
     def partitions(self) -> list[Block]:
         start, n = int(self.options.get("start", 0)), int(self.options.get("n", 1 << 62))
         out = []
         for path in _paths(self.options):
             layout = formats.open_recording(path)
-            low, high = max(0, start), min(start + n, layout.n_samples)
-            step = int(self.options.get("blocksamples", max(1, BLOCK_BYTES // max(1, layout.sample_bytes))))
-            if layout.order == "records":  # blocks of whole records read no byte twice
-                step = -(-step // layout.record_samples) * layout.record_samples
-            edges = [low, *range((low // step + 1) * step, high, step), high] if low < high else []
-            out += [Block(layout, path, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-        return out or [Block(Layout("", 1.0, 0, [], "<f4"), "", 0, 0)]
+            out += _blocks(path, layout, max(0, start), min(start + n, layout.n_samples), self.asked)
+        return out or [Block("", 0, 0)]
 
     def read(self, block: Block) -> Iterator[pa.RecordBatch]:
-        names = [c for c in self.options.get("channels", "").split(",") if c]
-        own = [i for i, x in enumerate(block.layout.labels) if not names or x in names]
-        if not own or not block.n:
-            return
-        x = window(block.layout, block.start, block.n, own)
-        for row, c in zip(x, own, strict=True):
-            n = len(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.recording] * n), pa.array(np.full(n, c, np.int32)), pa.array([block.layout.labels[c]] * n), pa.array(np.arange(block.start, block.start + n)), pa.array(row)],
-                ["recording", "channel_idx", "channel", "sample_idx", "value"],
-            )
+        if block.n:
+            yield from _samples(block, self.names)
+
+
+class _Growing(DataSourceStreamReader):
+    """Samples as files grow and as new ones come. The offset says how many samples of each file are done; a recording that can't
+    be read yet, because its header isn't complete, waits."""
+
+    def __init__(self, options: dict):
+        self.options, self.reader = options, _Samples(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        out = {}
+        for path in _paths(self.options):
+            try:
+                out[path] = formats.open_recording(path).n_samples
+            except (formats.FormatError, OSError, ValueError, KeyError):
+                continue
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Block]:
+        out = []
+        for path, high in end.items():
+            if high > start.get(path, 0):
+                out += _blocks(path, formats.open_recording(path), start.get(path, 0), high, self.reader.asked)
+        return out or [Block("", 0, 0)]
+
+    def read(self, block: Block) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(block)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+_SAMPLES = "recording string, channel_idx int, channel string, sample_idx long, value float"
+
+
+def read(files: DataFrame, start: int = 0, n: int = 1 << 62, channels: list[str] | None = None, block_samples: int | None = None) -> DataFrame:
+    """Samples of the recordings whose paths are in column `path`, planned by a first distributed pass over their headers: one
+    row for each block goes on, dealt over the tasks of a second pass."""
+    names = channels or []
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[Block] = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    layout = formats.open_recording(path)
+                except (formats.FormatError, OSError, ValueError, KeyError):
+                    continue
+                found += _blocks(path, layout, max(0, start), min(start + n, layout.n_samples), block_samples)
+            yield pa.RecordBatch.from_arrays([pa.array([b.recording for b in found], pa.string()), pa.array([b.start for b in found], pa.int64()), pa.array([b.n for b in found], pa.int64())], ["recording", "start", "n"])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for recording, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _samples(Block(recording, first, count), names)
+
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planned = files.select("path").where(F.col("path").isNotNull()).mapInArrow(plan, "recording string, start long, n long")
+    return planned.repartition(parts, "recording", "start").mapInArrow(load, _SAMPLES)
 
 
 class RecordingSource(DataSource):
@@ -77,11 +163,14 @@ class RecordingSource(DataSource):
         return "recording"
 
     def schema(self) -> str:
-        return "recording string, channel_idx int, channel string, sample_idx long, value float"
+        return _SAMPLES
 
     def reader(self, schema) -> DataSourceReader:
         return _Samples(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Growing(dict(self.options))
+
 
 class _Headers(DataSourceReader):
     def __init__(self, options: dict, events: bool):
@@ -96,12 +185,12 @@ class _Headers(DataSourceReader):
             x = formats.open_recording(path)
         except (formats.FormatError, OSError, ValueError, KeyError) as e:
             if not self.events:
-                yield path, None, None, None, None, None, None, None, str(e)
+                yield path, None, None, None, None, None, None, None, None, str(e)
             return
         if self.events:
-            yield from ((path, *e) for e in x.events)
+            yield from ((path, *e) for e in formats.events_of(x))
         else:
-            yield path, len(x.labels), x.fs, x.n_samples, x.n_samples / x.fs, x.labels, x.start_iso, x.warnings, None
+            yield path, len(x.labels), x.fs, x.n_samples, x.n_samples / x.fs, x.labels, x.start_iso, x.warnings, x.bad, None
 
 
 class HeaderSource(DataSource):
@@ -112,7 +201,7 @@ class HeaderSource(DataSource):
         return "recording_headers"
 
     def schema(self) -> str:
-        return "recording string, n_channels int, fs double, n_samples long, duration double, labels array<string>, start_iso string, warnings array<string>, error string"
+        return "recording string, n_channels int, fs double, n_samples long, duration double, labels array<string>, start_iso string, warnings array<string>, bad array<string>, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Headers(dict(self.options), False)

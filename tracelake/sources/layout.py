@@ -25,13 +25,17 @@ class Layout:
     labels: list[str]
     dtype: str  # a NumPy type, or `i3` for 24-bit little-endian
     base: int = 0  # byte of the first sample
-    order: str = "interleaved"  # or `channels`: one run for each channel; `records`: stripes within records; `blocks`: interleaved, in blocks
+    # interleaved; `channels`: one run for each channel; `records`: stripes within records; `blocks`: interleaved, in blocks, zero
+    # between them; `whole`: packed, to be decoded as a whole
+    order: str = "interleaved"
     scale: np.ndarray | float = 1.0
     offset: np.ndarray | float = 0.0  # value = raw * scale + offset
     types: list[str] = field(default_factory=list)
     start_iso: str | None = None
     events: list[tuple[float, float, str]] = field(default_factory=list)  # onset, duration, label
     warnings: list[str] = field(default_factory=list)
+    bad: list[str] = field(default_factory=list)  # channels that the recording itself marks as bad
+    notes: list[tuple[int, int]] = field(default_factory=list)  # byte in a record and size of each run of annotations
     record_bytes: int = 0
     record_samples: int = 0
     stripes: list[int] = field(default_factory=list)  # byte of each channel's stripe in a record
@@ -46,13 +50,29 @@ class Layout:
         return self.width * len(self.labels)
 
 
+def _store(path: str):
+    """The file system and path of an address with a scheme, such as hdfs:// or s3://."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def fetch_local(path: str, start: int, size: int) -> bytes:
+    """Bytes of a file: a mounted one, or one in a store that Arrow knows by its address."""
+    if "://" in path:
+        store, at = _store(path)
+        with store.open_input_file(at) as f:
+            f.seek(start)
+            return f.read(size)
     with open(path, "rb") as f:
         f.seek(start)
         return f.read(size)
 
 
 def size_local(path: str) -> int:
+    if "://" in path:
+        store, at = _store(path)
+        return store.get_file_info(at).size
     return os.path.getsize(path)
 
 
@@ -82,14 +102,14 @@ def window(layout: Layout, start: int, n: int, channels: list[int] | None = None
     elif layout.order == "channels":
         x = np.stack([numbers(fetch(layout.path, layout.base + (c * layout.n_samples + low) * w, (high - low) * w), layout.dtype) for c in own])
     elif layout.order == "blocks":
-        parts = []
-        for first, size, at in layout.blocks[bisect_right(layout.blocks, (low, 1 << 62, 0)) - 1 :]:
+        x = np.zeros((high - low, count), layout.dtype)
+        for first, size, at in layout.blocks[max(0, bisect_right(layout.blocks, (low, 1 << 62, 0)) - 1) :]:
             a, b = max(low, first), min(high, first + size)
-            if a >= high:
+            if first >= high:
                 break
-            raw = fetch(layout.path, at + (a - first) * count * w, (b - a) * count * w)
-            parts.append(numbers(raw, layout.dtype).reshape(-1, count))
-        x = np.concatenate(parts).T[own]
+            if a < b:
+                x[a - low : b - low] = numbers(fetch(layout.path, at + (a - first) * count * w, (b - a) * count * w), layout.dtype).reshape(-1, count)
+        x = x.T[own]
     else:
         per = layout.record_samples
         first, last = low // per, -(-high // per)

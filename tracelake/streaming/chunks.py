@@ -6,6 +6,10 @@ chunks of a request that comes in again with a later epoch replace the earlier o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,47 @@ def assembled(chunks: DataFrame) -> DataFrame:
     return newest.select("request", F.exists("parts", lambda p: p["last"]).alias("complete"), F.flatten(F.transform("parts", lambda p: p["values"])).alias("values"))
 
 
+_STATE = "epoch int, last int, sent int, seqs array<int>, sizes array<int>, flat array<double>"
+
+
+def assembled_stream(chunks: DataFrame, filtered: bool = False, time: str | None = None, idle: str = "10 minutes") -> DataFrame:
+    """(request, epoch, complete, values) of a stream of chunks (request, epoch, chunk_seq, last, values): each time more of a
+    window is there without a gap, what there is of it, and at the end all of it. With a filter on, which needs the whole
+    window, nothing but the end. A later epoch begins anew, an earlier one is left out, and so are repeats. With a column of
+    event time, what isn't added to for `idle` behind the watermark is forgotten; without one, nothing is. A window is what one
+    request asks for, and bounded as that is."""
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        epoch, last, sent, seqs, sizes, flat = state.get if state.exists else (-1, -1, 0, [], [], [])
+        parts, at = {}, 0
+        for seq, size in zip(seqs, sizes, strict=True):
+            parts[seq], at = list(flat[at : at + size]), at + size
+        for frame in frames:
+            for r in frame.itertuples():
+                if r.epoch > epoch:
+                    epoch, last, sent, parts = int(r.epoch), -1, 0, {}
+                if r.epoch == epoch:
+                    parts.setdefault(int(r.chunk_seq), [float(v) for v in r.values])
+                    last = int(r.chunk_seq) if r.last else last
+        whole = next(k for k in range(len(parts) + 1) if k not in parts)
+        done = 0 <= last < whole
+        values = [v for k in range(whole) for v in parts[k]]
+        fresh, sent = whole > sent, max(sent, whole)
+        state.update((epoch, last, sent, list(parts), [len(v) for v in parts.values()], [x for v in parts.values() for x in v]))
+        if time:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ms)
+        if fresh and (done or not filtered):
+            yield pd.DataFrame({"request": [key[0]], "epoch": [epoch], "complete": [done], "values": [values]})
+
+    columns = ["request", F.col("epoch").cast("int"), F.col("chunk_seq").cast("int"), "last", F.col("values").cast("array<double>")]
+    dealt = chunks.withWatermark(time, idle).select(*columns, time) if time else chunks.select(*columns)
+    return dealt.groupBy("request").applyInPandasWithState(step, "request long, epoch int, complete boolean, values array<double>", _STATE, "append", "EventTimeTimeout" if time else "NoTimeout")
+
+
 def requests_once(stream: DataFrame, key: str, time: str, delay: str = "10 minutes") -> DataFrame:
     """A stream of requests with repeats within the delay left out: work in flight isn't begun again."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
