@@ -31,8 +31,12 @@ BLOCK_BYTES = 32 << 20
 
 
 def _paths(options: dict) -> list[str]:
-    found = [p for part in options["path"].split(",") for p in (sorted(glob.glob(part)) or [part])]
-    return found
+    """Files of option `paths`, one on a line and taken as they are, or of the path: patterns set apart by commas, or one file."""
+    if "paths" in options:
+        return [p for p in options["paths"].split("\n") if p]
+    whole = options["path"]
+    parts = [whole] if glob.glob(whole) else whole.split(",")
+    return [p for part in parts for p in (sorted(glob.glob(part)) or [part])]
 
 
 @dataclass
