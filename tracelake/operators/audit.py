@@ -61,3 +61,16 @@ def catalogue(rows: DataFrame, dataset: str, passed: Column, hopeless: Column) -
     made = named.groupBy("class").agg(F.count("*").alias("datasets"), F.round(F.sum("ok") / F.when(tried != 0, tried), 6).alias("effective"))
     total = named.agg(F.count("*").cast("double").alias("n")).scalar()
     return made.select("class", "datasets", F.round(F.col("datasets") / total, 6).alias("share"), "effective")
+
+
+def report(rows: DataFrame, verdict: str, kind: str, ext: str, key: str, top: int = 10) -> DataFrame:
+    """(section, key, n, percent) of an audit: `summary` by verdict, `bins` by class (null: pass), and `surprising`, the rows that passed
+    or that no rule explains, of the rarest kinds of file first, passed ones before others, so many of them."""
+    total = rows.agg(F.count("*").cast("double").alias("n")).scalar()
+    counted = lambda section, by: rows.groupBy(by.alias("key")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.col("key").cast("string").alias("key"), "n", F.round(100.0 * F.col("n") / total, 1).alias("percent"))
+    frequency = rows.groupBy(ext).agg(F.count("*").alias("__f"))
+    odd = rows.where(F.col(kind).isNull() | (F.col(kind) == "unknown")).join(frequency, ext)
+    first = odd.orderBy(F.col(kind).isNotNull(), "__f", ext, key).limit(top)
+    numbered = first.withColumn("n", F.row_number().over(Window.orderBy(F.col(kind).isNotNull(), "__f", ext, key)).cast("long"))
+    surprising = numbered.select(F.lit("surprising").alias("section"), F.col(key).cast("string").alias("key"), "n", F.lit(None).cast("double").alias("percent"))
+    return counted("summary", F.col(verdict)).unionByName(counted("bins", F.coalesce(kind, F.lit("pass")))).unionByName(surprising)

@@ -45,3 +45,13 @@ def attached(recordings: DataFrame, sets: DataFrame, errors: DataFrame, by: str)
     both = recordings.join(found, by, "left").join(wrong, by, "left")
     ok = F.col("error").isNull()
     return both.select(*recordings.columns, (F.col("n").isNotNull() | ~ok).alias("supplied"), F.when(ok, F.coalesce("n", F.lit(0))).otherwise(0).alias("n_sets"), F.when(ok, F.col("first")).alias("source"), "error")
+
+
+def fitted(points: DataFrame, by: str, width: float, height: float, margin: float) -> DataFrame:
+    """points (by, px, py, ...) with their places (u, v) in a picture: each group as large as fits within the margin, centred, up
+    being up. A group without extent in one direction has no scale and is left out."""
+    box = points.groupBy(by).agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")).where("x1 > x0 AND y1 > y0")
+    scaled = box.withColumn("s", F.least((width - 2 * margin) / (F.col("x1") - F.col("x0")), (height - 2 * margin) / (F.col("y1") - F.col("y0"))))
+    u = width / 2 + (F.col("px") - (F.col("x0") + F.col("x1")) / 2) * F.col("s")
+    v = height / 2 - (F.col("py") - (F.col("y0") + F.col("y1")) / 2) * F.col("s")
+    return points.join(scaled, by).withColumns({"u": u, "v": v}).drop("x0", "x1", "y0", "y1", "s")
