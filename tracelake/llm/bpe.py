@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -242,15 +243,24 @@ def decode(frame: DataFrame, tokens: str = "tokens", to: str = "decoded", ranks_
     return frame.mapInArrow(run, schema)
 
 
-def merged_natively(word: Column, ranks: Column) -> Column:
-    """The same fold by Spark's higher-order functions: the pieces (array of binary) of a binary word, with a literal map
-    from piece to rank. Spark looks a key up in such a map from end to end, so with a full rank table this is for a few
-    words only; see the README for figures."""
+def rank_maps(ranks: dict[bytes, int], buckets: int) -> Column:
+    """The rank table as a literal array of maps from piece to rank, dealt by crc32, so that a lookup scans one small map."""
+    parts: list[dict[bytes, int]] = [{} for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        parts[zlib.crc32(piece) % buckets][piece] = rank
+    none = F.create_map(F.lit(b""), F.lit(NONE))
+    return F.array(*[F.map_from_arrays(F.array(*[F.lit(p) for p in part]), F.array(*[F.lit(r) for r in part.values()])) if part else none for part in parts])
+
+
+def merged_natively(word: Column, maps: Column) -> Column:
+    """The same fold by Spark's higher-order functions: the pieces (array of binary) of a binary word, with the maps of
+    :func:`rank_maps`. For few words: see the README for figures."""
     none = F.lit(NONE)
+    rank = lambda pair: F.coalesce(F.try_element_at(F.get(maps, F.pmod(F.crc32(pair), F.size(maps)).cast("int")), pair), none)
 
     def step(parts: Column, _: Column) -> Column:
         joined = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.concat(F.get(parts, i), F.get(parts, i + 1)))
-        found = F.transform(joined, lambda pair: F.coalesce(F.try_element_at(ranks, pair), none))
+        found = F.transform(joined, rank)
         at = F.array_position(found, F.array_min(found)).cast("int")
         merged = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.get(joined, at - 1)), F.slice(parts, at + 2, F.size(parts)))
         return F.when((F.size(parts) < 2) | (F.array_min(found) == none), parts).otherwise(merged)
