@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SIDE = "format string, version int, fs double, n_frames int, n_joints int, duration_s double, positions struct<encoding:string,data:string>, valid string"
@@ -50,3 +50,38 @@ def sidecar(xyz: np.ndarray, fs: float, valid: np.ndarray | None = None, kind: s
     coded = lambda x: base64.b64encode(np.ascontiguousarray(x).tobytes()).decode()
     made = {"format": kind, "version": 1, "fs": fs, "n_frames": xyz.shape[0], "n_joints": xyz.shape[1], "positions": {"encoding": "base64-f32", "data": coded(xyz.astype("<f4"))}}
     return made | ({"valid": coded(valid.astype(np.uint8))} if valid is not None else {})
+
+
+def _rotation(angle: Column, axis: Column, rest: Column) -> Column:
+    """Twelve numbers, row by row: a turn by an angle about a unit axis through a point."""
+    c, s = F.cos(angle), F.sin(angle)
+    k, r = [F.get(axis, F.lit(i)) for i in range(3)], [F.get(rest, F.lit(i)) for i in range(3)]
+    cross = [[F.lit(0.0), -k[2], k[1]], [k[2], F.lit(0.0), -k[0]], [-k[1], k[0], F.lit(0.0)]]
+    turn = [[(c if i == j else F.lit(0.0)) + k[i] * k[j] * (1 - c) + cross[i][j] * s for j in range(3)] for i in range(3)]
+    return F.array(*[x for i in range(3) for x in [*turn[i], r[i] - sum((turn[i][j] * r[j] for j in range(3)), F.lit(0.0))]])
+
+
+def _composed(a: Column, b: Column) -> Column:
+    """The affine map that is b, then a; both as twelve numbers."""
+    at = lambda m, i, j: F.get(m, F.lit(4 * i + j))
+    return F.array(*[sum((at(a, i, k) * at(b, k, j) for k in range(3)), at(a, i, 3) if j == 3 else F.lit(0.0)) for i in range(3) for j in range(4)])
+
+
+def kinematics(angles: DataFrame, joints: DataFrame, first: int = 1) -> DataFrame:
+    """(frame, bone, m): the affine frames that chains of joints come to, for J.skinned. angles (frame, chain, joint, angle); joints (chain,
+    joint, axis, rest). Along a chain the turns are composed, from joint 0 on; frames after joint `first` and later ones are bones,
+    numbered from 2 on in order of chain and joint; bones 0 and 1, root and wrist, don't move."""
+    turned = angles.join(joints, ["chain", "joint"]).select("frame", "chain", "joint", _rotation(F.col("angle"), F.col("axis"), F.col("rest")).alias("m"))
+    listed = turned.groupBy("frame", "chain").agg(F.array_sort(F.collect_list(F.struct("joint", "m"))).alias("ms"))
+    still = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)])
+    start = F.struct(still.alias("t"), F.array().cast("array<struct<joint:int,m:array<double>>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        t = _composed(a["t"], x["m"])
+        return F.struct(t.alias("t"), F.concat(a["out"], F.array(F.struct(x["joint"].cast("int").alias("joint"), t.alias("m")))).alias("out"))
+
+    chained = listed.select("frame", "chain", F.explode(F.aggregate("ms", start, step)["out"]).alias("x")).where(F.col("x.joint") >= first)
+    each = F.size(F.array_distinct(F.collect_list("x.joint").over(Window.partitionBy("frame", "chain"))))
+    bones = chained.withColumn("__n", each).select("frame", (2 + F.col("chain") * F.col("__n") + F.col("x.joint") - first).cast("int").alias("bone"), F.col("x.m").alias("m"))
+    root = angles.select("frame").distinct().select("frame", F.explode(F.array(F.lit(0), F.lit(1))).alias("bone"), still.alias("m"))
+    return root.unionByName(bones)

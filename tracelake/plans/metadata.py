@@ -36,6 +36,19 @@ def default_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.default_window(k % 300, F.when(k % 7 != 0, (k % 11) * 100.0), F.when(k % 2 == 0, 2)).cast("int").alias("seconds"))
 
 
+@query(f"""WITH e AS (SELECT event_id, ((event_id % 97) / 4.0)::DOUBLE AS t0, ((event_id % 97) / 4.0)::DOUBLE + ([0.05, 0.4, 1.3, 6, 20, 90, 700]::DOUBLE[])[event_id % 7 + 1] AS t1, 100 + event_id % 900 AS w FROM events), s AS (SELECT unnest({X.STEPS}::DOUBLE[]) AS step, unnest(range({len(X.STEPS)})) AS i),
+b AS (SELECT e.*, coalesce(max(i), 0) AS base FROM e LEFT JOIN s ON step <= (t1 - t0) / 7 GROUP BY ALL), c AS (SELECT b.*, s.i, s.step, ((t1 - t0) / s.step + 1) * 44 > w AND n.step IS NOT NULL AND n.step <= (t1 - t0) / 2 + 1e-9 AS crowded FROM b JOIN s ON s.i >= base LEFT JOIN s n ON n.i = s.i + 1),
+f AS (SELECT event_id, t0, t1, min_by(step, i) AS step FROM c WHERE NOT crowded GROUP BY ALL)
+SELECT event_id, step, greatest(0, floor((t1 + 1e-9) / step) - ceil(t0 / step) + 1)::INT AS n_major, round(ceil(t0 / step) * step, 6) AS first_major, (SELECT count(*) FROM range(ceil(t0 / (step / 5))::BIGINT, floor((t1 + 1e-9) / (step / 5))::BIGINT + 1) r(k) WHERE k % 5 <> 0)::INT AS n_minor FROM f""")
+def axis_ticks(spark, sf_dir):
+    """Major and minor ticks of time axes of several spans and widths."""
+    k = F.col("event_id")
+    t0 = (k % 97) / 4.0
+    t1 = t0 + F.get(F.array(*[F.lit(float(v)) for v in (0.05, 0.4, 1.3, 6, 20, 90, 700)]), (k % 7).cast("int"))
+    made = table(spark, sf_dir, "events").select("event_id", t0.alias("t0"), X.time_axis(t0, t1, 100 + k % 900).alias("a"))
+    return made.select("event_id", "a.step", F.size("a.major").alias("n_major"), F.round(F.ceil(F.col("t0") / F.col("a.step")) * F.col("a.step"), 6).alias("first_major"), F.size("a.minor").alias("n_minor"))
+
+
 @query("""SELECT event_id, event_id // 250 AS record, event_id % 250 AS within, 256 * 5 + (event_id // 250) * 4 * 250 * 2 AS byte, (event_id * 3 + 500 - 1) // 250 - (event_id * 3) // 250 + 1 AS records FROM events""")
 def record_layout(spark, sf_dir):
     """Record, place and byte of a sample, and how many records a window of 500 touches."""
