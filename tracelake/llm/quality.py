@@ -1,6 +1,6 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training rows with label 1; unlabelled texts come from the whole table. The share of positives
+Trusted positives are training rows with label 1; unlabelled texts are of all rows that may be trained on, without their labels. The share of positives
 among the unlabelled, the class prior, is estimated from where a first classifier can still tell them apart; then a
 logistic model minimises the non-negative unbiased risk
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]).
@@ -139,13 +139,13 @@ def _extracted(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, trained_on: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from about so many positives that `trained_on` admits and as many texts of the whole table."""
+    """Learn from about so many positives and as many texts of the rows that `trained_on` admits."""
     positive = labels.where(trained_on & (F.col("quality") == 1)).select("doc_id").distinct()
-    n_positive, n_docs = positive.count(), docs.count()
+    n_positive, n_docs = positive.count(), docs.where(trained_on).count()
     chosen = positive.where(uniform("doc_id") < min(1.0, rows / max(n_positive, 1)))
     taken = lambda df: np.stack(df.orderBy("doc_id").toPandas()["x"].map(np.asarray).tolist() or [np.zeros(N_FEATURES)])  # noqa: E731  14 numbers for each row of the sample
     p = taken(_extracted(docs.join(F.broadcast(chosen), "doc_id", "left_semi")))
-    u = taken(_extracted(docs.where(uniform("doc_id", 13) < min(1.0, rows / max(n_docs, 1)))))
+    u = taken(_extracted(docs.where(trained_on & (uniform("doc_id", 13) < min(1.0, rows / max(n_docs, 1))))))
     if not n_positive:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(2 * N_FEATURES + 1), 0.5)
     return learned(p, u)
