@@ -302,7 +302,9 @@ def test_language(spark, odd, none):
     signs = ["½ ② ²", "Ⅷ ٣ 12", "\u0301\u0902", "_ - 🙂", "ª", "हिन्दी", None, ""]
     lettered = [r["lang_pred"] != "und" for r in lang_id.predict(spark.createDataFrame([(i, x) for i, x in enumerate(signs)], "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()]
     assert lettered == [False, False, False, False, True, True, False, False]
-    assert lang_id._FIND("हिन्दी और x½y") == ["हिन्दी", "और", "x", "y"]
+    assert lang_id.found_words("हिन्दी और X½y") == ["हिन्दी", "और", "x", "y"]
+    plain = "".join(map(chr, range(0x250))) + "Añadió 3½ mètres_de×long " + "x" * 70
+    assert lang_id._PLAIN(plain) == lang_id._BY_REGEX(plain)
     assert lang_id.predict(none, model).count() == 0
     nothing = lang_id.fit(none, ~lang_id.held_out())
     assert {r["lang_pred"] for r in lang_id.predict(docs, nothing).collect()} == {"und"}
