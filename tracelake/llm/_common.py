@@ -12,7 +12,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that may be broadcast by hint: at 16 to 64 bytes each, at most about 64 MB.
@@ -57,6 +57,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with `rank` (from 0, in the order of `order` within each value of group) and `total` (rows of the group).
+
+    A range partitioning by group and order deals a hot group over many tasks, rows that are equal in all of these by a third
+    key; only (group, partition) counts are summed in a window. Nulls are a group of their own and come first.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group, *order, "__dealt"]
+    dealt = df.withColumn("__dealt", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__dealt")
+    rows = cut(dealt.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)))
+    runs = rows.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__p")).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    own = Window.partitionBy("__group")
+    before = F.coalesce(F.sum("__n").over(own.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = cut(runs.select("*", before.alias("__before"), F.sum("__n").over(own).alias("total")))
+    met = rows.join(runs, rows[group].eqNullSafe(runs["__group"]) & (rows["__part"] == runs["__p"]))
+    return met.withColumn("rank", F.col("__row") - F.col("__first") + F.col("__before")).drop("__row", "__part", "__group", "__p", "__first", "__n", "__before")
+
+
 def crc_mod(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, mod so many: the hold-out rule."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % mod
