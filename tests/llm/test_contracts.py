@@ -23,9 +23,12 @@ COLUMNS = {
     "op8_licenses": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
     "op9_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op11_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op12_mixture": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op13_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
 }
-TABLES = ("documents", "labels", "benchmark", "embeddings")
-PER_ROW = [q for q in COLUMNS if q not in ("op5_jaccard_join", "op6_image_copies", "op7_decontamination")]
+TABLES = ("documents", "labels", "benchmark", "embeddings", "conversations")
+PER_ROW = [q for q in COLUMNS if q not in ("op5_jaccard_join", "op6_image_copies", "op7_decontamination", "op11_repair")]
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +43,8 @@ def odd_dir(spark, tmp_path_factory):
             df = df.unionByName(spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 1, 0), (2, 1, 0), (4, 0, 1)], df.schema))
         if name == "benchmark":
             df = df.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "no id"), (None, "a")], df.schema))
+        if name == "conversations":
+            df = df.unionByName(spark.createDataFrame([(None, None, None, None), (0, None, "user", ""), (0, 1, "", "a."), (0, 1, "tool", "b"), (9000, 4, None, "c")], df.schema))
         if name == "embeddings":
             df = df.unionByName(df.where("vec_id % 50 = 0")).unionByName(df.limit(3).withColumn("embedding", F.lit(None).cast(df.schema["embedding"].dataType))).unionByName(df.limit(1).withColumn("vec_id", F.lit(None).cast("long")))
         df.withColumns({c: F.lit("x") for c in ("score", "words", "h", "shard", "key", "tokens", "size", "h1", "family", "weight", "n")}).write.parquet(f"{made}/{name}.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, contamination, image_copies, jaccard_join, lang_id, licenses, line_dedup, merkle, mixing, quality, sharding, toxicity
+from tracelake.llm import bpe, contamination, conversation_repair, image_copies, jaccard_join, lang_id, licenses, line_dedup, merkle, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": lang_id.op1_language,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_repair": conversation_repair.op11_repair,
     "op12_mixture": mixing.op12_mixture,
     "op13_manifest": merkle.op13_manifest,
 }
