@@ -621,7 +621,7 @@ def test_all_near_descriptors_meet(spark, monkeypatch):
     """Every pair of descriptors within DISTANCE bits is met once, by broadcast and by shuffle."""
     rng = np.random.default_rng(5)
     base = rng.random((40, image_copies.BITS)) < 0.5
-    bits = np.concatenate([base, *(np.array([b ^ np.isin(np.arange(image_copies.BITS), rng.permutation(image_copies.BITS)[:k]) for b in base]) for k in range(12))])
+    bits = np.concatenate([base, *(np.array([b ^ np.isin(np.arange(image_copies.BITS), rng.permutation(image_copies.BITS)[:k]) for b in base]) for k in range(20))])
     rows = [(i, 0, 0, 0.0, 0.0, 0, 0.0, *map(int, x)) for i, x in enumerate(zip(*image_copies.packed(bits), strict=True))]
     made = spark.createDataFrame(rows, image_copies._COLUMNS)
     apart = (bits[:40, None] != bits[None]).sum(2)
@@ -629,7 +629,7 @@ def test_all_near_descriptors_meet(spark, monkeypatch):
     for keys in (1 << 20, 0):
         monkeypatch.setattr(image_copies, "BROADCAST_KEYS", keys)
         found = image_copies.near(made, made.where("id < 40")).select("q_id", "id").collect()
-        assert len(want) == 40 * 8 and len(found) == len(want) and {tuple(r) for r in found} == want
+        assert len(want) == 40 * 16 and len(found) == len(want) and {tuple(r) for r in found} == want
 
 
 def turned(x, degrees, zoom=1.0):
@@ -654,8 +654,11 @@ EDITS = {
     "quarter turn": lambda x, rng: np.ascontiguousarray(np.rot90(x)),
     "turn by 17 degrees": lambda x, rng: turned(x, 17),
     "turn by 45 degrees": lambda x, rng: turned(x, 45),
-    "resized to 0.7": lambda x, rng: turned(x, 0, 0.7),
-    "resized to 0.5": lambda x, rng: turned(x, 0, 0.5),
+    **{f"resized to {z}": lambda x, rng, z=z: turned(x, 0, z) for z in (0.9, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5, 0.4, 1.2, 1.5)},
+    "resized to 0.8 and turned by 30 degrees": lambda x, rng: turned(x, 30, 0.8),
+    "resized to 0.8, in blocks of 8 grey values": lambda x, rng: turned(x, 0, 0.8) // 8 * 8,
+    "crop of a tenth": lambda x, rng: x[60:124, 60:124],
+    "crop at 0.8": lambda x, rng: turned(x[20:160, 30:170], 0, 0.8),
 }
 
 
@@ -678,12 +681,7 @@ def test_edited_copies_are_found(spark):
     assert all(r["id"] // 50 == r["other"] // 50 for r in found)
     recall = {name: sum((50 * i, 50 * i + 1 + k) in {(r["id"], r["other"]) for r in found} for i in range(6)) / 6 for k, name in enumerate(EDITS)}
     print(recall)
-    assert all(recall[e] == 1 for e in EDITS if e not in FAINT), recall
-    assert all(recall[e] >= 0.5 for e in FAINT), recall
-
-
-#: Edits after which fewer descriptors stay within DISTANCE bits.
-FAINT = ("small crop of a large picture",)
+    assert all(r >= 0.9 for r in recall.values()), recall
 
 
 def test_consensus_against_brute_force(spark):
@@ -695,19 +693,21 @@ def test_consensus_against_brute_force(spark):
     got = {(r["id"], r["other"]): r["inliers"] for r in image_copies.copies(df, F.col("id") < 8).where("kind = 'match'").collect()}
     made = [image_copies.described(x[None]) for x in pictures]
     want = {}
+    room = max(image_copies.SHIFT, 96 * image_copies.SPREAD)
+    both = lambda v, wide, around=0: [(h, int(np.floor(v / wide + h / 2)) % (around or 1 << 60)) for h in (0, 1)]
     for q in range(8):
+        _, qx, qy, ql, qa, qb = image_copies.described(pictures[q][None], between=True)
         for i in range(len(pictures)):
-            _, qx, qy, ql, qa, qb = made[q]
             _, x, y, level, a, b = made[i]
-            pairs = [(m, n) for m, n in np.argwhere((qb[:, None] != b[None]).sum(2) <= image_copies.DISTANCE)] if q != i else []
-            props = []
-            for m, n in pairs:
-                t, s = np.radians(a[n] - qa[m]), 2.0 ** ((level[n] - ql[m]) / 2)
-                props.append((m, level[n] - ql[m], a[n] - qa[m], x[n] - s * (np.cos(t) * qx[m] - np.sin(t) * qy[m]), y[n] - s * (np.sin(t) * qx[m] + np.cos(t) * qy[m])))
-            room = max(image_copies.SHIFT, 96 * image_copies.SPREAD)
-            agree = lambda p, o: abs(p[1] - o[1]) <= image_copies.SCALE and abs((p[2] - o[2] + 180) % 360 - 180) <= image_copies.TURN and abs(p[3] - o[3]) <= room and abs(p[4] - o[4]) <= room
-            most = max((len({o[0] for o in props if agree(p, o)}) for p in props), default=0)
-            if most >= image_copies.INLIERS:
+            votes, near = {}, np.argwhere((qb[:, None] != b[None]).sum(2) <= image_copies.DISTANCE) if q != i else []
+            for m, n in near:
+                turn, s = (a[n] - qa[m]) % 360, 2.0 ** ((level[n] - ql[m]) / 4)
+                t = np.radians(turn)
+                dx, dy = x[n] - s * (np.cos(t) * qx[m] - np.sin(t) * qy[m]), y[n] - s * (np.sin(t) * qx[m] + np.cos(t) * qy[m])
+                for cell in itertools.product(both(level[n] - ql[m], image_copies.SCALE), both(turn, image_copies.TURN, 9), both(dx, room), both(dy, room)):
+                    votes.setdefault(cell, set()).add(m)
+            most = max((len(v) for v in votes.values()), default=0)
+            if most >= image_copies.INLIERS or most >= max(image_copies.FEW, image_copies.SHARE * len({m for m, _ in near})):
                 want[q, i] = most
     assert len(want) >= 8
     wrong = {k for k in got.keys() | want.keys() if got.get(k) != want.get(k)}

@@ -2,13 +2,16 @@
 
 Corners are found by the Harris measure at scales half an octave apart, so many for each tile of the picture and as many
 scales as its size allows; each is turned by the direction of its patch's centroid and described by BITS binary tests
-between smoothed points. Descriptors are cut into TABLES pieces: two descriptors up to DISTANCE = TABLES - 1 bits apart
-agree in one piece at least, so an equi-join on (table, piece) meets every such pair, and the bits then decide (Hamming
-tables). Each pair of corners proposes a change of scale, a turn and a shift between the pictures' centres; two images
-match if INLIERS corners of the query agree with one of the proposals (geometric consensus).
+between smoothed points. Descriptors are cut into TABLES pieces: two descriptors up to DISTANCE = 2 * TABLES - 1 bits apart
+differ in at most one bit of one piece at least, so an equi-join of (table, piece) with the pieces of the query and their
+neighbours one bit away meets every such pair, and the bits then decide (Hamming tables). Each pair of corners proposes a
+change of scale, a turn and a shift between the pictures' centres; the proposals of two pictures vote in a grid of bins of
+these four, twice as wide as the tolerance and laid twice over each dimension, half a bin apart, and two images match if a bin
+holds INLIERS corners of the query, or FEW that are most of those that met any (geometric consensus). Votes are counts by bin, however many proposals there are.
 
 Images are bytes of luma, row by row, with their width and height. The operator is a search: images named as queries
-against all images. Byte-equal images form a class and are compared once, by their smallest id. A task needs about 100
+against all images. Queries are few, so they are described at twice as many scales, a quarter of an octave apart, and every
+size of a copy is within an eighth of an octave of one of them. Byte-equal images form a class and are compared once, by their smallest id. A task needs about 100
 bytes of memory for each pixel of its largest image.
 
 Defined results: null images, images whose bytes don't fit width and height, and images of fewer than LEAST pixels a
@@ -27,12 +30,14 @@ from pyspark.sql import functions as F
 
 from tracelake.llm._common import cut, held, small, table
 
-BITS, TABLES, INLIERS = 192, 8, 6
-DISTANCE = TABLES - 1
+BITS, TABLES = 192, 8
+#: Corners in one bin that make a match: so many, or fewer if they are so large a share of the query's corners that met any.
+INLIERS, FEW, SHARE = 8, 4, 0.8
+DISTANCE = 2 * TABLES - 1
 #: Corners of each tile at most, and its side in pixels of the scale.
 CORNERS, TILE = 8, 40
-#: Proposals agree within so many half octaves, degrees, and pixels or shares of the picture's longer side.
-SCALE, TURN, SHIFT, SPREAD = 1, 20, 6, 0.08
+#: Bins are so many quarter octaves, degrees, and pixels or shares of the picture's longer side wide.
+SCALE, TURN, SHIFT, SPREAD = 4, 40, 12, 0.16
 PATCH, LEAST = 9, 24
 #: A broadcast side of descriptors takes about 60 bytes a row.
 BROADCAST_KEYS = 600_000
@@ -102,10 +107,11 @@ def _tests(x: np.ndarray, image: np.ndarray, row: np.ndarray, col: np.ndarray, a
     return value[..., 0] + 1e-3 < value[..., 1]
 
 
-def described(images: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(image, x, y, level, angle in degrees, bits) of equally large images; x and y from the picture's centre."""
-    x, found, level = images.astype(np.float32), [], 0
-    height, width = x.shape[1:]
+def _pyramid(x: np.ndarray, height: int, width: int, first: int) -> list[tuple[np.ndarray, ...]]:
+    """Corners of x and of ever coarser copies, half an octave apart; places are those of a picture of (height, width), and
+    levels count quarter octaves from `first`."""
+    found, level = [], 0
+    size = x.shape[1:]
     while min(x.shape[1:]) >= LEAST:
         soft = _smooth(x)
         image, row, col = _corners(soft)
@@ -113,9 +119,20 @@ def described(images: np.ndarray) -> tuple[np.ndarray, ...]:
         angle = np.arctan2((patch * _SPAN[:, None]).sum((1, 2)), (patch * _SPAN).sum((1, 2)))
         bits = _tests(_smooth(soft), image, row, col, angle)
         centred = lambda at, size, full: (at + 0.5 - size / 2) * full / size
-        found.append((image, centred(col, x.shape[2], width), centred(row, x.shape[1], height), np.full(len(image), level), np.degrees(angle), bits))
+        found.append((image, centred(col, x.shape[2], width), centred(row, x.shape[1], height), np.full(len(image), first + 2 * level), np.degrees(angle), bits))
         level += 1
-        x = _resized(soft, round(height / 2 ** (level / 2)), round(width / 2 ** (level / 2)))
+        x = _resized(soft, round(size[0] / 2 ** (level / 2)), round(size[1] / 2 ** (level / 2)))
+    return found
+
+
+def described(images: np.ndarray, between: bool = False) -> tuple[np.ndarray, ...]:
+    """(image, x, y, level, angle in degrees, bits) of equally large images; x and y from the picture's centre. `between` adds
+    the scales between those of the pyramid, as a pyramid of the images a quarter of an octave smaller."""
+    x = images.astype(np.float32)
+    height, width = x.shape[1:]
+    found = _pyramid(x, height, width, 0)
+    if between:
+        found += _pyramid(_resized(x, round(height / 2**0.25), round(width / 2**0.25)), height, width, 1)
     if not found:
         return (np.zeros(0),) * 5 + (np.zeros((0, BITS), bool),)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -135,8 +152,8 @@ _COLUMNS = "id long, corner int, side int, x float, y float, level int, angle fl
 BATCH_PIXELS = 250_000
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """(id, corner, side, x, y, level, angle, b0, ...) of images (id, width, height, pixels)."""
+def descriptors(images: DataFrame, between: bool = False) -> DataFrame:
+    """(id, corner, side, x, y, level, angle, b0, ...) of images (id, width, height, pixels); `between` as in described()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("image_copies", dict)  # lets go of what other operators kept
@@ -153,7 +170,7 @@ def descriptors(images: DataFrame) -> DataFrame:
                     part = [(i, p) for i, p in read if len(p) == size[0] * size[1]]
                     if not part:
                         continue
-                    image, x, y, level, angle, bits = described(np.stack([np.frombuffer(p, np.uint8).reshape(size) for _, p in part]))
+                    image, x, y, level, angle, bits = described(np.stack([np.frombuffer(p, np.uint8).reshape(size) for _, p in part]), between)
                     own_ids = np.array([i for i, _ in part], np.int64)[image.astype(np.int64)]
                     columns = [own_ids, np.arange(len(own_ids)), np.full(len(own_ids), max(size)), x, y, level, angle]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, _KINDS, strict=True)), *(pa.array(v) for v in packed(bits))], [*_PLACE, *_WORDS])
@@ -161,44 +178,63 @@ def descriptors(images: DataFrame) -> DataFrame:
     return images.select(F.col("id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").where(F.col("id").isNotNull()).mapInArrow(run, _COLUMNS)
 
 
+def _pieces(words: list[str]) -> list[Column]:
+    mask = (1 << _PIECE) - 1
+    return [F.shiftrightunsigned(F.col(b), k * _PIECE).bitwiseAND(mask).cast("int") for b in words for k in (0, 1)]
+
+
 def _keys(words: list[str]) -> Column:
     """The pieces of a descriptor, each with its table."""
-    mask = (1 << _PIECE) - 1
-    pieces = [(F.shiftrightunsigned(F.col(b), k * _PIECE).bitwiseAND(mask), 2 * i + k) for i, b in enumerate(words) for k in (0, 1)]
-    return F.array(*[p + (t << _PIECE) for p, t in pieces])
+    return F.array(*[p + F.lit(t << _PIECE) for t, p in enumerate(_pieces(words))])
+
+
+def _probes(words: list[str]) -> Column:
+    """The pieces of a descriptor and all that differ from one in one bit, each with its table."""
+    flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(_PIECE)])
+
+    def around(piece: Column, number: int) -> Column:
+        return F.transform(flips, lambda flip: piece.bitwiseXOR(flip) + F.lit(number << _PIECE))
+
+    return F.flatten(F.array(*[around(p, t) for t, p in enumerate(_pieces(words))]))
 
 
 def near(made: DataFrame, asked: DataFrame) -> DataFrame:
     """The pairs of a descriptor of `made` and one of `asked` (columns q_...), of different images, that are up to DISTANCE
-    bits apart: all of them, each once. The side asked is small if it has few rows; else both sides are shuffled by piece."""
+    bits apart: all of them, each once. Only keys and names go through the join of pieces; the bits are fetched for what met."""
     own = [f"q_{b}" for b in _WORDS]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", *_WORDS)])
-    queries = asked.withColumn("key", F.explode(_keys(own)))
-    listed = made.withColumn("key", F.explode(_keys(_WORDS)))
+    queries = asked.select("q_id", "q_corner", F.explode(_probes(own)).alias("key"))
+    listed = made.select("id", "corner", F.explode(_keys(_WORDS)).alias("key"))
+    met = listed.join(small(queries, BROADCAST_KEYS), "key").where(F.col("id") != F.col("q_id"))
+    met = met.join(small(asked, BROADCAST_KEYS), ["q_id", "q_corner"]).join(made, ["id", "corner"])
     differ = [F.col(b).bitwiseXOR(F.col(f"q_{b}")) for b in _WORDS]
     apart = sum((F.bit_count(d) for d in differ), F.lit(0))
     # a pair that meets in several tables counts in the first
-    same = [(F.shiftrightunsigned(d, k * _PIECE).bitwiseAND((1 << _PIECE) - 1) == 0, 2 * i + k) for i, d in enumerate(differ) for k in (0, 1)]
-    met = F.coalesce(*[F.when(c, F.lit(t)) for c, t in same])
-    return listed.join(small(queries, BROADCAST_KEYS), "key").where((F.col("id") != F.col("q_id")) & (apart <= DISTANCE) & (F.shiftrightunsigned("key", _PIECE) == met)).drop("key", *own)
+    parts = [F.shiftrightunsigned(d, k * _PIECE).bitwiseAND((1 << _PIECE) - 1) for d in differ for k in (0, 1)]
+    first = F.coalesce(*[F.when(F.bit_count(p) <= 1, F.lit(t)) for t, p in enumerate(parts)])
+    return met.where((apart <= DISTANCE) & (F.shiftright("key", _PIECE) == first)).drop("key", *own)
 
 
 def agreed(pairs: DataFrame) -> DataFrame:
-    """(q_id, id, inliers) of matched corners (q_id, q_corner, q_x, ..., id, x, ...): the most corners of a query that agree
-    with one proposal. The proposals of two pictures are as many as their corners allow."""
-    turn = F.radians(F.col("angle") - F.col("q_angle"))
-    scale = F.pow(F.lit(2.0), (F.col("level") - F.col("q_level")) / 2)
-    dx = F.col("x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    dy = F.col("y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    proposal = F.struct(F.col("q_corner").alias("corner"), (F.col("level") - F.col("q_level")).alias("scale"), (F.col("angle") - F.col("q_angle")).alias("turn"), dx.alias("dx"), dy.alias("dy"), F.greatest(F.lit(float(SHIFT)), F.col("side") * SPREAD).alias("room"))
-    listed = pairs.groupBy("q_id", "id").agg(F.collect_list(proposal).alias("ps")).where(F.size("ps") >= INLIERS)
-
-    def agrees(a: Column, b: Column) -> Column:
-        off = F.abs(F.pmod(a["turn"] - b["turn"] + 180, F.lit(360)) - 180)
-        return (F.abs(a["scale"] - b["scale"]) <= SCALE) & (off <= TURN) & (F.abs(a["dx"] - b["dx"]) <= a["room"]) & (F.abs(a["dy"] - b["dy"]) <= a["room"])
-
-    votes = F.transform("ps", lambda a: F.size(F.array_distinct(F.transform(F.filter("ps", lambda b: agrees(a, b)), lambda b: b["corner"]))))
-    return listed.select("q_id", "id", F.array_max(votes).cast("long").alias("inliers")).where(F.col("inliers") >= INLIERS)
+    """(q_id, id, inliers) of matched corners (q_id, q_corner, q_x, ..., id, x, ...): the most corners of a query whose
+    proposals share a bin."""
+    turn = F.pmod(F.col("angle") - F.col("q_angle"), F.lit(360.0))
+    scale = F.pow(F.lit(2.0), (F.col("level") - F.col("q_level")) / 4)
+    c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))
+    dx = F.col("x") - scale * (c * F.col("q_x") - s * F.col("q_y"))
+    dy = F.col("y") - scale * (s * F.col("q_x") + c * F.col("q_y"))
+    room = F.greatest(F.lit(float(SHIFT)), F.col("side") * SPREAD)
+    both = lambda value, wide, around=0: F.array(*[(F.floor(value / wide + h / 2) % around if around else F.floor(value / wide + h / 2)).cast("int") for h in (0, 1)])
+    # each dimension has two grids: their cells are told apart by which of the two they belong to
+    tagged = lambda cells: F.transform(cells, lambda x, i: x * 2 + i)
+    proposed = pairs.select("q_id", "id", "q_corner", tagged(both(F.col("level") - F.col("q_level"), float(SCALE))).alias("a"), tagged(both(turn, float(TURN), 360 // TURN)).alias("b"), tagged(both(dx, room)).alias("c"), tagged(both(dy, room)).alias("d"))
+    enough = pairs.groupBy("q_id", "id").agg(F.count_distinct("q_corner").alias("met")).where(F.col("met") >= FEW)
+    proposed = proposed.join(enough.drop("met"), ["q_id", "id"], "left_semi")
+    for k in "abcd":
+        proposed = proposed.withColumn(k, F.explode(k))
+    votes = proposed.groupBy("q_id", "id", "a", "b", "c", "d", "q_corner").agg(F.lit(1).alias("one")).groupBy("q_id", "id", "a", "b", "c", "d").agg(F.count("*").alias("n"))
+    most = votes.groupBy("q_id", "id").agg(F.max("n").alias("inliers")).join(enough, ["q_id", "id"])
+    return most.where((F.col("inliers") >= INLIERS) | (F.col("inliers") >= FEW) & (F.col("inliers") >= SHARE * F.col("met"))).drop("met")
 
 
 def copies(images: DataFrame, is_query: Column) -> DataFrame:
@@ -212,10 +248,11 @@ def copies(images: DataFrame, is_query: Column) -> DataFrame:
     # the smallest id of a class may stand on several rows, of which some have other bytes
     heads = images.select("id", "width", "height", "pixels", *hashed).join(classes.withColumnRenamed("class_id", "id").drop("asked"), ["h1", "h2", "id"], "left_semi")
     repeated = keyed.groupBy("id").count().where("count > 1").limit(1).count()
-    made = cut(descriptors(heads.dropDuplicates(["h1", "h2"]) if repeated else heads))
-    asked = made.join(classes.where("asked").select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
+    heads = heads.dropDuplicates(["h1", "h2"]) if repeated else heads
+    made = cut(descriptors(heads))
+    asked = cut(descriptors(heads.join(classes.where("asked").select("h1", "h2"), ["h1", "h2"], "left_semi"), between=True))
     place = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle")])
-    found = near(made.select(*_PLACE, *_WORDS), asked).drop(*_WORDS, "corner")
+    found = cut(near(made.select(*_PLACE, *_WORDS), asked).drop(*_WORDS, "corner"))
     matched = agreed(found.join(small(place, BROADCAST_KEYS), ["q_id", "q_corner"]))
     return members.unionByName(matched.select(F.lit("match").alias("kind"), F.col("q_id").alias("id"), F.col("id").alias("other"), "inliers"))
 
