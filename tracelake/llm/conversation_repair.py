@@ -219,7 +219,7 @@ def audits(asked: DataFrame) -> DataFrame:
             out.append((signature, goal, trie.entry, cost, audit, last))
         return out
 
-    return _sorted_tries(asked, ["signature", "goal", "whole"], "signature string, goal array<long>, entry int, cost long, audit string, exit int", answer)
+    return _sorted_tries(asked, ["signature", "goal"], "signature string, goal array<long>, entry int, cost long, audit string, exit int", answer)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -493,15 +493,15 @@ def repair(rows: DataFrame, convs: DataFrame | None = None) -> DataFrame:
     end = F.array(*[F.lit(x).cast("long") for x in END])
     split = several.join(goals, _same(several, goals, keys)).drop(*[f"__{k}" for k in keys])
     aimed = cut(known.where("whole").withColumn("goal", end).unionByName(split))
-    answers = cut(audits(aimed.groupBy("signature", "goal", "whole").agg(F.count("*").alias("__n")).drop("__n")))
+    answers = cut(audits(aimed.groupBy("signature", "goal").agg(F.bool_and("whole").alias("whole"))))
 
-    whole = aimed.where("whole").drop("goal").join(answers.where((F.col("goal") == end) & (F.col("entry") == 0)).drop("goal", "exit").dropDuplicates(["signature"]), "signature")
+    whole = aimed.where("whole").drop("goal").join(answers.where((F.col("goal") == end) & (F.col("entry") == 0)).drop("goal", "exit"), "signature")
     split = aimed.where("not whole")
     exits = F.transform(F.array_sort(F.collect_list(F.struct("entry", "exit"))), lambda x: x["exit"].cast("long"))
-    by_state = answers.groupBy("signature", "goal").agg(exits.alias("exits")).where(F.size("exits") == STATES)
+    by_state = answers.groupBy("signature", "goal").agg(exits.alias("exits"))
     entries = _entries(split.select(*keys, "signature", "goal").join(by_state, ["signature", "goal"]).select(*keys, "exits")).withColumnsRenamed({k: f"__{k}" for k in keys})
     begun = split.join(entries, _same(split, entries, keys)).drop(*[f"__{k}" for k in keys])
-    begun = begun.join(answers.drop("exit").dropDuplicates(["signature", "goal", "entry"]), ["signature", "goal", "entry"]).drop("goal")
+    begun = begun.join(answers.drop("exit"), ["signature", "goal", "entry"]).drop("goal")
     found = cut(whole.unionByName(begun))
 
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0))
