@@ -39,8 +39,8 @@ CORNERS, TILE = 8, 40
 #: Bins are so many quarter octaves, degrees, and pixels or shares of the picture's longer side wide.
 SCALE, TURN, SHIFT, SPREAD = 4, 40, 12, 0.16
 PATCH, LEAST = 9, 24
-#: A broadcast side of descriptors takes about 60 bytes a row.
-BROADCAST_KEYS = 600_000
+#: A broadcast side of pieces or descriptors takes about 80 bytes a row.
+BROADCAST_KEYS = 1_500_000
 _PIECE = BITS // TABLES
 _rng = np.random.default_rng(20)
 #: Pairs of points of the tests (x, y), normal around the corner, PATCH pixels away at most.
@@ -200,19 +200,25 @@ def _probes(words: list[str]) -> Column:
 
 def near(made: DataFrame, asked: DataFrame) -> DataFrame:
     """The pairs of a descriptor of `made` and one of `asked` (columns q_...), of different images, that are up to DISTANCE
-    bits apart: all of them, each once. Only keys and names go through the join of pieces; the bits are fetched for what met."""
+    bits apart: all of them, each once.
+
+    While the pieces asked for are few, by a count, they are broadcast with their bits, and every descriptor looks up its own
+    pieces and their neighbours without a shuffle. Beyond that, the neighbours of what is asked are joined with the pieces of
+    all by shuffle, keys and names only, and the bits are fetched for what met."""
     own = [f"q_{b}" for b in _WORDS]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", *_WORDS)])
-    queries = asked.select("q_id", "q_corner", F.explode(_probes(own)).alias("key"))
-    listed = made.select("id", "corner", F.explode(_keys(_WORDS)).alias("key"))
-    met = listed.join(small(queries, BROADCAST_KEYS), "key").where(F.col("id") != F.col("q_id"))
-    met = met.join(small(asked, BROADCAST_KEYS), ["q_id", "q_corner"]).join(made, ["id", "corner"])
+    if asked.count() * TABLES <= BROADCAST_KEYS:
+        met = made.withColumn("key", F.explode(_probes(_WORDS))).join(F.broadcast(asked.withColumn("key", F.explode(_keys(own)))), "key")
+    else:
+        listed = made.select("id", "corner", F.explode(_keys(_WORDS)).alias("key"))
+        met = listed.join(asked.select("q_id", "q_corner", F.explode(_probes(own)).alias("key")), "key")
+        met = met.join(asked, ["q_id", "q_corner"]).join(made, ["id", "corner"])
     differ = [F.col(b).bitwiseXOR(F.col(f"q_{b}")) for b in _WORDS]
     apart = sum((F.bit_count(d) for d in differ), F.lit(0))
     # a pair that meets in several tables counts in the first
     parts = [F.shiftrightunsigned(d, k * _PIECE).bitwiseAND((1 << _PIECE) - 1) for d in differ for k in (0, 1)]
     first = F.coalesce(*[F.when(F.bit_count(p) <= 1, F.lit(t)) for t, p in enumerate(parts)])
-    return met.where((apart <= DISTANCE) & (F.shiftright("key", _PIECE) == first)).drop("key", *own)
+    return met.where((F.col("id") != F.col("q_id")) & (apart <= DISTANCE) & (F.shiftright("key", _PIECE) == first)).drop("key", *own)
 
 
 def agreed(pairs: DataFrame) -> DataFrame:
