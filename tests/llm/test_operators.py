@@ -4,13 +4,14 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, contamination, image_copies, jaccard_join, lang_id, licenses, line_dedup, quality, sharding, toxicity
+from tracelake.llm import bpe, contamination, image_copies, jaccard_join, lang_id, licenses, licence_texts, line_dedup, quality, sharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null, empty and very long texts, ties, repeated rows, and columns with clashing names.
@@ -456,6 +457,28 @@ def test_chains_cover_most():
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_repeated_notices_take_linear_time():
+    """Twice as many notices in one text take about twice the time."""
+    scanner, took = licenses.Scanner(licenses.TEMPLATES, licenses.BASE), []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        _, places, spans = scanner.scan("This file is released under the mit license and you may use it. " * n)
+        took.append(time.process_time() - began)
+        assert len(places) == len(spans) == n
+    assert took[1] < 24 * took[0], took
+
+
+def test_whole_licences():
+    """Each whole text gives its label, with a header, other line breaks and a word in fifty changed as well."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE)
+    labels = lambda text: {s[2] for s in scanner.scan(text)[2] if s[3] >= licenses.COVER}
+    for label, text in licence_texts.whole_texts():
+        words = text.split()
+        assert len(words) > 900 and labels(text) == {label}, label
+        assert labels("Copyright 1999 by nobody. " + "\n".join(words)) == {label}
+        assert labels(" ".join(w if i % 50 else "zzz" for i, w in enumerate(words))) == {label}
+
+
 def test_cover_is_best():
     rng = random.Random(12)
     for _ in range(300):

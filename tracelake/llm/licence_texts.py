@@ -3,6 +3,27 @@
 Fixed values, from the public texts of the licences.
 """
 
+from importlib import resources
+
+#: Labels of the whole licence texts in the folder licences, which are kept as their stewards publish them.
+WHOLE = {
+    "Apache-2.0": "apache-2",
+    "Artistic": "artistic-1",
+    "CC0-1.0": "cc0",
+    "GFDL-1.3": "gfdl-1.3",
+    "GPL-2": "gpl-2",
+    "GPL-3": "gpl-3",
+    "LGPL-2.1": "lgpl-2.1",
+    "LGPL-3": "lgpl-3",
+    "MPL-2.0": "mpl-2",
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    folder = resources.files("tracelake.llm.licences")
+    return [(label, (folder / f"{name}.txt").read_text(encoding="utf-8")) for name, label in WHOLE.items()]
+
+
 MIT = """
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
 files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
@@ -176,4 +197,5 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc0", CC_ZERO),
     *((label, f"This work is licensed under a Creative Commons {name} 4.0 International License") for label, name, _ in CREATIVE_COMMONS),
     *((label, f"Licensed under CC {short} 4.0") for label, _, short in CREATIVE_COMMONS),
+    *whole_texts(),
 ]

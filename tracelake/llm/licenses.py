@@ -17,9 +17,10 @@ are ignored by :func:`scan`.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from tracelake.llm.licence_texts import TEMPLATES
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Least words of a match; most words of the text between chained matches; share of a template that gives its label.
 MATCH, GAP, COVER = 3, 12, 0.75
+#: Templates of more words than LONG only count matches of LONG_MATCH words or more: shorter ones are common phrases.
+LONG, LONG_MATCH = 400, 8
 _WORDS = bytes(b if chr(b).isascii() and chr(b).isalnum() and chr(b) == chr(b).lower() or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 #: A match or chain: start and end in the text, start and end in the template.
@@ -46,9 +49,10 @@ def split(text: str | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several token sequences. places[state]: the places (sequence, end) where the runs of a state end,
     each with the length of the longest run that ends there, or 0 where that is the run read so far; runs of less than
-    `least` tokens are left out."""
+    least[sequence] tokens are left out."""
 
-    def __init__(self, sequences: list[list[int]], least: int = 1):
+    def __init__(self, sequences: list[list[int]], least: list[int] | None = None):
+        least = least or [1] * len(sequences)
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: dict[int, list[tuple[int, int]]] = {}
@@ -62,9 +66,10 @@ class Automaton:
             ends.setdefault(self.link[state], []).extend(ends[state])
         self.places: list[list[tuple[int, int, int]]] = [[] for _ in self.link]
         for state in order:  # a place of a shorter run is one of the longer run too, where that doesn't end there itself
-            if self.length[state] >= least:
+            if self.length[state] >= min(least):
                 own, above = set(ends[state]), self.link[state]
-                self.places[state] = [(t, e, 0) for t, e in sorted(own)] + [(t, e, k or self.length[above]) for t, e, k in self.places[above] if (t, e) not in own]
+                shorter = [(t, e, k or self.length[above]) for t, e, k in self.places[above] if (t, e) not in own]
+                self.places[state] = [(t, e, 0) for t, e in sorted(own) if self.length[state] >= least[t]] + [x for x in shorter if x[2] >= least[x[0]]]
 
     def _extend(self, last: int, token: int) -> int:
         """The state of the sequence so far with the token added."""
@@ -117,31 +122,56 @@ class Automaton:
 def chains(matches: list[Match]) -> list[tuple[Match, int]]:
     """Chains of one template's matches, each with the number of template words that it covers: the best one first taken, then
     the best to the left and to the right of it, and so on. In a chain, matches go forward in the text, with GAP words between
-    them at most, and in the template; of overlapping ones only what is new counts."""
-    todo, out = [sorted(matches)], []
-    while todo:
-        part = todo.pop()
-        if not part:
+    them at most, and in the template; of overlapping ones only what is new counts.
+
+    A heap holds the best chain that ends in each match. What is taken cuts the matches in two; a chain that began before a cut
+    is made again from the matches after it when it comes up, so that each match is looked at a few times, however many there are.
+    """
+    part = sorted(matches)
+    starts = [m[0] for m in part]
+    reach, furthest = [], -1  # the furthest end so far: before it, no match can be chained
+    for m in part:
+        furthest = max(furthest, m[1])
+        reach.append(furthest)
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] * len(part)  # words covered, less start of the text, of the template
+
+    def chain(j: int, left: int) -> tuple[int, int, int]:
+        start, end, low, high = part[j]
+        top = (end - start, -start, -low)
+        for i in range(j - 1, -1, -1):
+            s, e, lo, hi = part[i]
+            if s < left or reach[i] < start - GAP:
+                break
+            new = end - start - max(0, e - start, hi - low)
+            if start - e <= GAP and end > e and low >= lo and high > hi and new > 0:
+                top = max(top, (best[i][0] + new, best[i][1], best[i][2]))
+        return top
+
+    heap = []
+    for j in range(len(part)):
+        best[j] = chain(j, 0)
+        heap.append((-best[j][0], -best[j][1], -best[j][2], j))
+    heapify(heap)
+    out, froms, tos = [], [], []  # what is taken, in order
+    while heap:
+        covered, start, low, j = heappop(heap)
+        if (-covered, -start, -low) != best[j]:
             continue
-        longest = max(e - s for s, e, _, _ in part)
-        best: list[tuple[int, int, int, int]] = []  # words covered, less start of the text, of the template, and the predecessor
-        for j, (start, end, low, high) in enumerate(part):
-            top = (end - start, -start, -low, -1)
-            for i in range(j - 1, -1, -1):
-                s, e, lo, hi = part[i]
-                if start - s > longest + GAP:
-                    break
-                new = end - start - max(0, e - start, hi - low)
-                if start - e <= GAP and end > e and low >= lo and high > hi and new > 0:
-                    top = max(top, (best[i][0] + new, best[i][1], best[i][2], i))
-            best.append(top)
-        j = max(range(len(part)), key=lambda k: best[k][:3])
-        covered, start, low, _ = best[j]
-        start, low = -start, -low
-        end, high = part[j][1], part[j][3]
-        if covered >= MATCH:
-            out.append(((start, end, low, high), covered))
-        todo += [[m for m in part if m[1] <= start], [m for m in part if m[0] >= end]]
+        k = bisect_right(froms, part[j][0])
+        left = tos[k - 1] if k else 0
+        if part[j][0] < left or k < len(froms) and part[j][1] > froms[k]:
+            continue  # it overlaps what is taken
+        if start < left:
+            first = bisect_left(starts, left)
+            for i in range(first, j + 1):
+                if -best[i][1] < left:
+                    best[i] = chain(i, left)
+                    heappush(heap, (-best[i][0], -best[i][1], -best[i][2], i))
+            continue
+        if -covered >= MATCH:
+            out.append(((start, part[j][1], low, part[j][3]), -covered))
+        froms.insert(k, start)
+        tos.insert(k, part[j][1])
     return out
 
 
@@ -153,11 +183,18 @@ def cover(spans: list[Span]) -> list[Span]:
     """The spans, none overlapping another, that cover most words in all."""
     spans = sorted(spans, key=lambda x: (x[1], x[0], -x[4], x[2]))
     ends = [x[1] for x in spans]
-    best: list[tuple[int, float, list[int]]] = [(0, 0.0, [])]
+    best, back = [(0, 0.0)], [(0, -1)]  # the most up to each span, and (what came before, the span taken)
     for k, (start, _, _, covered, share) in enumerate(spans):
-        before = best[bisect_right(ends, start, hi=k)]
-        best.append(max(best[-1], (before[0] + covered, before[1] + share, [*before[2], k]), key=lambda x: x[:2]))
-    return [spans[k] for k in best[-1][2]]
+        i = bisect_right(ends, start, hi=k)
+        made = (best[i][0] + covered, best[i][1] + share)
+        best.append(max(best[-1], made))
+        back.append((i, k) if made > best[-2] else (k, -1))
+    out, at = [], len(spans)
+    while at:
+        at, k = back[at]
+        if k >= 0:
+            out.append(spans[k])
+    return out[::-1]
 
 
 class Scanner:
@@ -167,7 +204,8 @@ class Scanner:
         self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         sequences = [[self.ids[w] for w in t] for t in texts]
         self.templates = [[*s, -1] for s in sequences[: len(templates)]]
-        self.automaton = Automaton(sequences, MATCH)
+        self.leasts = [LONG_MATCH if len(s) > LONG else MATCH for s in sequences]
+        self.automaton = Automaton(sequences, self.leasts)
         self.phrases: dict[int, list[tuple[list[int], str]]] = {}
         for tokens, label in zip(sequences[len(templates) :], base.values(), strict=True):
             self.phrases.setdefault(tokens[-1], []).append((tokens, label))
@@ -195,10 +233,14 @@ class Scanner:
                     for template, last, size in self.automaton.places[state]:
                         if template < n and templates[template][last] != run[i + 1]:  # it ends here
                             size = size or length
+                            if size < self.leasts[template]:
+                                continue
                             matches.setdefault(template, []).append((start + i + 1 - size, start + i + 1, last - size, last))
         spans = [(s, e, t, covered, covered / (len(templates[t]) - 1)) for t, found in matches.items() for (s, e, _, _), covered in chains(found)]
         sure = cover([x for x in spans if x[4] >= COVER])
-        free = [x for x in spans if x[4] < COVER and not any(x[0] < y[1] and y[0] < x[1] for y in sure)]
+        until = [y[1] for y in sure]
+        last = [y[0] for y in sure] + [len(words)]
+        free = [x for x in spans if x[4] < COVER and last[bisect_right(until, x[0])] >= x[1]]
         return len(words), places, [(s, e, self.labels[t], share) for s, e, t, _, share in sorted([*sure, *cover(free)])]
 
 
