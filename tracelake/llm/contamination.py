@@ -7,7 +7,9 @@ of an item lacks at most floor((1 - t) * q) < k of its shingles, so it holds at
 candidate search loses nothing. Candidates are then verified by exact shingle containment.
 
 Defined results: null texts and texts without words have no shingles and match nothing, as items too. An item of fewer than
-five words is found where its words stand consecutively. Repeated rows of a document or an item count once. Other columns are ignored.
+five words is found where its words stand consecutively. Repeated rows of a document or an item count once. Rows of a null
+doc_id or item_id are left out of :func:`leaks`, which names documents; :func:`decontaminate` judges each text of a null doc_id
+by itself. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def _runs(n: int) -> Column:
 
 def hashed(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc_id, h): hash of every run of so many words at every place."""
-    worded = docs.select("doc_id", words(F.col("text")).alias("words"))
+    worded = docs.where("doc_id IS NOT NULL").select("doc_id", words(F.col("text")).alias("words"))
     made = [_hashes(n) for n in lengths]
     return worded.select("doc_id", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("h"))
 
@@ -59,7 +61,7 @@ def spelled(frame: DataFrame, key: str, lengths: list[int]) -> DataFrame:
 
 def item_shingles(items: DataFrame, n: int) -> DataFrame:
     """(item_id, shingle, h) of items: runs of n words, or the whole item if it has fewer; and its number of words, n at most."""
-    worded = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    worded = items.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     made = _runs(n)
     for k in range(1, n):
         made = F.when(F.size("words") == k, _runs(k)).otherwise(made)
@@ -90,7 +92,14 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: in
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """docs without those that contain an item."""
     found = cut(leaks(docs, items, threshold, n).select("doc_id").distinct())
-    return docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
+    unnamed = docs.where("doc_id IS NULL")
+    if not unnamed.limit(1).count():
+        return kept
+    texts = unnamed.where("text IS NOT NULL").select(F.md5("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = cut(leaks(texts, items, threshold, n).select(F.col("doc_id").alias("__text")).distinct())
+    unnamed = unnamed.join(small(found), F.md5("text") == F.col("__text"), "left_anti").select(docs.columns)
+    return kept.where("doc_id IS NOT NULL").unionByName(unnamed)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +107,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 z AS (SELECT DISTINCT least(len(w), 5) AS z FROM iw WHERE len(w) > 0),
 si AS (SELECT DISTINCT item_id, array_to_string(w[i:i+least(len(w), 5)-1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM iw WHERE len(w) > 0)),
 sd AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+z-1], ' ') AS s FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM dw, z)),
