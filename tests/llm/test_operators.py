@@ -7,6 +7,7 @@ import random
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -362,6 +363,32 @@ def test_drop_lines(spark, odd, none):
     assert [(r["doc_id"], r["n_chars"]) for r in kept] == [(0, 0)]
 
 
+def test_lines_and_sql_of_odd_tables(spark, tmp_path):
+    """Repeated and null ids, other spaces, several texts of one id: the operator's rows are the SQL's."""
+    line = "this very line of nine words stands in many"
+    rows = [(5, f"{line} places\nown five"), (5, f"five again\n{line} places"), (9, f"nine\n{line} places now"), (None, f"x\n{line} places"), (None, f"x\n{line} places"), (None, f"y y\n{line} places"), (None, "only two of us without an id hold\nz"), (None, "only two of us without an id hold\nw")]
+    rows += [(20 + i, f"nbsp\u00a0joined words here count as one token {i}\na\x1cb c d e f g h\nv\x0bt f\x0cf of seven or more tokens") for i in range(4)] + [(None, None), (30, None), (31, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op2_lines(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(line_dedup.ORACLE).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    texts = [r["text"] for r in got if r["doc_id"] is None]
+    assert sorted(t for t in texts if t) == ["only two of us without an id hold\nz", "w", "x", "x", "y y"] or sorted(t for t in texts if t) == ["only two of us without an id hold\nw", "x", "x", "y y", "z"]
+    kept = {r["doc_id"]: r["text"] for r in got if r["doc_id"] == 9}
+    assert kept == {9: "nine\n" + line + " places now"}
+
+
+def test_unnamed_documents_are_decontaminated(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, f"before {item} after", "en", "s", 0), (None, "clean", "en", "s", 0), (None, None, "en", "s", 0), (1, item, "en", "s", 0), (2, "clean", "en", "s", 0)], DOCS)
+    kept = contamination.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(None, "clean"), (None, None), (2, "clean")]))
+    assert kept.columns == docs.columns
+
+
 def test_hot_templates_are_joined_apart(spark, monkeypatch):
     rows = [(i, f"the same line of nine words for every one\nline {chr(97 + i % 26)} of {chr(97 + i % 7)} stands in some others here", "en", "s", 0) for i in range(60)]
     docs = spark.createDataFrame(rows, DOCS)
