@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import folds
+
 
 def nearest(points: DataFrame, events: DataFrame, by: str, t: str, onset: str, ordinal: str, keep: list[str]) -> DataFrame:
     """Each point with the event of its group that is nearest in time; of equally near ones the first by ordinal.
 
     Points and events are interleaved in one sort by (group, time): the last event at or before a point and the first at
-    or after it are running values, so no pair of rows is formed. One shuffle, by group.
+    or after it are running values, so no pair of rows is formed. One shuffle, by group; a hot group is cut in time.
     """
     event = F.struct(onset, ordinal, *keep)
     kind = points.withColumns({"__t": F.col(t), "__p": F.lit(True)}).unionByName(events.groupBy(by, onset).agg(F.min_by(event, ordinal).alias("__e")).select(by, F.col(onset).alias("__t"), "__e", F.lit(False).alias("__p")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("__t", "__p")
-    back = F.last("__e", True).over(w)
-    ahead = F.last("__e", True).over(Window.partitionBy(by).orderBy(F.desc("__t"), "__p"))
-    both = kind.withColumns({"__b": back, "__a": ahead}).where("__p")
+    both = folds.around(kind, by, "__t", "__p", "__e").where("__p")
     gap = lambda e: F.abs(e[onset] - F.col(t))
     b, a = F.col("__b"), F.col("__a")
     best = F.when(a.isNull() | (gap(b) < gap(a)) | ((gap(b) == gap(a)) & (b[ordinal] <= a[ordinal])), b).otherwise(a)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import folds
+
 
 def numbered(frame: DataFrame, channel: str, order: list[str], value: str) -> DataFrame:
-    """(channel, sample_idx, value, ...): samples numbered from 0 in the order given. One shuffle, by channel."""
-    w = Window.partitionBy(channel).orderBy(*order)
-    return frame.withColumn("sample_idx", F.row_number().over(w).cast("long") - 1).withColumnsRenamed({channel: "channel", value: "value"})
+    """(channel, sample_idx, value, ...): samples numbered from 0 in the order given. One shuffle, by channel and segment."""
+    return folds.numbered(frame, channel, order, "sample_idx").withColumnsRenamed({channel: "channel", value: "value"})
 
 
 def window(samples: DataFrame, start: int, n: int) -> DataFrame:
@@ -98,28 +96,4 @@ def ci95(frame: DataFrame, by: list[str], value: str) -> DataFrame:
     return made.withColumn("ci", F.when(F.col("n") < 2, 0.0).otherwise(t * F.col("std") / F.sqrt("n")))
 
 
-def restarted_sum(frame: DataFrame, by: str, order: str, delta: Column, restart: Column) -> DataFrame:
-    """Running sum of delta that begins anew, with the row's own delta, where restart holds."""
-    w = Window.partitionBy(by).orderBy(order)
-    grouped = frame.withColumn("run", F.sum(restart.cast("int")).over(w))
-    return grouped.withColumn("value", F.sum(delta).over(Window.partitionBy(by, "run").orderBy(order)))
-
-
-def spaced(marks: DataFrame, by: str, order: str, place: str, least: int) -> DataFrame:
-    """Of each group's marks in order, those at least so far after the last one kept: a fold over sorted rows that carries two
-    values, so a group of any size streams through its task."""
-    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = marks.repartition(parts, by).sortWithinPartitions(by, order)
-    at, to = marks.columns.index(by), marks.columns.index(place)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = None, None
-        for batch in batches:
-            kept = []
-            for i, (g, x) in enumerate(zip(batch.column(at).to_pylist(), batch.column(to).to_pylist(), strict=True)):
-                if last is None or g != group or x - last >= least:
-                    group, last = g, x
-                    kept.append(i)
-            yield batch.take(pa.array(kept, pa.int32()))
-
-    return dealt.mapInArrow(run, marks.schema)
+restarted_sum, spaced = folds.restarted_sum, folds.spaced

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as X
-from tracelake.operators import dsp
+from tracelake.operators import dsp, folds
 from tracelake.operators import samples as S
 from tracelake.plans.registry import query, table
 
@@ -90,7 +90,7 @@ SELECT channel, sample_idx, round(sum(delta) OVER (PARTITION BY channel, run ORD
 def keysample_cumsum(spark, sf_dir):
     """Sums of differences, restarted at every eighth sample."""
     s = samples(spark, sf_dir)
-    delta = s.withColumn("delta", F.col("value") - F.coalesce(F.lag("value").over(Window.partitionBy("channel").orderBy("sample_idx")), F.lit(0.0)))
+    delta = folds.previous(s, "channel", "sample_idx", F.col("value"), "before").withColumn("delta", F.col("value") - F.coalesce("before", F.lit(0.0)))
     return S.restarted_sum(delta, "channel", "sample_idx", F.col("delta"), F.col("sample_idx") % 8 == 0).select("channel", "sample_idx", F.round("value", 4).alias("value"))
 
 
