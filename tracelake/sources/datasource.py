@@ -13,7 +13,10 @@ them in tasks, for any number of files, and leaves out those that can't be read.
 
 from __future__ import annotations
 
-import glob
+import os
+import pickle
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-from tracelake.sources import formats
-from tracelake.sources.layout import Layout, window
+from tracelake.sources import encoders, formats
+from tracelake.sources.layout import Layout, matching, window
 
 #: Bytes of a file that one task reads.
 BLOCK_BYTES = 32 << 20
@@ -35,15 +38,18 @@ def _paths(options: dict) -> list[str]:
     if "paths" in options:
         return [p for p in options["paths"].split("\n") if p]
     whole = options["path"]
-    parts = [whole] if glob.glob(whole) else whole.split(",")
-    return [p for part in parts for p in (sorted(glob.glob(part)) or [part])]
+    parts = [whole] if matching(whole) else whole.split(",")
+    return [p for part in parts for p in (matching(part) or [part])]
 
 
 @dataclass
 class Block(InputPartition):
+    """Samples [start, start + n) of a recording, with what its header says of where they are."""
+
     recording: str
     start: int
     n: int
+    layout: Layout | None = None
 
 
 def _step(layout: Layout, asked: int | None) -> int:
@@ -57,12 +63,16 @@ def _step(layout: Layout, asked: int | None) -> int:
 def _blocks(recording: str, layout: Layout, low: int, high: int, asked: int | None) -> list[Block]:
     step = _step(layout, asked)
     edges = [low, *range((low // step + 1) * step, high, step), high] if low < high else []
-    return [Block(recording, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [Block(recording, a, b - a, layout.part(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+#: Rows of a batch.
+BATCH_ROWS = 1 << 16
 
 
 def _samples(block: Block, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(recording, channel_idx, channel, sample_idx, value) of a block."""
-    layout = formats.open_recording(block.recording)
+    """(recording, channel_idx, channel, sample_idx, value) of a block, in batches of BATCH_ROWS at most. The header isn't read again."""
+    layout = block.layout
     own = [i for i, x in enumerate(layout.labels) if not names or x in names]
     if not own or not block.n:
         return
@@ -71,11 +81,13 @@ def _samples(block: Block, names: list[str]) -> Iterator[pa.RecordBatch]:
     else:
         x = window(layout, block.start, block.n, own)
     for row, c in zip(x, own, strict=True):
-        n = len(row)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block.recording] * n), pa.array(np.full(n, c, np.int32)), pa.array([layout.labels[c]] * n), pa.array(np.arange(block.start, block.start + n)), pa.array(row.astype(np.float32))],
-            ["recording", "channel_idx", "channel", "sample_idx", "value"],
-        )
+        for first in range(0, len(row), BATCH_ROWS):
+            part = row[first : first + BATCH_ROWS]
+            n, start = len(part), block.start + first
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(block.recording), n), pa.repeat(pa.scalar(c, pa.int32()), n), pa.repeat(pa.scalar(layout.labels[c]), n), pa.array(np.arange(start, start + n)), pa.array(part.astype(np.float32))],
+                ["recording", "channel_idx", "channel", "sample_idx", "value"],
+            )
 
 
 class _Samples(DataSourceReader):
@@ -147,20 +159,95 @@ def read(files: DataFrame, start: int = 0, n: int = 1 << 62, channels: list[str]
                 except (formats.FormatError, OSError, ValueError, KeyError):
                     continue
                 found += _blocks(path, layout, max(0, start), min(start + n, layout.n_samples), block_samples)
-            yield pa.RecordBatch.from_arrays([pa.array([b.recording for b in found], pa.string()), pa.array([b.start for b in found], pa.int64()), pa.array([b.n for b in found], pa.int64())], ["recording", "start", "n"])
+            columns = [pa.array([b.recording for b in found], pa.string()), pa.array([b.start for b in found], pa.int64()), pa.array([b.n for b in found], pa.int64()), pa.array([pickle.dumps(b.layout) for b in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["recording", "start", "n", "layout"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for recording, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _samples(Block(recording, first, count), names)
+            for recording, first, count, layout in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _samples(Block(recording, first, count, pickle.loads(layout)), names)  # noqa: S301 - made by plan()
 
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planned = files.select("path").where(F.col("path").isNotNull()).mapInArrow(plan, "recording string, start long, n long")
+    planned = files.select("path").where(F.col("path").isNotNull()).mapInArrow(plan, "recording string, start long, n long, layout binary")
     return planned.repartition(parts, "recording", "start").mapInArrow(load, _SAMPLES)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written: the number of samples of each recording, as far as it knows."""
+
+    samples: dict[str, int]
+
+
+class _Files(DataSourceArrowWriter):
+    """Samples (recording, channel, sample_idx, value) as EDF files of a folder, one for each recording.
+
+    A record of EDF has its place in the file from the start, so every task writes what it has where it belongs, in a folder
+    beside the files; a task that is run again writes the same bytes. The commit puts the headers in front, now that lengths are
+    known, and moves the files to their names; an abort takes the folder away. Samples that nobody writes are 0, to half a step.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.overwrite = options["path"].rstrip("/").removeprefix("file://"), overwrite
+        self.names = [c for c in options.get("channels", "").split(",") if c]
+        if not self.names or "fs" not in options:
+            raise ValueError("options channels and fs are needed to write recordings")
+        self.fs, self.physical = int(options["fs"]), float(options.get("physical", 1000))
+        self.own = f"{self.folder}/_writing-{uuid.uuid4().hex}"
+        os.makedirs(self.own, exist_ok=True)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        per, n, base = self.fs, len(self.names), 256 * (len(self.names) + 1)
+        index, samples = {c: i for i, c in enumerate(self.names)}, {}
+        for batch in iterator:
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            recording, channel = (batch.column(at[c]).dictionary_encode() for c in ("recording", "channel"))
+            names, labels = recording.dictionary.to_pylist(), channel.dictionary.to_pylist()
+            if any(x not in index for x in labels) or recording.null_count or channel.null_count:
+                raise ValueError(f"channels {sorted(set(map(str, labels)) - set(index))} aren't in the option channels, or a name is null")
+            idx = batch.column(at["sample_idx"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = encoders.edf_numbers(batch.column(at["value"]).to_numpy(zero_copy_only=False), self.physical, 32767).astype("<i2")
+            file, place = recording.indices.to_numpy(), np.array([index[x] for x in labels], np.int64)[channel.indices.to_numpy()] if labels else np.zeros(0, np.int64)
+            offset = base + 2 * (idx // per * per * n + place * per + idx % per)
+            order = np.lexsort((offset, file))
+            cut = np.flatnonzero((np.diff(offset[order]) != 2) | (np.diff(file[order]) != 0)) + 1
+            for run in np.split(order, cut):
+                if len(run):
+                    name = names[file[run[0]]]
+                    with open(os.open(self._part(name), os.O_RDWR | os.O_CREAT), "r+b") as f:
+                        os.pwrite(f.fileno(), raw[run].tobytes(), int(offset[run[0]]))
+                    samples[name] = max(samples.get(name, 0), int(idx[run].max()) + 1)
+        return Written(samples)
+
+    def _part(self, name: str) -> str:
+        if "/" in name or name in ("", ".", ".."):
+            raise ValueError(f"{name!r} is no name of a recording")
+        return f"{self.own}/{name}.edf"
+
+    def commit(self, messages: list[Written | None]) -> None:
+        samples: dict[str, int] = {}
+        for m in messages:
+            for name, n in (m.samples if m else {}).items():
+                samples[name] = max(samples.get(name, 0), n)
+        for name, n in samples.items():
+            records = -(-n // self.fs)
+            with open(self._part(name), "r+b") as f:
+                f.write(encoders.edf_header(self.names, [self.fs] * len(self.names), records, 1.0, self.physical, 32767))
+                f.truncate(256 * (len(self.names) + 1) + 2 * records * self.fs * len(self.names))
+        if self.overwrite:
+            for old in matching(f"{self.folder}/*.edf"):
+                os.remove(old)
+        for name in samples:
+            os.replace(self._part(name), f"{self.folder}/{name}.edf")
+        shutil.rmtree(self.own, ignore_errors=True)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        shutil.rmtree(self.own, ignore_errors=True)
+
+
 class RecordingSource(DataSource):
-    """Samples: (recording, channel_idx, channel, sample_idx, value). Options: start, n, channels, blockSamples."""
+    """Samples: (recording, channel_idx, channel, sample_idx, value). Options of reading: start, n, channels, blockSamples; of
+    writing, to a mounted folder: channels (in order, of all recordings), fs (whole samples a second), physical (largest value)."""
 
     @classmethod
     def name(cls) -> str:
@@ -175,6 +262,9 @@ class RecordingSource(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Growing(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Files(dict(self.options), overwrite)
+
 
 class _Headers(DataSourceReader):
     def __init__(self, options: dict, events: bool):

@@ -3,10 +3,12 @@ one reader serves every layout, and touches no more bytes than a window needs.""
 
 from __future__ import annotations
 
+import fnmatch
+import glob
 import os
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -50,6 +52,14 @@ class Layout:
         return self.width * len(self.labels)
 
 
+    def part(self, low: int, high: int) -> Layout:
+        """The layout with what samples [low, high) need of it: long recordings have as many blocks."""
+        if self.order != "blocks":
+            return replace(self, events=[])
+        first = max(0, bisect_right(self.blocks, (low, 1 << 62, 0)) - 1)
+        return replace(self, events=[], blocks=self.blocks[first : bisect_left(self.blocks, (high,))])
+
+
 def _store(path: str):
     """The file system and path of an address with a scheme, such as hdfs:// or s3://."""
     from pyarrow import fs
@@ -76,6 +86,41 @@ def size_local(path: str) -> int:
     return os.path.getsize(path)
 
 
+def exists(path: str) -> bool:
+    """Whether there is such a file, mounted or in a store."""
+    if "://" in path:
+        from pyarrow import fs
+
+        store, at = _store(path)
+        return store.get_file_info(at).type == fs.FileType.File
+    return os.path.isfile(path)
+
+
+def listed(folder: str) -> list[str]:
+    """Names in a folder, mounted or in a store, in order."""
+    if "://" in folder:
+        from pyarrow import fs
+
+        store, at = _store(folder)
+        return sorted(x.base_name for x in store.get_file_info(fs.FileSelector(at, allow_not_found=True)))
+    return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+
+def matching(pattern: str) -> list[str]:
+    """Files that a pattern of names means, in order; of a store, patterns may stand in any part after the address."""
+    if "://" not in pattern:
+        return sorted(glob.glob(pattern))
+    scheme, rest = pattern.split("://", 1)
+    root, *parts = rest.split("/")
+    found = [f"{scheme}://{root}"]
+    for part in parts:
+        if any(c in part for c in "*?["):
+            found = [f"{f}/{name}" for f in found for name in listed(f) if fnmatch.fnmatchcase(name, part)]
+        else:
+            found = [f"{f}/{part}" for f in found]
+    return found if found != [pattern] else []
+
+
 def clamp(start: int, n: int, n_samples: int) -> tuple[int, int]:
     """[start, start + n) within the recording; an empty window is (0, 0)."""
     low, high = max(0, start), min(start + n, n_samples)
