@@ -6,12 +6,14 @@ between smoothed points. Descriptors are cut into TABLES pieces: two descriptors
 differ in at most one bit of one piece at least, so an equi-join of (table, piece) with the pieces of the query and their
 neighbours one bit away meets every such pair, and the bits then decide (Hamming tables). Each pair of corners proposes a
 change of scale, a turn and a shift between the pictures' centres; the proposals of two pictures vote in a grid of bins of
-these four, twice as wide as the tolerance and laid twice over each dimension, half a bin apart, and two images match if a bin
+these four, laid twice over each dimension, half a bin apart, and two images match if a bin
 holds INLIERS corners of the query, or FEW that are most of those that met any (geometric consensus). Votes are counts by bin, however many proposals there are.
 
 Images are bytes of luma, row by row, with their width and height. The operator is a search: images named as queries
 against all images. Queries are few, so they are described at twice as many scales, a quarter of an octave apart, and every
-size of a copy is within an eighth of an octave of one of them. Byte-equal images form a class and are compared once, by their smallest id. A task needs about 100
+size of a copy is within an eighth of an octave of one of them. The tables of up to QUERY_DESCRIPTORS descriptors, by a count, go
+to all tasks, and every image is looked up and put to the vote where it is described; of more queries, the tables are joined
+by a shuffle of pieces. Byte-equal images form a class and are compared once, by their smallest id. A task needs about 100
 bytes of memory for each pixel of its largest image.
 
 Defined results: null images, images whose bytes don't fit width and height, and images of fewer than LEAST pixels a
@@ -21,6 +23,8 @@ other bytes are told apart by their class. Rows of a null id are left out. Other
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, held, small, table
+from tracelake.llm._common import cut, held, table
 
 BITS, TABLES = 192, 8
 #: Corners in one bin that make a match: so many, or fewer if they are so large a share of the query's corners that met any.
@@ -39,8 +43,8 @@ CORNERS, TILE = 8, 40
 #: Bins are so many quarter octaves, degrees, and pixels or shares of the picture's longer side wide.
 SCALE, TURN, SHIFT, SPREAD = 4, 40, 12, 0.16
 PATCH, LEAST = 9, 24
-#: A broadcast side of pieces or descriptors takes about 80 bytes a row.
-BROADCAST_KEYS = 1_500_000
+#: Descriptors of queries, up to which their tables are sent to all tasks: about 250 bytes each.
+QUERY_DESCRIPTORS = 400_000
 _PIECE = BITS // TABLES
 _rng = np.random.default_rng(20)
 #: Pairs of points of the tests (x, y), normal around the corner, PATCH pixels away at most.
@@ -152,30 +156,120 @@ _COLUMNS = "id long, corner int, side int, x float, y float, level int, angle fl
 BATCH_PIXELS = 250_000
 
 
+def _of_batch(batch: pa.RecordBatch, between: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, corner, side, x, y, level, angle, words...) of the images (id, width, height, pixels) of a batch."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    w, h, ids = (batch.column(i).to_pylist() for i in (1, 2, 0))
+    for i in range(batch.num_rows):
+        if w[i] and h[i] and min(w[i], h[i]) >= LEAST:
+            groups.setdefault((h[i], w[i]), []).append(i)
+    for size, own in groups.items():
+        step = max(1, BATCH_PIXELS // (size[0] * size[1]))
+        for start in range(0, len(own), step):
+            read = [(ids[i], batch.column(3)[i].as_buffer()) for i in own[start : start + step] if batch.column(3)[i].is_valid]
+            part = [(i, p) for i, p in read if len(p) == size[0] * size[1]]
+            if not part:
+                continue
+            image, x, y, level, angle, bits = described(np.stack([np.frombuffer(p, np.uint8).reshape(size) for _, p in part]), between)
+            own_ids = np.array([i for i, _ in part], np.int64)[image.astype(np.int64)]
+            columns = [own_ids, np.arange(len(own_ids)), np.full(len(own_ids), max(size)), x, y, level, angle]
+            yield tuple(c.astype(k.to_pandas_dtype()) for c, k in zip(columns, _KINDS, strict=True)) + tuple(packed(bits))
+
+
+def _bare(images: DataFrame) -> DataFrame:
+    return images.select(F.col("id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").where(F.col("id").isNotNull())
+
+
 def descriptors(images: DataFrame, between: bool = False) -> DataFrame:
     """(id, corner, side, x, y, level, angle, b0, ...) of images (id, width, height, pixels); `between` as in described()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("image_copies", dict)  # lets go of what other operators kept
         for batch in batches:
-            groups: dict[tuple[int, int], list[int]] = {}
-            w, h, ids = (batch.column(i).to_pylist() for i in (1, 2, 0))
-            for i in range(batch.num_rows):
-                if w[i] and h[i] and min(w[i], h[i]) >= LEAST:
-                    groups.setdefault((h[i], w[i]), []).append(i)
-            for size, own in groups.items():
-                step = max(1, BATCH_PIXELS // (size[0] * size[1]))
-                for start in range(0, len(own), step):
-                    read = [(ids[i], batch.column(3)[i].as_buffer()) for i in own[start : start + step] if batch.column(3)[i].is_valid]
-                    part = [(i, p) for i, p in read if len(p) == size[0] * size[1]]
-                    if not part:
-                        continue
-                    image, x, y, level, angle, bits = described(np.stack([np.frombuffer(p, np.uint8).reshape(size) for _, p in part]), between)
-                    own_ids = np.array([i for i, _ in part], np.int64)[image.astype(np.int64)]
-                    columns = [own_ids, np.arange(len(own_ids)), np.full(len(own_ids), max(size)), x, y, level, angle]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, _KINDS, strict=True)), *(pa.array(v) for v in packed(bits))], [*_PLACE, *_WORDS])
-
-    return images.select(F.col("id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").where(F.col("id").isNotNull()).mapInArrow(run, _COLUMNS)
+            for columns in _of_batch(batch, between):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*_PLACE, *_WORDS])
+
+    return _bare(images).mapInArrow(run, _COLUMNS)
+
+
+class Tables:
+    """The Hamming tables of some queries' descriptors: their pieces in order, and a bitmap of these and their neighbours."""
+
+    def __init__(self, columns: tuple[np.ndarray, ...]):
+        self.ids, _, _, self.x, self.y, self.level, self.angle = columns[: len(_PLACE)]
+        self.words = np.stack(columns[len(_PLACE) :], 1) if len(self.ids) else np.zeros((0, TABLES // 2), np.int64)
+        self.flips = np.concatenate([[0], 1 << np.arange(_PIECE)]).astype(np.int32)
+        self.order, self.sorted, self.bitmaps = [], [], []
+        for p in self.pieces(self.words):
+            order = np.argsort(p, kind="stable").astype(np.int32)
+            near = np.zeros(1 << _PIECE, bool)
+            for flip in self.flips:
+                near[p ^ flip] = True
+            self.order.append(order)
+            self.sorted.append(p[order])
+            self.bitmaps.append(np.packbits(near))
+
+    @staticmethod
+    def pieces(words: np.ndarray) -> list[np.ndarray]:
+        mask = (1 << _PIECE) - 1
+        return [(words[:, t // 2] >> (t % 2 * _PIECE) & mask).astype(np.int32) for t in range(TABLES)]
+
+    def met(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query's descriptor, own descriptor) of all pairs up to DISTANCE bits apart, each once."""
+        pairs = []
+        for p, order, keys, bitmap in zip(self.pieces(words), self.order, self.sorted, self.bitmaps, strict=True):
+            own = np.flatnonzero(bitmap[p >> 3] >> (7 - (p & 7)) & 1)
+            probes = (p[own, None] ^ self.flips).ravel()
+            low = np.searchsorted(keys, probes, "left")
+            found = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == probes)) if len(keys) else np.zeros(0, np.int64)
+            count = np.searchsorted(keys, probes[found], "right") - low[found]
+            at = np.repeat(low[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            pairs.append(np.stack([order[at].astype(np.int64), np.repeat(own[found // len(self.flips)], count)]))
+        query, own = np.concatenate(pairs, 1)
+        apart = np.bitwise_count(self.words[query] ^ words[own]).sum(1)
+        kept = np.unique(query[apart <= DISTANCE] * len(words) + own[apart <= DISTANCE])
+        return kept // max(1, len(words)), kept % max(1, len(words))
+
+    def agreed(self, ids: np.ndarray, side: np.ndarray, x: np.ndarray, y: np.ndarray, level: np.ndarray, angle: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, image, inliers) of the images whose descriptors these are."""
+        q, n = self.met(words)
+        q, n = q[self.ids[q] != ids[n]], n[self.ids[q] != ids[n]]
+        if not len(q):
+            return []
+        turn = (angle[n].astype(float) - self.angle[q]) % 360
+        step = level[n] - self.level[q]
+        scale, (c, s) = 2.0 ** (step / 4), (f(np.radians(turn)) for f in (np.cos, np.sin))
+        qx, qy = self.x[q].astype(float), self.y[q].astype(float)
+        room = np.maximum(SHIFT, side[n] * SPREAD)
+        dims = [(step, float(SCALE), 0), (turn, float(TURN), 360 // TURN), (x[n] - scale * (c * qx - s * qy), room, 0), (y[n] - scale * (s * qx + c * qy), room, 0)]
+        pair, which = np.unique(np.stack([self.ids[q], ids[n]]), axis=1, return_inverse=True)
+        cells = [[(np.floor(v / wide + h / 2) % around if around else np.floor(v / wide + h / 2)).astype(np.int64) for h in (0, 1)] for v, wide, around in dims]
+        met = np.unique(np.stack([which, q]), axis=1)
+        most, known = np.zeros(pair.shape[1], np.int64), np.bincount(met[0], minlength=pair.shape[1])
+        for grid in itertools.product((0, 1), repeat=len(dims)):
+            votes = np.unique(np.stack([which, *(cells[k][h] for k, h in enumerate(grid)), q]), axis=1)[:-1]
+            bins, count = np.unique(votes, axis=1, return_counts=True)
+            np.maximum.at(most, bins[0], count)
+        good = (most >= INLIERS) | (most >= FEW) & (most >= SHARE * known)
+        return list(zip(pair[0][good].tolist(), pair[1][good].tolist(), most[good].tolist(), strict=True))
+
+
+def searched(images: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q_id, id, inliers): all images looked up, as they are described, in the Hamming tables of few queries' descriptors."""
+    rows = asked.select(*_PLACE, *_WORDS).toArrow()  # as many as QUERY_DESCRIPTORS
+    shared = images.sparkSession.sparkContext.broadcast([rows.column(c).to_numpy() for c in (*_PLACE, *_WORDS)])
+
+    key = f"image_copies {uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = held(key, lambda: Tables(tuple(shared.value)))
+        for batch in batches:
+            for ids, _, side, x, y, level, angle, *words in _of_batch(batch, False):
+                found = tables.agreed(ids, side, x, y, level, angle, np.stack(words, 1)) if len(ids) else []
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["q_id", "id", "inliers"])
+
+    return _bare(images).mapInArrow(run, "q_id long, id long, inliers long")
 
 
 def _pieces(words: list[str]) -> list[Column]:
@@ -200,19 +294,12 @@ def _probes(words: list[str]) -> Column:
 
 def near(made: DataFrame, asked: DataFrame) -> DataFrame:
     """The pairs of a descriptor of `made` and one of `asked` (columns q_...), of different images, that are up to DISTANCE
-    bits apart: all of them, each once.
-
-    While the pieces asked for are few, by a count, they are broadcast with their bits, and every descriptor looks up its own
-    pieces and their neighbours without a shuffle. Beyond that, the neighbours of what is asked are joined with the pieces of
-    all by shuffle, keys and names only, and the bits are fetched for what met."""
+    bits apart: all of them, each once. Keys and names go through the join of pieces; the bits are fetched for what met."""
     own = [f"q_{b}" for b in _WORDS]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", *_WORDS)])
-    if asked.count() * TABLES <= BROADCAST_KEYS:
-        met = made.withColumn("key", F.explode(_probes(_WORDS))).join(F.broadcast(asked.withColumn("key", F.explode(_keys(own)))), "key")
-    else:
-        listed = made.select("id", "corner", F.explode(_keys(_WORDS)).alias("key"))
-        met = listed.join(asked.select("q_id", "q_corner", F.explode(_probes(own)).alias("key")), "key")
-        met = met.join(asked, ["q_id", "q_corner"]).join(made, ["id", "corner"])
+    listed = made.select("id", "corner", F.explode(_keys(_WORDS)).alias("key"))
+    met = listed.join(asked.select("q_id", "q_corner", F.explode(_probes(own)).alias("key")), "key")
+    met = met.join(asked, ["q_id", "q_corner"]).join(made, ["id", "corner"])
     differ = [F.col(b).bitwiseXOR(F.col(f"q_{b}")) for b in _WORDS]
     apart = sum((F.bit_count(d) for d in differ), F.lit(0))
     # a pair that meets in several tables counts in the first
@@ -255,11 +342,14 @@ def copies(images: DataFrame, is_query: Column) -> DataFrame:
     heads = images.select("id", "width", "height", "pixels", *hashed).join(classes.withColumnRenamed("class_id", "id").drop("asked"), ["h1", "h2", "id"], "left_semi")
     repeated = keyed.groupBy("id").count().where("count > 1").limit(1).count()
     heads = heads.dropDuplicates(["h1", "h2"]) if repeated else heads
-    made = cut(descriptors(heads))
     asked = cut(descriptors(heads.join(classes.where("asked").select("h1", "h2"), ["h1", "h2"], "left_semi"), between=True))
-    place = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle")])
-    found = cut(near(made.select(*_PLACE, *_WORDS), asked).drop(*_WORDS, "corner"))
-    matched = agreed(found.join(small(place, BROADCAST_KEYS), ["q_id", "q_corner"]))
+    if asked.limit(QUERY_DESCRIPTORS + 1).count() <= QUERY_DESCRIPTORS:
+        matched = searched(heads, asked)
+    else:
+        made = cut(descriptors(heads))
+        place = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle")])
+        found = cut(near(made.select(*_PLACE, *_WORDS), asked).drop(*_WORDS, "corner"))
+        matched = agreed(found.join(place, ["q_id", "q_corner"]))
     return members.unionByName(matched.select(F.lit("match").alias("kind"), F.col("q_id").alias("id"), F.col("id").alias("other"), "inliers"))
 
 
