@@ -667,8 +667,8 @@ def test_image_copies(spark):
     assert len(found) >= 27 and image_copies.copies(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_all_near_descriptors_meet(spark, monkeypatch):
-    """Every pair of descriptors within DISTANCE bits is met once, by broadcast and by shuffle."""
+def test_all_near_descriptors_meet(spark):
+    """Every pair of descriptors within DISTANCE bits is met once, by shuffle and in tables of a task."""
     rng = np.random.default_rng(5)
     base = rng.random((40, image_copies.BITS)) < 0.5
     bits = np.concatenate([base, *(np.array([b ^ np.isin(np.arange(image_copies.BITS), rng.permutation(image_copies.BITS)[:k]) for b in base]) for k in range(20))])
@@ -676,10 +676,12 @@ def test_all_near_descriptors_meet(spark, monkeypatch):
     made = spark.createDataFrame(rows, image_copies._COLUMNS)
     apart = (bits[:40, None] != bits[None]).sum(2)
     want = {(q, i) for q in range(40) for i in range(len(bits)) if q != i and apart[q, i] <= image_copies.DISTANCE}
-    for keys in (1 << 20, 0):
-        monkeypatch.setattr(image_copies, "BROADCAST_KEYS", keys)
-        found = image_copies.near(made, made.where("id < 40")).select("q_id", "id").collect()
-        assert len(want) == 40 * 16 and len(found) == len(want) and {tuple(r) for r in found} == want
+    found = image_copies.near(made, made.where("id < 40")).select("q_id", "id").collect()
+    assert len(want) == 40 * 16 and len(found) == len(want) and {tuple(r) for r in found} == want
+    words = np.stack(image_copies.packed(bits), 1)
+    tables = image_copies.Tables((np.arange(40), *[np.zeros(40)] * 6, *words[:40].T))
+    met = list(zip(*(x.tolist() for x in tables.met(words)), strict=True))
+    assert len(met) == len(set(met)) and {(q, i) for q, i in met if q != i} == want
 
 
 def turned(x, degrees, zoom=1.0):
@@ -734,8 +736,10 @@ def test_edited_copies_are_found(spark):
     assert all(r >= 0.9 for r in recall.values()), recall
 
 
-def test_consensus_against_brute_force(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_consensus_against_brute_force(spark, monkeypatch, most):
     """The matches are those of a comparison of all pairs of corners, bit by bit."""
+    monkeypatch.setattr(image_copies, "QUERY_DESCRIPTORS", most)
     rng = np.random.default_rng(9)
     base = [textured(rng, 96) for _ in range(8)]
     pictures = base + [(x * 0.8 + y * 0.2).astype(np.uint8) for x, y in zip(base, base[1:] + base[:1], strict=True)] + [turned(x, 10) for x in base]
