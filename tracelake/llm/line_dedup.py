@@ -83,8 +83,8 @@ def _parsed(docs: DataFrame) -> DataFrame:
             rows, found = [], []
 
             def made() -> pa.RecordBatch:
-                own = batch.take(pa.array(rows, pa.int64()))  # noqa: B023
-                return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(found, pa.int64())], ["doc_id", "anon", "key"])  # noqa: B023
+                at = pa.array(rows, pa.int32())  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.int64())], ["doc_id", "anon", "key"])  # noqa: B023
 
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = {k for line in (text or "").split("\n") for k in keys(line)}
