@@ -52,6 +52,13 @@ def sampled(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key).limit(k)
 
 
+def stratified(rows: DataFrame, by: list[str], key: str, k: int, seed: int) -> DataFrame:
+    """k rows of each group (all of a smaller one) with their rank, chosen as in sampled(). The ranks are limited before the
+    shuffle: a task keeps k rows of a group at most, and these are put together, so a hot group is no more than that from each."""
+    chance = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(chance, key))).where(F.col("rank") <= k)
+
+
 def catalogue(rows: DataFrame, dataset: str, passed: Column, hopeless: Column) -> DataFrame:
     """(class, datasets, share, effective): datasets by what came of their rows: `loadable` if any passed, `empty` if none had a
     chance, else `broken`; each class with its share and the pass rate of rows that had a chance."""

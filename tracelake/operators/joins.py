@@ -64,6 +64,16 @@ def first_match(targets: DataFrame, candidates: Column, files: DataFrame, key: s
     return found.groupBy(*targets.columns).agg(F.min_by(F.struct(key, "level", *[c for c in files.columns if c != key]), "level").alias("hit"))
 
 
+def suffix_matched(keys: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of keys and names where the key is the name or ends in a slash and the name. A key is listed under each of its endings
+    that begins after a slash, with as many parts as any name has, so the join is on equal endings."""
+    parts = F.split(F.col(key), "/", -1)
+    most = names.agg(F.max(F.size(F.split(F.col(name), "/", -1)))).scalar()
+    endings = F.transform(F.sequence(F.lit(1), F.col("__most")), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
+    listed = keys.withColumn("__most", F.least(F.size(parts), most)).withColumn("__end", F.explode(endings)).drop("__most")
+    return listed.join(names, F.col("__end") == F.col(name)).drop("__end")
+
+
 def last_wins(frame: DataFrame, key: Column, order: str) -> DataFrame:
     """Of rows with the same key, the last in order."""
     rows = frame.withColumn("__key", key)

@@ -92,6 +92,12 @@ def seeded_sample(spark, sf_dir):
     return A.sampled(table(spark, sf_dir, "customer"), "c_custkey", 25, 7).select("c_custkey", "c_name")
 
 
+@query("SELECT event_type, event_id, rank::INT AS rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '#7'), event_id) AS rank FROM events) WHERE rank <= 20")
+def stratified_sample(spark, sf_dir):
+    """Twenty events of each type, chosen by the hash of their ids."""
+    return A.stratified(table(spark, sf_dir, "events"), ["event_type"], "event_id", 20, 7).select("event_type", "event_id", "rank")
+
+
 @query("""WITH q AS (SELECT event_type AS metric, event_id % 2 AS run, value, row_number() OVER (PARTITION BY event_type, event_id % 2 ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type, event_id % 2) AS n FROM events),
 s AS (SELECT metric, run, max(CASE WHEN k = least(n - 1, floor(n * 0.5)) THEN value END) AS p50, max(CASE WHEN k = least(n - 1, floor(n * 0.95)) THEN value END) AS p95 FROM q GROUP BY ALL)
 SELECT a.metric, a.p50, a.p95, b.p50 AS base_p50, b.p95 AS base_p95, CASE WHEN b.p50 IS NULL THEN 'new' WHEN (a.p50 > b.p50 * 1.01 AND a.p50 - b.p50 > 0.05) OR (a.p95 > b.p95 * 1.02 AND a.p95 - b.p95 > 0.05) THEN 'regressed' ELSE 'ok' END AS verdict

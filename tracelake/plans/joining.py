@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import joins as J
 from tracelake.operators import samples as S
+from tracelake.plans.naming import text
 from tracelake.plans.registry import query, table
 from tracelake.plans.signal import SQL, samples
 
@@ -122,14 +123,19 @@ def located_channel_count(spark, sf_dir):
     return c.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count("*").alias("located"))
 
 
-@query("""WITH k AS (SELECT c_custkey, 'sub-' || c_nationkey || '/' || c_mktsegment AS key FROM customer), n AS (SELECT DISTINCT c_mktsegment AS name FROM customer)
-SELECT c_custkey, name FROM k JOIN n ON key = name OR key LIKE '%/' || name""")
+@query("""WITH k AS (SELECT c_custkey, 'ds-' || c_nationkey % 3 || '/sub-' || c_nationkey || '/' || c_mktsegment AS key FROM customer),
+n AS (SELECT DISTINCT c_nationkey AS recording, 1 AS priority, 'sub-' || c_nationkey || '/' || c_mktsegment AS name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT DISTINCT c_nationkey, 2, c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT c_nationkey, 3, 'ds-' || c_nationkey % 3 || '/sub-' || c_nationkey || '/' || c_mktsegment FROM customer)
+SELECT recording, c_custkey, priority, name FROM (SELECT n.recording, c_custkey, priority, name, row_number() OVER (PARTITION BY n.recording, c_custkey ORDER BY priority, name) AS r FROM k JOIN n ON key = name OR key LIKE '%/' || name) WHERE r = 1""")
 def suffix_match_join(spark, sf_dir):
-    """Keys that are a name or end in /name: an equi-join on the part after the last slash."""
+    """For each recording, the keys that are one of its names or end in /name, each with the name of least priority: names may have
+    several parts."""
     c = table(spark, sf_dir, "customer")
-    k = c.select("c_custkey", F.concat(F.lit("sub-"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_mktsegment")).alias("key"))
-    names = c.select(F.col("c_mktsegment").alias("name")).distinct()
-    return k.withColumn("name", F.substring_index("key", "/", -1)).join(names, "name").select("c_custkey", "name")
+    own, top = text("sub-", F.col("c_nationkey"), "/", F.col("c_mktsegment")), text("ds-", F.col("c_nationkey") % 3, "/")
+    k = c.select("c_custkey", F.concat(top, own).alias("key"))
+    named = lambda rows, priority, name: rows.select(F.col("c_nationkey").alias("recording"), F.lit(priority).alias("priority"), name.alias("name")).distinct()
+    names = named(c.where("c_custkey % 5 = 0"), 1, own).unionByName(named(c.where("c_custkey % 3 = 0"), 2, F.col("c_mktsegment"))).unionByName(named(c, 3, F.concat(top, own)))
+    found = J.suffix_matched(k, "key", names, "name")
+    return found.groupBy("recording", "c_custkey").agg(F.min(F.struct("priority", "name")).alias("best")).select("recording", "c_custkey", "best.priority", "best.name")
 
 
 @query("""WITH p AS (SELECT s_suppkey, n_nationkey, (s_nationkey = n_nationkey)::INT * 4 + (s_nationkey % 5 = n_regionkey)::INT * 2 + (s_suppkey % 3 = n_nationkey % 3)::INT AS score FROM supplier JOIN nation ON s_nationkey % 5 = n_regionkey OR s_nationkey = n_nationkey),

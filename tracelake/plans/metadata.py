@@ -91,15 +91,17 @@ def coordinate_systems(spark, sf_dir):
     return sidecars.coordinate_system(table(spark, sf_dir, "events").select(text("e", k).alias("path"), json.alias("text")), "MEG")
 
 
-@query("""WITH c AS (SELECT c_custkey, 'd/sub-' || c_nationkey AS sub, 'sub-' || c_nationkey || '_task-a' AS p, 'sub-' || c_nationkey AS s FROM customer)
-SELECT c_custkey, [sub || '/eeg/' || p || '_x.tsv', sub || '/eeg/' || s || '_x.tsv', sub || '/eeg/x.tsv', sub || '/' || p || '_x.tsv', sub || '/' || s || '_x.tsv', sub || '/x.tsv', 'd/' || p || '_x.tsv', 'd/' || s || '_x.tsv', 'd/x.tsv'] AS listed, p || '_x.tsv' AS named FROM c""")
+@query("""WITH c AS (SELECT c_custkey, 'sub-' || c_nationkey AS s, c_custkey % 2 = 0 AS e, CASE c_mktsegment WHEN 'MACHINERY' THEN 'run' ELSE lower(c_mktsegment) END AS t FROM customer),
+v AS (SELECT c_custkey, CASE WHEN e THEN [s || '_ses-1_task-' || t || '_x.tsv', s || '_ses-1_x.tsv', 'ses-1_task-' || t || '_x.tsv', s || '_x.tsv', 'ses-1_x.tsv', 'x.tsv'] ELSE [s || '_task-' || t || '_x.tsv', s || '_x.tsv', 'task-' || t || '_x.tsv', 'x.tsv'] END AS names,
+CASE WHEN e THEN ['d/' || s || '/ses-1/eeg', 'd/' || s || '/ses-1', 'd/' || s, 'd'] ELSE ['d/' || s || '/eeg', 'd/' || s, 'd'] END AS dirs FROM c)
+SELECT c_custkey, flatten(list_transform(dirs, lambda d: list_transform(names, lambda x: d || '/' || x))) AS listed, names[1] AS named FROM v""")
 def sidecar_candidates(spark, sf_dir):
-    """Where a recording's sidecar may lie: most particular names first, in its folder and those above. Names without the subject are
-    left out of the list here, and so is `x.tsv` with another's suffix."""
-    path = text("d/sub-", F.col("c_nationkey"), "/eeg/sub-", F.col("c_nationkey"), "_task-a_eeg.edf")
-    made = sidecars.candidates(path, "x.tsv", 3)
-    listed = F.filter(made, lambda x: ~x.rlike("/task-a_x"))
-    return table(spark, sf_dir, "customer").select("c_custkey", listed.alias("listed"), F.substring_index(F.get(made, F.lit(0)), "/", -1).alias("named"))
+    """Where a recording's sidecar may lie: most particular names first, with the subject and without, in its folder and those above."""
+    task = F.when(F.col("c_mktsegment") == "MACHINERY", "run").otherwise(F.lower("c_mktsegment"))
+    session = F.col("c_custkey") % 2 == 0
+    path = text("d/sub-", F.col("c_nationkey"), F.when(session, "/ses-1").otherwise(""), "/eeg/sub-", F.col("c_nationkey"), F.when(session, "_ses-1").otherwise(""), "_task-", task, "_eeg.edf")
+    made = sidecars.candidates(path, "x.tsv", 4)
+    return table(spark, sf_dir, "customer").select("c_custkey", made.alias("listed"), F.substring_index(F.get(made, F.lit(0)), "/", -1).alias("named"))
 
 
 @query("""SELECT o_custkey AS dataset, 'f' || o_orderkey AS path, o_orderkey AS size FROM orders WHERE o_orderkey % 4 <> 1""")
@@ -154,15 +156,16 @@ def fitted_views(spark, sf_dir):
     turned = table(spark, sf_dir, "embeddings").select("label", "vec_id", X.rotated(at(0), at(1), at(2), 0.5, 0.3).alias("r"))
     return G.fitted(turned.select("label", "vec_id", "r.px", "r.py"), "label", 400, 300, 20).select("label", "vec_id", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
 
-def _posed(vectors, key: str, values: str, joints: int, frames: int, fs: float = 30.0):
-    """(path, text): a sidecar for each vector, whose numbers in pairs are x and y of its joints, frame after frame, with z 0. Every third
+def _posed(vectors, key: str, values: str, joints: int, fs: float = 30.0):
+    """(path, text): a sidecar for each vector, whose numbers in pairs are x and y of its joints, for as many frames as it has, with z 0. Every third
     key's second frame is marked as not valid, and every seventh key's numbers are cut short. Made in tasks, row by row."""
 
     def run(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, vectors in arrays:
             out = []
             for k, v in zip(keys.to_pylist(), vectors.to_pylist(), strict=True):
-                xy = np.array(v[: 2 * joints * frames], np.float32).reshape(frames, joints, 2)
+                xy = np.array(v, np.float32).reshape(-1, joints, 2)
+                frames = len(xy)
                 made = P.sidecar(np.concatenate([xy, np.zeros((frames, joints, 1), np.float32)], 2), fs, np.array([k % 3 != 0 or f != 1 for f in range(frames)]))
                 if k % 7 == 0:
                     made["n_frames"] += 1
@@ -173,8 +176,8 @@ def _posed(vectors, key: str, values: str, joints: int, frames: int, fs: float =
     return vectors.select(F.col(key).cast("string").alias("path"), F.arrow_udf(run, "string")(key, values).alias("text"))
 
 
-@query("""SELECT vec_id AS pose, (i // 8)::INT AS frame, ((i % 8))::INT AS joint, embedding[i * 2 + 1]::FLOAT AS x, vec_id % 3 <> 0 OR i // 8 <> 1 AS ok FROM (SELECT vec_id, embedding, unnest(range(16)) AS i FROM embeddings WHERE vec_id % 7 <> 0)""")
+@query("""SELECT vec_id AS pose, (i // 8)::INT AS frame, ((i % 8))::INT AS joint, embedding[i * 2 + 1]::FLOAT AS x, embedding[i * 2 + 2]::FLOAT AS y, vec_id % 3 <> 0 OR i // 8 <> 1 AS ok FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 2)) AS i FROM embeddings WHERE vec_id % 7 <> 0)""")
 def pose_sidecars(spark, sf_dir):
     """Poses from sidecars in JSON with packed numbers, by frame and joint; a sidecar of another length is left out."""
     e = table(spark, sf_dir, "embeddings")
-    return P.frames(_posed(e, "vec_id", "embedding", joints=8, frames=2)).select(F.col("path").cast("long").alias("pose"), F.col("frame_idx").alias("frame"), F.col("joint_idx").alias("joint"), "x", "ok")
+    return P.frames(_posed(e, "vec_id", "embedding", joints=8)).select(F.col("path").cast("long").alias("pose"), F.col("frame_idx").alias("frame"), F.col("joint_idx").alias("joint"), "x", "y", "ok")
