@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _name in ("signal", "joining", "audit", "scalars", "formats", "live", "naming", "recordings", "metadata"):
+for _name in ("signal", "joining", "audit", "scalars", "formats", "live", "naming", "recordings", "metadata", "arrays"):
     importlib.import_module(f"tracelake.plans.{_name}")
