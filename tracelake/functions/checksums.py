@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +34,41 @@ def crc_koopman(data: bytes) -> int:
     return crc
 
 
+#: Bytes of the blocks that are summed in step, at most; a larger block goes by itself.
+IN_STEP = 16 << 20
+
+
+def crcs_koopman(blocks: list[bytes]) -> np.ndarray:
+    """crc_koopman of each block, all blocks in step: the loop is over places in a block, not over bytes."""
+    table, out = np.array(_TABLE, np.uint32), np.full(len(blocks), 0xFFFFFFFF, np.uint32)
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    first = 0
+    while first < len(order):
+        long = len(blocks[order[first]])
+        part = order[first : first + max(1, IN_STEP // max(1, long))]
+        first += len(part)
+        raw = np.zeros((len(part), long), np.uint8)
+        for row, i in zip(raw, part, strict=True):
+            row[: len(blocks[i])] = np.frombuffer(blocks[i], np.uint8)
+        columns = np.ascontiguousarray(raw.T)
+        upto = np.array([len(blocks[i]) for i in part])
+        crc = out[part]
+        for k in range(long):
+            live = np.searchsorted(-upto, -k, "left")  # blocks are in order of length, the longest first
+            own = crc[:live]
+            crc[:live] = own >> np.uint32(8) ^ table[(own ^ columns[k, :live]) & np.uint32(0xFF)]
+        out[part] = crc
+    return out
+
+
 def block_checksum(data: Column) -> Column:
     """crc_koopman of a binary column, as a long."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for blocks in arrays:
-            yield pa.array([None if b is None else crc_koopman(b) for b in blocks.to_pylist()], pa.int64())
+            own = blocks.to_pylist()
+            sums = iter(crcs_koopman([b for b in own if b is not None]).tolist())
+            yield pa.array([None if b is None else next(sums) for b in own], pa.int64())
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "long")(data)

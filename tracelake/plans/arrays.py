@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tracelake.operators import blockcodec
 from tracelake.operators import chunked as C
 from tracelake.operators import folds
 from tracelake.operators.shared import fixed
@@ -47,3 +48,24 @@ def indexed_windows(spark, sf_dir):
     found, _ = C.walked(windows(spark, sf_dir), nodes, roots)
     pairs = found.join(stored.select("array", "address", "bytes"), ["array", "address"])
     return C.values(pairs, "<f8", 2, FILTERS, keep=("array", "window"))
+
+
+BLOCK = 250
+BLOCKS_SQL = f"s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k, floor(value)::BIGINT AS v FROM events), b AS (SELECT event_type || '-' || (k // {BLOCK}) AS block, (k // {BLOCK}) % 7 = 3 AS spoilt, k % {BLOCK} AS sample_idx, v FROM s)"
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT block, sample_idx, v AS value, NULL AS error FROM b WHERE NOT spoilt UNION ALL SELECT DISTINCT block, NULL, NULL, 'checksum' FROM b WHERE spoilt")
+def coded_blocks(spark, sf_dir):
+    """Samples coded in blocks of differences and decoded again, many blocks in step; of each type the fourth of seven blocks is spoilt."""
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.floor("value").alias("v"))
+    rows = folds.numbered(e, "event_type", ["ts", "event_id"], "k").withColumn("block", F.floor(F.col("k") / BLOCK).cast("long"))
+
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.sort_by("k")
+        n = part.column("block")[0].as_py()
+        made = bytearray(blockcodec.encode(part.column("v").to_numpy(), start=n))
+        made[-1] ^= n % 7 == 3
+        return pa.table({"block": [f"{part.column('event_type')[0].as_py()}-{n}"], "bytes": [bytes(made)]})
+
+    blocks = rows.groupBy("event_type", "block").applyInArrow(pack, "block string, bytes binary")
+    return blockcodec.decoded(blocks, "block", "bytes")
