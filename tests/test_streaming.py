@@ -84,3 +84,26 @@ def test_growing_recordings(spark, tmp_path):
     live.write_bytes(raw[: head + 7 * record])
     (tmp_path / "live" / "b.edf").write_bytes(raw)
     assert new() == [("a.edf", i) for i in range(400, 700)] + [("b.edf", i) for i in range(1000)]
+
+
+def test_idle_windows_are_forgotten(spark, tmp_path):
+    """What isn't added to for `idle` behind the watermark goes; late, repeated and missing chunks over several batches."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    at = lambda hours: start + timedelta(hours=hours)
+    batches = [
+        [(1, 0, 0, False, [1.0], at(0)), (2, 0, 1, True, [2.0], at(0)), (2, 0, 1, True, [2.5], at(0))],
+        [(3, 0, 0, False, [7.0], at(5))],
+        [(3, 0, 1, False, [8.0], at(5.1))],
+        [(1, 0, 1, True, [9.0], at(5.2)), (2, 0, 0, False, [1.0], at(5.2)), (3, 0, 2, True, [9.0], at(5.2)), (3, 0, 1, False, [0.0], at(5.2))],
+    ]
+    schema = "request long, epoch int, chunk_seq int, last boolean, values array<double>, at timestamp"
+    (tmp_path / "in").mkdir()
+    made = C.assembled_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), time="at", idle="1 hour")
+    out = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = made.writeStream.foreachBatch(lambda df, _: out.extend(sorted(tuple(r) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert out == [(1, 0, False, [1.0]), (3, 0, False, [7.0]), (3, 0, False, [7.0, 8.0]), *sorted([(2, 0, False, [1.0]), (3, 0, True, [7.0, 8.0, 9.0])])]

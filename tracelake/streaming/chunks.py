@@ -12,6 +12,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def current(chunks: DataFrame) -> DataFrame:
@@ -31,45 +32,68 @@ def assembled(chunks: DataFrame) -> DataFrame:
     return newest.select("request", F.exists("parts", lambda p: p["last"]).alias("complete"), F.flatten(F.transform("parts", lambda p: p["values"])).alias("values"))
 
 
-_STATE = "epoch int, last int, sent int, seqs array<int>, sizes array<int>, flat array<double>"
+#: The store that keeps state by key on disk and writes what changed.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def assembled_stream(chunks: DataFrame, filtered: bool = False, time: str | None = None, idle: str = "10 minutes") -> DataFrame:
-    """(request, epoch, complete, values) of a stream of chunks (request, epoch, chunk_seq, last, values): each time more of a
-    window is there without a gap, what there is of it, and at the end all of it. With a filter on, which needs the whole
-    window, nothing but the end. A later epoch begins anew, an earlier one is left out, and so are repeats. With a column of
-    event time, what isn't added to for `idle` behind the watermark is forgotten; without one, nothing is. A window is what one
-    request asks for, and bounded as that is."""
-    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        epoch, last, sent, seqs, sizes, flat = state.get if state.exists else (-1, -1, 0, [], [], [])
-        parts, at = {}, 0
-        for seq, size in zip(seqs, sizes, strict=True):
-            parts[seq], at = list(flat[at : at + size]), at + size
-        for frame in frames:
+class Assembly(StatefulProcessor):
+    """Puts the chunks of a request together. Each chunk is a state of its own, under its number, so a batch writes the chunks that
+    came and a few numbers, whatever has come before; chunks are read when a window is emitted."""
+
+    def __init__(self, filtered: bool, idle_ms: int | None):
+        self.filtered, self.idle_ms = filtered, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "epoch int, last int, sent int, whole int, latest long")
+        self.parts = handle.getMapState("parts", "seq int", "v array<double>")
+
+    def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        epoch, last, sent, whole, latest = self.known.get() if self.known.exists() else (-1, -1, 0, 0, -1)
+        before = latest
+        for frame in rows:
             for r in frame.itertuples():
+                latest = max(latest, int(r.at_ms))
                 if r.epoch > epoch:
-                    epoch, last, sent, parts = int(r.epoch), -1, 0, {}
+                    epoch, last, sent, whole = int(r.epoch), -1, 0, 0
+                    self.parts.clear()
                 if r.epoch == epoch:
-                    parts.setdefault(int(r.chunk_seq), [float(v) for v in r.values])
+                    if not self.parts.containsKey((int(r.chunk_seq),)):
+                        self.parts.updateValue((int(r.chunk_seq),), ([float(v) for v in r.values],))
                     last = int(r.chunk_seq) if r.last else last
-        whole = next(k for k in range(len(parts) + 1) if k not in parts)
-        done = 0 <= last < whole
-        values = [v for k in range(whole) for v in parts[k]]
-        fresh, sent = whole > sent, max(sent, whole)
-        state.update((epoch, last, sent, list(parts), [len(v) for v in parts.values()], [x for v in parts.values() for x in v]))
-        if time:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ms)
-        if fresh and (done or not filtered):
+        while self.parts.containsKey((whole,)):
+            whole += 1
+        done, fresh = 0 <= last < whole, whole > sent
+        if self.idle_ms is not None and latest > before:
+            if before >= 0:
+                self.handle.deleteTimer(before + self.idle_ms)
+            self.handle.registerTimer(latest + self.idle_ms)
+        self.known.update((epoch, last, max(sent, whole), whole, latest))
+        if fresh and (done or not self.filtered):
+            values = [v for k in range(whole) for v in self.parts.getValue((k,))[0]]
             yield pd.DataFrame({"request": [key[0]], "epoch": [epoch], "complete": [done], "values": [values]})
 
+    def handleExpiredTimer(self, key: tuple[Any], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.parts.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def assembled_stream(chunks: DataFrame, filtered: bool = False, time: str | None = None, idle: str = "10 minutes") -> DataFrame:
+    """(request, epoch, complete, values) of a stream of chunks (request, epoch, chunk_seq, last, values): each time more of a
+    window is there without a gap, what there is of it, and at the end all of it. With a filter on, which needs the whole
+    window, nothing but the end. A later epoch begins anew, an earlier one is left out, and so are repeats. With a column of
+    event time, a window is forgotten when the watermark is `idle` past its latest chunk; without one, none is. A window is what one
+    request asks for, and bounded as that is. The session's streams keep their state in STORE from then on."""
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if time else None
     columns = ["request", F.col("epoch").cast("int"), F.col("chunk_seq").cast("int"), "last", F.col("values").cast("array<double>")]
-    dealt = chunks.withWatermark(time, idle).select(*columns, time) if time else chunks.select(*columns)
-    return dealt.groupBy("request").applyInPandasWithState(step, "request long, epoch int, complete boolean, values array<double>", _STATE, "append", "EventTimeTimeout" if time else "NoTimeout")
+    ms = (F.unix_millis(time) if time else F.lit(0)).cast("long").alias("at_ms")
+    dealt = chunks.withWatermark(time, idle).select(*columns, ms, time) if time else chunks.select(*columns, ms)
+    return dealt.groupBy("request").transformWithStateInPandas(Assembly(filtered, idle_ms), "request long, epoch int, complete boolean, values array<double>", "append", "EventTime" if time else "None")
 
 
 def requests_once(stream: DataFrame, key: str, time: str, delay: str = "10 minutes") -> DataFrame:
