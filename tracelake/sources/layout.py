@@ -135,6 +135,29 @@ def numbers(raw: bytes, dtype: str) -> np.ndarray:
     return value - ((value & 0x800000) << 1)
 
 
+#: Ranges that lie no further apart than this many bytes are read at once, up to so many bytes together.
+NEAR, MOST = 64 << 10, 32 << 20
+
+
+def fetch_ranges(path: str, ranges: list[tuple[int, int]], fetch: Fetch = fetch_local) -> list[bytes]:
+    """The bytes of each range (byte, size) of a file, in order; near ones are read together."""
+    out: list[bytes] = [b""] * len(ranges)
+    order = sorted(range(len(ranges)), key=lambda i: ranges[i])
+    first = 0
+    while first < len(order):
+        start, end = ranges[order[first]][0], sum(ranges[order[first]])
+        last = first + 1
+        while last < len(order) and ranges[order[last]][0] - end <= NEAR and max(end, sum(ranges[order[last]])) - start <= MOST:
+            end = max(end, sum(ranges[order[last]]))
+            last += 1
+        raw = fetch(path, start, end - start)
+        for i in order[first:last]:
+            at = ranges[i][0] - start
+            out[i] = raw[at : at + ranges[i][1]]
+        first = last
+    return out
+
+
 def window(layout: Layout, start: int, n: int, channels: list[int] | None = None, fetch: Fetch = fetch_local) -> np.ndarray:
     """Samples [start, start + n) of the channels, as float32, one row for each channel."""
     low, high = clamp(start, n, layout.n_samples)
@@ -145,15 +168,19 @@ def window(layout: Layout, start: int, n: int, channels: list[int] | None = None
         raw = fetch(layout.path, layout.base + low * count * w, (high - low) * count * w)
         x = numbers(raw, layout.dtype).reshape(-1, count).T[own]
     elif layout.order == "channels":
-        x = np.stack([numbers(fetch(layout.path, layout.base + (c * layout.n_samples + low) * w, (high - low) * w), layout.dtype) for c in own])
+        ranges = [(layout.base + (c * layout.n_samples + low) * w, (high - low) * w) for c in own]
+        x = np.stack([numbers(raw, layout.dtype) for raw in fetch_ranges(layout.path, ranges, fetch)])
     elif layout.order == "blocks":
         x = np.zeros((high - low, count), layout.dtype)
+        parts = []
         for first, size, at in layout.blocks[max(0, bisect_right(layout.blocks, (low, 1 << 62, 0)) - 1) :]:
             a, b = max(low, first), min(high, first + size)
             if first >= high:
                 break
             if a < b:
-                x[a - low : b - low] = numbers(fetch(layout.path, at + (a - first) * count * w, (b - a) * count * w), layout.dtype).reshape(-1, count)
+                parts.append((a, b, (at + (a - first) * count * w, (b - a) * count * w)))
+        for (a, b, _), raw in zip(parts, fetch_ranges(layout.path, [p[2] for p in parts], fetch), strict=True):
+            x[a - low : b - low] = numbers(raw, layout.dtype).reshape(-1, count)
         x = x.T[own]
     else:
         per = layout.record_samples
