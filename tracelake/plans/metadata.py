@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as X
 from tracelake.operators import audit as A
+from tracelake.operators import folds
 from tracelake.operators import geometry as G
 from tracelake.operators import pose as P
 from tracelake.operators import reports as R
@@ -106,12 +107,12 @@ def sidecar_candidates(spark, sf_dir):
 
 @query("""SELECT o_custkey AS dataset, 'f' || o_orderkey AS path, o_orderkey AS size FROM orders WHERE o_orderkey % 4 <> 1""")
 def manifests(spark, sf_dir):
-    """Entries of manifests; those whose URL names another dataset are left out."""
-    o = table(spark, sf_dir, "orders")
+    """Entries of manifests, of ten entries each; those whose URL names another dataset are left out."""
+    o = folds.numbered(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], "place").withColumn("part", F.floor(F.col("place") / 10))
     own = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
     url = F.when(F.col("o_orderkey") % 4 == 0, text("https://h/f", F.col("o_orderkey"))).when(F.col("o_orderkey") % 4 == 1, "https://h/ds999999/f").otherwise(text("https://h/nm000001/f", F.col("o_orderkey")))
     entry = F.struct(text("f", F.col("o_orderkey")).alias("path"), F.col("o_orderkey").alias("size"), own.alias("checksum"), F.lit("md5").alias("checksum_algorithm"), url.alias("url"))
-    files = o.groupBy("o_custkey").agg(F.to_json(F.collect_list(entry)).alias("text"))
+    files = o.groupBy("o_custkey", "part").agg(F.to_json(F.collect_list(entry)).alias("text"))
     found = sidecars.manifest(files, "nm000001")
     return found.select(F.col("checksum").cast("int").cast("long").alias("dataset"), "path", "size")
 

@@ -9,6 +9,7 @@ from tracelake.functions import checksums as K
 from tracelake.functions import scalars as X
 from tracelake.operators import audit as A
 from tracelake.operators import chunked as C
+from tracelake.operators import folds
 from tracelake.operators import geometry as G
 from tracelake.operators import viewing as V
 from tracelake.plans.registry import query, table
@@ -111,9 +112,9 @@ def dropped_files(spark, sf_dir):
 SELECT coalesce(ext, 'none') AS ext, CASE WHEN ext IS NULL THEN 'empty' ELSE 'loadable' END AS verdict, count(*) AS datasets FROM d LEFT JOIN p USING (ds) GROUP BY ALL""")
 def bucket_enumeration(spark, sf_dir):
     """One recording of each dataset of a bucket, listed page by page, and how many there are of each kind."""
-    keys = _listed(spark, sf_dir)
+    keys = folds.numbered(_listed(spark, sf_dir), "ds", ["event_id"], "place").withColumn("page", F.floor(F.col("place") / 25))
     page = F.concat(F.lit("<ListBucketResult>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<Contents><Key>"), "key", F.lit("</Key></Contents>")))), ""), F.lit("</ListBucketResult>"))
-    pages = keys.groupBy("ds", (F.col("event_id") % 3).alias("page")).agg(page.alias("text")).select(F.concat_ws("/", "ds", "page").alias("path"), "text")
+    pages = keys.groupBy("ds", "page").agg(page.alias("text")).select(F.concat_ws("/", "ds", "page").alias("path"), "text")
     return catalog.tallied(catalog.datasets(catalog.listed(pages)), catalog.primaries(catalog.listed(pages)))
 
 
