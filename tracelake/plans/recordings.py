@@ -6,6 +6,7 @@ recording, rounded down, is sample j // CHANNELS of channel j % CHANNELS. Record
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import uuid
@@ -152,30 +153,46 @@ def written_recordings(spark, sf_dir):
     return read.select(F.regexp_extract("recording", "([^/]+)[.]edf$", 1).alias("recording"), "channel_idx", "sample_idx", F.round("value").cast("double").alias("value"))
 
 
-@query(f"WITH {SQL} SELECT recording, c::INT AS channel_idx, i::BIGINT AS sample_idx, v::DOUBLE AS value FROM w")
-def streamed_recording(spark, sf_dir):
-    """Recordings that grow while a stream reads them."""
-    _, paths = written(spark, sf_dir, ["edf"])
-    where = folder(spark, "streamed")
+def _streamed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The samples of recordings that grow while a stream reads them, which stops and starts again in between. Headers with a file of
+    their own are there from the start."""
+    _, paths = written(spark, sf_dir, [kind])
+    where, file = folder(spark, "streamed"), FORMATS[kind][0]
+    headers = (".vhdr", ".set")
 
     def grow(share: float) -> None:
         def copy(rows) -> None:
             for row in rows:
-                with open(row["path"], "rb") as f:
-                    raw = f.read()
+                own = os.path.dirname(row["path"])
                 os.makedirs(f"{where}/{row['recording']}", exist_ok=True)
-                with open(f"{where}/{row['recording']}/a.edf", "wb") as f:
-                    f.write(raw[: int(len(raw) * share)])
+                for name in sorted(os.listdir(own), reverse=True):  # data before the header that names it
+                    with open(os.path.join(own, name), "rb") as f:
+                        raw = f.read()
+                    with open(f"{where}/{row['recording']}/{name}", "wb") as f:
+                        f.write(raw if name.endswith(headers) else raw[: int(len(raw) * share)])
 
         paths.foreachPartition(copy)
 
-    stream = spark.readStream.format("recording").load(f"{where}/*/a.edf")
+    stream = spark.readStream.format("recording").load(f"{where}/*/{file}")
     for share in (0.66, 1.0):
         grow(share)
         stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
     return _named(spark.read.parquet(f"{where}/out")).select("recording", "channel_idx", "sample_idx", F.round("value").cast("double").alias("value"))
 
 
+@query(f"WITH {SQL} SELECT recording, c::INT AS channel_idx, i::BIGINT AS sample_idx, v::DOUBLE AS value FROM w")
+def streamed_recording(spark, sf_dir):
+    """EDF recordings that grow."""
+    return _streamed(spark, sf_dir, "edf")
+
+
+@query(f"WITH {SQL} SELECT kind, recording, c::INT AS channel_idx, i::BIGINT AS sample_idx, v::DOUBLE AS value FROM w, (VALUES ('brainvision'), ('eeglab_split'), ('fiff_walked')) t(kind)")
+def streamed_formats(spark, sf_dir):
+    """Recordings that grow in a file beside their header, and in buffers without a directory."""
+    made = [_streamed(spark, sf_dir, k).select(F.lit(k).alias("kind"), "recording", "channel_idx", "sample_idx", "value") for k in ("brainvision", "eeglab_split", "fiff_walked")]
+    return functools.reduce(DataFrame.unionByName, made)
+
+
 @query("""SELECT conv_id AS request, bool_or(last) AS complete, max(n)::BIGINT AS n FROM (SELECT conv_id, turn = max(turn) OVER (PARTITION BY conv_id) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY conv_id""")
 def streamed_assembly(spark, sf_dir):
     """Windows that arrive in chunks, put together by a stream with state: of each the last that was emitted."""

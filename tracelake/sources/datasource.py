@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from tracelake.sources import encoders, formats
-from tracelake.sources.layout import Layout, matching, window
+from tracelake.sources.layout import Layout, matching, size_local, window
 
 #: Bytes of a file that one task reads.
 BLOCK_BYTES = 32 << 20
@@ -115,6 +115,15 @@ class _Growing(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.options, self.reader = options, _Samples(options)
+        self.seen: dict[str, tuple[str, int, int]] = {}  # of each recording its data file, that file's size, and the samples then
+
+    def _length(self, path: str) -> int:
+        """Samples of a recording; its header is opened again only if its data file has grown."""
+        if path in self.seen and size_local(self.seen[path][0]) == self.seen[path][1]:
+            return self.seen[path][2]
+        layout = formats.open_recording(path)
+        self.seen[path] = (layout.path, size_local(layout.path), layout.n_samples)
+        return layout.n_samples
 
     def initialOffset(self) -> dict:
         return {}
@@ -123,7 +132,7 @@ class _Growing(DataSourceStreamReader):
         out = {}
         for path in _paths(self.options):
             try:
-                out[path] = formats.open_recording(path).n_samples
+                out[path] = self._length(path)
             except (formats.FormatError, OSError, ValueError, KeyError):
                 continue
         return out
