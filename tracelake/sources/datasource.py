@@ -18,6 +18,7 @@ import pickle
 import shutil
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tracelake.sources import encoders, formats
 from tracelake.sources.layout import Layout, matching, size_local, window
 
-#: Bytes of a file that one task reads.
-BLOCK_BYTES = 32 << 20
+#: Bytes of a file that one task reads, and headers that the driver opens at once.
+BLOCK_BYTES, OPEN_AT_ONCE = 32 << 20, 16
 
 
 def _paths(options: dict) -> list[str]:
@@ -98,10 +99,10 @@ class _Samples(DataSourceReader):
 
     def partitions(self) -> list[Block]:
         start, n = int(self.options.get("start", 0)), int(self.options.get("n", 1 << 62))
-        out = []
-        for path in _paths(self.options):
-            layout = formats.open_recording(path)
-            out += _blocks(path, layout, max(0, start), min(start + n, layout.n_samples), self.asked)
+        out, paths = [], _paths(self.options)
+        with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:  # headers are short reads, each of which waits for its store
+            for path, layout in zip(paths, pool.map(formats.open_recording, paths), strict=True):
+                out += _blocks(path, layout, max(0, start), min(start + n, layout.n_samples), self.asked)
         return out or [Block("", 0, 0)]
 
     def read(self, block: Block) -> Iterator[pa.RecordBatch]:
