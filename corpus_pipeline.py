@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 again before the next. All but the last return the columns of documents.
 
 Defined results: documents whose text is null or has no letter go in the first stage. A null doc_id is a document like any
-other, but is never a duplicate; rows that repeat a doc_id are one document to the duplicate stages, of which one row
-stays. Empty tables give empty tables. Other columns pass through.
+other: its lines and its benchmark items are judged by its text, and it is never a near duplicate; rows that repeat a doc_id
+are one document to the duplicate stages, of which one row stays. Empty tables give empty tables. Other columns pass through.
 """
 
 from __future__ import annotations
