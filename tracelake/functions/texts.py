@@ -1,8 +1,9 @@
-"""Texts that hold tables: annotation lists, marker files, INI sections. Built-in operations on (path, text)."""
+"""Texts that hold tables: annotation lists, marker files, INI sections. Built-in operations on (path, text); annotation lists and marker
+files may come in parts, (path, part, text), cut after an entry or a line, with part ascending in the file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,14 +19,32 @@ def annotations(files: DataFrame) -> DataFrame:
 
 def markers(files: DataFrame) -> DataFrame:
     """(path, label, trial, onset) of marker files: sections of NAME:, each with a list of trial and time."""
-    sections = files.select("path", F.explode(F.slice(F.split("text", r"(?mi)^\s*NAME:\s*$"), 2, 1 << 20)).alias("s"))
+    pieces = files.select("path", *(["part"] if "part" in files.columns else []), F.posexplode(F.split("text", r"(?mi)^\s*NAME:\s*$")).alias("k", "s"))
+    label, has = F.trim(F.regexp_extract("s", r"^\s*([^\r\n]*)", 1)), F.contains("s", F.lit("LIST OF SAMPLES"))
+    if "part" in files.columns:
+        sections = _continued(pieces, label, has)
+    else:
+        sections = pieces.where((F.col("k") > 0) & has).select("path", "s", label.alias("label"))
     listed = F.substring_index("s", "LIST OF SAMPLES", -1)
-    body = F.when(F.contains("s", F.lit("LIST OF SAMPLES")), F.regexp_extract_all(listed, F.lit(r"(?m)^\s*([+-]?\d+)(?:\.\d*)?\s+[+-]?\d+(?:\.\d*)?\s*$"), F.lit(0)))
-    rows = sections.select("path", F.trim(F.regexp_extract("s", r"^\s*([^\r\n]*)", 1)).alias("label"), F.explode(body).alias("row"))
+    rows = sections.select("path", "label", F.explode(F.regexp_extract_all(listed, F.lit(r"(?m)^\s*([+-]?\d+)(?:\.\d*)?\s+[+-]?\d+(?:\.\d*)?\s*$"), F.lit(0))).alias("row"))
     part = F.split(F.trim("row"), r"\s+")
     return rows.select("path", "label", F.get(part, F.lit(0)).cast("double").cast("int").alias("trial"), F.get(part, F.lit(1)).cast("double").alias("onset"))
 
 
+def _continued(pieces: DataFrame, label: Column, has: Column) -> DataFrame:
+    """(path, s, label): the pieces of parts (path, part, k, s) that hold a section's list, with the section's label. A section begins with
+    a piece that isn't its part's first (k > 0) and goes on over the first pieces of later parts; its list is what follows the last
+    title. Sections are put together from one small row of each piece, never from texts."""
+    own = Window.partitionBy("path").orderBy("part", "k")
+    marks = pieces.select("path", "part", "k", F.nullif(label, F.lit("")).alias("label"), F.when(has, F.struct("part", "k")).alias("title"))
+    marks = marks.withColumn("section", F.sum((F.col("k") > 0).cast("long")).over(own))
+    whole = Window.partitionBy("path", "section").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marks = marks.withColumns({"label": F.coalesce(F.first("label", True).over(whole), F.lit("")), "title": F.max("title").over(whole)})
+    marks = marks.where((F.col("section") > 0) & (F.struct("part", "k") >= F.col("title"))).select(F.col("path").alias("__path"), F.col("part").alias("__part"), F.col("k").alias("__k"), "label")
+    same = F.col("path").eqNullSafe(F.col("__path")) & (F.col("part") == F.col("__part")) & (F.col("k") == F.col("__k"))
+    return pieces.join(marks, same).select("path", "s", "label")
+
+
 def ini(files: DataFrame) -> DataFrame:
     """(path, section, key, value) of INI texts; lines that begin with ; are left out, and \\1 stands for a comma."""
     parts = F.filter(F.split("text", r"(?m)^(?=\[[^\]\n]+\]\s*$)"), lambda x: F.startswith(x, F.lit("[")))

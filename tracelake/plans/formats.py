@@ -54,11 +54,11 @@ def annotation_lists(spark, sf_dir):
     return T.annotations(_parts(spark, sf_dir, line, "+0\x14\x14\x00", "\x00"))
 
 
-@query(f"WITH {SQL} SELECT path, 'Trigger' AS label, (event_id % 4)::INT AS trial, event_id + 0.5::DOUBLE AS onset FROM e")
+@query("SELECT 'u' || user_id AS path, 'Trigger' AS label, (event_id % 4)::INT AS trial, event_id + 0.5::DOUBLE AS onset FROM events")
 def marker_files(spark, sf_dir):
     line = F.concat(F.lit("  +"), (F.col("event_id") % 4).cast("string"), F.lit("\t+"), F.col("event_id").cast("string"), F.lit(".5"))
     head = "NUMBER OF MARKERS:\n1\n\nNAME:\nTrigger\nNUMBER OF SAMPLES:\n9\nLIST OF SAMPLES:\nTRIAL NUMBER\tTIME\n"
-    return T.markers(_files(spark, sf_dir, line, head, "\n"))
+    return T.markers(_parts(spark, sf_dir, line, head, "\n"))
 
 
 @query(f"WITH {SQL} SELECT path, 'Channel Infos' AS section, 'Ch' || event_id AS key, event_type || ',,0.5' AS value FROM e UNION ALL SELECT DISTINCT path, 'Common Infos', 'DataFile', 'a.eeg' FROM e")
