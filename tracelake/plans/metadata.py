@@ -16,8 +16,7 @@ from tracelake.operators import geometry as G
 from tracelake.operators import pose as P
 from tracelake.operators import reports as R
 from tracelake.plans.audit import AUDIT, CLASS, audit_rows, classed
-from tracelake.plans.formats import SQL as FILES
-from tracelake.plans.formats import _files
+from tracelake.plans.formats import _parts
 from tracelake.plans.naming import text
 from tracelake.plans.recordings import folder
 from tracelake.plans.registry import query, table
@@ -76,13 +75,13 @@ def flag_overlay(spark, sf_dir):
     return R.overlaid(flags, edits, ["user_id", "event_type"])
 
 
-@query(f"""WITH {FILES}, r AS (SELECT path, event_type AS name, event_id % 10 <> 0 AS good, event_id AS x FROM e), g AS (SELECT path, count(*) FILTER (WHERE NOT good) AS skipped FROM r GROUP BY path), d AS (SELECT path, name, count(*) > 1 AS duplicate FROM r WHERE good GROUP BY ALL)
+@query("""WITH r AS (SELECT 'u' || user_id AS path, event_type AS name, event_id % 10 <> 0 AS good, event_id AS x FROM events), g AS (SELECT path, count(*) FILTER (WHERE NOT good) AS skipped FROM r GROUP BY path), d AS (SELECT path, name, count(*) > 1 AS duplicate FROM r WHERE good GROUP BY ALL)
 SELECT path, name, x::DOUBLE AS x, 'CTF' AS frame, duplicate, skipped FROM r JOIN g USING (path) JOIN d USING (path, name) WHERE good""")
 def electrode_tables(spark, sf_dir):
     """Positions of electrodes; rows that aren't numbers are counted, names that stand twice are marked."""
     k = F.col("event_id")
     line = F.concat_ws("\t", "event_type", F.when(k % 10 == 0, "n/a").otherwise(k.cast("string")), F.lit("-1.5e-2"), F.lit("+.5"), F.lit("CTF"))
-    return sidecars.electrodes(_files(spark, sf_dir, line, "name\tx\ty\tz\tcoordinate_system\n", "\n")).select("path", "name", "x", F.col("coordinate_system").alias("frame"), "duplicate", "skipped")
+    return sidecars.electrodes(_parts(spark, sf_dir, line, "name\tx\ty\tz\tcoordinate_system\n", "\n")).select("path", "name", "x", F.col("coordinate_system").alias("frame"), "duplicate", "skipped")
 
 
 @query("""SELECT 'e' || event_id AS path, CASE event_id % 3 WHEN 0 THEN 'CTF' WHEN 1 THEN 'CapTrak' ELSE 'Other' END AS system, CASE event_id % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'mm' ELSE 'n/a' END AS units FROM events""")

@@ -6,7 +6,7 @@ so any store that Spark reads will do, and each function is a plan of built-in o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars as X
@@ -20,13 +20,24 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def rows(files: DataFrame) -> DataFrame:
     """(path, row, cells): a map from lower-cased column name to cell for each line of a table. Cells are set apart by
-    tabs if the header has any, else by white space; lines that start with # and blank ones are left out; quotes go."""
+    tabs if the header has any, else by white space; lines that start with # and blank ones are left out; quotes go.
+    A file may come in parts, (path, part, text), cut after a line: the header is the first line of the first that has any."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")))
-    listed = files.select("path", lines.alias("lines")).where(F.size("lines") > 0).select("path", "lines", F.contains(F.get("lines", F.lit(0)), F.lit("\t")).alias("tabs"))
+    parts = ["part"] if "part" in files.columns else []
+    listed = files.select("path", *parts, lines.alias("lines")).where(F.size("lines") > 0)
+    if parts:
+        own = Window.partitionBy("path").orderBy("part")
+        heads = listed.select("path", "part", F.get("lines", F.lit(0)).alias("line"), F.size("lines").cast("long").alias("n"))
+        heads = heads.select(F.col("path").alias("__path"), F.col("part").alias("__part"), F.first("line").over(own).alias("head"), (F.sum("n").over(own) - F.col("n")).alias("before"))
+        listed = listed.join(heads, F.col("path").eqNullSafe(F.col("__path")) & (F.col("part") == F.col("__part")))
+    else:
+        listed = listed.withColumns({"head": F.get("lines", F.lit(0)), "before": F.lit(0)})
+    listed = listed.select("path", "lines", "head", "before", F.contains("head", F.lit("\t")).alias("tabs"))
     strip = lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1")
     cells = lambda line: F.transform(F.when(F.col("tabs"), F.split(line, "\t")).otherwise(F.split(F.trim(line), r"\s+")), strip)
-    names = F.transform(cells(F.get("lines", F.lit(0))), F.lower)
-    body = listed.select("path", "tabs", names.alias("names"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row", "line"))
+    names = F.transform(cells(F.col("head")), F.lower)
+    body = listed.select("path", "tabs", names.alias("names"), "before", F.posexplode("lines").alias("at", "line"))
+    body = body.withColumn("row", F.col("before") + F.col("at") - 1).where("row >= 0")
     return body.select("path", "row", F.map_from_entries(F.arrays_zip("names", F.slice(F.concat(cells(F.col("line")), F.array_repeat(F.lit(""), F.size("names"))), 1, F.size("names")))).alias("cells"))
 
 
