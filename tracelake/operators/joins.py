@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators import folds
+from tracelake.operators.shared import fixed
 
 
 def nearest(points: DataFrame, events: DataFrame, by: str, t: str, onset: str, ordinal: str, keep: list[str]) -> DataFrame:
@@ -74,6 +75,23 @@ def suffix_matched(keys: DataFrame, key: str, names: DataFrame, name: str) -> Da
     return listed.join(names, F.col("__end") == F.col(name)).drop("__end")
 
 
+#: Rows of matches that are sent to all tasks.
+FEW = 200_000
+
+
+def best_suffixes(keys: DataFrame, ident: str, key: str, names: DataFrame, name: str, by: str, rank: str) -> DataFrame:
+    """(by, ident, rank, name): for each `by` and ident, of the names that suffix_matched finds for the ident's keys the one of least rank, then name.
+
+    Names are found once for all idents that have the same keys, and the best is chosen there; what was chosen, if it is few rows by a
+    count, then goes to the idents where they are, so that no ident's matches are shuffled or sorted."""
+    own = keys.where(F.col(key).isNotNull()).groupBy(ident).agg(F.sort_array(F.collect_set(key)).alias("__keys"))
+    listed = own.select("__keys").distinct().withColumn(key, F.explode("__keys"))
+    best = suffix_matched(listed, key, names, name).groupBy("__keys", by).agg(F.min(F.struct(rank, name)).alias("best"))
+    best = fixed(best.select("__keys", by, "best.*"))
+    few = best.limit(FEW + 1).count() <= FEW
+    return own.join(F.broadcast(best) if few else best, "__keys").select(by, ident, rank, name)
+
+
 def last_wins(frame: DataFrame, key: Column, order: str) -> DataFrame:
     """Of rows with the same key, the last in order."""
     rows = frame.withColumn("__key", key)

@@ -133,8 +133,7 @@ def suffix_match_join(spark, sf_dir):
     k = c.select("c_custkey", F.concat(top, own).alias("key"))
     named = lambda rows, priority, name: rows.select(F.col("c_nationkey").alias("recording"), F.lit(priority).alias("priority"), name.alias("name")).distinct()
     names = named(c.where("c_custkey % 5 = 0"), 1, own).unionByName(named(c.where("c_custkey % 3 = 0"), 2, F.col("c_mktsegment"))).unionByName(named(c, 3, F.concat(top, own)))
-    found = J.suffix_matched(k, "key", names, "name")
-    return found.groupBy("recording", "c_custkey").agg(F.min(F.struct("priority", "name")).alias("best")).select("recording", "c_custkey", "best.priority", "best.name")
+    return J.best_suffixes(k, "c_custkey", "key", names, "name", "recording", "priority")
 
 
 @query("""WITH p AS (SELECT s_suppkey, n_nationkey, (s_nationkey = n_nationkey)::INT * 4 + (s_nationkey % 5 = n_regionkey)::INT * 2 + (s_suppkey % 3 = n_nationkey % 3)::INT AS score FROM supplier JOIN nation ON s_nationkey % 5 = n_regionkey OR s_nationkey = n_nationkey),
