@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -165,6 +167,11 @@ def _biquad(fs: Column, f: Column, q: Column, numerator) -> Column:
     return F.struct((b0 / a0).alias("b0"), (b1 / a0).alias("b1"), (b2 / a0).alias("b2"), (-2 * c / a0).alias("a1"), ((1 - alpha) / a0).alias("a2"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once for each row however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 #: Steps of a time axis in seconds, and the pixels that a label needs. Fixed values.
 STEPS, LABEL_PX = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0], 44
 
@@ -172,14 +179,18 @@ STEPS, LABEL_PX = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 6
 def time_axis(t0: Column, t1: Column, width: Column) -> Column:
     """Struct (step, major, minor) of a time axis: multiples of the greatest step that is no more than a seventh of the window,
     widened while labels wouldn't fit the pixels and at least two are left; and between them those of a fifth of the step."""
-    span, steps, last = t1 - t0, F.array(*map(F.lit, STEPS)), len(STEPS) - 1
-    first = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(last)), lambda i: F.get(steps, i) <= span / 7)), F.lit(0))
-    crowded = lambda i: ((span / F.get(steps, i) + 1) * LABEL_PX > width) & (i < last) & F.coalesce(F.get(steps, i + 1) <= span / 2 + 1e-9, F.lit(False))
-    chosen = F.get(steps, F.array_min(F.filter(F.sequence(first, F.lit(last)), lambda i: ~crowded(i))))
-    places = lambda step: F.sequence(F.ceil(t0 / step), F.floor((t1 + 1e-9) / step))
-    any_of = lambda step: F.when(F.ceil(t0 / step) <= F.floor((t1 + 1e-9) / step), places(step)).otherwise(F.array().cast("array<bigint>"))
-    minor = F.filter(any_of(chosen / 5), lambda k: k % 5 != 0)
-    return F.struct(chosen.alias("step"), F.transform(any_of(chosen), lambda k: k * chosen).alias("major"), F.transform(minor, lambda k: k * (chosen / 5)).alias("minor"))
+    span = t1 - t0
+    crowded = lambda step, wider: ((span / step + 1) * LABEL_PX > width) & F.coalesce(F.lit(wider) <= span / 2 + 1e-9, F.lit(False))
+    fits = [F.when(F.coalesce(F.lit(wider) > span / 7, F.lit(True)) & ~crowded(step, wider), step) for step, wider in itertools.pairwise(STEPS)]
+    places = lambda v, step: F.sequence(F.ceil(v["t0"] / step), F.floor((v["t1"] + 1e-9) / step))
+    any_of = lambda v, step: F.when(F.ceil(v["t0"] / step) <= F.floor((v["t1"] + 1e-9) / step), places(v, step)).otherwise(F.array().cast("array<bigint>"))
+
+    def axis(v: Column) -> Column:
+        step = v["step"]
+        minor = F.filter(any_of(v, step / 5), lambda k: k % 5 != 0)
+        return F.struct(step.alias("step"), F.transform(any_of(v, step), lambda k: k * step).alias("major"), F.transform(minor, lambda k: k * (step / 5)).alias("minor"))
+
+    return once(F.struct(t0.alias("t0"), t1.alias("t1"), F.coalesce(*fits, F.lit(STEPS[-1])).alias("step")), axis)
 
 
 #: Frames whose first axis points ahead and whose second points left. Fixed values.

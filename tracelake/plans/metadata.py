@@ -23,6 +23,11 @@ from tracelake.plans.registry import query, table
 from tracelake.sources import catalog, sidecars
 
 
+def _dealt(rows, key: str):
+    """rows over all tasks: a small file is few of them, whatever a row's work is."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 @query("SELECT event_id, greatest(0.0, least(60.0 - 10.0, value - 40))::DOUBLE AS start, greatest(0, least(20000 - 2500, event_id * 3 - 500))::BIGINT AS sample FROM events")
 def viewport_clamp(spark, sf_dir):
     """Where a view of ten seconds may begin, in seconds and in samples."""
@@ -46,7 +51,7 @@ def axis_ticks(spark, sf_dir):
     k = F.col("event_id")
     t0 = (k % 97) / 4.0
     t1 = t0 + F.get(F.array(*[F.lit(float(v)) for v in (0.05, 0.4, 1.3, 6, 20, 90, 700)]), (k % 7).cast("int"))
-    made = table(spark, sf_dir, "events").select("event_id", t0.alias("t0"), X.time_axis(t0, t1, 100 + k % 900).alias("a"))
+    made = _dealt(table(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", t0.alias("t0"), X.time_axis(t0, t1, 100 + k % 900).alias("a"))
     return made.select("event_id", "a.step", F.size("a.major").alias("n_major"), F.round(F.ceil(F.col("t0") / F.col("a.step")) * F.col("a.step"), 6).alias("first_major"), F.size("a.minor").alias("n_minor"))
 
 
