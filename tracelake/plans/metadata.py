@@ -107,7 +107,8 @@ def sidecar_candidates(spark, sf_dir):
     session = F.col("c_custkey") % 2 == 0
     path = text("d/sub-", F.col("c_nationkey"), F.when(session, "/ses-1").otherwise(""), "/eeg/sub-", F.col("c_nationkey"), F.when(session, "_ses-1").otherwise(""), "_task-", task, "_eeg.edf")
     made = sidecars.candidates(path, "x.tsv", 4)
-    return table(spark, sf_dir, "customer").select("c_custkey", made.alias("listed"), F.substring_index(F.get(made, F.lit(0)), "/", -1).alias("named"))
+    listed = _dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey").select("c_custkey", made.alias("listed"))
+    return listed.select("c_custkey", "listed", F.substring_index(F.get("listed", F.lit(0)), "/", -1).alias("named"))
 
 
 @query("""SELECT o_custkey AS dataset, 'f' || o_orderkey AS path, o_orderkey AS size FROM orders WHERE o_orderkey % 4 <> 1""")

@@ -92,12 +92,20 @@ def candidates(path: Column, suffix: str, levels: int = 4) -> Column:
     the names with most entities come first, with or without the leading subject, then the bare suffix."""
     folders = F.split(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "/")
     parts = F.split(F.regexp_replace(F.substring_index(path, "/", -1), r"_[^_]*$", ""), "_")
-    n = F.size(parts)
-    named = lambda start, size: F.concat(F.array_join(F.slice(parts, start, size), "_"), F.lit(f"_{suffix}"))
-    without = lambda size: F.when((size < n) & F.startswith(F.get(parts, F.lit(0)), F.lit("sub-")), named(2, size))
-    names = F.array_compact(F.flatten(F.transform(F.sequence(n, F.lit(1)), lambda size: F.array(named(1, size), without(size)))))
-    ups = F.transform(F.sequence(F.lit(0), F.least(F.size(folders), F.lit(levels)) - 1), lambda k: F.array_join(F.slice(folders, 1, F.size(folders) - k), "/"))
-    return F.flatten(F.transform(ups, lambda d: F.transform(F.concat(names, F.array(F.lit(suffix))), lambda x: F.concat(d, F.lit("/"), x))))
+
+    def names(parts: Column) -> Column:
+        n = F.size(parts)
+        named = lambda start, size: F.concat(F.array_join(F.slice(parts, start, size), "_"), F.lit(f"_{suffix}"))
+        without = lambda size: F.when((size < n) & F.startswith(F.get(parts, F.lit(0)), F.lit("sub-")), named(2, size))
+        found = F.array_compact(F.flatten(F.transform(F.sequence(n, F.lit(1)), lambda size: F.array(named(1, size), without(size)))))
+        return F.concat(found, F.array(F.lit(suffix)))
+
+    def listed(v: Column) -> Column:
+        folders = v["folders"]
+        ups = F.transform(F.sequence(F.lit(0), F.least(F.size(folders), F.lit(levels)) - 1), lambda k: F.array_join(F.slice(folders, 1, F.size(folders) - k), "/"))
+        return F.flatten(F.transform(ups, lambda d: F.transform(v["names"], lambda x: F.concat(d, F.lit("/"), x))))
+
+    return X.once(F.struct(folders.alias("folders"), X.once(parts, names).alias("names")), listed)
 
 
 def inherited(recordings: DataFrame, files: DataFrame, suffix: str) -> DataFrame:
