@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import samples as S
@@ -84,12 +84,20 @@ def written(spark: SparkSession, sf_dir: str, kinds: list[str]) -> tuple[str, Da
             paths.append(os.path.join(place, FORMATS[kind][0]))
         return pa.table({"kind": kinds, "recording": [recording] * len(kinds), "path": paths})
 
-    return where, fixed(values(spark, sf_dir).groupBy("recording").applyInArrow(write, "kind string, recording string, path string"))
+    # as many tasks as there are, though a recording's rows are few bytes: the work is in its files
+    dealt = values(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "recording")
+    return where, fixed(dealt.groupBy("recording").applyInArrow(write, "kind string, recording string, path string"))
+
+
+def _above(levels: int) -> Column:
+    """The name of a folder so many levels above a recording's file. Every sample has its path, and patterns would try it from each of
+    its characters."""
+    return F.substring_index(F.substring_index("recording", "/", -1 - levels), "/", 1)
 
 
 def _named(df: DataFrame) -> DataFrame:
     """Recordings by their names instead of their paths."""
-    return df.withColumn("recording", F.regexp_extract("recording", "([^/]+)/[^/]+$", 1))
+    return df.withColumn("recording", _above(1))
 
 
 def _window(df: DataFrame, named: bool) -> DataFrame:
@@ -121,8 +129,7 @@ def recording_headers(spark, sf_dir):
         f.write(b"nothing")
     patterns = [f"{where}/{k}/*/{x[0].replace(',', '?')}" for k, x in FORMATS.items()] + [f"{where}/broken/*/a.edf"]
     heads = spark.read.format("recording_headers").load(",".join(patterns))
-    kind = F.regexp_extract("recording", "([^/]+)/[^/]+/[^/]+$", 1)
-    return _named(heads.withColumn("kind", kind)).select("kind", "recording", "n_channels", F.round("fs", 3).alias("fs"), "n_samples", F.col("error").isNotNull().alias("failed"))
+    return _named(heads.withColumn("kind", _above(2))).select("kind", "recording", "n_channels", F.round("fs", 3).alias("fs"), "n_samples", F.col("error").isNotNull().alias("failed"))
 
 
 @query(f"WITH {SQL} SELECT recording, (i // {SECOND} + 0.25)::DOUBLE AS onset, 0::DOUBLE AS duration, 'v' || v AS label FROM w WHERE c = 0 AND i % {SECOND} = 0")
@@ -153,11 +160,10 @@ def written_recordings(spark, sf_dir):
     return read.select(F.regexp_extract("recording", "([^/]+)[.]edf$", 1).alias("recording"), "channel_idx", "sample_idx", F.round("value").cast("double").alias("value"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _streamed(spark: SparkSession, paths: DataFrame, kind: str) -> DataFrame:
     """The samples of recordings that grow while a stream reads them, which stops and starts again in between. Headers with a file of
     their own are there from the start."""
-    _, paths = written(spark, sf_dir, [kind])
-    where, file = folder(spark, "streamed"), FORMATS[kind][0]
+    paths, where, file = paths.where(F.col("kind") == kind), folder(spark, "streamed"), FORMATS[kind][0]
     headers = (".vhdr", ".set")
 
     def grow(share: float) -> None:

@@ -30,8 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tracelake.sources import encoders, formats
 from tracelake.sources.layout import Layout, matching, size_local, window
 
-#: Bytes of a file that one task reads, and headers that the driver opens at once.
-BLOCK_BYTES, OPEN_AT_ONCE = 32 << 20, 16
+#: Bytes that one task reads, headers that are opened at once, files of one task at most, and tasks that a few files are dealt to.
+BLOCK_BYTES, OPEN_AT_ONCE, FILES, TASKS = 32 << 20, 16, 64, 32
 
 
 def _paths(options: dict) -> list[str]:
@@ -67,6 +67,29 @@ def _blocks(recording: str, layout: Layout, low: int, high: int, asked: int | No
     return [Block(recording, a, b - a, layout.part(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+@dataclass
+class Several(InputPartition):
+    """What one task reads: blocks, or the paths of headers."""
+
+    items: list
+
+
+def _several(items: list, sizes: list[int]) -> list[InputPartition]:
+    """Items in order, dealt to tasks: no more than FILES, nor than BLOCK_BYTES unless it is a single one; few items to TASKS tasks."""
+    most, out, held = min(FILES, -(-len(items) // TASKS)), [], 0
+    for item, size in zip(items, sizes, strict=True):
+        if not out or len(out[-1].items) >= most or held + size > BLOCK_BYTES:
+            out.append(Several([]))
+            held = 0
+        out[-1].items.append(item)
+        held += size
+    return out
+
+
+def _dealt(blocks: list[Block]) -> list[InputPartition]:
+    return _several(blocks, [b.n * max(1, b.layout.sample_bytes) for b in blocks]) or [Several([])]
+
+
 #: Rows of a batch.
 BATCH_ROWS = 1 << 16
 
@@ -97,16 +120,16 @@ class _Samples(DataSourceReader):
         self.names = [c for c in options.get("channels", "").split(",") if c]
         self.asked = int(options["blocksamples"]) if "blocksamples" in options else None
 
-    def partitions(self) -> list[Block]:
+    def partitions(self) -> list[InputPartition]:
         start, n = int(self.options.get("start", 0)), int(self.options.get("n", 1 << 62))
         out, paths = [], _paths(self.options)
         with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:  # headers are short reads, each of which waits for its store
             for path, layout in zip(paths, pool.map(formats.open_recording, paths), strict=True):
                 out += _blocks(path, layout, max(0, start), min(start + n, layout.n_samples), self.asked)
-        return out or [Block("", 0, 0)]
+        return _dealt(out)
 
-    def read(self, block: Block) -> Iterator[pa.RecordBatch]:
-        if block.n:
+    def read(self, partition: Several) -> Iterator[pa.RecordBatch]:
+        for block in partition.items:
             yield from _samples(block, self.names)
 
 
@@ -116,37 +139,42 @@ class _Growing(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.options, self.reader = options, _Samples(options)
-        self.seen: dict[str, tuple[str, int, int]] = {}  # of each recording its data file, that file's size, and the samples then
-
-    def _length(self, path: str) -> int:
-        """Samples of a recording; its header is opened again only if its data file has grown."""
-        if path in self.seen and size_local(self.seen[path][0]) == self.seen[path][1]:
-            return self.seen[path][2]
-        layout = formats.open_recording(path)
-        self.seen[path] = (layout.path, size_local(layout.path), layout.n_samples)
+        self.seen: dict[str, tuple[int, Layout]] = {}  # of each recording its data file's size, and the layout then
+
+    def _length(self, path: str) -> int | None:
+        """Samples of a recording; its header is opened again only if its data file has grown. None if it can't be read."""
+        try:
+            if path in self.seen and size_local(self.seen[path][1].path) == self.seen[path][0]:
+                return self.seen[path][1].n_samples
+            layout = formats.open_recording(path)
+            self.seen[path] = (size_local(layout.path), layout)
+        except (formats.FormatError, OSError, ValueError, KeyError):
+            return None
         return layout.n_samples
 
+    def _layout(self, path: str, high: int) -> Layout:
+        """A layout that knows of the samples before high."""
+        if path in self.seen and self.seen[path][1].n_samples >= high:
+            return self.seen[path][1]
+        return formats.open_recording(path)
+
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for path in _paths(self.options):
-            try:
-                out[path] = self._length(path)
-            except (formats.FormatError, OSError, ValueError, KeyError):
-                continue
-        return out
-
-    def partitions(self, start: dict, end: dict) -> list[Block]:
-        out = []
-        for path, high in end.items():
-            if high > start.get(path, 0):
-                out += _blocks(path, formats.open_recording(path), start.get(path, 0), high, self.reader.asked)
-        return out or [Block("", 0, 0)]
-
-    def read(self, block: Block) -> Iterator[pa.RecordBatch]:
-        return self.reader.read(block)
+        paths = _paths(self.options)
+        with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+            return {path: n for path, n in zip(paths, pool.map(self._length, paths), strict=True) if n is not None}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out, grown = [], [p for p, high in end.items() if high > start.get(p, 0)]
+        with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+            for path, layout in zip(grown, pool.map(lambda p: self._layout(p, end[p]), grown), strict=True):
+                out += _blocks(path, layout, start.get(path, 0), end[path], self.reader.asked)
+        return _dealt(out)
+
+    def read(self, partition: Several) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -281,20 +309,29 @@ class _Headers(DataSourceReader):
         self.options, self.events = options, events
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in _paths(self.options)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
+        paths = _paths(self.options)
+        return _several(paths, [0] * len(paths)) or [Several([])]
+
+    def read(self, partition: Several) -> Iterator[tuple]:
+        with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+            for path, x in zip(partition.items, pool.map(self._opened, partition.items), strict=True):
+                if not self.events:
+                    yield self._row(path, x)
+                elif isinstance(x, Layout):
+                    yield from ((path, *e) for e in formats.events_of(x))
+
+    @staticmethod
+    def _opened(path: str) -> Layout | str:
         try:
-            x = formats.open_recording(path)
+            return formats.open_recording(path)
         except (formats.FormatError, OSError, ValueError, KeyError) as e:
-            if not self.events:
-                yield path, None, None, None, None, None, None, None, None, str(e)
-            return
-        if self.events:
-            yield from ((path, *e) for e in formats.events_of(x))
-        else:
-            yield path, len(x.labels), x.fs, x.n_samples, x.n_samples / x.fs, x.labels, x.start_iso, x.warnings, x.bad, None
+            return str(e)
+
+    @staticmethod
+    def _row(path: str, x: Layout | str) -> tuple:
+        if isinstance(x, str):
+            return path, None, None, None, None, None, None, None, None, x
+        return path, len(x.labels), x.fs, x.n_samples, x.n_samples / x.fs, x.labels, x.start_iso, x.warnings, x.bad, None
 
 
 class HeaderSource(DataSource):
