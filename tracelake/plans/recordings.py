@@ -189,13 +189,15 @@ def _streamed(spark: SparkSession, paths: DataFrame, kind: str) -> DataFrame:
 @query(f"WITH {SQL} SELECT recording, c::INT AS channel_idx, i::BIGINT AS sample_idx, v::DOUBLE AS value FROM w")
 def streamed_recording(spark, sf_dir):
     """EDF recordings that grow."""
-    return _streamed(spark, sf_dir, "edf")
+    return _streamed(spark, written(spark, sf_dir, ["edf"])[1], "edf")
 
 
 @query(f"WITH {SQL} SELECT kind, recording, c::INT AS channel_idx, i::BIGINT AS sample_idx, v::DOUBLE AS value FROM w, (VALUES ('brainvision'), ('eeglab_split'), ('fiff_walked')) t(kind)")
 def streamed_formats(spark, sf_dir):
     """Recordings that grow in a file beside their header, and in buffers without a directory."""
-    made = [_streamed(spark, sf_dir, k).select(F.lit(k).alias("kind"), "recording", "channel_idx", "sample_idx", "value") for k in ("brainvision", "eeglab_split", "fiff_walked")]
+    kinds = ["brainvision", "eeglab_split", "fiff_walked"]
+    _, paths = written(spark, sf_dir, kinds)
+    made = [_streamed(spark, paths, k).select(F.lit(k).alias("kind"), "recording", "channel_idx", "sample_idx", "value") for k in kinds]
     return functools.reduce(DataFrame.unionByName, made)
 
 
