@@ -49,19 +49,24 @@ class Assembly(StatefulProcessor):
         self.parts = handle.getMapState("parts", "seq int", "v array<double>")
 
     def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        epoch, last, sent, whole, latest = self.known.get() if self.known.exists() else (-1, -1, 0, 0, -1)
-        before = latest
+        epoch, last, sent, whole, latest = self.known.get() or (-1, -1, 0, 0, -1)
+        before, empty = latest, epoch < 0
+        new: dict[int, list[float]] = {}  # chunks that came now: each question to the state is a message to another process
         for frame in rows:
             for r in frame.itertuples():
                 latest = max(latest, int(r.at_ms))
                 if r.epoch > epoch:
-                    epoch, last, sent, whole = int(r.epoch), -1, 0, 0
-                    self.parts.clear()
+                    if not empty:
+                        self.parts.clear()
+                    epoch, last, sent, whole, empty, new = int(r.epoch), -1, 0, 0, True, {}
                 if r.epoch == epoch:
-                    if not self.parts.containsKey((int(r.chunk_seq),)):
-                        self.parts.updateValue((int(r.chunk_seq),), ([float(v) for v in r.values],))
-                    last = int(r.chunk_seq) if r.last else last
-        while self.parts.containsKey((whole,)):
+                    k = int(r.chunk_seq)
+                    if (k < 0 or k >= whole) and k not in new and (empty or not self.parts.containsKey((k,))):
+                        new[k] = [float(v) for v in r.values]
+                    last = k if r.last else last
+        for k, v in new.items():
+            self.parts.updateValue((k,), (v,))
+        while whole in new or (not empty and self.parts.containsKey((whole,))):
             whole += 1
         done, fresh = 0 <= last < whole, whole > sent
         if self.idle_ms is not None and latest > before:
@@ -70,7 +75,8 @@ class Assembly(StatefulProcessor):
             self.handle.registerTimer(latest + self.idle_ms)
         self.known.update((epoch, last, max(sent, whole), whole, latest))
         if fresh and (done or not self.filtered):
-            values = [v for k in range(whole) for v in self.parts.getValue((k,))[0]]
+            held = new if all(k in new for k in range(whole)) else {k[0]: v[0] for k, v in self.parts.iterator()}
+            values = [v for k in range(whole) for v in held[k]]
             yield pd.DataFrame({"request": [key[0]], "epoch": [epoch], "complete": [done], "values": [values]})
 
     def handleExpiredTimer(self, key: tuple[Any], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
