@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import time
 import zlib
@@ -768,6 +769,81 @@ def test_consensus_against_brute_force(spark, monkeypatch, most):
     assert len(wrong) <= 0.1 * len(want), wrong  # 32-bit places may fall on the other side of a bound
 
 
+def written(spark):
+    """The files in Spark's local folders and in the checkpoint folder, with their bytes."""
+    local = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    tops = [*local, spark.conf.get("spark.checkpoint.dir")]
+    return {f"{d}/{x}": os.path.getsize(f"{d}/{x}") for top in tops for d, _, names in os.walk(top) for x in names}
+
+
+@pytest.mark.parametrize("most", [10**6, 300])
+def test_pictures_are_not_shuffled(spark, monkeypatch, most):
+    """However many queries there are, disk takes hashes and the queries' descriptors, neither pictures nor all descriptors."""
+    monkeypatch.setattr(image_copies, "QUERY_DESCRIPTORS", most)
+    rng = np.random.default_rng(11)
+    pictures = [textured(rng, 80) for _ in range(600)]
+    for i in range(0, 600, 100):
+        pictures[i + 1], pictures[i + 2] = (pictures[i] * 0.8 + 20).astype(np.uint8), pictures[i]
+    df = spark.createDataFrame([(i, 80, 80, bytearray(x.tobytes())) for i, x in enumerate(pictures)], "id long, width int, height int, pixels binary").repartition(4).localCheckpoint()
+    before = written(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    try:
+        rows = image_copies.copies(df, F.col("id") % 100 == 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    took = sum(size for file, size in written(spark).items() if file not in before)
+    assert {(r["id"], r["other"]) for r in rows if r["kind"] == "match"} == {(i, i + 1) for i in range(0, 600, 100)}
+    assert {(r["id"], r["other"]) for r in rows if r["kind"] == "member" and r["id"] != r["other"]} == {(i + 2, i) for i in range(0, 600, 100)}
+    assert took < 600 * 6400 / 4, took
+
+
+@pytest.mark.parametrize("rows, join", [(10**6, "LeftAnti, BuildRight"), (8, "LeftSemi, BuildRight"), (0, "LeftSemi, BuildRight")])
+def test_classes_are_told_apart_without_moving_pictures(spark, monkeypatch, rows, join):
+    """Copies or other images go to all tasks, or what pictures are drawn from is shuffled: the result is the same."""
+    monkeypatch.setattr(image_copies, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(12)
+    v = rng.normal(0, 1, (6, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v[i % 6].tolist()) for i in range(18)] + [(50, (v[1] + 0.003).tolist())], "vec_id long, embedding array<float>").repartition(3)
+    plans, search = [], image_copies.searched_in_groups
+    monkeypatch.setattr(image_copies, "searched_in_groups", lambda images, asked: plans.append(images._jdf.queryExecution().toString()) or search(images, asked))
+    got = image_copies.copies(df.withColumnRenamed("vec_id", "id"), F.col("id") % 50 == 13, lambda x: image_copies.drawn(x.withColumnRenamed("id", "vec_id"))).collect()
+    assert sorted((r["id"], r["other"]) for r in got if r["kind"] == "member") == sorted([(i, i % 6) for i in range(18)] + [(50, 50)])
+    assert {(r["id"], r["other"]) for r in got if r["kind"] == "match"} == {(1, 50)}
+    lines = plans[0].partition("== Physical Plan ==")[2].splitlines()
+    at = next(i for i, x in enumerate(lines) if join in x)
+    assert ("BroadcastHashJoin" if rows else "ShuffledHashJoin") in lines[at]
+    assert rows or any("ArrowEvalPython" in x for x in lines[:at])
+    assert not rows or not any("Exchange hashpartitioning" in x for x in lines[:at])
+
+
+def test_near_bits_and_runs():
+    rng = np.random.default_rng(13)
+    numbers = rng.integers(0, 1 << 24, 50)
+    known = np.zeros(1 << 24, bool)
+    known[numbers] = True
+    near = np.unpackbits(image_copies._near_bits(np.packbits(known, bitorder="little")), bitorder="little")
+    assert set(np.flatnonzero(near).tolist()) == {int(n) ^ f for n in numbers for f in (0, *(1 << k for k in range(24)))}
+    assert list(image_copies._runs(np.array([1, 2, 9, 0, 3, 1]), 4)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(image_copies._runs(np.array([], np.int64), 4)) == []
+
+
+@pytest.mark.parametrize("compared, looked", [(1, 1), (50, 2000)])
+def test_tables_in_small_pieces(monkeypatch, compared, looked):
+    """Matches don't depend on how many pairs are compared or looked through at once."""
+    rng = np.random.default_rng(14)
+    pictures = np.stack([textured(rng, 80) for _ in range(6)])
+    noisy = (pictures + rng.normal(0, 2, pictures.shape)).clip(0, 255).astype(np.uint8)
+    image, x, y, level, angle, bits = image_copies.described(pictures, True)
+    tables = image_copies.Tables((image.astype(np.int64), None, None, x, y, level, angle, *image_copies.packed(bits)))
+    image, x, y, level, angle, bits = image_copies.described(noisy)
+    seen = (image.astype(np.int64) + 100, np.full(len(image), 80), x, y, level, angle, np.stack(image_copies.packed(bits), 1))
+    want = sorted(tables.agreed(*seen))
+    monkeypatch.setattr(image_copies, "COMPARED", compared)
+    monkeypatch.setattr(image_copies, "LOOKED", looked)
+    assert [r[:2] for r in want] == [(i, i + 100) for i in range(6)] and sorted(tables.agreed(*seen)) == want
+
+
 def test_drawn_vectors(spark):
     rng = np.random.default_rng(10)
     v = rng.normal(0, 1, (6, 64))

@@ -12,9 +12,12 @@ holds INLIERS corners of the query, or FEW that are most of those that met any (
 Images are bytes of luma, row by row, with their width and height. The operator is a search: images named as queries
 against all images. Queries are few, so they are described at twice as many scales, a quarter of an octave apart, and every
 size of a copy is within an eighth of an octave of one of them. The tables of up to QUERY_DESCRIPTORS descriptors, by a count, go
-to all tasks, and every image is looked up and put to the vote where it is described; of more queries, the tables are joined
-by a shuffle of pieces. Byte-equal images form a class and are compared once, by their smallest id. A task needs about 100
-bytes of memory for each pixel of its largest image.
+to all tasks, and every image is looked up and put to the vote where it is described; more queries are dealt into groups of
+about so many, one pass over the images for each. Neither images nor their descriptors are shuffled or written: only the
+queries' descriptors are, once, and hashes. Byte-equal images form a class and are compared once, by their smallest id. Only
+where more than BROADCAST_ROWS images are copies, and as many are not, is what images are made from shuffled once, to tell them
+apart (images themselves if ids repeat, of which queries are shuffled in any case). A task needs about 100 bytes of memory for
+each pixel of its largest image, and 200 for each descriptor of a group.
 
 Defined results: null images, images whose bytes don't fit width and height, and images of fewer than LEAST pixels a
 side or without corners have no descriptors; they are members of their class and match nothing. Ids that repeat with
@@ -23,16 +26,19 @@ other bytes are told apart by their class. Rows of a null id are left out. Other
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm._common import cut, held, table
+from tracelake.llm._common import BROADCAST_ROWS, cut, held, table
 
 BITS, TABLES = 192, 8
 #: Corners in one bin that make a match: so many, or fewer if they are so large a share of the query's corners that met any.
@@ -43,8 +49,10 @@ CORNERS, TILE = 8, 40
 #: Bins are so many quarter octaves, degrees, and pixels or shares of the picture's longer side wide.
 SCALE, TURN, SHIFT, SPREAD = 4, 40, 12, 0.16
 PATCH, LEAST = 9, 24
-#: Descriptors of queries, up to which their tables are sent to all tasks: about 250 bytes each.
-QUERY_DESCRIPTORS = 400_000
+#: Descriptors of queries whose tables are sent to all tasks at once: about 33 bytes each, and 200 in a task.
+QUERY_DESCRIPTORS = 1_000_000
+#: Pairs of descriptors that are compared at once, and pairs that met, of one image or more, that are looked through at once.
+COMPARED, LOOKED = 1 << 17, 1 << 21
 _PIECE = BITS // TABLES
 _rng = np.random.default_rng(20)
 #: Pairs of points of the tests (x, y), normal around the corner, PATCH pixels away at most.
@@ -192,77 +200,145 @@ def descriptors(images: DataFrame, between: bool = False) -> DataFrame:
     return _bare(images).mapInArrow(run, _COLUMNS)
 
 
+def _near_bits(bitmap: np.ndarray) -> np.ndarray:
+    """The bitmap (lowest bit first) of the numbers in a bitmap and of all that differ from one in one bit."""
+    near = bitmap.copy()
+    for k, low in enumerate((0x55, 0x33, 0x0F)):
+        near |= (bitmap & low) << (1 << k) | bitmap >> (1 << k) & low
+    for k in range(_PIECE - 3):
+        near.reshape(-1, 2, 1 << k)[:] |= bitmap.reshape(-1, 2, 1 << k)[:, ::-1]
+    return near
+
+
+def _found(bitmap: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the numbers are in the bitmap, and for each of these how many smaller ones are in its 64 bits."""
+    word, bit = bitmap.view(np.uint64)[numbers >> 6], (numbers & 63).astype(np.uint64)
+    known = np.flatnonzero(word >> bit & np.uint64(1))
+    return known, np.bitwise_count(word[known] & ((np.uint64(1) << bit[known]) - np.uint64(1)))
+
+
+def _runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs whose counts sum to `most`, or of single ones that are larger."""
+    ends, start = np.cumsum(counts), 0
+    while start < len(counts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
+
+
 class Tables:
-    """The Hamming tables of some queries' descriptors: their pieces in order, and a bitmap of these and their neighbours."""
+    """The Hamming tables of some queries' descriptors: descriptors in the order of their pieces, bitmaps of the pieces and of
+    their neighbours, and where the descriptors of each piece start."""
 
     def __init__(self, columns: tuple[np.ndarray, ...]):
         self.ids, _, _, self.x, self.y, self.level, self.angle = columns[: len(_PLACE)]
         self.words = np.stack(columns[len(_PLACE) :], 1) if len(self.ids) else np.zeros((0, TABLES // 2), np.int64)
         self.flips = np.concatenate([[0], 1 << np.arange(_PIECE)]).astype(np.int32)
-        self.order, self.sorted, self.bitmaps = [], [], []
-        for p in self.pieces(self.words):
-            order = np.argsort(p, kind="stable").astype(np.int32)
-            near = np.zeros(1 << _PIECE, bool)
-            for flip in self.flips:
-                near[p ^ flip] = True
-            self.order.append(order)
-            self.sorted.append(p[order])
-            self.bitmaps.append(np.packbits(near))
+        self.bitmaps, self.near, self.before, self.starts = [], [], [], []
+        self.order = np.zeros(TABLES * len(self.ids), np.int32)
+        for t, p in enumerate(self.pieces(self.words)):
+            order = np.argsort(p, kind="stable")
+            self.order[t * len(p) : (t + 1) * len(p)] = order
+            own = p[order]
+            first = np.flatnonzero(own[1:] != own[:-1]) + 1
+            self.starts.append((np.concatenate([[0], first, [len(p)]]) + t * len(p)).astype(np.int32))
+            known = np.zeros(1 << _PIECE, bool)
+            known[p] = True
+            self.bitmaps.append(np.packbits(known, bitorder="little"))
+            self.near.append(_near_bits(self.bitmaps[-1]))
+            smaller = np.cumsum(np.bitwise_count(self.bitmaps[-1].view(np.uint64)), dtype=np.int32)
+            self.before.append(np.concatenate([np.zeros(1, np.int32), smaller[:-1]]))
 
     @staticmethod
     def pieces(words: np.ndarray) -> list[np.ndarray]:
         mask = (1 << _PIECE) - 1
         return [(words[:, t // 2] >> (t % 2 * _PIECE) & mask).astype(np.int32) for t in range(TABLES)]
 
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own descriptor, first place in self.order, number of places) of all pieces that agree with one of own but for a bit."""
+        found = []
+        for p, bitmap, near, before, starts in zip(self.pieces(words), self.bitmaps, self.near, self.before, self.starts, strict=True):
+            own = _found(near, p)[0]
+            probes = (p[own, None] ^ self.flips).ravel()
+            known, rank = _found(bitmap, probes)
+            rank = rank + before[probes[known] >> 6]
+            low = starts[rank]
+            found.append((own[known // len(self.flips)], low, starts[rank + 1] - low))
+        own, low, count = (np.concatenate(c) for c in zip(*found, strict=True))
+        return own, low, count
+
+    def compared(self, words: np.ndarray, own: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query's descriptor, own descriptor) of the pairs of such hits up to DISTANCE bits apart, each once."""
+        kept = [np.zeros(0, np.int64)]
+        for start, end in _runs(count, COMPARED):
+            n = count[start:end]
+            at = np.arange(n.sum()) + np.repeat(low[start:end] - (np.cumsum(n) - n), n)
+            query, mine = self.order.take(at), np.repeat(own[start:end], n)
+            apart = np.bitwise_count(self.words.take(query, 0) ^ words.take(mine, 0))
+            good = np.flatnonzero(apart.view(np.uint32)[:, 0] * np.uint32(0x01010101) >> 24 <= DISTANCE)  # the sum of four bytes
+            kept.append(query[good].astype(np.int64) * len(words) + mine[good])
+        pairs = np.unique(np.concatenate(kept))
+        return pairs // max(1, len(words)), pairs % max(1, len(words))
+
     def met(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query's descriptor, own descriptor) of all pairs up to DISTANCE bits apart, each once."""
-        pairs = []
-        for p, order, keys, bitmap in zip(self.pieces(words), self.order, self.sorted, self.bitmaps, strict=True):
-            own = np.flatnonzero(bitmap[p >> 3] >> (7 - (p & 7)) & 1)
-            probes = (p[own, None] ^ self.flips).ravel()
-            low = np.searchsorted(keys, probes, "left")
-            found = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == probes)) if len(keys) else np.zeros(0, np.int64)
-            count = np.searchsorted(keys, probes[found], "right") - low[found]
-            at = np.repeat(low[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            pairs.append(np.stack([order[at].astype(np.int64), np.repeat(own[found // len(self.flips)], count)]))
-        query, own = np.concatenate(pairs, 1)
-        apart = np.bitwise_count(self.words[query] ^ words[own]).sum(1)
-        kept = np.unique(query[apart <= DISTANCE] * len(words) + own[apart <= DISTANCE])
-        return kept // max(1, len(words)), kept % max(1, len(words))
+        return self.compared(words, *self.hits(words))
 
     def agreed(self, ids: np.ndarray, side: np.ndarray, x: np.ndarray, y: np.ndarray, level: np.ndarray, angle: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(query, image, inliers) of the images whose descriptors these are."""
-        q, n = self.met(words)
-        q, n = q[self.ids[q] != ids[n]], n[self.ids[q] != ids[n]]
-        if not len(q):
-            return []
+        """(query, image, inliers) of the images whose descriptors these are, few images at a time if very many pairs meet."""
+        own, low, count = self.hits(words)
+        known, image = np.unique(ids, return_inverse=True)
+        order = np.argsort(image[own], kind="stable")
+        each = np.bincount(image[own], minlength=len(known))
+        ends, found = np.cumsum(each), []
+        for start, end in _runs(np.bincount(image[own], count, len(known)).astype(np.int64), LOOKED):
+            part = order[ends[start] - each[start] : ends[end - 1]]
+            q, n = self.compared(words, own[part], low[part], count[part])
+            other = self.ids[q] != ids[n]
+            found += self.voted(q[other], n[other], ids, side, x, y, level, angle) if other.any() else []
+        return found
+
+    def voted(self, q: np.ndarray, n: np.ndarray, ids: np.ndarray, side: np.ndarray, x: np.ndarray, y: np.ndarray, level: np.ndarray, angle: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, image, inliers) by the votes of pairs of descriptors."""
+        (queries, which), (images, image) = np.unique(self.ids[q], return_inverse=True), np.unique(ids[n], return_inverse=True)
+        pair, which = np.unique(which * len(images) + image, return_inverse=True)
+        known = np.bincount(np.unique(which * len(self.ids) + q) // len(self.ids), minlength=len(pair))
+        if not (enough := known[which] >= FEW).all():  # fewer can't make a match
+            return self.voted(q[enough], n[enough], ids, side, x, y, level, angle) if enough.any() else []
         turn = (angle[n].astype(float) - self.angle[q]) % 360
         step = level[n] - self.level[q]
         scale, (c, s) = 2.0 ** (step / 4), (f(np.radians(turn)) for f in (np.cos, np.sin))
         qx, qy = self.x[q].astype(float), self.y[q].astype(float)
         room = np.maximum(SHIFT, side[n] * SPREAD)
         dims = [(step, float(SCALE), 0), (turn, float(TURN), 360 // TURN), (x[n] - scale * (c * qx - s * qy), room, 0), (y[n] - scale * (s * qx + c * qy), room, 0)]
-        pair, which = np.unique(np.stack([self.ids[q], ids[n]]), axis=1, return_inverse=True)
         cells = [[(np.floor(v / wide + h / 2) % around if around else np.floor(v / wide + h / 2)).astype(np.int64) for h in (0, 1)] for v, wide, around in dims]
-        met = np.unique(np.stack([which, q]), axis=1)
-        most, known = np.zeros(pair.shape[1], np.int64), np.bincount(met[0], minlength=pair.shape[1])
+        most = np.zeros(len(pair), np.int64)
         for grid in itertools.product((0, 1), repeat=len(dims)):
             votes = np.unique(np.stack([which, *(cells[k][h] for k, h in enumerate(grid)), q]), axis=1)[:-1]
             bins, count = np.unique(votes, axis=1, return_counts=True)
             np.maximum.at(most, bins[0], count)
         good = (most >= INLIERS) | (most >= FEW) & (most >= SHARE * known)
-        return list(zip(pair[0][good].tolist(), pair[1][good].tolist(), most[good].tolist(), strict=True))
+        return list(zip(queries[pair[good] // len(images)].tolist(), images[pair[good] % len(images)].tolist(), most[good].tolist(), strict=True))
 
 
-def searched(images: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q_id, id, inliers): all images looked up, as they are described, in the Hamming tables of few queries' descriptors."""
-    rows = asked.select(*_PLACE, *_WORDS).toArrow()  # as many as QUERY_DESCRIPTORS
-    shared = images.sparkSession.sparkContext.broadcast([rows.column(c).to_numpy() for c in (*_PLACE, *_WORDS)])
+def _sent(asked: DataFrame) -> Broadcast[bytes]:
+    """Descriptors of queries, about as many as QUERY_DESCRIPTORS, for all tasks: a packed Arrow stream, some 33 bytes each."""
+    rows, sink = asked.select(*_PLACE, *_WORDS).drop("corner", "side").toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(rows)
+    return asked.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
+
+def searched(images: DataFrame, sent: Broadcast[bytes]) -> DataFrame:
+    """(q_id, id, inliers): all images looked up, as they are described, in the Hamming tables of the queries' descriptors."""
     key = f"image_copies {uuid.uuid4().hex}"
 
+    def tables_of_queries() -> Tables:
+        rows = pa.ipc.open_stream(sent.value).read_all()
+        return Tables(tuple(rows.column(c).to_numpy() if c in rows.column_names else None for c in (*_PLACE, *_WORDS)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held(key, lambda: Tables(tuple(shared.value)))
+        tables = held(key, tables_of_queries)
         for batch in batches:
             for ids, _, side, x, y, level, angle, *words in _of_batch(batch, False):
                 found = tables.agreed(ids, side, x, y, level, angle, np.stack(words, 1)) if len(ids) else []
@@ -272,6 +348,21 @@ def searched(images: DataFrame, asked: DataFrame) -> DataFrame:
     return _bare(images).mapInArrow(run, "q_id long, id long, inliers long")
 
 
+def searched_in_groups(images: DataFrame, asked: DataFrame) -> DataFrame:
+    """searched() for any number of queries' descriptors: queries are dealt into groups of about QUERY_DESCRIPTORS by a hash
+    of their ids, and the images are passed over once for each."""
+    groups = math.ceil(asked.count() / max(1, QUERY_DESCRIPTORS))
+    groups = min(groups, asked.select("id").distinct().count()) if groups > 1 else groups
+    if groups <= 1:
+        return searched(images, _sent(asked))
+    parts = []
+    for group in range(groups):
+        sent = _sent(asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == group))
+        parts.append(cut(searched(images, sent)))
+        sent.destroy()
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _pieces(words: list[str]) -> list[Column]:
     mask = (1 << _PIECE) - 1
     return [F.shiftrightunsigned(F.col(b), k * _PIECE).bitwiseAND(mask).cast("int") for b in words for k in (0, 1)]
@@ -294,7 +385,8 @@ def _probes(words: list[str]) -> Column:
 
 def near(made: DataFrame, asked: DataFrame) -> DataFrame:
     """The pairs of a descriptor of `made` and one of `asked` (columns q_...), of different images, that are up to DISTANCE
-    bits apart: all of them, each once. Keys and names go through the join of pieces; the bits are fetched for what met."""
+    bits apart: all of them, each once, as a join of tables. Keys and names go through the join of pieces; the bits are
+    fetched for what met. What meets is many times what is near, and all of it is shuffled: copies() looks up instead."""
     own = [f"q_{b}" for b in _WORDS]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", *_WORDS)])
     listed = made.select("id", "corner", F.explode(_keys(_WORDS)).alias("key"))
@@ -308,48 +400,38 @@ def near(made: DataFrame, asked: DataFrame) -> DataFrame:
     return met.where((F.col("id") != F.col("q_id")) & (apart <= DISTANCE) & (F.shiftright("key", _PIECE) == first)).drop("key", *own)
 
 
-def agreed(pairs: DataFrame) -> DataFrame:
-    """(q_id, id, inliers) of matched corners (q_id, q_corner, q_x, ..., id, x, ...): the most corners of a query whose
-    proposals share a bin."""
-    turn = F.pmod(F.col("angle") - F.col("q_angle"), F.lit(360.0))
-    scale = F.pow(F.lit(2.0), (F.col("level") - F.col("q_level")) / 4)
-    c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))
-    dx = F.col("x") - scale * (c * F.col("q_x") - s * F.col("q_y"))
-    dy = F.col("y") - scale * (s * F.col("q_x") + c * F.col("q_y"))
-    room = F.greatest(F.lit(float(SHIFT)), F.col("side") * SPREAD)
-    both = lambda value, wide, around=0: F.array(*[(F.floor(value / wide + h / 2) % around if around else F.floor(value / wide + h / 2)).cast("int") for h in (0, 1)])
-    # each dimension has two grids: their cells are told apart by which of the two they belong to
-    tagged = lambda cells: F.transform(cells, lambda x, i: x * 2 + i)
-    proposed = pairs.select("q_id", "id", "q_corner", tagged(both(F.col("level") - F.col("q_level"), float(SCALE))).alias("a"), tagged(both(turn, float(TURN), 360 // TURN)).alias("b"), tagged(both(dx, room)).alias("c"), tagged(both(dy, room)).alias("d"))
-    enough = pairs.groupBy("q_id", "id").agg(F.count_distinct("q_corner").alias("met")).where(F.col("met") >= FEW)
-    proposed = proposed.join(enough.drop("met"), ["q_id", "id"], "left_semi")
-    for k in "abcd":
-        proposed = proposed.withColumn(k, F.explode(k))
-    votes = proposed.groupBy("q_id", "id", "a", "b", "c", "d", "q_corner").agg(F.lit(1).alias("one")).groupBy("q_id", "id", "a", "b", "c", "d").agg(F.count("*").alias("n"))
-    most = votes.groupBy("q_id", "id").agg(F.max("n").alias("inliers")).join(enough, ["q_id", "id"])
-    return most.where((F.col("inliers") >= INLIERS) | (F.col("inliers") >= FEW) & (F.col("inliers") >= SHARE * F.col("met"))).drop("met")
-
-
-def copies(images: DataFrame, is_query: Column) -> DataFrame:
+def _standing(images: DataFrame, rows: DataFrame, on: list[str], others: DataFrame | None = None) -> DataFrame:
+    """The images whose `on` stands in rows; others: the ones that don't. Whichever are few, by a count, go to all tasks, and no
+    image is moved; if neither are, images are shuffled."""
+    few = lambda df: df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if others is not None and few(others):
+        return images.join(F.broadcast(others), on, "left_anti")
+    return images.join(F.broadcast(rows) if few(rows) else rows.hint("shuffle_hash"), on, "left_semi")
+
+
+def copies(images: DataFrame, is_query: Column, made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(kind, id, other, inliers). kind `member`: image id belongs to the class other; kind `match`: the class id holds a
-    query and matches the class other, with so many agreeing corners."""
-    images = images.select(F.col("id").cast("long").alias("id"), "width", "height", "pixels", is_query.alias("asked")).where(F.col("id").isNotNull())
+    query and matches the class other, with so many agreeing corners.
+
+    made: gives the images (id, width, height, pixels) of rows that have an id each, the same whatever rows stand beside. Rows
+    are told apart before it where ids don't repeat, so that where any are shuffled, it is what images are made from."""
+    images = images.withColumn("id", F.col("id").cast("long")).where(F.col("id").isNotNull())
     hashed = [F.xxhash64("width", "height", "pixels").alias("h1"), F.xxhash64(F.lit(1), "pixels", "height").alias("h2")]
-    keyed = cut(images.select("id", "asked", *hashed))
+    keyed = cut(made(images).select("id", is_query.alias("asked"), *hashed))
     classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked")))
-    members = keyed.select("id", "h1", "h2").join(classes.drop("asked"), ["h1", "h2"]).select(F.lit("member").alias("kind"), "id", F.col("class_id").alias("other"), F.lit(0).cast("long").alias("inliers"))
-    # the smallest id of a class may stand on several rows, of which some have other bytes
-    heads = images.select("id", "width", "height", "pixels", *hashed).join(classes.withColumnRenamed("class_id", "id").drop("asked"), ["h1", "h2", "id"], "left_semi")
+    members = cut(keyed.select("id", "h1", "h2").join(classes.drop("asked"), ["h1", "h2"]).select(F.lit("member").alias("kind"), "id", F.col("class_id").alias("other"), F.lit(0).cast("long").alias("inliers")))
+    asked = classes.where("asked").drop("asked")
     repeated = keyed.groupBy("id").count().where("count > 1").limit(1).count()
-    heads = heads.dropDuplicates(["h1", "h2"]) if repeated else heads
-    asked = cut(descriptors(heads.join(classes.where("asked").select("h1", "h2"), ["h1", "h2"], "left_semi"), between=True))
-    if asked.limit(QUERY_DESCRIPTORS + 1).count() <= QUERY_DESCRIPTORS:
-        matched = searched(heads, asked)
+    if repeated:
+        # the smallest id of a class may stand on several rows, of which some have other bytes
+        on, known = ["id", "h1", "h2"], made(images).select("id", "width", "height", "pixels", *hashed)
+        heads = _standing(known, classes.select(F.col("class_id").alias("id"), "h1", "h2"), on)
+        queries = _standing(known, asked.withColumnRenamed("class_id", "id"), on).dropDuplicates(["h1", "h2"])
     else:
-        made = cut(descriptors(heads))
-        place = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "level", "angle")])
-        found = cut(near(made.select(*_PLACE, *_WORDS), asked).drop(*_WORDS, "corner"))
-        matched = agreed(found.join(place, ["q_id", "q_corner"]))
+        heads = made(_standing(images, classes.select(F.col("class_id").alias("id")), ["id"], members.where("id != other").select("id")))
+        queries = made(_standing(images, asked.select(F.col("class_id").alias("id")), ["id"]))
+    matched = searched_in_groups(heads, cut(descriptors(queries, between=True)))
+    matched = matched.distinct() if repeated else matched
     return members.unionByName(matched.select(F.lit("match").alias("kind"), F.col("q_id").alias("id"), F.col("id").alias("other"), "inliers"))
 
 
@@ -357,6 +439,15 @@ def copies(images: DataFrame, is_query: Column) -> DataFrame:
 SIDE, CONTRAST = 80, 60
 
 
+def _summed(weights: np.ndarray, textures: np.ndarray) -> np.ndarray:
+    """weights @ textures, one component after the other: the rounding of a row, and so the picture of a vector, doesn't depend
+    on the rows beside it, as that of a matrix product does."""
+    total = np.zeros((len(weights), textures.shape[1]), np.float32)
+    for own, texture in zip(weights.T, textures, strict=True):
+        total += own[:, None] * texture
+    return total
+
+
 def drawn(vectors: DataFrame) -> DataFrame:
     """(id, width, height, pixels): a picture of each vector (vec_id, embedding), as the sum of one texture for each component.
     Vectors that nearly agree give pictures that nearly agree, as edited copies do.
@@ -381,9 +472,10 @@ def drawn(vectors: DataFrame) -> DataFrame:
                     own = [i for i, v in enumerate(part) if v and len(v) == n and None not in v]
                     if n not in known:
                         known[n] = textures(n)
-                    pixels = (np.array([part[i] for i in own], np.float32).reshape(-1, n) @ known[n] + 128).clip(0, 255).astype(np.uint8)
-                    for i, p in zip(own, pixels, strict=True):
-                        made[start + i] = p.tobytes()
+                    for few in (own[k : k + 16] for k in range(0, len(own), 16)):
+                        pixels = (_summed(np.array([part[i] for i in few], np.float32), known[n]) + 128).clip(0, 255).astype(np.uint8)
+                        for i, p in zip(few, pixels, strict=True):
+                            made[start + i] = p.tobytes()
             yield pa.array(made, pa.binary())
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -392,4 +484,5 @@ def drawn(vectors: DataFrame) -> DataFrame:
 
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's picture against those whose id is divisible by 50."""
-    return copies(drawn(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return copies(vectors, F.col("id") % 50 == 0, lambda rows: drawn(rows.withColumnRenamed("id", "vec_id")))
